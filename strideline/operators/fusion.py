@@ -202,7 +202,8 @@ def recipe_search(wide: DataFrame, base: str, members: Sequence[str], target: st
     d = logs.withColumn("_g", F.explode(rows))
     mixed = F.transform(F.col("_b"), lambda x: x * (F.lit(1.0) - F.col("_g.w")))
     for i in range(len(members)):
-        mixed = F.zip_with(mixed, F.col(f"_m{i}"), lambda a, x, i=i: a + F.col("_g.w") * F.col("_g.use")[i] * x)
+        part = F.col("_g.w") * F.col("_g.use")[i]
+        mixed = F.zip_with(mixed, F.col(f"_m{i}"), lambda a, x: a + part * x)
     diff = F.array_max(F.zip_with(P.softmax(mixed), F.col(target), lambda a, b: F.abs(a - b)))
     return d.groupBy(F.col("_g.combo").alias("combo"), F.col("_g.w").alias("w")).agg(F.max(diff).alias("max_delta"))
 

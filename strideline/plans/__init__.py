@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "align", "fusion"]
+MODULES = ["scalars", "align", "fusion", "evaluate"]
 
 
 def load_all() -> None:
