@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "align", "fusion", "evaluate"]
+MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates"]
 
 
 def load_all() -> None:

@@ -374,7 +374,7 @@ def e23(spark, sf):
 @query(
     "e24_top2_decidable",
     """with t as (select sample_id, label, max(case when rk = 1 then cls end) as a, max(case when rk = 2 then cls end) as b from fused group by 1, 2),
-            d as (select t.*, case when m.pred in (a, b) then m.pred else a end as pick from t join mpred m using (sample_id) where m.member = 0 and label in (a, b))
+            d as (select t.*, case when m.pred in (a, b) then m.pred else a end as pick from t join mpred m using (sample_id) where m.member = 0 and t.label in (a, b))
        select count(*) as decidable, round(avg((a = label)::int), 6) as base_rate, count(*) filter (where pick <> a) as flips, count(*) filter (where pick <> a and pick = label) as flips_right,
               count(*) filter (where pick <> a and a = label) as flips_wrong from d""",
     "fused mpred",

@@ -208,3 +208,30 @@ def with_views(names: list[str], body: str) -> str:
     if rest is not None:
         return f"with {recursive}" + ",\n".join([*ctes, rest])
     return (f"with {recursive}" + ",\n".join(ctes) + "\n" + text) if ctes else text
+
+
+def frames(spark, sf) -> DataFrame:
+    """Poses: clip = five consecutive vectors, one frame each, 17 joints x 3 from the first 51 numbers."""
+    e = vectors(spark, sf)
+    joint = lambda j: F.array(*[F.col("vec")[3 * j + k] for k in range(3)])
+    return e.select(
+        F.col("grp").alias("clip"), (F.col("grp") % 7).alias("subject"), F.col("pos").alias("frame"),
+        (F.col("pos") * 0.1 + (F.col("sample_id") % 3) * 0.01).alias("t"), F.array(*[joint(j) for j in range(17)]).alias("pose"),
+    )
+
+
+def persons(spark, sf) -> DataFrame:
+    """Two people per frame: 30 coordinates each; the second is missing now and then."""
+    e = vectors(spark, sf)
+    rows = F.array(*[F.struct(F.lit(i).alias("person"), F.slice("vec", 30 * i + 1, 30).alias("coords")) for i in range(2)])
+    d = e.select(F.col("grp").alias("clip"), F.col("pos").cast("int").alias("frame"), "sample_id", F.explode(rows).alias("x")).select("clip", "frame", "sample_id", "x.*")
+    return d.filter((F.col("person") == 0) | (F.col("sample_id") * 7 % 5 != 1)).drop("sample_id")
+
+
+VIEWS["frames"] = ("vectors", """select grp as clip, grp % 7 as subject, pos as frame, pos * 0.1e0 + (sample_id % 3) * 0.01e0 as t, vec from vectors""")
+VIEWS["persons"] = ("vectors", """select grp as clip, pos as frame, person, vec[30 * person + 1 : 30 * person + 30] as coords from vectors, (select unnest([0, 1]) as person)
+        where person = 0 or sample_id * 7 % 5 <> 1""")
+_PARENT_SQL = "[0, 0, 1, 2, 0, 4, 5, 0, 7, 8, 9, 8, 11, 12, 8, 14, 15]"
+VIEWS["bones"] = ("frames", f"""select clip, subject, frame, t, j as joint, vec[3*j+1] - vec[3*q+1] as bx, vec[3*j+2] - vec[3*q+2] as by, vec[3*j+3] - vec[3*q+3] as bz,
+        vec[3*j+1] as x, vec[3*j+2] as y, vec[3*j+3] as z
+        from (select frames.*, j, {_PARENT_SQL}[j+1] as q from frames, (select unnest(range(0, 17)) as j))""")
