@@ -48,7 +48,8 @@ def rotate_to_world(q, v) -> list[Column]:
     """Three columns: v turned by the unit quaternion of q = (w, x, y, z); 0 where q has no length."""
     q, v = [_col(c) for c in q], [_col(c) for c in v]
     n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    w, axis = q[0] / n, [c / n for c in q[1:]]
+    size = F.when(n > 1e-8, n).otherwise(F.lit(1.0))
+    w, axis = q[0] / size, [c / size for c in q[1:]]
     once = _cross(axis, v)
     twice = _cross(axis, once)
     return [F.when(n > 1e-8, v[i] + 2.0 * w * once[i] + 2.0 * twice[i]).otherwise(F.lit(0.0)) for i in range(3)]

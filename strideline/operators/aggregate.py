@@ -14,7 +14,7 @@ from strideline.operators.scan import ordered_scan, quantiles
 
 def label_crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
     """Counts per row key and column value, with the smallest cell of the row."""
-    wide = df.groupBy(row).pivot(col, list(values)).agg(F.count("*")).na.fill(0)
+    wide = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("min_cell", F.least(*[F.col(f"`{v}`") for v in values]))
 
 

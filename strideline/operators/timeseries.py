@@ -203,7 +203,7 @@ def device_coupling(grid: DataFrame, clip: str, device: str, value: str, devices
     for i, a in enumerate(devices):
         for b in devices[i + 1:]:
             flat = (F.stddev_pop(a) <= 1e-9) | (F.stddev_pop(b) <= 1e-9)
-            aggs += [F.when(flat, 0.0).otherwise(F.corr(a, b)).alias(f"corr_{a}_{b}"), F.avg(F.abs(F.col(a) - F.col(b))).alias(f"mad_{a}_{b}")]
+            aggs += [F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(f"corr_{a}_{b}"), F.avg(F.abs(F.col(a) - F.col(b))).alias(f"mad_{a}_{b}")]
             names.append((a, b))
     return wide.groupBy(clip).agg(*aggs)
 
@@ -221,7 +221,7 @@ def clip_feature_vector(df: DataFrame, clip, device, t, tie, channels: dict[str,
     slots = [f"{d}_{n}" for d in devices for n in names]
     picked = F.struct(*[F.col(s).cast("double").alias(s) for s in STATISTICS])
     wide = stats.withColumn("_slot", F.concat_ws("_", device, "channel")).groupBy(clip).pivot("_slot", slots).agg(F.first(picked))
-    counts = base.groupBy(clip).pivot(device, list(devices)).agg(F.count("*"))
+    counts = base.groupBy(clip).pivot(device, list(devices)).agg(F.count(F.lit(1)))
     coupling = device_coupling(index_grid(base, [clip, device], [t, tie], seg, coupling_on, steps), clip, device, coupling_on, devices, steps)
     flat = [F.coalesce(F.col(f"{d}_{n}")[s], F.lit(0.0)).alias(f"{d}_{n}_{s}") for d in devices for n in names for s in STATISTICS]
     n_cols = [F.coalesce(F.col(d), F.lit(0)).cast("double").alias(f"{d}_count") for d in devices]
@@ -240,7 +240,7 @@ def series_summary(df: DataFrame, keys, order, seg, value: str) -> DataFrame:
     pooled = F.when(F.sum(F.abs(weight)) > 0, F.sum(weight * x) / F.sum(F.abs(weight))).otherwise(F.lit(0.0))
     return rows.groupBy(*keys).agg(
         F.avg(x).alias("mean"), unit(F.stddev_pop(x) * 4).alias("spread"), unit(0.5 + 0.5 * pooled).alias("rank_pool"),
-        unit(zero(F.avg(F.greatest(d, F.lit(0.0)))) * 4).alias("rise"), unit(zero(F.avg(F.greatest(-d, F.lit(0.0)))) * 4).alias("fall"),
+        unit(zero(F.avg(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))))) * 4).alias("rise"), unit(zero(F.avg(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))) * 4).alias("fall"),
     )
 
 

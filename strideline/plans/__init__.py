@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates"]
+MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates", "timeseries"]
 
 
 def load_all() -> None:

@@ -63,9 +63,9 @@ def _feature_sql() -> str:
         f"round(case when stddev_pop({a}) <= 1e-9 or stddev_pop({b}) <= 1e-9 then 0 else corr({a}, {b}) end, 5) as corr_{a}_{b}, round(avg(abs({a} - {b})), 5) as mad_{a}_{b}" for a, b in _PAIRS
     ]
     grid = ", ".join(f"max(case when device = '{d}' then val else 0 end) as {d}" for d in v.DEVICES)
-    return f"""with {_LONG}, {_stats_ctes('lg')}, gx as (select clip, device, n, s as step, s * (n - 1) / 31e0 as at from (select clip, device, n from cs where channel = 'x'), (select unnest(range(0, 32)) as s)),
-      gv as (select gx.clip, gx.device, step, case when gx.n > 1 then lo.v * (1 - (at - floor(at))) + coalesce(hi.v, 0) * (at - floor(at)) else 0 end as val from gx join o lo on lo.clip = gx.clip and lo.device = gx.device and lo.channel = 'x' and lo.i = floor(at)
-             left join o hi on hi.clip = gx.clip and hi.device = gx.device and hi.channel = 'x' and hi.i = floor(at) + 1),
+    return f"""with {_LONG}, {_stats_ctes('lg')}, gx as (select clip, device, n, s as step, s * (n - 1) / 31e0 as ps from (select clip, device, n from cs where channel = 'x'), (select unnest(range(0, 32)) as s)),
+      gv as (select gx.clip, gx.device, step, case when gx.n > 1 then lo.v * (1 - (ps - floor(ps))) + coalesce(hi.v, 0) * (ps - floor(ps)) else 0 end as val from gx join o lo on lo.clip = gx.clip and lo.device = gx.device and lo.channel = 'x' and lo.i = floor(ps)
+             left join o hi on hi.clip = gx.clip and hi.device = gx.device and hi.channel = 'x' and hi.i = floor(ps) + 1),
       gw as (select clip, step, {grid} from gv group by 1, 2), cp as (select clip, {", ".join(pairs)} from gw group by 1),
       ft as (select clip, {", ".join(cells + counts)} from cs group by 1) select * from ft join cp using (clip)"""
 
@@ -80,9 +80,9 @@ def a3(spark, sf):
 @query(
     "a4_device_coupling",
     f"""with o as (select clip, device, x as v, row_number() over (partition by clip, device order by t, sample_id) - 1 as i, count(*) over (partition by clip, device) as n from sensor),
-      gx as (select clip, device, n, s as step, s * (n - 1) / 31e0 as at from (select distinct clip, device, n from o), (select unnest(range(0, 32)) as s)),
-      gv as (select gx.clip, gx.device, step, case when gx.n > 1 then lo.v * (1 - (at - floor(at))) + coalesce(hi.v, 0) * (at - floor(at)) else 0 end as val from gx join o lo on lo.clip = gx.clip and lo.device = gx.device and lo.i = floor(at)
-             left join o hi on hi.clip = gx.clip and hi.device = gx.device and hi.i = floor(at) + 1),
+      gx as (select clip, device, n, s as step, s * (n - 1) / 31e0 as ps from (select distinct clip, device, n from o), (select unnest(range(0, 32)) as s)),
+      gv as (select gx.clip, gx.device, step, case when gx.n > 1 then lo.v * (1 - (ps - floor(ps))) + coalesce(hi.v, 0) * (ps - floor(ps)) else 0 end as val from gx join o lo on lo.clip = gx.clip and lo.device = gx.device and lo.i = floor(ps)
+             left join o hi on hi.clip = gx.clip and hi.device = gx.device and hi.i = floor(ps) + 1),
       gw as (select clip, step, {", ".join(f"max(case when device = '{d}' then val else 0 end) as {d}" for d in v.DEVICES)} from gv group by 1, 2)
       select clip, {", ".join(f"round(case when stddev_pop({a}) <= 1e-9 or stddev_pop({b}) <= 1e-9 then 0 else corr({a}, {b}) end, 5) as corr_{a}_{b}, round(avg(abs({a} - {b})), 5) as mad_{a}_{b}" for a, b in _PAIRS)} from gw group by 1""",
     "sensor",
@@ -96,7 +96,7 @@ def a4(spark, sf):
 
 @query(
     "a5_bone_template",
-    """with l as (select clip, subject, joint, sqrt(bx*bx + by*by + bz*bz) as len from bones where joint > 0), m as (select clip, subject, joint, quantile_cont(len, 0.5) as len from l where len > 1e-5 group by 1, 2, 3),
+    """with l as (select clip, subject, joint, sqrt(dx*dx + dy*dy + dz*dz) as len from bones where joint > 0), m as (select clip, subject, joint, quantile_cont(len, 0.5) as len from l where len > 1e-5 group by 1, 2, 3),
             t as (select subject, joint, quantile_cont(len, 0.5) as len from m group by 1, 2)
        select subject, count(*) = 16 and min(len) > 1e-5 as complete, round(max(case when joint = 1 then len end), 6) as bone_1, round(max(case when joint = 16 then len end), 6) as bone_16, round(1 + sum(len), 6) as total from t group by 1""",
     "bones",
@@ -237,7 +237,7 @@ def a17(spark, sf):
     "a18_content_digest",
     """with n as (select o_orderstatus as part, o_custkey as name, count(*) as n from orders group by 1, 2), l as (select part, sha256(name || ':' || n) as h from n),
             a as (select part, substr(h, 1, 6) as p, sha256(string_agg(h, chr(10) order by h)) as h from l group by 1, 2), b as (select part, substr(p, 1, 3) as p, sha256(string_agg(h, chr(10) order by h)) as h from a group by 1, 2)
-       select part, sha256(string_agg(h, chr(10) order by h)) as digest from (select part, '' as p, sha256(string_agg(h, chr(10) order by h)) as h from (select part, substr(p, 1, 0) as p, h from b) group by 1) group by 1""",
+       select part, sha256(string_agg(h, chr(10) order by h)) as digest from b group by 1""",
 )
 def a18(spark, sf):
     o = v.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("part"), F.col("o_custkey").alias("name"))

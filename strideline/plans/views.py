@@ -232,6 +232,6 @@ VIEWS["frames"] = ("vectors", """select grp as clip, grp % 7 as subject, pos as
 VIEWS["persons"] = ("vectors", """select grp as clip, pos as frame, person, vec[30 * person + 1 : 30 * person + 30] as coords from vectors, (select unnest([0, 1]) as person)
         where person = 0 or sample_id * 7 % 5 <> 1""")
 _PARENT_SQL = "[0, 0, 1, 2, 0, 4, 5, 0, 7, 8, 9, 8, 11, 12, 8, 14, 15]"
-VIEWS["bones"] = ("frames", f"""select clip, subject, frame, t, j as joint, vec[3*j+1] - vec[3*q+1] as bx, vec[3*j+2] - vec[3*q+2] as by, vec[3*j+3] - vec[3*q+3] as bz,
+VIEWS["bones"] = ("frames", f"""select clip, subject, frame, t, j as joint, vec[3*j+1] - vec[3*q+1] as dx, vec[3*j+2] - vec[3*q+2] as dy, vec[3*j+3] - vec[3*q+3] as dz,
         vec[3*j+1] as x, vec[3*j+2] as y, vec[3*j+3] as z
         from (select frames.*, j, {_PARENT_SQL}[j+1] as q from frames, (select unnest(range(0, 17)) as j))""")
