@@ -159,3 +159,27 @@ def neighbours(
         .withColumn(ahead, F.coalesce(F.last("_item", ignorenulls=True).over(since), F.col("_carry_a")))
         .drop("_item", "_carry_b", "_carry_a")
     )
+
+
+def count_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], seg: str, cols: Sequence[str], breaks, out: str) -> DataFrame:
+    """Running count of breaks per key. `breaks(cur, prev)` says, from two dicts of columns, whether a
+    new stretch starts between a row and the one before it; the first row of a key is stretch 0.
+
+    Rows are shuffled once on (key, segment). A segment counts its inner breaks; the break between
+    two segments is judged from their edge rows.
+    """
+    keys, order, part = list(keys), list(order), [*keys, seg]
+    local = W.partitionBy(*part).orderBy(*order)
+    pick = lambda s: {c: F.col(s)[c] for c in cols}
+    cur = {c: F.col(c) for c in cols}
+    d = df.withColumn("_p", F.lag(F.struct(*cols)).over(local))
+    inner = F.when(F.col("_p").isNotNull() & breaks(cur, pick("_p")), 1).otherwise(0)
+    d = d.withColumn("_b", inner).withColumn("_cum", F.sum("_b").over(local.rowsBetween(W.unboundedPreceding, 0))).drop("_p")
+    row = F.struct(*order, *[c for c in cols if c not in order])
+    edges = d.groupBy(*part).agg(F.min(row).alias("_head"), F.max(row).alias("_tail"), F.sum("_b").alias("_n"))
+    chain = W.partitionBy(*keys).orderBy(seg)
+    edges = edges.withColumn("_before", F.lag("_tail").over(chain))
+    edge = F.when(F.col("_before").isNotNull() & breaks(pick("_head"), pick("_before")), 1).otherwise(0)
+    edges = edges.withColumn("_edge", edge)
+    offset = F.sum(F.col("_n") + F.col("_edge")).over(chain.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    return d.join(edges.select(*part, offset.alias("_off")), part).withColumn(out, F.col("_off") + F.col("_cum")).drop("_b", "_cum", "_off")

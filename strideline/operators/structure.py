@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.operators.scan import ordered_scan
+from strideline.operators.scan import count_breaks, ordered_scan
 
 RUNS_PER_SEGMENT = 4096
 TIE_SECONDS = 1e-6
@@ -24,14 +24,16 @@ def blocks_of_three(runs: DataFrame, key: str, session_gap, per_segment: int = R
     The greedy walk is a three-state machine (how many runs the last triple still covers). Each
     segment of runs is folded for all three entry states at once, entry states are chained over
     segments, and every segment then replays its own runs: no key is gathered whole.
-    Returns (key, run, block = first run of the block, rep = place in it, triple).
+    Runs of a key are numbered without holes. Returns (key, run, block = first run, rep, triple).
     """
-    d = runs.withColumn("_seg", F.floor(F.col("run") / per_segment))
-    d = ordered_scan(d, [key], ["run"], "_seg", next=["run", "n", "run_start"], row="_i")
-    two = ordered_scan(d, [key], ["run"], "_seg", next=["next_n", "next_run_start"])
-    fits = (F.col("n") == F.col("next_n")) & (F.col("n") == F.col("next_next_n")) & (F.col("next_next_run_start") - F.col("run_end") < session_gap)
-    d = two.select(key, "run", "_i", F.floor((F.col("_i") - 1) / per_segment).alias("_seg"), F.coalesce(fits, F.lit(False)).alias("ok"))
-    seg = d.groupBy(key, "_seg").agg(F.sort_array(F.collect_list(F.struct("_i", "run", "ok"))).alias("a"))  # per_segment rows at most
+    # every run is sent to itself and to the two runs before it, so a run sees its followers in one shuffle
+    roles = F.array(*[F.struct((F.col("run") - i).alias("run"), F.lit(i).alias("role")) for i in range(3)])
+    sent = runs.select(key, F.explode(roles).alias("_x"), "n", "run_start", "run_end").select(key, "_x.*", "n", "run_start", "run_end")
+    at = lambda i, c: F.max(F.when(F.col("role") == i, F.col(c)))
+    seen = sent.groupBy(key, "run").agg(at(0, "n").alias("n0"), at(1, "n").alias("n1"), at(2, "n").alias("n2"), at(0, "run_end").alias("e0"), at(2, "run_start").alias("s2"))
+    fits = (F.col("n0") == F.col("n1")) & (F.col("n0") == F.col("n2")) & (F.col("s2") - F.col("e0") < session_gap)
+    d = seen.filter("n0 is not null").select(key, "run", F.floor(F.col("run") / per_segment).alias("_seg"), F.coalesce(fits, F.lit(False)).alias("ok"))
+    seg = d.groupBy(key, "_seg").agg(F.sort_array(F.collect_list(F.struct("run", "ok"))).alias("a"))  # per_segment rows at most
 
     def walk(entry):
         """left = runs of this segment still covered by an earlier triple after each step"""
@@ -48,14 +50,10 @@ def blocks_of_three(runs: DataFrame, key: str, session_gap, per_segment: int = R
     replay = lambda acc, x: F.concat(acc, F.array(F.when(F.element_at(acc, -1) > 0, F.element_at(acc, -1) - 1).when(x["ok"], F.lit(2)).otherwise(F.lit(0))))
     lefts = maps.join(entry, [key, "_seg"]).withColumn("_l", F.aggregate("a", F.array(F.col("_entry")), replay))
     rows = lefts.select(key, "_seg", F.explode(F.arrays_zip(F.col("a").alias("r"), F.slice("_l", 1, F.size("a")).alias("before"))).alias("x"))
-    rows = rows.select(key, "_seg", F.col("x.r._i").alias("_i"), F.col("x.r.run").alias("run"), F.col("x.r.ok").alias("ok"), F.col("x.before").alias("before"))
+    rows = rows.select(key, F.col("x.r.run").alias("run"), F.col("x.r.ok").alias("ok"), F.col("x.before").alias("before"))
     # `before` > 0: covered by an earlier triple, as its second (2) or third (1) run
     rep = F.when(F.col("before") == 0, 0).otherwise(3 - F.col("before"))
-    r = rows.withColumns({"rep": rep, "triple": (F.col("before") > 0) | F.col("ok")})
-    back = ordered_scan(r, [key], ["_i"], "_seg", prev=["run"])
-    back2 = ordered_scan(back, [key], ["_i"], "_seg", prev=["prev_run"])
-    block = F.when(F.col("rep") == 0, F.col("run")).when(F.col("rep") == 1, F.col("prev_run")).otherwise(F.col("prev_prev_run"))
-    return back2.select(key, "run", block.alias("block"), "rep", "triple")
+    return rows.select(key, "run", (F.col("run") - rep).alias("block"), rep.alias("rep"), ((F.col("before") > 0) | F.col("ok")).alias("triple"))
 
 
 def positional_alignment(rows: DataFrame, blocks: DataFrame, key: str, run: str, start: str, tie: str, seg: str | None = None) -> DataFrame:
@@ -67,10 +65,8 @@ def positional_alignment(rows: DataFrame, blocks: DataFrame, key: str, run: str,
 def twin_runs(recordings: DataFrame, owner: str, key: str, size: str, start: str, end: str, gap, seg: str) -> DataFrame:
     """Number maximal chains of consecutive equally sized recordings (two clips or more) closer than the gap."""
     r = recordings.filter(F.col(size) >= 2)
-    d = ordered_scan(r, [owner], [start, key], seg, prev=[size, end])
-    same = (F.col(size) == F.col(f"prev_{size}")) & (F.col(start) - F.col(f"prev_{end}") < gap)
-    d = d.withColumn("_break", F.when(same, 0).otherwise(1))
-    return ordered_scan(d, [owner], [start, key], seg, sums={"twin_run": F.col("_break")}).drop("_break", f"prev_{size}", f"prev_{end}")
+    apart = lambda cur, prev: (cur[size] != prev[size]) | (cur[start] - prev[end] >= gap)
+    return count_breaks(r, [owner], [start, key], seg, [start, end, size], apart, "twin_run")
 
 
 def ambiguous_groups(rows: DataFrame, keys: Sequence[str], start: str, tie: str, seg: str, tolerance: float = TIE_SECONDS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.operators.scan import neighbours, ordered_scan, quantiles, ranked
+from strideline.operators.scan import count_breaks, neighbours, ordered_scan, quantiles, ranked
 from strideline.operators.spectrum import spectrum_features
 
 
@@ -30,10 +30,8 @@ def gap_sessions(df: DataFrame, keys, start: str, end: str, tie: str, gap: float
     Rows without a start each get a block of their own, numbered downwards from -1.
     """
     timed = df.filter(F.col(start).isNotNull())
-    order = [start, tie]
-    linked = ordered_scan(timed, keys, order, seg, prev=[end])
-    opens = F.when(F.col(start) - F.col(f"prev_{end}") > gap, 1).otherwise(0)
-    numbered = ordered_scan(linked.withColumn("_open", opens), keys, order, seg, sums={out: F.col("_open")}).drop("_open", f"prev_{end}")
+    opens = lambda cur, prev: cur[start] - prev[end] > gap
+    numbered = count_breaks(timed, keys, [start, tie], seg, [start, end], opens, out)
     loose = df.filter(F.col(start).isNull())
     single = ordered_scan(loose, keys, [tie], None, row=out).withColumn(out, -F.col(out))
     return numbered.unionByName(single)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates", "timeseries"]
+MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates", "timeseries", "sequences"]
 
 
 def load_all() -> None:

@@ -56,11 +56,11 @@ _PAIRS = [(a, b) for i, a in enumerate(v.DEVICES) for b in v.DEVICES[i + 1:]]
 
 
 def _feature_sql() -> str:
-    digits = lambda s: 3 if s == "low_share" else 5
+    digits = lambda s: 4 if s == "low_share" else 9
     cells = [f"round(coalesce(max(case when device = '{d}' and channel = '{c}' then {_STAT_SQL[s]} end), 0)::double, {digits(s)}) as {d}_{c}_{s}" for d in v.DEVICES for c in "xz" for s in ts.STATISTICS]
     counts = [f"coalesce(max(case when device = '{d}' then n end), 0)::double as {d}_count" for d in v.DEVICES]
     pairs = [
-        f"round(case when stddev_pop({a}) <= 1e-9 or stddev_pop({b}) <= 1e-9 then 0 else corr({a}, {b}) end, 5) as corr_{a}_{b}, round(avg(abs({a} - {b})), 5) as mad_{a}_{b}" for a, b in _PAIRS
+        f"round(case when stddev_pop({a}) <= 1e-9 or stddev_pop({b}) <= 1e-9 then 0 else corr({a}, {b}) end, 9) as corr_{a}_{b}, round(avg(abs({a} - {b})), 9) as mad_{a}_{b}" for a, b in _PAIRS
     ]
     grid = ", ".join(f"max(case when device = '{d}' then val else 0 end) as {d}" for d in v.DEVICES)
     return f"""with {_LONG}, {_stats_ctes('lg')}, gx as (select clip, device, n, s as step, s * (n - 1) / 31e0 as ps from (select clip, device, n from cs where channel = 'x'), (select unnest(range(0, 32)) as s)),
@@ -74,7 +74,7 @@ def _feature_sql() -> str:
 def a3(spark, sf):
     s = v.sensor(spark, sf).withColumn("seg", F.floor(F.col("t") / v.DAY))
     d = ts.clip_feature_vector(s, "clip", "device", "t", "sample_id", {"x": F.col("x"), "z": F.col("z")}, v.DEVICES, "x", "seg")
-    return d.select("clip", *[F.round(c, 3 if c.endswith("low_share") else 5).alias(c) if t == "double" else c for c, t in d.dtypes if c != "clip"])
+    return d.select("clip", *[F.round(c, 4 if c.endswith("low_share") else 9).alias(c) if t == "double" else c for c, t in d.dtypes if c != "clip"])
 
 
 @query(
@@ -84,14 +84,14 @@ def a3(spark, sf):
       gv as (select gx.clip, gx.device, step, case when gx.n > 1 then lo.v * (1 - (ps - floor(ps))) + coalesce(hi.v, 0) * (ps - floor(ps)) else 0 end as val from gx join o lo on lo.clip = gx.clip and lo.device = gx.device and lo.i = floor(ps)
              left join o hi on hi.clip = gx.clip and hi.device = gx.device and hi.i = floor(ps) + 1),
       gw as (select clip, step, {", ".join(f"max(case when device = '{d}' then val else 0 end) as {d}" for d in v.DEVICES)} from gv group by 1, 2)
-      select clip, {", ".join(f"round(case when stddev_pop({a}) <= 1e-9 or stddev_pop({b}) <= 1e-9 then 0 else corr({a}, {b}) end, 5) as corr_{a}_{b}, round(avg(abs({a} - {b})), 5) as mad_{a}_{b}" for a, b in _PAIRS)} from gw group by 1""",
+      select clip, {", ".join(f"round(case when stddev_pop({a}) <= 1e-9 or stddev_pop({b}) <= 1e-9 then 0 else corr({a}, {b}) end, 9) as corr_{a}_{b}, round(avg(abs({a} - {b})), 9) as mad_{a}_{b}" for a, b in _PAIRS)} from gw group by 1""",
     "sensor",
 )
 def a4(spark, sf):
     s = v.sensor(spark, sf).withColumn("seg", F.floor(F.col("t") / v.DAY))
     g = ts.index_grid(s, ["clip", "device"], ["t", "sample_id"], "seg", "x", 32)
     d = ts.device_coupling(g, "clip", "device", "x", v.DEVICES, 32)
-    return d.select("clip", *[F.round(c, 5).alias(c) for c in d.columns if c != "clip"])
+    return d.select("clip", *[F.round(c, 9).alias(c) for c in d.columns if c != "clip"])
 
 
 @query(

@@ -167,33 +167,34 @@ def f9(spark, sf):
     return AS.capacity_violations(got, "sample_id", "probs", targets, C)
 
 
+def _rec(spark, sf):
+    w = v.posteriors_wide(spark, sf)
+    return w.select((F.col("subject") * 100 + F.col("year")).alias("grp"), "sample_id", F.col("p0").alias("probs"))
+
+
 @query(
     "f10_group_distinct_assignment",
-    """with g as (select subject, count(*) as n, count(distinct pred) as k from mpred where member = 0 group by 1)
-       select subject, n as n_clips, case when n <= 5 then n else k end as n_distinct, n between 2 and 5 as solved from g""",
+    """with g as (select subject * 100 + day // 365 as grp, count(*) as n, count(distinct pred) as k from mpred where member = 0 group by 1)
+       select grp, n as n_clips, case when n <= 5 then n else k end as n_distinct, n between 2 and 5 as solved from g""",
     "mpred",
 )
 def f10(spark, sf):
-    d = v.posteriors_wide(spark, sf).select("subject", "sample_id", F.col("p0").alias("probs"))
-    a = AS.group_distinct_assignment(d, "subject", "sample_id", "probs", C, digits=9)
-    return a.groupBy("subject").agg(F.count("*").alias("n_clips"), F.count_distinct("assigned").alias("n_distinct"), F.max("solved").alias("solved"))
+    a = AS.group_distinct_assignment(_rec(spark, sf), "grp", "sample_id", "probs", C, digits=9)
+    return a.groupBy("grp").agg(F.count("*").alias("n_clips"), F.count_distinct("assigned").alias("n_distinct"), F.max("solved").alias("solved"))
 
 
 @query(
     "f10_assignment_optimum",
-    """with k as (select subject, sample_id, row_number() over (partition by subject order by sample_id) as i, count(*) over (partition by subject) as n from seq),
-            e as (select k.subject, i, n, cls, -ln(p + 1e-9) as c from k join post using (sample_id) where member = 0 and n between 2 and 3),
-            a as (select subject, any_value(n) as n, cls as c1, any_value(c) as s from e where i = 1 group by subject, cls),
-            b as (select a.subject, a.n, c1, e.cls as c2, s + c as s from a join e on e.subject = a.subject and e.i = 2 and e.cls <> c1),
-            d as (select b.subject, b.n, s from b where n = 2 union all select b.subject, b.n, s + c from b join e on e.subject = b.subject and e.i = 3 and e.cls not in (c1, c2))
-       select subject, round(min(s), 6) as cost from d group by subject""",
+    """with recursive k as (select subject * 100 + year as grp, sample_id, row_number() over (partition by subject, year order by sample_id) as i, count(*) over (partition by subject, year) as n from seq),
+            e as (select k.grp, i, n, cls, -ln(p + 1e-9) as c from k join post using (sample_id) where member = 0 and n between 2 and 5),
+            a(grp, i, n, used, s) as (select grp, i, n, 1 << cls, c from e where i = 1 union all select a.grp, e.i, a.n, a.used | (1 << e.cls), a.s + e.c from a join e on e.grp = a.grp and e.i = a.i + 1 and (a.used & (1 << e.cls)) = 0)
+       select grp, round(min(s), 6) as cost from a where i = n group by grp""",
     "post",
 )
 def f10_optimum(spark, sf):
-    d = v.posteriors_wide(spark, sf).select("subject", "sample_id", F.col("p0").alias("probs"))
-    a = AS.group_distinct_assignment(d, "subject", "sample_id", "probs", C, digits=9)
-    cost = a.withColumn("c", -F.log(F.col("probs")[F.col("assigned")] + 1e-9)).groupBy("subject").agg(F.count("*").alias("n"), F.sum("c").alias("cost"))
-    return cost.filter("n between 2 and 3").select("subject", R6("cost").alias("cost"))
+    a = AS.group_distinct_assignment(_rec(spark, sf), "grp", "sample_id", "probs", C, digits=9).filter("solved")
+    cost = a.withColumn("c", -F.log(F.col("probs")[F.col("assigned")] + 1e-9)).groupBy("grp").agg(F.sum("c").alias("cost"))
+    return cost.select("grp", R6("cost").alias("cost"))
 
 
 @query(

@@ -96,7 +96,7 @@ def recordings(spark, sf):
 @query(
     "w5_twin_runs",
     f"""with {_REC}, q as (select *, lag(n) over w as pn, lag(rec_end) over w as pe from rec where n >= 2 window w as (partition by owner order by rec_start, grp)),
-        f as (select *, case when n = pn and rec_start - pe < 864000 then 0 else 1 end as brk from q), r as (select *, sum(brk) over (partition by owner order by rec_start, grp)::bigint as twin_run from f)
+        f as (select *, case when pn is null or (n = pn and rec_start - pe < 864000) then 0 else 1 end as brk from q), r as (select *, sum(brk) over (partition by owner order by rec_start, grp)::bigint as twin_run from f)
         select owner, grp, n, twin_run from r""",
     "seq",
 )
