@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates", "timeseries", "sequences"]
+MODULES = ["scalars", "align", "fusion", "evaluate", "aggregates", "timeseries", "sequences", "sampling", "ingest", "folds", "streams"]
 
 
 def load_all() -> None:

@@ -117,6 +117,11 @@ _MODEL_SQL = f"""{_EDGES}, cl as (select unnest([0, 1, 2, 3, 4]) as c), un as (s
   ro as (select sample_id, subject, row_number() over (partition by subject order by t0, sample_id) as pos, count(*) over (partition by subject) as n from seq),
   em as (select ro.*, cls, ln(greatest(p, 1e-12)) as e from ro join post using (sample_id) where member = 0)"""
 
+# the same model, targets grouped by (subject, year)
+_MODEL_BY_YEAR = _MODEL_SQL[: _MODEL_SQL.index("ro as (")] + """ro as (select sample_id, subject * 100 + year as grp, row_number() over (partition by subject, year order by t0, sample_id) as pos,
+     count(*) over (partition by subject, year) as n from seq),
+  em as (select ro.*, cls, ln(greatest(p, 1e-12)) as e from ro join post using (sample_id) where member = 0)"""
+
 
 @query(
     "q4_viterbi",
@@ -154,7 +159,7 @@ def q4b(spark, sf):
 
 @query(
     "q5_beam_soft_distinct",
-    f"""with recursive {_MODEL_SQL.replace("partition by subject order by", "partition by subject, year order by").replace("over (partition by subject) as n from seq", "over (partition by subject, year) as n from seq").replace("ro as (select sample_id, subject,", "ro as (select sample_id, subject * 100 + year as grp,")},
+    f"""with recursive {_MODEL_BY_YEAR},
         bm(grp, pos, n, last, used, score, path) as (
           select grp, pos, n, cls, 1 << cls, e, chr(97 + cls) from em where pos = 1
           union all
