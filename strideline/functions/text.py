@@ -35,7 +35,7 @@ def parse_timestamp(text) -> Column:
 
 def last_component(path) -> Column:
     """The id in `folder/id/` or `folder/id`."""
-    return F.element_at(F.split(F.trim(F.lit("/"), _col(path)), "/"), -1)
+    return F.element_at(F.split(F.trim(_col(path), F.lit("/")), "/"), -1)
 
 
 def role_overrides(text) -> Column:
