@@ -1,4 +1,8 @@
-"""Column functions over one posterior: an `array<double>` of class probabilities."""
+"""Column functions over one posterior: an `array<double>` of class probabilities.
+
+Given the number of classes `n`, an expression is spelled out per class, so it compiles into the
+stage's generated code; without it a higher-order function does the same for any length.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,31 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def total(p) -> Column:
+def items(p, n: int) -> list[Column]:
+    """The n entries of an array column; a list of columns is taken as it is, which keeps trees small."""
+    if isinstance(p, list):
+        return p
+    p = _col(p)
+    return [p[i] for i in range(n)]
+
+
+def log_items(p, n: int, floor: float = LOG_FLOOR) -> list[Column]:
+    return [F.log(F.greatest(x, F.lit(floor))) for x in items(p, n)]
+
+
+def normalise_items(xs: list[Column]) -> list[Column]:
+    s = sum_columns(xs)
+    return [x / s for x in xs]
+
+
+def softmax_items(xs: list[Column]) -> list[Column]:
+    top = F.greatest(*xs)
+    return normalise_items([F.exp(x - top) for x in xs])
+
+
+def total(p, n: int | None = None) -> Column:
+    if n:
+        return sum_columns(items(p, n))
     return F.aggregate(_col(p), F.lit(0.0), lambda acc, x: acc + x)
 
 
@@ -30,7 +58,9 @@ def violation(p, n_classes: int) -> Column:
     )
 
 
-def normalise(p) -> Column:
+def normalise(p, n: int | None = None) -> Column:
+    if n:
+        return F.array(*normalise_items(items(p, n)))
     p = _col(p)
     s = total(p)
     return F.transform(p, lambda x: x / s)
@@ -42,23 +72,34 @@ def validated(p, n_classes: int) -> Column:
 
 
 def laplace(p, s: float, n_classes: int) -> Column:
-    return F.transform(_col(p), lambda x: (x + F.lit(s)) / F.lit(1.0 + n_classes * s))
+    return F.array(*[(x + F.lit(s)) / F.lit(1.0 + n_classes * s) for x in items(p, n_classes)])
 
 
-def safe_log(p, floor: float = LOG_FLOOR) -> Column:
+def safe_log(p, floor: float = LOG_FLOOR, n: int | None = None) -> Column:
+    if n:
+        return F.array(*log_items(p, n, floor))
     return F.transform(_col(p), lambda x: F.log(F.greatest(x, F.lit(floor))))
 
 
-def softmax(z) -> Column:
+def softmax(z, n: int | None = None) -> Column:
     """exp(z - max z), divided by its sum."""
+    if n:
+        return F.array(*softmax_items(items(z, n)))
     z = _col(z)
     top = F.array_max(z)
     e = F.transform(z, lambda x: F.exp(x - top))
     return normalise(e)
 
 
-def argmax(p, digits: int | None = None) -> Column:
+def argmax(p, digits: int | None = None, n: int | None = None) -> Column:
     """Index of the largest entry, the first one on ties (after rounding, if asked)."""
+    if n:
+        xs = items(p, n) if digits is None else [F.rint(x * F.lit(10.0**digits)) for x in items(p, n)]
+        top = F.greatest(*xs)
+        out = F.when(xs[0] == top, 0)
+        for i in range(1, n):
+            out = out.when(xs[i] == top, i)
+        return out
     p = _col(p)
     if digits is not None:
         p = F.transform(p, lambda x: F.round(x, digits))
@@ -80,61 +121,62 @@ def top2_margin(p) -> Column:
     return ordered[0] - ordered[1]
 
 
-def confidence(p) -> Column:
+def confidence(p, n: int | None = None) -> Column:
+    if n:
+        return F.greatest(*items(p, n))
     return F.array_max(_col(p))
 
 
-def entropy(p, floor: float = LOG_FLOOR) -> Column:
+def entropy(p, floor: float = LOG_FLOOR, n: int | None = None) -> Column:
+    if n:
+        return -sum_columns([x * F.log(F.greatest(x, F.lit(floor))) for x in items(p, n)])
     return F.aggregate(_col(p), F.lit(0.0), lambda acc, x: acc - x * F.log(F.greatest(x, F.lit(floor))))
 
 
-def temper(p, temperature) -> Column:
+def temper(p, temperature, n: int | None = None) -> Column:
     """Soften (T > 1) or sharpen (T < 1): softmax of log p / T."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else _col(temperature)
+    if n:
+        return F.array(*softmax_items([x / t for x in log_items(p, n)]))
     return softmax(F.transform(safe_log(p), lambda x: x / t))
 
 
-def divide_prior(p, prior) -> Column:
+def divide_prior(p, prior, n: int | None = None) -> Column:
     """Move a train-prior posterior to uniform-prior space and re-normalise."""
+    if n:
+        return F.array(*normalise_items([x / q for x, q in zip(items(p, n), items(prior, n))]))
     return normalise(F.zip_with(_col(p), _col(prior), lambda x, q: x / q))
 
 
-def geometric_blend(a, b, weight) -> Column:
+def geometric_blend(a, b, weight, n: int | None = None) -> Column:
     """softmax((1-w) log a + w log b)."""
     w = F.lit(weight) if isinstance(weight, (int, float)) else _col(weight)
+    if n:
+        return F.array(*softmax_items([(F.lit(1.0) - w) * x + w * y for x, y in zip(log_items(a, n), log_items(b, n))]))
     return softmax(F.zip_with(safe_log(a), safe_log(b), lambda x, y: (F.lit(1.0) - w) * x + w * y))
 
 
-def linear_blend(a, b, weight) -> Column:
+def linear_blend(a, b, weight, n: int | None = None) -> Column:
     w = F.lit(weight) if isinstance(weight, (int, float)) else _col(weight)
+    if n:
+        return F.array(*[(F.lit(1.0) - w) * x + w * y for x, y in zip(items(a, n), items(b, n))])
     return F.zip_with(_col(a), _col(b), lambda x, y: (F.lit(1.0) - w) * x + w * y)
 
 
 def power_pool(a, b, class_weights: list[float], power: float, floor: float = 1e-8) -> Column:
     """Power mean with one weight per class; power 0 is the geometric mean, 1 the arithmetic one."""
-    w = F.array(*[F.lit(float(x)) for x in class_weights])
+    n = len(class_weights)
     if power == 0:
-        mixed = F.zip_with(
-            F.zip_with(safe_log(a), safe_log(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
-            w,
-            lambda s, v: (F.lit(1.0) - v) * s["x"] + v * s["y"],
-        )
-        return softmax(mixed)
+        logs = zip(log_items(a, n), log_items(b, n), class_weights)
+        return F.array(*softmax_items([F.lit(1.0 - w) * x + F.lit(float(w)) * y for x, y, w in logs]))
 
     def scaled(p):
-        top = F.greatest(F.array_max(_col(p)), F.lit(LOG_FLOOR))
-        return F.transform(_col(p), lambda x: F.greatest(x / top, F.lit(floor)))
-
-    pairs = F.zip_with(scaled(a), scaled(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    mixed = F.zip_with(
-        pairs,
-        w,
-        lambda s, v: F.pow(
-            F.greatest((F.lit(1.0) - v) * F.pow(s["x"], F.lit(power)) + v * F.pow(s["y"], F.lit(power)), F.lit(LOG_FLOOR)),
-            F.lit(1.0 / power),
-        ),
-    )
-    return normalise(mixed)
+        top = F.greatest(confidence(p, n), F.lit(LOG_FLOOR))
+        return [F.greatest(x / top, F.lit(floor)) for x in items(p, n)]
+
+    mix = lambda x, y, w: F.lit(1.0 - w) * F.pow(x, F.lit(power)) + F.lit(float(w)) * F.pow(y, F.lit(power))
+    mixed = [F.pow(F.greatest(mix(x, y, w), F.lit(LOG_FLOOR)), F.lit(1.0 / power)) for x, y, w in zip(scaled(a), scaled(b), class_weights)]
+    return F.array(*normalise_items(mixed))
 
 
 def restrict(p, classes: list[int]) -> Column:

@@ -296,10 +296,17 @@ def lineage_gate(base: DataFrame, cand: DataFrame, key: str, min_coverage: float
 def weight_sweep(wide: DataFrame, logits: Sequence[str], grid: Sequence[Sequence[float]], label: str, n_classes: int, fold: str | None = None) -> DataFrame:
     """Hits of every weight vector of a grid, in one pass: the members sit side by side in a row, the
     grid is literal, and only (setting[, fold]) counts are shuffled."""
-    from strideline.functions import posterior as P
-
-    settings = F.array(*[F.struct(F.lit(i).alias("setting"), F.array(*[F.lit(float(x)) for x in w]).alias("w")) for i, w in enumerate(grid)])
-    d = wide.withColumn("_g", F.explode(settings))
-    z = F.array(*[P.sum_columns([F.col("_g.w")[m] * F.col(c)[i] for m, c in enumerate(logits)]) for i in range(n_classes)])
-    ok = (P.argmax(z, 9) == F.col(label)).cast("long")
-    return d.groupBy(*([fold] if fold else []), F.col("_g.setting").alias("setting")).agg(F.sum(ok).alias("hits"), F.count("*").alias("n"))
+    def hits(w):
+        z = [" + ".join(f"{float(x)!r}D * {c}[{i}]" for c, x in zip(logits, w)) for i in range(n_classes)]
+        r = ", ".join(f"rint(({x}) * 1e9D)" for x in z)
+        return F.expr(f"count_if(array_position(array({r}), greatest({r})) - 1 = {label})")
+
+    # one sum per setting over rows read once: nothing is multiplied out; slices keep generated code small
+    keys, out = ([fold] if fold else []), None
+    for at in range(0, len(grid), 16):
+        part = grid[at: at + 16]
+        g = wide.groupBy(*keys).agg(F.count("*").alias("n"), *[hits(w).alias(f"h{i}") for i, w in enumerate(part)])
+        rows = F.array(*[F.struct(F.lit(at + i).alias("setting"), F.col(f"h{i}").alias("hits")) for i in range(len(part))])
+        got = g.select(*keys, "n", F.explode(rows).alias("x")).select(*keys, "x.setting", "x.hits", "n")
+        out = got if out is None else out.unionByName(got)
+    return out

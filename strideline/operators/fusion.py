@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
-from strideline.operators.scan import bounded_broadcast, ordered_scan, ranked, settings
+from strideline.operators.scan import bounded_broadcast, ranked
 from strideline.session import cut_lineage
 
 
@@ -32,13 +32,13 @@ def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, one_row.scalar())
 
 
-def uniform_space(post: DataFrame, prior: DataFrame | None, train_prior_members: Sequence) -> DataFrame:
+def uniform_space(post: DataFrame, prior: DataFrame | None, train_prior_members: Sequence, n_classes: int) -> DataFrame:
     """Add `_adj`: the posterior, divided by the prior for members trained under it."""
     if not train_prior_members:
         return post.withColumn("_adj", F.col("probs"))
     in_train = F.col("member").isin(list(train_prior_members))
     d = attach_row(post, prior, "_q")
-    return d.withColumn("_adj", F.when(in_train, F.zip_with("probs", "_q", lambda x, q: x / q)).otherwise(F.col("probs"))).drop("_q")
+    return d.withColumn("_adj", F.array(*[F.when(in_train, F.col("probs")[i] / F.col("_q")[i]).otherwise(F.col("probs")[i]) for i in range(n_classes)])).drop("_q")
 
 
 def fuse_log_linear(
@@ -58,20 +58,21 @@ def fuse_log_linear(
     columns are constant per id.
     """
     w = F.coalesce(literal_map({k: float(x) for k, x in weights.items()})[F.col("member")], F.lit(0.0)) if weight is None else weight
-    d = uniform_space(post.withColumn("_w", w), prior, train_prior_members).withColumn("_l", P.safe_log("_adj"))
+    d = uniform_space(post.withColumn("_w", w), prior, train_prior_members, n_classes).select(*ids, *[k for k in keep if k not in ids], "_w", P.safe_log("_adj", n=n_classes).alias("_l"))
     z = F.array(*[F.sum(F.col("_w") * F.col("_l")[i]) for i in range(n_classes)])
     g = d.groupBy(*ids).agg(z.alias("z"), *[F.first(k).alias(k) for k in keep])
     if prior is not None and prior_weight:
         g = attach_row(g, prior, "_q")
-        g = g.withColumn("z", F.zip_with("z", P.safe_log("_q"), lambda a, q: a + F.lit(float(prior_weight)) * q)).drop("_q")
-    return g.withColumn("probs", P.softmax("z"))
+        lq = P.log_items("_q", n_classes)
+        g = g.withColumn("z", F.array(*[F.col("z")[i] + F.lit(float(prior_weight)) * lq[i] for i in range(n_classes)])).drop("_q")
+    return g.withColumn("probs", P.softmax("z", n_classes))
 
 
 def bag(post: DataFrame, ids, n_classes: int, keep=()) -> DataFrame:
     """Geometric mean over members: mean of log p, then softmax."""
-    d = post.withColumn("_l", P.safe_log("probs"))
+    d = post.withColumn("_l", P.safe_log("probs", n=n_classes))
     z = F.array(*[F.avg(F.col("_l")[i]) for i in range(n_classes)])
-    return d.groupBy(*ids).agg(z.alias("z"), *[F.first(k).alias(k) for k in keep]).withColumn("probs", P.softmax("z"))
+    return d.groupBy(*ids).agg(z.alias("z"), *[F.first(k).alias(k) for k in keep]).withColumn("probs", P.softmax("z", n_classes))
 
 
 def nested_blend(post: DataFrame, ids, blocks: Mapping[object, str], block_weights: Mapping[str, float], n_classes: int, keep=()) -> DataFrame:
@@ -112,16 +113,16 @@ def sinkhorn(post: DataFrame, key: str, target: DataFrame, n_classes: int, iters
     import math
 
     log_target = [math.log(max(x, P.LOG_FLOOR)) for x in want]
-    base = post.select(key, F.transform(P.safe_log("probs"), lambda x: x / F.lit(float(tau))).alias("_l"))
+    base = post.select(key, F.array(*[x / F.lit(float(tau)) for x in P.log_items("probs", n_classes)]).alias("_l"))
     base = cut_lineage(base) if iters > every else base
     shift = [0.0] * n_classes
     for _ in range(iters):
-        moved = F.zip_with("_l", F.array(*[F.lit(s) for s in shift]), lambda a, b: a + b)
-        row = base.select(P.softmax(moved).alias("_p"))
+        moved = [F.col("_l")[i] + F.lit(s) for i, s in enumerate(shift)]
+        row = base.select(P.softmax(moved, n_classes).alias("_p"))
         mass = row.agg(*[F.sum(F.col("_p")[i]).alias(f"m{i}") for i in range(n_classes)]).first()
         shift = [shift[i] + log_target[i] - math.log(max(mass[i], 1e-300)) for i in range(n_classes)]
-    moved = F.zip_with("_l", F.array(*[F.lit(s) for s in shift]), lambda a, b: a + b)
-    return base.select(key, P.softmax(moved).alias("probs"))
+    moved = [F.col("_l")[i] + F.lit(s) for i, s in enumerate(shift)]
+    return base.select(key, P.softmax(moved, n_classes).alias("probs"))
 
 
 def largest_remainder(shares: DataFrame, total: int | Column, cls: str = "cls", share: str = "q") -> DataFrame:
@@ -139,15 +140,19 @@ def largest_remainder(shares: DataFrame, total: int | Column, cls: str = "cls",
     )
 
 
-def temperature_grid(post: DataFrame, label: str, temps: Sequence[float]) -> DataFrame:
+def temperature_grid(post: DataFrame, label: str, temps: Sequence[float], n_classes: int) -> DataFrame:
     """Mean confidence and accuracy per temperature: one pass, one row per grid point."""
-    hit = (P.argmax("probs", 9) == F.col(label)).cast("double")
-    d = settings(post.withColumn("_hit", hit), [{"temp": float(t)} for t in temps])
-    conf = P.confidence(P.temper("probs", "temp"))
-    return d.groupBy("temp").agg(F.avg(conf).alias("conf"), F.avg("_hit").alias("acc")).withColumn("gap", F.abs(F.col("conf") - F.col("acc")))
+    d = post.select(P.safe_log("probs", n=n_classes).alias("_l"), (P.argmax("probs", 9, n_classes) == F.col(label)).cast("double").alias("_hit"))
+    # confidence at T is 1 / sum exp((l - max l) / T): one plain aggregate per grid point, no rows added
+    top = P.confidence("_l", n_classes)
+    d = d.withColumn("_d", F.array(*[x - top for x in P.items("_l", n_classes)]))
+    conf = [F.expr(f"avg(1D / ({' + '.join(f'exp(_d[{i}] / {float(t)!r}D)' for i in range(n_classes))}))") for t in temps]
+    g = d.agg(F.avg("_hit").alias("acc"), F.array(*[F.struct(F.lit(float(t)).alias("temp"), c.alias("conf")) for t, c in zip(temps, conf)]).alias("_g"))
+    g = g.select("acc", F.explode("_g").alias("_g")).select("_g.temp", "_g.conf", "acc")
+    return g.withColumn("gap", F.abs(F.col("conf") - F.col("acc")))
 
 
-def calibration_temperature(post: DataFrame, label: str, low: float = 0.05, high: float = 25.0, points: int = 33, rounds: int = 3) -> float:
+def calibration_temperature(post: DataFrame, label: str, n_classes: int, low: float = 0.05, high: float = 25.0, points: int = 33, rounds: int = 3) -> float:
     """The temperature in [low, high] at which mean confidence equals accuracy.
 
     Each round is one pass over the data for a whole log-spaced grid, narrowed around the best point.
@@ -158,7 +163,7 @@ def calibration_temperature(post: DataFrame, label: str, low: float = 0.05, high
     for _ in range(rounds):
         ratio = (high / low) ** (1.0 / (points - 1))
         grid = [low * ratio**i for i in range(points)]
-        rows = temperature_grid(post, label, grid).collect()  # one row per grid point
+        rows = temperature_grid(post, label, grid, n_classes).collect()  # one row per grid point
         best = min(rows, key=lambda r: (r["gap"], r["temp"]))["temp"]
         low, high = max(grid[0], best / ratio), min(grid[-1], best * ratio)
         if math.isclose(low, high):
@@ -168,17 +173,18 @@ def calibration_temperature(post: DataFrame, label: str, low: float = 0.05, high
 
 def distillation_target(post: DataFrame, ids, label: str, weights, n_classes: int, prior: DataFrame, prior_weight: float, temperature: float, train_prior_members=()) -> DataFrame:
     """Mean log p of the members that were right (the fused score where none was), tempered."""
-    d = uniform_space(post, prior, train_prior_members)
+    d = uniform_space(post, prior, train_prior_members, n_classes)
     w = literal_map({k: float(x) for k, x in weights.items()})[F.col("member")]
-    d = d.withColumns({"_l": P.safe_log("_adj"), "_w": w, "_ok": P.argmax("probs", 9) == F.col(label)})
+    d = d.withColumns({"_l": P.safe_log("_adj", n=n_classes), "_w": w, "_ok": P.argmax("probs", 9, n_classes) == F.col(label)})
     right = [F.avg(F.when(F.col("_ok"), F.col("_l")[i])) for i in range(n_classes)]
     fused = [F.sum(F.col("_w") * F.col("_l")[i]) for i in range(n_classes)]
     g = d.groupBy(*ids).agg(
         F.first(label).alias(label), F.max(F.col("_ok").cast("int")).alias("any_right"),
         F.array(*[F.coalesce(a, b) for a, b in zip(right, fused)]).alias("_z"),
     )
-    z = F.zip_with("_z", P.safe_log("_q"), lambda a, q: (a + F.lit(float(prior_weight)) * q) / F.lit(float(temperature)))
-    return attach_row(g, prior, "_q").withColumn("target", P.softmax(z)).drop("_z", "_q")
+    lq = P.log_items("_q", n_classes)
+    z = [(F.col("_z")[i] + F.lit(float(prior_weight)) * lq[i]) / F.lit(float(temperature)) for i in range(n_classes)]
+    return attach_row(g, prior, "_q").withColumn("target", P.softmax(z, n_classes)).drop("_z", "_q")
 
 
 def substitute_member(post: DataFrame, absent, n_classes: int) -> DataFrame:
@@ -188,24 +194,32 @@ def substitute_member(post: DataFrame, absent, n_classes: int) -> DataFrame:
     return d.withColumn("probs", F.when(F.col("member") == absent, F.col("_m")).otherwise(F.col("probs"))).drop("_m")
 
 
-def recipe_search(wide: DataFrame, base: str, members: Sequence[str], target: str, weights: Sequence[float], max_members: int = 3) -> DataFrame:
+def recipe_search(wide: DataFrame, base: str, members: Sequence[str], target: str, weights: Sequence[float], n_classes: int, max_members: int = 3) -> DataFrame:
     """Largest |difference| to a target table for base^(1-w) * (geometric mean of k members)^w.
 
-    The grid of member subsets and weights is literal; logs are taken once per row.
+    The grid of member subsets and weights is literal, and every recipe is one maximum.
     """
     from itertools import combinations
 
     combos = [c for k in range(1, max_members + 1) for c in combinations(range(len(members)), k)]
-    grid = [{"combo": "+".join(members[i] for i in c), "use": [1.0 / len(c) if i in c else 0.0 for i in range(len(members))], "w": float(w)} for c in combos for w in weights]
-    logs = wide.withColumns({"_b": P.safe_log(base), **{f"_m{i}": P.safe_log(m) for i, m in enumerate(members)}})
-    rows = F.array(*[F.struct(F.lit(g["combo"]).alias("combo"), F.array(*[F.lit(x) for x in g["use"]]).alias("use"), F.lit(g["w"]).alias("w")) for g in grid])
-    d = logs.withColumn("_g", F.explode(rows))
-    mixed = F.transform(F.col("_b"), lambda x: x * (F.lit(1.0) - F.col("_g.w")))
-    for i in range(len(members)):
-        part = F.col("_g.w") * F.col("_g.use")[i]
-        mixed = F.zip_with(mixed, F.col(f"_m{i}"), lambda a, x: a + part * x)
-    diff = F.array_max(F.zip_with(P.softmax(mixed), F.col(target), lambda a, b: F.abs(a - b)))
-    return d.groupBy(F.col("_g.combo").alias("combo"), F.col("_g.w").alias("w")).agg(F.max(diff).alias("max_delta"))
+    grid = [(c, float(w)) for c in combos for w in weights]
+    logs = wide.select(F.col(target).alias("_t"), P.safe_log(base, n=n_classes).alias("_b"), *[P.safe_log(m, n=n_classes).alias(f"_m{i}") for i, m in enumerate(members)])
+
+    def delta(combo, w):
+        z = [f"({1.0 - w!r}D * _b[{i}] + {w / len(combo)!r}D * ({' + '.join(f'_m{j}[{i}]' for j in combo)}))" for i in range(n_classes)]
+        e = [f"exp({x} - greatest({', '.join(z)}))" for x in z]
+        total = " + ".join(e)
+        return F.expr(f"greatest({', '.join(f'abs({x} / ({total}) - _t[{i}])' for i, x in enumerate(e))})")
+
+    # one maximum per recipe: rows are read once, in slices of the grid that keep generated code small
+    out = None
+    for at in range(0, len(grid), 16):
+        part = grid[at: at + 16]
+        best = logs.agg(*[F.max(delta(c, w)).alias(f"g{i}") for i, (c, w) in enumerate(part)])
+        rows = F.array(*[F.struct(F.lit("+".join(members[j] for j in c)).alias("combo"), F.lit(w).alias("w"), F.col(f"g{i}").alias("max_delta")) for i, (c, w) in enumerate(part)])
+        got = best.select(F.explode(rows).alias("x")).select("x.*")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def centre_groups(vectors: DataFrame, group: str, vec: str, dim: int, train_mean: DataFrame, min_size: int = 5) -> DataFrame:
@@ -224,11 +238,11 @@ def class_residual(vectors: DataFrame, label: str, vec: str, dim: int, n_classes
     ).drop("_mu")
 
 
-def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[int], inside: float, outside: float) -> DataFrame:
+def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[int], inside: float, outside: float, n_classes: int) -> DataFrame:
     """Linear blend whose weight depends on whether either arg-max lies in a class set."""
-    cond = P.argmax(base, 9).isin(list(classes)) | P.argmax(other, 9).isin(list(classes))
+    cond = P.argmax(base, 9, n_classes).isin(list(classes)) | P.argmax(other, 9, n_classes).isin(list(classes))
     d = df.withColumns({"in_set": cond, "_w": F.when(cond, float(inside)).otherwise(float(outside))})
-    return d.withColumn("blended", P.linear_blend(base, other, F.col("_w"))).drop("_w")
+    return d.withColumn("blended", P.linear_blend(base, other, F.col("_w"), n_classes)).drop("_w")
 
 
 def masked_pool(df: DataFrame, keys, present: Column, value: str, tie: Sequence[str], k: int) -> DataFrame:
@@ -247,10 +261,10 @@ def masked_pool(df: DataFrame, keys, present: Column, value: str, tie: Sequence[
     )
 
 
-def expected_accuracy(train: DataFrame, test: DataFrame, label: str, temperature: float, seen: DataFrame) -> DataFrame:
+def expected_accuracy(train: DataFrame, test: DataFrame, label: str, temperature: float, seen: DataFrame, n_classes: int) -> DataFrame:
     """Mean confidence of unlabelled rows under the calibrated temperature, on seen and on new days,
     and whether each lies within the range confidence can take."""
-    conf = P.confidence(P.temper("probs", float(temperature)))
+    conf = P.confidence(P.softmax_items([x / float(temperature) for x in P.log_items("probs", n_classes)]), n_classes)
     tagged = test.join(seen, "day", "left").withColumn("days", F.when(F.col("_seen"), "seen").otherwise("new"))
     g = tagged.groupBy("days").agg(F.avg(conf).alias("expected"))
     return g.select("days", F.col("expected").between(0.2, 1.0).alias("calibrated"))

@@ -42,7 +42,7 @@ def e1(spark, sf):
     "fpred",
 )
 def e2(spark, sf):
-    f = fused(spark, sf).withColumn("pred", P.argmax("z", 9))
+    f = fused(spark, sf).withColumn("pred", P.argmax("z", 9, C))
     return rounded(E.per_key_accuracy(f, ["subject"])).orderBy("acc", "subject")
 
 
@@ -114,7 +114,7 @@ def e6b(spark, sf):
 
 
 def _logits(spark, sf):
-    return v.posteriors_wide(spark, sf).select("sample_id", "subject", "label", *[P.safe_log(f"p{m}").alias(f"l{m}") for m in range(v.MEMBERS)])
+    return v.posteriors_wide(spark, sf).select("sample_id", "subject", "label", *[P.safe_log(f"p{m}", n=C).alias(f"l{m}") for m in range(v.MEMBERS)])
 
 
 _SWEEP_TAIL = """lw as (select sample_id, cls, any_value(label) as label, any_value(subject) as subject, max(case when member = 0 then ln(greatest(p, 1e-12)) end) as l0, max(case when member = 1 then ln(greatest(p, 1e-12)) end) as l1,
@@ -318,7 +318,7 @@ def e18b(spark, sf):
 )
 def e19(spark, sf):
     d = v.posteriors_wide(spark, sf).groupBy("subject").agg(
-        F.round(F.avg(P.confidence("p1")), 9).alias("est"), F.round(F.avg((P.argmax("p1", 9) == F.col("label")).cast("double")), 9).alias("acc")
+        F.round(F.avg(P.confidence("p1", C)), 9).alias("est"), F.round(F.avg((P.argmax("p1", 9, C) == F.col("label")).cast("double")), 9).alias("acc")
     )
     out = E.correlation_report(d, "est", "acc", "subject")
     return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
@@ -381,7 +381,7 @@ def e23(spark, sf):
 )
 def e24(spark, sf):
     r = P.ranked_classes(F.transform("z", lambda x: F.round(x, 9)))
-    t = fused_wide(spark, sf).select("label", r[0].alias("a"), r[1].alias("b"), P.argmax("p0", 9).alias("m"))
+    t = fused_wide(spark, sf).select("label", r[0].alias("a"), r[1].alias("b"), P.argmax("p0", 9, C).alias("m"))
     lab, a, b = F.col("label"), F.col("a"), F.col("b")
     d = t.filter((lab == a) | (lab == b)).withColumn("pick", F.when((F.col("m") == a) | (F.col("m") == b), F.col("m")).otherwise(a))
     flip = F.col("pick") != a

@@ -30,19 +30,19 @@ def fused(spark, sf):
 def fused_wide(spark, sf):
     """The same for members that already sit side by side: no shuffle at all."""
     d = FU.attach_row(v.posteriors_wide(spark, sf), prior(spark, sf), "prior")
-    terms = [F.lit(WEIGHTS[m]) * 1.0 for m in range(v.MEMBERS)]
-    logs = [P.safe_log(f"p{m}") if m != 3 else P.safe_log(F.zip_with("p3", "prior", lambda x, q: x / q)) for m in range(v.MEMBERS)]
-    d = d.withColumns({f"l{m}": logs[m] for m in range(v.MEMBERS)}).withColumn("lq", P.safe_log("prior"))
-    z = F.array(*[P.sum_columns([terms[m] * F.col(f"l{m}")[i] for m in range(v.MEMBERS)]) + F.lit(PRIOR_WEIGHT) * F.col("lq")[i] for i in range(C)])
-    return d.withColumn("z", z).withColumn("probs", P.softmax("z"))
+    q = P.items("prior", C)
+    share = lambda m, i: F.col(f"p{m}")[i] / q[i] if m == 3 else F.col(f"p{m}")[i]
+    log = lambda x: F.log(F.greatest(x, F.lit(P.LOG_FLOOR)))
+    z = [P.sum_columns([F.lit(WEIGHTS[m]) * log(share(m, i)) for m in range(v.MEMBERS)]) + F.lit(PRIOR_WEIGHT) * log(q[i]) for i in range(C)]
+    return d.withColumn("z", F.array(*z)).withColumn("probs", P.softmax("z", C))
 
 
 def scored(spark, sf):
     """One row per sample: fused prediction and every member's prediction."""
     d = fused_wide(spark, sf)
     return d.select(
-        "sample_id", "subject", "label", "t0", "day", P.argmax("z", 9).alias("pred"), P.confidence("probs").alias("conf"),
-        *[P.argmax(f"p{m}", 9).alias(f"pred{m}") for m in range(v.MEMBERS)],
+        "sample_id", "subject", "label", "t0", "day", P.argmax("z", 9, C).alias("pred"), P.confidence("probs", C).alias("conf"),
+        *[P.argmax(f"p{m}", 9, C).alias(f"pred{m}") for m in range(v.MEMBERS)],
     )
 
 
@@ -64,7 +64,7 @@ def f1(spark, sf):
     "post",
 )
 def f2(spark, sf):
-    d = v.posteriors_wide(spark, sf).select("sample_id", F.posexplode(P.geometric_blend("p0", "p1", 0.35)).alias("cls", "p"))
+    d = v.posteriors_wide(spark, sf).select("sample_id", F.posexplode(P.geometric_blend("p0", "p1", 0.35, C)).alias("cls", "p"))
     return d.select("sample_id", "cls", R6("p").alias("p"))
 
 
@@ -219,7 +219,7 @@ def f11(spark, sf):
 )
 def f12(spark, sf):
     d = v.posteriors_wide(spark, sf).select("label", F.col("p0").alias("probs"))
-    g = FU.temperature_grid(d, "label", [0.05 * 500 ** (i / 32) for i in range(33)])
+    g = FU.temperature_grid(d, "label", [0.05 * 500 ** (i / 32) for i in range(33)], C)
     return g.select(*[R6(c).alias(c) for c in ("temp", "conf", "acc", "gap")])
 
 
@@ -227,9 +227,9 @@ def f12(spark, sf):
 def f12b(spark, sf):
     d = v.posteriors_wide(spark, sf).select("sample_id", "label", "day", F.col("p0").alias("probs"))
     train, test = d.filter("sample_id % 4 <> 0"), d.filter("sample_id % 4 = 0")
-    t = FU.calibration_temperature(train, "label")
+    t = FU.calibration_temperature(train, "label", C)
     seen = train.select("day").distinct().withColumn("_seen", F.lit(True))
-    return FU.expected_accuracy(train, test, "label", t, seen)
+    return FU.expected_accuracy(train, test, "label", t, seen, C)
 
 
 @query(
@@ -260,7 +260,7 @@ def f13(spark, sf):
 def f14(spark, sf):
     p = v.posteriors(spark, sf)
     both = FU.substitute_member(p, 1, C)
-    hits = lambda d, w, name: FU.fuse_log_linear(d, ["sample_id"], w, C, keep=["label"]).agg(F.sum((P.argmax("z", 9) == F.col("label")).cast("long")).alias(name))
+    hits = lambda d, w, name: FU.fuse_log_linear(d, ["sample_id"], w, C, keep=["label"]).agg(F.sum((P.argmax("z", 9, C) == F.col("label")).cast("long")).alias(name))
     a = hits(both, WEIGHTS, "hits_constant")
     return a.withColumn("hits_removed", hits(p, {**WEIGHTS, 1: 0.0}, "h").scalar())
 
@@ -279,7 +279,7 @@ def f15(spark, sf):
     d = v.posteriors_wide(spark, sf)
     z = F.zip_with(P.safe_log("p0"), F.zip_with(P.safe_log("p1"), P.safe_log("p2"), lambda a, b: 0.5 * a + 0.5 * b), lambda b, m: 0.6 * b + 0.4 * m)
     d = d.select("sample_id", "p0", "p1", "p2", P.softmax(z).alias("target"))
-    out = FU.recipe_search(d, "p0", ["p1", "p2"], "target", [0.2, 0.3, 0.4, 0.5, 0.6], 2)
+    out = FU.recipe_search(d, "p0", ["p1", "p2"], "target", [0.2, 0.3, 0.4, 0.5, 0.6], C, 2)
     return out.select("combo", F.round("w", 3).alias("w"), R6("max_delta").alias("max_delta"))
 
 
@@ -308,7 +308,7 @@ def f16(spark, sf):
     "post mpred",
 )
 def f17(spark, sf):
-    d = FU.conditioned_blend(v.posteriors_wide(spark, sf), "p0", "p1", [0, 1, 4], 0.6, 0.2)
+    d = FU.conditioned_blend(v.posteriors_wide(spark, sf), "p0", "p1", [0, 1, 4], 0.6, 0.2, C)
     return d.select("sample_id", "in_set", F.posexplode("blended").alias("cls", "p")).select("sample_id", "in_set", "cls", R6("p").alias("p"))
 
 

@@ -62,13 +62,13 @@ def p2(spark, sf):
     "post",
 )
 def p3(spark, sf):
-    z = F.transform(P.safe_log("p1"), lambda x: x * 2.0)
-    return _cells(v.posteriors_wide(spark, sf), P.softmax(z), "sample_id")
+    z = [x * 2.0 for x in P.log_items("p1", C)]
+    return _cells(v.posteriors_wide(spark, sf), P.softmax(z, C), "sample_id")
 
 
 @query("p4_argmax", "select sample_id, member, pred from mpred", "mpred")
 def p4(spark, sf):
-    return v.posteriors(spark, sf).select("sample_id", "member", P.argmax("probs", 9).alias("pred"))
+    return v.posteriors(spark, sf).select("sample_id", "member", P.argmax("probs", 9, C).alias("pred"))
 
 
 @query(
@@ -97,7 +97,7 @@ def p5(spark, sf):
 )
 def p6(spark, sf):
     return v.posteriors(spark, sf).select(
-        "sample_id", "member", R6(P.confidence("probs")).alias("conf"), R6(P.entropy("probs")).alias("entropy")
+        "sample_id", "member", R6(P.confidence("probs", C)).alias("conf"), R6(P.entropy("probs", n=C)).alias("entropy")
     )
 
 
@@ -110,7 +110,7 @@ def p6(spark, sf):
 )
 def p7(spark, sf):
     d = scan.settings(v.posteriors_wide(spark, sf), [{"temp": t} for t in (0.5, 2.0, 5.0)])
-    return _cells(d, P.temper("p2", "temp"), "sample_id", "temp")
+    return _cells(d, P.temper("p2", "temp", C), "sample_id", "temp")
 
 
 @query(
@@ -123,7 +123,7 @@ def p8(spark, sf):
     from strideline.operators.fusion import class_prior
 
     d = v.posteriors_wide(spark, sf).withColumn("prior", class_prior(v.seq(spark, sf), "label", C).scalar())
-    return _cells(d, P.divide_prior("p3", "prior"), "sample_id")
+    return _cells(d, P.divide_prior("p3", "prior", C), "sample_id")
 
 
 @query(

@@ -165,7 +165,7 @@ def q4b(spark, sf):
           union all
           select em.grp, em.pos, em.n, em.cls, used | (1 << em.cls), bm.score + e + 0.5 * tr.s - case when (used & (1 << em.cls)) <> 0 then 2.0 else 0 end, path || chr(97 + em.cls)
           from bm join em on em.grp = bm.grp and em.pos = bm.pos + 1 join tr on tr.prev = bm.last and tr.next = em.cls
-          qualify row_number() over (partition by em.grp, em.cls, used | (1 << em.cls) order by round(bm.score + e + 0.5 * tr.s - case when (used & (1 << em.cls)) <> 0 then 2.0 else 0 end, 9) desc, path) = 1),
+          qualify row_number() over (partition by em.grp order by round(bm.score + e + 0.5 * tr.s - case when (used & (1 << em.cls)) <> 0 then 2.0 else 0 end, 9) desc, path || chr(97 + em.cls)) <= 256),
         fin as (select grp, path from bm where pos = n qualify row_number() over (partition by grp order by round(score, 9) desc, path) = 1)
         select sample_id, (ascii(substr(path, pos::int, 1)) - 97)::int as decoded from ro join fin using (grp)""",
     "seq post",

@@ -77,7 +77,7 @@ def _order_stream(spark, sf):
     )
     year = F.floor(F.col("day") / 365)
     s = s.withColumns({"grp": F.col("subject") * 100 + year, "close_ms": (year + 1) * 365 * v.DAY * 1000})
-    return s.withColumn("probs", v.member_probs(F.lit(0))).select("grp", "sample_id", "ts", "close_ms", "probs")
+    return s.withColumn("probs", v.member_probs(0)).select("grp", "sample_id", "ts", "close_ms", "probs")
 
 
 @query(

@@ -22,15 +22,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores (one small file) over the cores before
+    heavy per-row work; a scan with enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def micros(ts):
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone is."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def seq(spark, sf) -> DataFrame:
+def seq(spark, sf, wide: bool = False) -> DataFrame:
     """Ordered labelled clips: subject = customer, label = order priority (5 classes)."""
-    o = table(spark, sf, "orders")
-    return o.select(
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return (spread(o) if wide else o).select(
         F.col("o_orderkey").alias("sample_id"),
         F.col("o_custkey").alias("subject"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"),
@@ -38,26 +48,26 @@ def seq(spark, sf) -> DataFrame:
     ).withColumn("day", F.floor(F.col("t0") / DAY)).withColumn("year", F.floor(F.col("day") / 365))
 
 
-def member_probs(member):
-    """The posterior of one member for an order: softmax of a fixed arithmetic pattern."""
-    k = F.lit(7) + F.lit(2) * member
-    c_step = F.lit(13) + F.lit(6) * member
-    logit = lambda c: ((F.col("sample_id") * k + c * c_step) % 101) / F.lit(25.0) + F.when(
-        c == F.col("label"), F.lit(1.5)
-    ).otherwise(F.lit(0.0))
-    e = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda c: F.exp(logit(c)))
-    return P.normalise(e)
+def member_probs(member: str | int):
+    """The posterior of one member (a number, or the column that holds it): softmax of a fixed pattern."""
+    e = [
+        f"exp(((sample_id * (7 + 2 * {member}) + {c} * (13 + 6 * {member})) % 101) / 25D + if(label = {c}, 1.5D, 0D))"
+        for c in range(N_CLASSES)
+    ]
+    total = " + ".join(e)
+    # the slice keeps the array one value: without it every use of an entry would repeat the arithmetic
+    return F.expr("slice(array(" + ", ".join(f"{x} / ({total})" for x in e) + f"), 1, {N_CLASSES})")
 
 
 def posteriors(spark, sf) -> DataFrame:
     """Array form, one row per (sample, member)."""
-    s = seq(spark, sf).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
-    return s.withColumn("probs", member_probs(F.col("member")))
+    s = seq(spark, sf, True).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
+    return s.withColumn("probs", member_probs("member"))
 
 
 def posteriors_wide(spark, sf) -> DataFrame:
     """One row per sample with the member posteriors side by side (p0, p1, ...)."""
-    return seq(spark, sf).withColumns({f"p{m}": member_probs(F.lit(m)) for m in range(MEMBERS)})
+    return seq(spark, sf, True).withColumns({f"p{m}": member_probs(m) for m in range(MEMBERS)})
 
 
 def posteriors_long(spark, sf) -> DataFrame:
