@@ -100,7 +100,7 @@ def merge_weights(weights: DataFrame, moves: DataFrame, dropped: DataFrame) -> D
     return merged.select("tag", "fold", (F.col("weight") / total).alias("weight"))
 
 
-def sinkhorn(post: DataFrame, key: str, target: DataFrame, n_classes: int, iters: int, tau: float = 1.0, every: int = 5) -> DataFrame:
+def sinkhorn(post: DataFrame, key: str, target: DataFrame, n_classes: int, iters: int, tau: float = 1.0) -> DataFrame:
     """Alternate row and column scaling in log space so that class masses approach `target` counts.
 
     Only the class potentials (C numbers) change between rounds: each round is one pass over the
@@ -114,7 +114,7 @@ def sinkhorn(post: DataFrame, key: str, target: DataFrame, n_classes: int, iters
 
     log_target = [math.log(max(x, P.LOG_FLOOR)) for x in want]
     base = post.select(key, F.array(*[x / F.lit(float(tau)) for x in P.log_items("probs", n_classes)]).alias("_l"))
-    base = cut_lineage(base) if iters > every else base
+    base = cut_lineage(base)
     shift = [0.0] * n_classes
     for _ in range(iters):
         moved = [F.col("_l")[i] + F.lit(s) for i, s in enumerate(shift)]
@@ -238,11 +238,11 @@ def class_residual(vectors: DataFrame, label: str, vec: str, dim: int, n_classes
     ).drop("_mu")
 
 
-def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[int], inside: float, outside: float, n_classes: int) -> DataFrame:
+def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[int], inside: float, outside: float) -> DataFrame:
     """Linear blend whose weight depends on whether either arg-max lies in a class set."""
-    cond = P.argmax(base, 9, n_classes).isin(list(classes)) | P.argmax(other, 9, n_classes).isin(list(classes))
+    cond = P.argmax(base, 9).isin(list(classes)) | P.argmax(other, 9).isin(list(classes))
     d = df.withColumns({"in_set": cond, "_w": F.when(cond, float(inside)).otherwise(float(outside))})
-    return d.withColumn("blended", P.linear_blend(base, other, F.col("_w"), n_classes)).drop("_w")
+    return d.withColumn("blended", P.linear_blend(base, other, F.col("_w"))).drop("_w")
 
 
 def masked_pool(df: DataFrame, keys, present: Column, value: str, tie: Sequence[str], k: int) -> DataFrame:

@@ -55,8 +55,7 @@ def member_probs(member: str | int):
         for c in range(N_CLASSES)
     ]
     total = " + ".join(e)
-    # the slice keeps the array one value: without it every use of an entry would repeat the arithmetic
-    return F.expr("slice(array(" + ", ".join(f"{x} / ({total})" for x in e) + f"), 1, {N_CLASSES})")
+    return F.expr("array(" + ", ".join(f"{x} / ({total})" for x in e) + ")")
 
 
 def posteriors(spark, sf) -> DataFrame:
