@@ -62,14 +62,14 @@ def _long_features(rows, keys, order, value, seg, longest) -> DataFrame:
     )
     amp = long_spectrum(indexed, keys, longest)
     bins = F.floor(F.col("n_samples") / 2) + 1
-    kept = amp.filter(F.col("k") < bins)
-    low = F.sum(F.when(F.col("k") < F.greatest(F.lit(1), F.floor(bins / 4)), F.col("amp")).otherwise(0.0))
-    peak = F.max(F.when(F.col("k") > 0, F.struct(F.round("amp", 6).alias("a"), (-F.col("k")).alias("k"))))["k"]
+    kept = amp.filter(F.col("_bin") < bins)
+    low = F.sum(F.when(F.col("_bin") < F.greatest(F.lit(1), F.floor(bins / 4)), F.col("amp")).otherwise(0.0))
+    peak = F.max(F.when(F.col("_bin") > 0, F.struct(F.round("amp", 6).alias("a"), (-F.col("_bin")).alias("b"))))["b"]
     return kept.groupBy(*keys, "n_samples").agg((low / (F.sum("amp") + QUIET)).alias("low_share"), (-peak).cast("long").alias("peak_bin"))
 
 
 def long_spectrum(indexed: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """(keys, n_samples, k, amp) of series given as (keys, n_samples, i, re, im)."""
+    """(keys, n_samples, _bin, amp) of series given as (keys, n_samples, i, re, im)."""
     m = 1 << math.ceil(math.log2(2 * longest - 1))
     n, i = F.col("n_samples"), F.col("i")
     # chirp angle pi * i^2 / n, reduced exactly before it becomes a double
@@ -86,7 +86,7 @@ def long_spectrum(indexed: DataFrame, keys: list[str], longest: int) -> DataFram
         (-(F.col("ar") * F.col("bi") + F.col("ai") * F.col("br"))).alias("im"),
     )
     conv = _split_fft(prod, keys, m)  # conjugated input: the inverse up to conjugation and 1/m
-    return conv.select(*keys, "n_samples", i.alias("k"), (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / float(m)).alias("amp"))
+    return conv.select(*keys, "n_samples", i.alias("_bin"), (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / float(m)).alias("amp"))
 
 
 def _split_fft(df: DataFrame, keys: list[str], m: int) -> DataFrame:
