@@ -1,3 +1,8 @@
-"""Sensor time series, class-probability fusion and grouped evaluation on PySpark."""
+"""Sensor series, posterior fusion, sequence decoding and grouped evaluation on Spark DataFrames."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel by value, so that workers need not have this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
