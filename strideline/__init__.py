@@ -6,3 +6,5 @@ from pyspark import cloudpickle
 
 # functions that run in Python workers travel by value, so that workers need not have this package on their path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__version__ = "0.2.0"
