@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import mixing, warc
+from strideline.llm import mixing, packing, substring, token_file, warc
 from strideline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -23,6 +25,21 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op4_token_file")
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_round_trip(table(spark, sf_dir, "documents"), VOCABULARY, end_id=1)
+
+
+@query("op5_substring_dedup", substring.SQL)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_pack_windows")
+def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
+
+
 @query("op7_warc_revisits", warc.SQL)
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
