@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import mixing, packing, setjoin, substring, token_file, warc
+from strideline.llm import classifier, mixing, outliers, packing, setjoin, substring, token_file, warc
 from strideline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join", setjoin.SQL)
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_verdicts(table(spark, sf_dir, "documents"))
