@@ -1,17 +1,19 @@
 """Removal of word sequences that an earlier document already has, by seed and extend.
 
 1. Seeds. Of every `length`-word window the least hash among its `seed`-word runs is its anchor (winnowing). Equal
-   windows have equal anchors, and neighbouring windows mostly share theirs, so there are few anchors per document.
-   Anchors are joined over documents; only those that two documents have are seeds.
-2. Extension. Around each seed, in both directions, every window that the seed anchors is a candidate match. It is
-   compared with all others by 96 bits of hash of its whole word sequence, pre-aggregated to the smallest doc_id.
-3. Matched windows that overlap or touch are merged to maximal repeats, and their words are removed.
+   windows have equal anchors, and neighbouring windows mostly share theirs: a document is a row of *stretches*, the
+   widest runs of windows with one anchor. Anchors are joined over documents; those that two documents have are seeds.
+2. Extension. Around a seed the match is extended both ways. Where the whole stretch is equal to one of an earlier
+   document, it is a repeat as a whole. Only anchors that stand in different stretches are looked at window by window,
+   and there only the first document of each stretch: it has every window that later ones have.
+3. Repeats that overlap or touch are merged to maximal repeats, and their words are removed.
 
-No pair of documents is ever formed: a passage that n documents share costs n rows. Windows are judged on the
-input, not on what is left, so the result does not depend on order.
+No pair of documents is ever formed: a passage that n documents share costs n rows, combined before the shuffle.
+Sequences are compared by 128 bits of hash (anchor and stretch) or 160 (anchor and window).
 
 A row is known by (doc_id, hash of its text). A NULL or empty text has no words. A NULL doc_id counts as smaller
 than any other. Rows that repeat a doc_id are never earlier than each other. Other columns are kept or ignored.
+Windows are judged on the input, not on what is left, so the result does not depend on order.
 """
 
 from __future__ import annotations
@@ -21,15 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.llm.common import split_words, text_of
+from strideline.llm.common import split_words, stored, text_of
 from strideline.llm.tokens import batches_of
 
 NO_ID = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-ANCHORS = pa.schema([("doc", pa.int64()), ("text_hash", pa.int32()), ("anchor", pa.int64())])
-WINDOWS = pa.schema([("doc", pa.int64()), ("text_hash", pa.int32()), ("w1", pa.int64()), ("w2", pa.int32()), ("start", pa.int32())])
+STRETCHES = "anchor long, stretch long, doc long, text_hash int, start int, windows int"
+WINDOWS = "anchor long, w1 long, w2 int, doc long, text_hash int, start int"
+KINDS = {"long": pa.int64(), "int": pa.int32()}
+
+
+def _schema(text: str) -> pa.Schema:
+    return pa.schema([(n, KINDS[t]) for n, t in (c.split() for c in text.split(", "))])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -38,16 +46,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def rolling(words: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of all runs of `size` words, by prefix sums."""
-    n = len(words)
-    powers = np.ones(n + 1, np.uint64)
-    powers[1:] = np.multiply.accumulate(np.full(n, base, np.uint64))
-    back = np.ones(n, np.uint64)
-    back[1:] = np.multiply.accumulate(np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)) if n > 1 else 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * back, out=sums[1:])
-    return mix64((sums[size:] - sums[:-size]) * powers[: n - size + 1])
+class Sequence:
+    """Polynomial hashes modulo 2**64 of any runs of a row of words, by prefix sums."""
+
+    def __init__(self, words: np.ndarray, base: int):
+        n = len(words)
+        self.powers = np.ones(n + 1, np.uint64)
+        self.powers[1:] = np.multiply.accumulate(np.full(n, base, np.uint64))
+        back = np.ones(n + 1, np.uint64)
+        back[1:] = np.multiply.accumulate(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * back[:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        return mix64((self.sums[start + size] - self.sums[start]) * self.powers[start])
+
+    def all(self, size: int) -> np.ndarray:
+        return mix64((self.sums[size:] - self.sums[:-size]) * self.powers[: len(self.sums) - size])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,72 +91,92 @@ def _windows(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - first[owner] + at[:-1][owner], owner
 
 
-def word_hashes(docs: DataFrame) -> DataFrame:
-    words = F.transform(split_words(text_of()), lambda w: F.xxhash64(w))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text_of()).alias("text_hash"), words.alias("words"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """`doc, text_hash, text`: none of them NULL. Dealt by key once; joins on the key share that shuffle."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text_of()).alias("text_hash"), text_of().alias("text"))
+    return d.repartition(parts, "doc", "text_hash")
+
 
+def _hashed(words_of: DataFrame, *others: str) -> DataFrame:
+    return words_of.select("doc", "text_hash", *others, F.transform(split_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
-def shared_anchors(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
-    """Seeds per document, `doc, text_hash, seeds`: the anchors it shares with another document."""
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stretches(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
+    """All stretches of all documents: `anchor, stretch, doc, text_hash, start, windows`."""
+    schema = _schema(STRETCHES)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in batches_of(big):
                 doc, text, words, at = _columns(b)
                 if len(words) < length:
                     continue
                 start, owner = _windows(at, length)
-                least = sliding_min(rolling(words, seed, BASES[0]), length - seed + 1)[start]
+                seq = Sequence(words, BASES[0])
+                least = sliding_min(seq.all(seed), length - seed + 1)[start]
                 new = np.ones(len(start), bool)
                 new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-                pairs = np.unique(np.stack([owner[new].astype(np.uint64), least[new]], axis=1), axis=0) if new.any() else np.zeros((0, 2), np.uint64)
-                own = pairs[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(text[own], pa.int32()), pa.array(pairs[:, 1].view(np.int64).copy())], schema=ANCHORS)
+                head = np.flatnonzero(new)
+                n = np.diff(np.append(head, len(start)))
+                whole = seq.of(start[head], n - 1 + length) ^ mix64(n.astype(np.uint64))
+                own = owner[head]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, f.type) for x, f in zip((least[head].view(np.int64), whole.view(np.int64), doc[own], text[own], start[head] - at[:-1][own], n), schema)], schema=schema
+                )
 
-    found = word_hashes(docs).mapInArrow(anchors, "doc long, text_hash int, anchor long")
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).filter("_a < _z").select("anchor")
-    return found.join(shared, "anchor").groupBy("doc", "text_hash").agg(F.collect_set("anchor").alias("seeds"))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text_of()).alias("text_hash"), text_of().alias("text"))
+    return _hashed(d).mapInArrow(rows, STRETCHES)
 
 
-def anchored_windows(docs: DataFrame, seeds: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
-    """All windows that a seed anchors: `doc, text_hash, w1, w2, start`."""
+def anchored_windows(places: DataFrame, texts: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
+    """The windows of `places` (doc, text_hash, start, windows): `anchor, w1, w2, doc, text_hash, start`."""
+    schema = _schema(WINDOWS)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in batches_of(big):
                 doc, text, words, at = _columns(b)
-                if len(words) < length:
-                    continue
-                start, owner = _windows(at, length)
-                least = sliding_min(rolling(words, seed, BASES[0]), length - seed + 1)[start]
-                lists = b.column("seeds")
+                lists = b.column("places")
                 cut = lists.offsets.to_numpy()
-                held = lists.values.to_numpy(zero_copy_only=False)[int(cut[0]) : int(cut[-1])].view(np.uint64)
-                pick = np.zeros(len(start), bool)
-                edge = np.searchsorted(owner, np.arange(len(doc) + 1))
-                for k in range(len(doc)):
-                    own = slice(edge[k], edge[k + 1])
-                    pick[own] = np.isin(least[own], held[cut[k] - cut[0] : cut[k + 1] - cut[0]])
-                start, owner = start[pick], owner[pick]
-                w1 = rolling(words, length, BASES[0])[start].view(np.int64)
-                w2 = (rolling(words, length, BASES[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                row = [pa.array(doc[owner]), pa.array(text[owner], pa.int32()), pa.array(w1), pa.array(w2), pa.array((start - at[:-1][owner]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(row, schema=WINDOWS)
-
-    d = word_hashes(docs).join(seeds, ["doc", "text_hash"])
-    return d.mapInArrow(windows, "doc long, text_hash int, w1 long, w2 int, start int")
+                flat = lists.values.slice(int(cut[0]), int(cut[-1] - cut[0]))
+                first, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "windows"))
+                own = np.repeat(np.arange(len(doc)), np.diff(cut))
+                each = np.repeat(np.arange(len(n)), n)
+                start = first[each] + np.arange(len(each)) - np.concatenate([[0], np.cumsum(n)])[:-1][each]
+                owner = own[each]
+                place = start + at[:-1][owner]
+                one, two = Sequence(words, BASES[0]), Sequence(words, BASES[1])
+                anchor = sliding_min(one.all(seed), length - seed + 1)[place].view(np.int64)
+                w1 = one.of(place, length).view(np.int64)
+                w2 = (two.of(place, length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((anchor, w1, w2, doc[owner], text[owner], start), schema)], schema=schema)
+
+    lists = places.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("places"))
+    return _hashed(texts.join(lists, ["doc", "text_hash"]), "places").mapInArrow(rows, WINDOWS)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
     """Maximal repeats of each document that has some: `doc, text_hash, begins, ends` (word positions, ends exclusive)."""
-    windows = anchored_windows(docs, shared_anchors(docs, length, seed), length, seed)
-    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).filter("_first < _last").drop("_last")
-    hits = windows.join(first, ["w1", "w2"]).filter("doc > _first")
-    starts = hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("start")).alias("s"))
-    s = F.col("s")
-    begins = F.filter(s, lambda x, i: (i == 0) | (x > F.get(s, i - 1) + length))
-    lasts = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) > x + length))
-    return starts.select("doc", "text_hash", begins.alias("begins"), F.transform(lasts, lambda x: x + length).alias("ends"))
+    every = stretches(docs, length, seed)
+    kinds = every.groupBy("anchor", "stretch").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"))
+    anchors = kinds.groupBy("anchor").agg(F.min("first").alias("_lo"), F.max("_last").alias("_hi"), (F.min("stretch") < F.max("stretch")).alias("varied")).filter("_lo < _hi")
+    seeds = kinds.join(anchors.select("anchor", "varied"), "anchor").filter("varied or first < _last").select("anchor", "stretch", "first", "varied")
+    found = stored(every.join(seeds, ["anchor", "stretch"]).select("doc", "text_hash", "start", "windows", (F.col("doc") > F.col("first")).alias("repeat"), "varied"), "seeds")
+
+    wide = found.filter("repeat").select("doc", "text_hash", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
+    windows = anchored_windows(found.filter("not repeat and varied").select("doc", "text_hash", "start", "windows"), keyed(docs), length, seed)
+    key = ["anchor", "w1", "w2"]
+    first = windows.groupBy(*key).agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).filter("_first < _last").drop("_last")
+    narrow = windows.join(first, key).filter("doc > _first").select("doc", "text_hash", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+
+    inside = W.partitionBy("doc", "text_hash").orderBy("begin", "end")
+    reach = F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    spans = wide.unionByName(narrow).withColumn("_new", F.when(reach >= F.col("begin"), 0).otherwise(1))
+    spans = spans.withColumn("_k", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    merged = spans.groupBy("doc", "text_hash", "_k").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    both = merged.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s"))
+    return both.select("doc", "text_hash", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
 
 
 def kept_words(words: Column, begins: Column, ends: Column) -> Column:
@@ -152,21 +187,26 @@ def kept_words(words: Column, begins: Column, ends: Column) -> Column:
     return F.when(begins.isNull(), words).otherwise(F.flatten(gaps))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
-    """`docs` with `_n_words`, `_n_removed` and `_kept`, the kept words joined by one space."""
-    spans = repeated_spans(docs, length, seed).withColumnsRenamed({"doc": "_doc", "text_hash": "_text_hash", "begins": "_begins", "ends": "_ends"})
-    d = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": F.hash(text_of())})
-    d = d.join(spans, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_text_hash")), "left")
-    d = d.withColumn("_words", split_words(text_of()))
-    d = d.withColumn("_left", kept_words(F.col("_words"), F.col("_begins"), F.col("_ends")))
-    d = d.withColumns({"_n_words": F.size("_words").cast("long"), "_n_removed": (F.size("_words") - F.size("_left")).cast("long"), "_kept": F.array_join("_left", " ")})
-    return d.select(*docs.columns, "_n_words", "_n_removed", "_kept")
-
-
 def remove_repeated_passages(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
-    """`doc_id, n_words, n_removed, kept_sha256, kept_text` of every row."""
-    d = remove_repeats(docs.select("doc_id", "text"), length, seed)
-    return d.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"), F.col("_kept").alias("kept_text"))
+    """`doc_id, n_words, n_removed, kept_sha256, kept_text` of every row; the kept words are joined by one space."""
+    d = keyed(docs).join(repeated_spans(docs, length, seed), ["doc", "text_hash"], "left").withColumn("_words", split_words(F.col("text")))
+    d = d.withColumn("_left", kept_words(F.col("_words"), F.col("begins"), F.col("ends")))
+    d = d.withColumns({"n_words": F.size("_words").cast("long"), "n_removed": (F.size("_words") - F.size("_left")).cast("long"), "kept_text": F.array_join("_left", " ")})
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    return d.select(doc_id.alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
+
+
+def deduplicated_documents(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
+    """`docs` with its own columns, where repeats are cut out of `text` and the kept words joined by one space. Texts
+    without a repeat stay as they are; `n_chars`, where there is one, counts the new text."""
+    spans = repeated_spans(docs, length, seed).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "begins": "_begins", "ends": "_ends"})
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    d = docs.join(spans, key, "left")
+    cut = F.array_join(kept_words(split_words(text_of()), F.col("_begins"), F.col("_ends")), " ")
+    d = d.withColumn("text", F.when(F.col("_begins").isNull(), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.char_length("text").cast("long"))
+    return d.select(*docs.columns)
 
 
 SQL = r"""
