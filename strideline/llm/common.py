@@ -37,13 +37,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grams(words: Column, size: int, at_least_one: bool = True) -> Column:
-    """64-bit hashes of all runs of `size` words; a shorter sequence counts as one run unless told otherwise."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
-    none = F.array().cast("array<bigint>")
-    whole = F.when(n == 0, none).otherwise(F.array(F.xxhash64(words))) if at_least_one else none
-    return F.when(n >= size, runs).otherwise(whole)
+def grams(words: Column, size: int, short: bool = True) -> Column:
+    """64-bit hashes of all runs of `size` words; with `short`, a shorter sequence that isn't empty counts as one run."""
+
+    def hashed(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+        none = F.array().cast("array<bigint>")
+        rest = F.when(n == 0, none).otherwise(F.array(F.xxhash64(w))) if short else none
+        return F.when(n >= size, runs).otherwise(rest)
+
+    # bound once: the optimizer may move `words` itself into the function that runs once a word
+    return let(words, hashed)
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
