@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import stored
+from strideline.llm.common import stored, text_of
 from strideline.llm.textstats import with_stats
 
 SHRINKAGE = 0.2
@@ -97,6 +97,20 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
 
 
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`doc_id, text_hash, held_out, score, predicted` of every row of `docs`."""
+    d = with_stats(docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64(text_of()))).drop("text")
+    d = stored(d.select("doc_id", "text_hash", *[value().alias(f"f{i}") for i, value in enumerate(FEATURES.values())]), "features")
+    held = fold(F.col("doc_id")) == HELD_OUT
+    model = fit(d.filter(~held).join(labels.select("doc_id", "quality").dropna(), "doc_id"))
+    if model is None:
+        score = F.lit(1.0)
+    else:
+        score = F.lit(1.0) / (1 + F.exp(-model.log_odds([F.col(f"f{i}") for i in range(len(FEATURES))]) / TEMPERATURE))
+    d = d.select("doc_id", "text_hash", held.alias("held_out"), score.alias("score"))
+    return d.withColumn("predicted", F.when(F.col("score") >= ACCEPT, 1).otherwise(0))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, held_out, score, predicted` of every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -104,12 +118,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     NULL text is scored by its zero statistics. Repeated rows get equal scores. Without labelled rows of both
     classes nothing can be told apart and every score is 1. An empty table gives no rows.
     """
-    d = with_stats(docs.select("doc_id", "text")).drop("text")
-    d = stored(d.select("doc_id", *[value().alias(f"f{i}") for i, value in enumerate(FEATURES.values())]), "features")
-    held = fold(F.col("doc_id")) == HELD_OUT
-    model = fit(d.filter(~held).join(labels.select("doc_id", "quality").dropna(), "doc_id"))
-    if model is None:
-        score = F.lit(1.0)
-    else:
-        score = F.lit(1.0) / (1 + F.exp(-model.log_odds([F.col(f"f{i}") for i in range(len(FEATURES))]) / TEMPERATURE))
-    return d.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= ACCEPT, 1).otherwise(0))
+    return scored(docs, labels).drop("text_hash")
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is at least `ACCEPT`."""
+    good = scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    return docs.join(good, same, "left_semi")

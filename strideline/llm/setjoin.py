@@ -315,6 +315,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its component. Documents without
+    words stay; of rows with a NULL doc_id those stay that no known id links to."""
+    named = jaccard_components(docs, size, percent)
+    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+
+
 SQL = r"""
 with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
 s as (select distinct doc_id, case when len(w) >= 3 then unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i : i + 2], ' '))) else array_to_string(w, ' ') end as g from w where len(w) > 0),
