@@ -124,5 +124,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose score is at least `ACCEPT`."""
     good = scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    same = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == good["_hash"])
     return docs.join(good, same, "left_semi")

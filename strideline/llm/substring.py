@@ -46,7 +46,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Sequence:
+class WordRuns:
     """Polynomial hashes modulo 2**64 of any runs of a row of words, by prefix sums."""
 
     def __init__(self, words: np.ndarray, base: int):
@@ -113,7 +113,7 @@ def stretches(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
                 if len(words) < length:
                     continue
                 start, owner = _windows(at, length)
-                seq = Sequence(words, BASES[0])
+                seq = WordRuns(words, BASES[0])
                 least = sliding_min(seq.all(seed), length - seed + 1)[start]
                 new = np.ones(len(start), bool)
                 new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
@@ -146,7 +146,7 @@ def anchored_windows(places: DataFrame, texts: DataFrame, length: int = 50, seed
                 start = first[each] + np.arange(len(each)) - np.concatenate([[0], np.cumsum(n)])[:-1][each]
                 owner = own[each]
                 place = start + at[:-1][owner]
-                one, two = Sequence(words, BASES[0]), Sequence(words, BASES[1])
+                one, two = WordRuns(words, BASES[0]), WordRuns(words, BASES[1])
                 anchor = sliding_min(one.all(seed), length - seed + 1)[place].view(np.int64)
                 w1 = one.of(place, length).view(np.int64)
                 w2 = (two.of(place, length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -199,14 +199,14 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50, seed: int = 12)
 def deduplicated_documents(docs: DataFrame, length: int = 50, seed: int = 12) -> DataFrame:
     """`docs` with its own columns, where repeats are cut out of `text` and the kept words joined by one space. Texts
     without a repeat stay as they are; `n_chars`, where there is one, counts the new text."""
-    spans = repeated_spans(docs, length, seed).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "begins": "_begins", "ends": "_ends"})
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    d = docs.join(spans, key, "left")
-    cut = F.array_join(kept_words(split_words(text_of()), F.col("_begins"), F.col("_ends")), " ")
-    d = d.withColumn("text", F.when(F.col("_begins").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.char_length("text").cast("long"))
-    return d.select(*docs.columns)
+    spans = repeated_spans(docs, length, seed)
+    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text_of()).alias("text_hash"))
+    text = F.col("row.text")
+    cut = F.array_join(kept_words(split_words(F.coalesce(text, F.lit(""))), F.col("begins"), F.col("ends")), " ")
+    d = row.join(spans, ["doc", "text_hash"], "left").withColumn("new", F.when(F.col("begins").isNull(), text).otherwise(cut))
+    changed = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
+    d = d.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
+    return d
 
 
 SQL = r"""
