@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
@@ -52,29 +53,38 @@ def _min_cost_rows(cost: np.ndarray) -> np.ndarray:
 
 
 def group_distinct_assignment(df: DataFrame, group: str, sample: str, probs: str, n_classes: int, eps: float = 1e-9, digits: int | None = None) -> DataFrame:
-    """Every clip of a recording gets a different class at least total -log p.
+    """Clips of a recording get different classes at least total -log p; with more clips than classes, every class goes
+    to one clip and the others keep their arg-max. A recording of one clip keeps its arg-max.
 
-    Only groups of 2..C clips can have distinct classes, so at most C x C numbers of one group are
-    ever together; all other rows keep their arg-max. Group sizes are counted map-side first.
+    A least-cost choice for C classes needs only each class's C cheapest clips, so at most C x C clips of a group
+    are ever together. `solved` marks the clips whose class the choice has set.
     """
-    size = df.groupBy(group).agg(F.count("*").alias("_n"))
-    d = df.join(size, group)
-    solvable = F.col("_n").between(2, n_classes)
-    rest = d.filter(~solvable).select(group, sample, probs, P.argmax(probs, digits).alias("assigned"), F.lit(False).alias("solved"))
-    packed = d.filter(solvable).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(sample, probs))).alias("rows"))
+    size = df.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1")
+    cost = F.transform(probs, lambda p: F.round(-F.log(p + eps), 12))
+    each = df.join(size, group).select(group, sample, F.posexplode(cost).alias("_c", "_cost"))
+    near = W.partitionBy(group, "_c").orderBy("_cost", sample)
+    kept = each.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= n_classes).select(group, sample).distinct()
+    packed = df.join(kept, [group, sample], "left_semi").groupBy(group).agg(F.sort_array(F.collect_list(F.struct(sample, probs))).alias("rows"))
     packed = packed.select(group, F.transform("rows", lambda r: r[sample]).alias("ids"), F.flatten(F.transform("rows", lambda r: r[probs])).alias("flat"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            picks = [_min_cost_rows(-np.log(np.asarray(f).reshape(-1, n_classes) + eps)).tolist() for f in pdf["flat"]]
-            yield pd.DataFrame({group: pdf[group], "ids": pdf["ids"], "flat": pdf["flat"], "picks": picks})
-
-    schema = f"{group} {dict(df.dtypes)[group]}, ids array<{dict(df.dtypes)[sample]}>, flat array<double>, picks array<int>"
-    solved = packed.mapInPandas(solve, schema).select(group, F.posexplode("ids").alias("i", sample), "flat", "picks")
-    solved = solved.select(
-        group, sample, F.slice("flat", F.col("i") * n_classes + 1, F.lit(n_classes)).alias(probs), F.col("picks")[F.col("i")].alias("assigned"), F.lit(True).alias("solved")
-    )
-    return rest.unionByName(solved)
+            picks = []
+            for f in pdf["flat"]:
+                table = -np.log(np.asarray(f).reshape(-1, n_classes) + eps)
+                if len(table) <= n_classes:
+                    picks.append(_min_cost_rows(table).tolist())
+                else:
+                    pick = np.full(len(table), -1)
+                    pick[_min_cost_rows(table.T)] = np.arange(n_classes)
+                    picks.append(pick.tolist())
+            yield pd.DataFrame({group: pdf[group], "ids": pdf["ids"], "picks": picks})
+
+    kinds = dict(df.dtypes)
+    solved = packed.mapInPandas(solve, f"{group} {kinds[group]}, ids array<{kinds[sample]}>, picks array<int>")
+    solved = solved.select(group, F.explode(F.arrays_zip("ids", "picks")).alias("_z")).select(group, F.col("_z.ids").alias(sample), F.col("_z.picks").alias("_pick")).filter("_pick >= 0")
+    d = df.select(group, sample, probs).join(solved, [group, sample], "left")
+    return d.select(group, sample, probs, F.coalesce("_pick", P.argmax(probs, digits)).alias("assigned"), F.col("_pick").isNotNull().alias("solved"))
 
 
 def capacity_assignment(df: DataFrame, sample: str, probs: str, targets: DataFrame, n_classes: int, tolerance: float = 1e-3, max_rounds: int = 400) -> DataFrame:

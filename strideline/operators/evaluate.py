@@ -156,7 +156,7 @@ def confusion_clusters(conf: DataFrame, min_pair: int, min_support: int, max_siz
     return e.groupBy(F.lit(0).alias("_g")).applyInPandas(merge, "cls int, cluster int")
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node id reachable. Stars shrink each round (large star, then
     small star), so rounds grow with the logarithm of the diameter; each round is cut by a checkpoint."""
     from strideline.session import cut_lineage
@@ -165,7 +165,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50)
     nodes = e.select("u").union(e.select("v")).distinct()
     cur = cut_lineage(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u points at the least of u's neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -38,7 +38,7 @@ def largest_gap_blocks(subjects: Sequence[int]) -> list[list[int]]:
     return [ids[:cut], ids[cut:]]
 
 
-def balanced_folds(rows: DataFrame, subject: str, label: str, n_classes: int, n_folds: int, max_passes: int = 20) -> DataFrame:
+def balanced_folds(rows: DataFrame, subject: str, label: str, n_classes: int, n_folds: int) -> DataFrame:
     """(subject, fold) that maximises the sorted class coverage of the folds, then sample balance, then
     class balance, with each id block spread evenly over the folds.
 
@@ -95,7 +95,7 @@ def balanced_folds(rows: DataFrame, subject: str, label: str, n_classes: int, n_
 
     dealt = [None, None]
     state = [zero, zero]
-    for _ in range(max_passes):
+    while True:  # the key of the standing dealing grows with every pass that changes it
         before = list(dealt)
         for b in (0, 1):
             dealt[b] = list(best(b, state[1 - b])["a"])

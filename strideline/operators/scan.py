@@ -31,6 +31,28 @@ def settings(df: DataFrame, rows: Sequence[Mapping], name: str = "setting") -> D
     return df.withColumn(name, F.explode(grid)).select("*", *[F.col(name)[k].alias(k) for k in keys]).drop(name)
 
 
+NO_SEGMENT = -(1 << 62)
+
+
+def null_free(df: DataFrame, keys: Sequence[str], seg: str | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """Columns that stand for the keys and the segment but are never NULL, so that rows can be windowed by them and
+    joined back on them with plain equality: NULL keys form a key of their own, a NULL segment comes first.
+
+    Returns the rows with the columns, their names without the segment, and with it.
+    """
+    kinds, out, mask = dict(df.dtypes), {}, F.lit(0)
+    for j, c in enumerate(keys):
+        empty = "" if kinds[c] == "string" else "1970-01-01" if kinds[c].startswith(("date", "timestamp")) else 0
+        out[f"_k{j}"] = F.coalesce(F.col(c), F.lit(empty).cast(kinds[c]))
+        mask = mask + F.when(F.col(c).isNull(), 1 << j).otherwise(0)
+    out["_nul"] = mask
+    names = list(out)
+    if seg is None:
+        return df.withColumns(out), names, names
+    out["_s"] = F.coalesce(F.col(seg).cast("long"), F.lit(NO_SEGMENT))
+    return df.withColumns(out), names, [*names, "_s"]
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,22 +71,24 @@ def ordered_scan(
     keys, order, sums = list(keys), list(order), dict(sums or {})
     if row:
         sums[row] = F.lit(1)
-    part = keys + ([seg] if seg else [])
-    local = W.partitionBy(*part).orderBy(*order)
-    upto = local.rowsBetween(W.unboundedPreceding, 0)
     if seg is None:
+        local = W.partitionBy(*keys).orderBy(*order)
+        upto = local.rowsBetween(W.unboundedPreceding, 0)
         out = {f"prev_{c}": F.lag(c).over(local) for c in prev}
         out |= {f"next_{c}": F.lead(c).over(local) for c in next}
         out |= {k: F.sum(c).over(upto) for k, c in sums.items()}
         return df.withColumns(out)
 
+    df, whole, part = null_free(df, keys, seg)
+    local = W.partitionBy(*part).orderBy(*order)
+    upto = local.rowsBetween(W.unboundedPreceding, 0)
     edges = []
     if prev:
         edges.append(F.max(F.struct(*order, *[F.col(c).alias(f"v_{c}") for c in prev])).alias("_tail"))
     if next:
         edges.append(F.min(F.struct(*order, *[F.col(c).alias(f"v_{c}") for c in next])).alias("_head"))
     edges += [F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()]
-    chain = W.partitionBy(*keys).orderBy(seg)
+    chain = W.partitionBy(*whole).orderBy("_s")
     before = chain.rowsBetween(W.unboundedPreceding, -1)
     carry = []
     if prev:
@@ -83,17 +107,17 @@ def ordered_scan(
         out[f"next_{c}"] = F.when(last, F.col("_after")[f"v_{c}"]).otherwise(F.lead(c).over(local))
     for k, c in sums.items():
         out[k] = F.col(f"_off_{k}") + F.sum(c).over(upto)
-    drop = [c for c in ("_before", "_after") if c in joined.columns] + [f"_off_{k}" for k in sums]
+    drop = [c for c in ("_before", "_after") if c in joined.columns] + [f"_off_{k}" for k in sums] + part
     return joined.withColumns(out).drop(*drop)
 
 
 def value_segments(df: DataFrame, keys: Sequence[str], value: str, out: str, parts: int = 1024) -> DataFrame:
     """Number equal-width slices of a value's range per key: a segment column for ranking by value."""
-    keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    df, whole, _ = null_free(df, keys)
+    span = df.groupBy(*whole).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     v = F.col(value).cast("double")
     slot = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)
-    return df.join(span, keys).withColumn(out, F.when(F.col("_hi") > F.col("_lo"), slot).otherwise(F.lit(0))).drop("_lo", "_hi")
+    return df.join(span, whole).withColumn(out, F.when(F.col("_hi") > F.col("_lo"), slot).otherwise(F.lit(0))).drop("_lo", "_hi", *whole)
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], out: str, descending: bool = False) -> DataFrame:
@@ -114,9 +138,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q")).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"), F.sum("_n").alias("_size"))
+    counts, whole, _ = null_free(counts, keys)
+    span = counts.groupBy(*whole).agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"), F.sum("_n").alias("_size"))
     slot = F.floor((F.col("_q") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)
-    sliced = counts.join(span, keys).withColumn("_seg", F.when(F.col("_hi") > F.col("_lo"), slot).otherwise(F.lit(0)))
+    sliced = counts.join(span, whole).drop(*whole).withColumn("_seg", F.when(F.col("_hi") > F.col("_lo"), slot).otherwise(F.lit(0)))
     placed = ordered_scan(sliced, keys, ["_q"], "_seg", sums={"_cum": F.col("_n")})
     aggs = []
     for name, p in probs.items():
@@ -136,10 +161,12 @@ def neighbours(
     `marked` is a boolean column; `back` and `ahead` become structs of (order..., cols...), NULL
     where there is none. Sorted once inside (key, segment); carries come from one row per segment.
     """
-    keys, order, part = list(keys), list(order), [*keys, seg]
-    item = F.when(F.col(marked), F.struct(*order, *cols))
-    df = df.withColumn("_item", item)
-    chain = W.partitionBy(*keys).orderBy(seg)
+    order = list(order)
+    df, whole, part = null_free(df, keys, seg)
+    # a marked row without a place is nobody's neighbour, and a row without a place has none
+    placed = F.col(order[0]).isNotNull()
+    df = df.withColumn("_item", F.when(F.col(marked) & placed, F.struct(*order, *cols)))
+    chain = W.partitionBy(*whole).orderBy("_s")
     summary = (
         df.groupBy(*part)
         .agg(F.max("_item").alias("_last"), F.min("_item").alias("_first"))
@@ -155,9 +182,9 @@ def neighbours(
     since = W.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
     return (
         df.join(summary, part)
-        .withColumn(back, F.coalesce(F.last("_item", ignorenulls=True).over(upto), F.col("_carry_b")))
-        .withColumn(ahead, F.coalesce(F.last("_item", ignorenulls=True).over(since), F.col("_carry_a")))
-        .drop("_item", "_carry_b", "_carry_a")
+        .withColumn(back, F.when(placed, F.coalesce(F.last("_item", ignorenulls=True).over(upto), F.col("_carry_b"))))
+        .withColumn(ahead, F.when(placed, F.coalesce(F.last("_item", ignorenulls=True).over(since), F.col("_carry_a"))))
+        .drop("_item", "_carry_b", "_carry_a", *part)
     )
 
 
@@ -168,7 +195,8 @@ def count_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], seg:
     Rows are shuffled once on (key, segment). A segment counts its inner breaks; the break between
     two segments is judged from their edge rows.
     """
-    keys, order, part = list(keys), list(order), [*keys, seg]
+    order = list(order)
+    df, whole, part = null_free(df, keys, seg)
     local = W.partitionBy(*part).orderBy(*order)
     pick = lambda s: {c: F.col(s)[c] for c in cols}
     cur = {c: F.col(c) for c in cols}
@@ -177,9 +205,9 @@ def count_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], seg:
     d = d.withColumn("_b", inner).withColumn("_cum", F.sum("_b").over(local.rowsBetween(W.unboundedPreceding, 0))).drop("_p")
     row = F.struct(*order, *[c for c in cols if c not in order])
     edges = d.groupBy(*part).agg(F.min(row).alias("_head"), F.max(row).alias("_tail"), F.sum("_b").alias("_n"))
-    chain = W.partitionBy(*keys).orderBy(seg)
+    chain = W.partitionBy(*whole).orderBy("_s")
     edges = edges.withColumn("_before", F.lag("_tail").over(chain))
     edge = F.when(F.col("_before").isNotNull() & breaks(pick("_head"), pick("_before")), 1).otherwise(0)
     edges = edges.withColumn("_edge", edge)
     offset = F.sum(F.col("_n") + F.col("_edge")).over(chain.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    return d.join(edges.select(*part, offset.alias("_off")), part).withColumn(out, F.col("_off") + F.col("_cum")).drop("_b", "_cum", "_off")
+    return d.join(edges.select(*part, offset.alias("_off")), part).withColumn(out, F.col("_off") + F.col("_cum")).drop("_b", "_cum", "_off", *part)

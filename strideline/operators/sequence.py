@@ -143,9 +143,10 @@ def viterbi_decode(packed: DataFrame, group: str, sample: str, start: np.ndarray
                    topk: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(group, sample, decoded): the exact best path of every ordered group.
 
-    Groups of one part are decoded many at a time on Arrow batches. A longer group is split: each
-    part gives the C x C table of best scores from any entering to any leaving state; those tables
-    are chained per group; then every part fills in its own states between two known ones.
+    Groups of one part are decoded many at a time on Arrow batches. A longer group is split: each part gives the C x C
+    table of best scores from any entering to any leaving state, and chaining these gives every part the scores it is
+    entered with. Under these each part tells where its leaving states come from, that is chained backwards, and every
+    part fills in its own states. Ties fall as in an undivided group, whatever the chunk.
     """
     c = trans.shape[0]
     k = topk or c
@@ -191,38 +192,73 @@ def viterbi_decode(packed: DataFrame, group: str, sample: str, start: np.ndarray
                 out.append(m.ravel().tolist())
             yield pd.DataFrame({group: pdf[group], "part": pdf["part"], "m": out})
 
+    def forward(e: np.ndarray, came) -> tuple[np.ndarray, np.ndarray]:
+        """Back pointers and last scores of one part, entered with the scores `came` (none for the first part)."""
+        back = np.zeros(e.shape, dtype=np.int16)
+        if came is None:
+            dyn = e[0] + entry
+        else:
+            through = np.asarray(came)[:, None] + moves
+            back[0] = _first_best(through, 0)
+            dyn = e[0] + through[back[0].astype(np.intp), np.arange(c)]
+        for s in range(1, len(e)):
+            through = dyn[:, None] + moves
+            back[s] = _first_best(through, 0)
+            dyn = e[s] + through[back[s].astype(np.intp), np.arange(c)]
+        return back, dyn
+
     def chain(batches):
         for pdf in batches:
             rows = []
             for key, ms in zip(pdf[group], pdf["ms"]):
-                dyn = [np.asarray(ms[0]).reshape(-1, c).max(0)]
-                steps = [np.asarray(m).reshape(c, c) for m in ms[1:]]
-                for m in steps:
-                    dyn.append((dyn[-1][:, None] + m).max(0))
-                leave = [int(_first_best(dyn[-1], 0))]
-                for i in range(len(steps) - 1, -1, -1):
-                    leave.append(int(_first_best(dyn[i] + steps[i][:, leave[-1]], 0)))
-                leave.reverse()
-                rows += [(key, i, leave[i - 1] if i else -1, leave[i]) for i in range(len(leave))]
-            yield pd.DataFrame(rows, columns=[group, "part", "came", "goes"])
+                came = [None]
+                for i, m in enumerate(ms):
+                    m = np.asarray(m).reshape(-1, c)
+                    came.append((m if i == 0 else came[-1][:, None] + m).max(0))
+                last = int(_first_best(came[-1], 0))
+                rows += [(key, i, None if came[i] is None else came[i].tolist(), last) for i in range(len(ms))]
+            yield pd.DataFrame(rows, columns=[group, "part", "came", "last"])
+
+    def entries(batches):
+        """For every leaving state of a part the state of the part before that its best path comes from."""
+        for pdf in batches:
+            out = []
+            for flat, came in zip(pdf["flat"], pdf["came"]):
+                back, _ = forward(emissions(flat), came)
+                state = np.arange(c)
+                for s in range(len(back) - 1, -1, -1):
+                    state = back[s, state].astype(np.intp)
+                out.append(state.tolist())
+            yield pd.DataFrame({group: pdf[group], "part": pdf["part"], "last": pdf["last"], "via": out})
+
+    def leave(batches):
+        for pdf in batches:
+            rows = []
+            for key, last, vias in zip(pdf[group], pdf["last"], pdf["vias"]):
+                goes = [int(last)]
+                for via in list(vias)[:0:-1]:
+                    goes.append(int(via[goes[-1]]))
+                rows += [(key, i, g) for i, g in enumerate(reversed(goes))]
+            yield pd.DataFrame(rows, columns=[group, "part", "goes"])
 
     def fill(batches):
         for pdf in batches:
             paths = []
             for flat, came, goes in zip(pdf["flat"], pdf["came"], pdf["goes"]):
-                e = emissions(flat)
-                block = e[None].copy()
-                last = np.full(c, -np.inf)
-                last[goes] = block[0, -1, goes]
-                block[0, -1] = last
-                first = entry if came < 0 else moves[came]
-                paths.append(_viterbi_batch(block, np.array([len(e)]), moves, first[None])[0].tolist())
+                back, _ = forward(emissions(flat), came)
+                path = [int(goes)]
+                for s in range(len(back) - 1, 0, -1):
+                    path.append(int(back[s, path[-1]]))
+                paths.append(path[::-1])
             yield pd.DataFrame({group: pdf[group], "ids": pdf["ids"], "path": paths})
 
+    in_order = lambda col, out: F.transform(F.sort_array(F.collect_list(F.struct("part", col))), lambda x: x[col]).alias(out)
     m = longer.select(group, "part", "flat").mapInPandas(tables, f"{group} {gtype}, part bigint, m array<double>")
-    per = m.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "m"))), lambda x: x["m"]).alias("ms"))
-    ends = per.mapInPandas(chain, f"{group} {gtype}, part bigint, came int, goes int")
-    rest = longer.join(ends, [group, "part"]).select(group, "ids", "flat", "came", "goes").mapInPandas(fill, schema)
+    scores = m.groupBy(group).agg(in_order("m", "ms")).mapInPandas(chain, f"{group} {gtype}, part bigint, came array<double>, last int")
+    entered = longer.join(scores, [group, "part"])
+    via = entered.select(group, "part", "flat", "came", "last").mapInPandas(entries, f"{group} {gtype}, part bigint, last int, via array<int>")
+    ends = via.groupBy(group, "last").agg(in_order("via", "vias")).mapInPandas(leave, f"{group} {gtype}, part bigint, goes int")
+    rest = entered.join(ends, [group, "part"]).select(group, "ids", "flat", "came", "goes").mapInPandas(fill, schema)
     return done.unionByName(unpack(rest))
 
 
@@ -339,12 +375,18 @@ def decode_with_fallback(rows: DataFrame, decoded: DataFrame, group: str, sample
 
 
 # ---------------------------------------------------------------- templates
-def label_sequences(rows: DataFrame, group: str, order: Sequence[str], label: str, keep: Sequence[str] = (), longest: int = CHUNK) -> DataFrame:
-    """(group, keep, n, labels) of every recording short enough to be a template; sizes are counted
-    first, so a longer group is left out before anything is gathered and stays with its fallback."""
-    size = rows.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") <= longest)
-    packed = rows.join(size, group).groupBy(group, "n", *keep).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(label).cast("int").alias("_l")))).alias("_a"))
-    return packed.select(group, *keep, "n", F.transform("_a", lambda r: r["_l"]).alias("labels"))
+def label_sequences(rows: DataFrame, group: str, order: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(group, keep, n, labels) of every recording. The labels of a recording are one value of one row, as they are a
+    template; no recording is left out for its length."""
+    packed = rows.groupBy(group, *keep).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(label).cast("int").alias("_l")))).alias("_a"))
+    return packed.select(group, *keep, F.size("_a").cast("long").alias("n"), F.transform("_a", lambda r: r["_l"]).alias("labels"))
+
+
+def held_out_catalogs(sequences: DataFrame, fold: str, n_folds: int, held: str) -> DataFrame:
+    """A catalogue per held-out fold, from the recordings of all other folds: counted once per fold, then added up."""
+    per = sequences.groupBy(fold, "n", "labels").agg(F.count("*").alias("_f"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col(fold))
+    return per.withColumn(held, F.explode(others)).groupBy(held, "n", "labels").agg(F.sum("_f").alias("freq"))
 
 
 def template_catalog(sequences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -352,15 +394,15 @@ def template_catalog(sequences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sequences.groupBy(*by, "n", "labels").agg(F.count("*").alias("freq"))
 
 
-def template_proposals(targets: DataFrame, catalog: DataFrame, group: str, freq_weight: float) -> DataFrame:
-    """Best equally long template per target (group, n, logp array of arrays): labels, mean loss against
+def template_proposals(targets: DataFrame, catalog: DataFrame, group: str, freq_weight: float, by: Sequence[str] = ()) -> DataFrame:
+    """Best equally long template of the same `by` values per target (group, n, logp array of arrays): labels, mean loss against
     the independent arg-max, mean margin to the second.
 
     A length's templates ride as one array, so a target scans them in its own row and no
     (target, template) pairs are shuffled.
     """
-    lists = catalog.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("labels", "freq"))).alias("templates"))
-    d = targets.join(lists, "n")
+    lists = catalog.groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct("labels", "freq"))).alias("templates"))
+    d = targets.join(lists, [*by, "n"])
     emit = lambda labels: F.aggregate(F.zip_with("logp", labels, lambda p, l: p[l]), F.lit(0.0), lambda a, x: a + x)
     scored = F.transform("templates", lambda t: F.struct((-F.round(emit(t["labels"]) + F.lit(float(freq_weight)) * F.log(t["freq"].cast("double")), TIE_DIGITS)).alias("neg"),
                                                        t["labels"].alias("labels"), t["freq"].alias("freq"), emit(t["labels"]).alias("emission")))
@@ -375,6 +417,14 @@ def template_proposals(targets: DataFrame, catalog: DataFrame, group: str, freq_
     )
 
 
+def apply_gate(rows: DataFrame, gated: DataFrame, group: str, pos: str, fallback: str) -> DataFrame:
+    """Every row (group, pos, fallback label): the proposal's label at its position where its group's proposal was
+    accepted, else its fallback. Groups without any proposal keep their fallback."""
+    taken = gated.filter("accepted").select(group, F.posexplode("labels").alias("_at", "_label")).withColumn(pos, (F.col("_at") + 1).cast("long")).drop("_at")
+    d = rows.join(taken, [group, pos], "left")
+    return d.withColumns({"from_template": F.col("_label").isNotNull(), "pred": F.coalesce(F.col("_label"), F.col(fallback))}).drop("_label")
+
+
 def gate_proposals(proposals: DataFrame, max_loss: float, min_margin: float) -> DataFrame:
     return proposals.withColumn("accepted", (F.round("loss", TIE_DIGITS) <= max_loss) & (F.round("margin", TIE_DIGITS) >= min_margin))
 

@@ -33,7 +33,9 @@ def gap_sessions(df: DataFrame, keys, start: str, end: str, tie: str, gap: float
     opens = lambda cur, prev: cur[start] - prev[end] > gap
     numbered = count_breaks(timed, keys, [start, tie], seg, [start, end], opens, out)
     loose = df.filter(F.col(start).isNull())
-    single = ordered_scan(loose, keys, [tie], None, row=out).withColumn(out, -F.col(out))
+    # segments of the tie value: rows without a start may be many
+    loose = loose.withColumn("_tie_seg", F.floor(F.col(tie) / 4096))
+    single = ordered_scan(loose, keys, [tie], "_tie_seg", row=out).withColumn(out, -F.col(out)).drop("_tie_seg")
     return numbered.unionByName(single)
 
 
@@ -226,16 +228,20 @@ def clip_feature_vector(df: DataFrame, clip, device, t, tie, channels: dict[str,
     return wide.select(clip, *flat).join(counts.select(clip, *n_cols), clip).join(coupling, clip)
 
 
-def series_summary(df: DataFrame, keys, order, seg, value: str) -> DataFrame:
-    """Mean, spread, signed rank pooling, mean rise and mean fall of a series, each within [0, 1]."""
+def series_summary(df: DataFrame, keys, order, seg, value: str, ticks: int = 1_000_000) -> DataFrame:
+    """Mean, spread, signed rank pooling, mean rise and mean fall of a series, each within [0, 1].
+
+    Rank pooling sums integers (values in steps of 1/ticks, doubled ranks) and divides once, so that it does not
+    depend on the order of rows.
+    """
     keys = list(keys)
     size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = ordered_scan(df, keys, order, seg, prev=[value], row="_row").join(size, keys)
-    weight = (F.col("_row") - 1) - (F.col("_n") - 1) / 2.0
+    weight = 2 * (F.col("_row") - 1) - (F.col("_n") - 1)
     x, d = F.col(value), F.col(value) - F.col(f"prev_{value}")
     unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    pooled = F.when(F.sum(F.abs(weight)) > 0, F.sum(weight * x) / F.sum(F.abs(weight))).otherwise(F.lit(0.0))
+    pooled = F.when(F.sum(F.abs(weight)) > 0, F.sum(weight * F.round(x * ticks).cast("long")) / (F.sum(F.abs(weight)) * float(ticks))).otherwise(F.lit(0.0))
     return rows.groupBy(*keys).agg(
         F.avg(x).alias("mean"), unit(F.stddev_pop(x) * 4).alias("spread"), unit(0.5 + 0.5 * pooled).alias("rank_pool"),
         unit(zero(F.avg(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))))) * 4).alias("rise"), unit(zero(F.avg(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))) * 4).alias("fall"),

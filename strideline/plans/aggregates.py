@@ -194,13 +194,13 @@ def a13(spark, sf):
     "a14_series_summary",
     """with o as (select clip, device, x / 50 as v, row_number() over w - 1 as i, lag(x / 50) over w as pv, count(*) over (partition by clip, device) as n from sensor window w as (partition by clip, device order by t, sample_id))
        select clip, device, round(avg(v), 6) as mean, round(least(greatest(stddev_pop(v) * 4, 0), 1), 6) as spread,
-         round(least(greatest(0.5 + 0.5 * case when sum(abs(i - (n - 1) / 2e0)) > 0 then sum((i - (n - 1) / 2e0) * v) / sum(abs(i - (n - 1) / 2e0)) else 0 end, 0), 1), 6) as rank_pool,
+         round(least(greatest(0.5 + 0.5 * case when sum(abs(2 * i - (n - 1))) > 0 then sum((2 * i - (n - 1)) * round(v * 5000)::bigint)::double / (sum(abs(2 * i - (n - 1)))::double * 5000e0) else 0 end, 0), 1), 6) as rank_pool,
          round(least(coalesce(avg(case when pv is not null then greatest(v - pv, 0) end), 0) * 4, 1), 6) as rise, round(least(coalesce(avg(case when pv is not null then greatest(pv - v, 0) end), 0) * 4, 1), 6) as fall from o group by 1, 2""",
     "sensor",
 )
 def a14(spark, sf):
     s = v.sensor(spark, sf).withColumns({"v": F.col("x") / 50, "seg": F.floor(F.col("t") / v.DAY)})
-    return rounded(ts.series_summary(s, ["clip", "device"], ["t", "sample_id"], "seg", "v"))
+    return rounded(ts.series_summary(s, ["clip", "device"], ["t", "sample_id"], "seg", "v", ticks=5000))
 
 
 @query(

@@ -174,8 +174,7 @@ def _rec(spark, sf):
 
 @query(
     "f10_group_distinct_assignment",
-    """with g as (select subject * 100 + day // 365 as grp, count(*) as n, count(distinct pred) as k from mpred where member = 0 group by 1)
-       select grp, n as n_clips, case when n <= 5 then n else k end as n_distinct, n between 2 and 5 as solved from g""",
+    """select subject * 100 + day // 365 as grp, count(*) as n_clips, least(count(*), 5) as n_distinct, count(*) > 1 as solved from mpred where member = 0 group by 1""",
     "mpred",
 )
 def f10(spark, sf):
@@ -186,9 +185,11 @@ def f10(spark, sf):
 @query(
     "f10_assignment_optimum",
     """with recursive k as (select subject * 100 + year as grp, sample_id, row_number() over (partition by subject, year order by sample_id) as i, count(*) over (partition by subject, year) as n from seq),
-            e as (select k.grp, i, n, cls, -ln(p + 1e-9) as c from k join post using (sample_id) where member = 0 and n between 2 and 5),
-            a(grp, i, n, used, s) as (select grp, i, n, 1 << cls, c from e where i = 1 union all select a.grp, e.i, a.n, a.used | (1 << e.cls), a.s + e.c from a join e on e.grp = a.grp and e.i = a.i + 1 and (a.used & (1 << e.cls)) = 0)
-       select grp, round(min(s), 6) as cost from a where i = n group by grp""",
+            e as (select k.grp, i, n, list(-ln(p + 1e-9) order by cls) as c from k join post using (sample_id) where member = 0 and n > 1 group by k.grp, i, n),
+            a(grp, i, n, best) as (select grp, 0::bigint, n, list_transform(range(32), lambda m: case when m = 0 then 0::double else 'inf'::double end) from e where i = 1
+              union all select a.grp, e.i, a.n, list_transform(range(32), lambda m: least(a.best[m + 1], list_min(list_transform(range(5), lambda c: case when (m >> c) & 1 = 1 then a.best[m - (1 << c) + 1] + e.c[c + 1] else 'inf'::double end))))
+                from a join e on e.grp = a.grp and e.i = a.i + 1)
+       select grp, round(list_min(list_transform(range(32), lambda m: case when bit_count(m::int) = least(n, 5) then best[m + 1] else 'inf'::double end)), 6) as cost from a where i = n""",
     "post",
 )
 def f10_optimum(spark, sf):

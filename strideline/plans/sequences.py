@@ -209,6 +209,50 @@ def q6(spark, sf):
     return g.groupBy("skipped").agg(F.count("*").alias("n_groups"), F.sum((F.col("n") > 1).cast("long")).alias("multi_groups"), F.sum("n").alias("n_clips"))
 
 
+_OOF_MODEL = f"""{_SRC}, hf as (select unnest([0, 1, 2, 3]) as held), e as (select *, lead(label) over w as nx from src window w as (partition by subject order by t0, sample_id)),
+  tc as (select held, 'unit' as kind, label as prev, null::int as next, count(*) as n from e join hf on subject % 4 <> held group by 1, 3 union all select held, 'edge', label, nx, count(*) from e join hf on subject % 4 <> held where nx is not null group by 1, 3, 4),
+  cl as (select unnest([0, 1, 2, 3, 4]) as c), un as (select hf.held, c, coalesce(sum(n), 0) as u from hf cross join cl left join tc on tc.held = hf.held and kind = 'unit' and prev = c group by 1, 2),
+  pr as (select held, c, (u + 1) / (sum(u) over (partition by held) + 5)::double as q from un),
+  tr as (select pr.held, a.c as prev, b.c as next, ln((coalesce(n, 0) + 5 * q) / (sum(coalesce(n, 0)) over (partition by pr.held, a.c) + 5)) as s
+     from cl a cross join cl b join pr on pr.c = b.c left join tc on tc.held = pr.held and kind = 'edge' and tc.prev = a.c and tc.next = b.c),
+  ro as (select sample_id, subject, label, subject % 4 as held, row_number() over (partition by subject order by t0, sample_id) as pos, count(*) over (partition by subject) as n from seq),
+  em as (select ro.*, cls, ln(greatest(p, 1e-12)) as e from ro join post using (sample_id) where member = 0),
+  vt(held, subject, pos, n, cls, score, path) as (
+          select em.held, em.subject, pos, n, cls, e, [cls] from em where pos = 1
+          union all
+          select em.held, em.subject, em.pos, em.n, em.cls, max_by(vt.score + 0.5 * tr.s, (round(vt.score + 0.5 * tr.s, 9), -tr.prev)) + any_value(e), list_append(max_by(vt.path, (round(vt.score + 0.5 * tr.s, 9), -tr.prev)), em.cls)
+          from vt join em on em.subject = vt.subject and em.pos = vt.pos + 1 join tr on tr.held = em.held and tr.prev = vt.cls and tr.next = em.cls group by em.held, em.subject, em.pos, em.n, em.cls),
+  fin as (select subject, max_by(path, (round(score, 9), -cls)) as path from vt where pos = n group by 1),
+  dec as (select ro.sample_id, ro.held, ro.label, path[pos] as decoded, m.pred as base from ro join fin using (subject) join mpred m on m.sample_id = ro.sample_id and m.member = 0)"""
+
+
+def _oof_decoded(spark, sf):
+    """Every recording decoded with the transitions of the other folds' subjects: counted once per fold, the model of a
+    fold is the total without it."""
+    rows = source(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int"))
+    per = S.transition_counts(rows, "subject", ["t0", "sample_id"], "label", "year", ["fold"])
+    targets, decoded = _targets(spark, sf), None
+    for k in range(4):
+        rest = per.filter(F.col("fold") != k).groupBy("kind", "prev", "next").agg(F.sum("n").alias("n"))
+        start, trans = S.model_arrays(S.transition_scores(rest, C, backoff="unigram"), C)
+        part = S.viterbi_decode(_packed(targets.filter(F.col("subject") % 4 == k)), "subject", "sample_id", start, trans, 0.5)
+        decoded = part if decoded is None else decoded.unionByName(part)
+    return targets.select("sample_id", (F.col("subject") % 4).cast("int").alias("fold"), "label", P.argmax("probs", 9).alias("base")).join(decoded, "sample_id")
+
+
+@query(
+    "q6_oof_decode",
+    f"""with recursive {_OOF_MODEL} select held as fold, count(*) as n, count(*) filter (where base <> label and decoded = label) as rescues,
+        count(*) filter (where base = label and decoded <> label) as harms, count(*) filter (where base <> decoded) as changed from dec group by 1""",
+    "seq post mpred",
+)
+def q6_oof(spark, sf):
+    d = _oof_decoded(spark, sf)
+    was, now = F.col("base") == F.col("label"), F.col("decoded") == F.col("label")
+    count = lambda c: F.sum(c.cast("long"))
+    return d.groupBy("fold").agg(F.count("*").alias("n"), count(~was & now).alias("rescues"), count(was & ~now).alias("harms"), count(F.col("base") != F.col("decoded")).alias("changed"))
+
+
 _SEQS = """sq as (select subject % 4 as fold, subject * 100 + year as grp, count(*) as n, string_agg(label, ',' order by t0, sample_id) as labels from seq group by subject, year)"""
 
 
@@ -222,21 +266,23 @@ def q7(spark, sf):
     return c.select("n", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), "freq")
 
 
-_PROPOSE = f"""{_SEQS}, ct as (select n, labels, count(*) as freq from sq where fold <> 0 group by 1, 2), tp as (select *, row_number() over (order by n, labels) as tid from ct),
-  te as (select tid, n, freq, labels, unnest(range(1, n + 1)) as pos, unnest(string_split(labels, ','))::int as cls from tp),
-  rp as (select sample_id, subject * 100 + year as grp, row_number() over (partition by subject, year order by t0, sample_id) as pos, count(*) over (partition by subject, year) as n from seq where subject % 4 = 0),
+_PROPOSE = f"""{_SEQS}, ct as (select held, n, labels, count(*) as freq from sq join (values (0), (1), (2), (3)) h(held) on fold <> held group by 1, 2, 3), tp as (select *, row_number() over (order by held, n, labels) as tid from ct),
+  te as (select held, tid, n, freq, labels, unnest(range(1, n + 1)) as pos, unnest(string_split(labels, ','))::int as cls from tp),
+  rp as (select sample_id, subject * 100 + year as grp, row_number() over (partition by subject, year order by t0, sample_id) as pos, count(*) over (partition by subject, year) as n, subject % 4 as held from seq),
   lp as (select rp.*, cls, ln(greatest(p, 1e-12)) as l, max(ln(greatest(p, 1e-12))) over (partition by sample_id) as lm from rp join post using (sample_id) where member = 0),
-  sc as (select grp, lp.n, tid, any_value(te.freq) as freq, any_value(labels) as labels, sum(l) as em, sum(lm) as alone from lp join te on te.n = lp.n and te.pos = lp.pos and te.cls = lp.cls group by grp, lp.n, tid),
+  sc as (select grp, lp.n, tid, any_value(te.freq) as freq, any_value(labels) as labels, sum(l) as em, sum(lm) as alone from lp join te on te.held = lp.held and te.n = lp.n and te.pos = lp.pos and te.cls = lp.cls group by grp, lp.n, tid),
   rk as (select *, row_number() over w as r, round(em + 0.5 * ln(freq), 9) as s, lead(round(em + 0.5 * ln(freq), 9)) over w as s2 from sc window w as (partition by grp order by round(em + 0.5 * ln(freq), 9) desc, labels)),
   pp as (select grp, n, labels, freq, greatest((alone - em) / n, 0) as loss, coalesce((s - s2) / n, 'inf'::double) as margin from rk where r = 1)"""
 
 
 def _proposals(spark, sf):
-    t = _targets(spark, sf).filter("subject % 4 = 0").withColumn("grp", F.col("subject") * 100 + F.col("year"))
-    packed = S.pack_sequences(t, "grp", ["t0", "sample_id"], "sample_id", "probs", "year").filter("part = 0")
+    """Proposals for all recordings, each from the recordings of the subjects of other folds."""
+    t = _targets(spark, sf).withColumn("grp", F.col("subject") * 100 + F.col("year"))
+    packed = S.pack_sequences(t, "grp", ["t0", "sample_id"], "sample_id", "probs", "year", chunk=1 << 40)
     logp = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: P.safe_log(F.slice("flat", i * C + 1, F.lit(C))))
-    targets = packed.select("grp", "n", "ids", logp.alias("logp"))
-    return S.template_proposals(targets, S.template_catalog(_sequences(spark, sf).filter("fold <> 0")), "grp", 0.5)
+    targets = packed.select("grp", (F.floor(F.col("grp") / 100) % 4).cast("int").alias("held"), "n", "ids", logp.alias("logp"))
+    sequences = _sequences(spark, sf).withColumn("fold", F.col("fold").cast("int"))
+    return S.template_proposals(targets, S.held_out_catalogs(sequences, "fold", 4, "held"), "grp", 0.5, by=["held"])
 
 
 @query("q8_template_proposals", f"with {_PROPOSE} select grp, n, labels, freq, round(loss, 6) as loss, round(case when margin < 1e300 then margin end, 6) as margin from pp", "seq post")
@@ -254,6 +300,19 @@ def q9(spark, sf):
     return S.gate_proposals(_proposals(spark, sf), 0.3, 0.1).groupBy("n", "accepted").agg(F.count("*").alias("n_groups"))
 
 
+@query(
+    "q9_gated_labels",
+    f"""with {_PROPOSE}, ac as (select grp, string_split(labels, ',') as ls from pp where round(loss, 9) <= 0.3 and round(margin, 9) >= 0.1)
+        select rp.sample_id, ac.grp is not null as from_template, coalesce(ac.ls[rp.pos]::int, m.pred::int) as pred from rp join mpred m on m.sample_id = rp.sample_id and m.member = 0 left join ac on ac.grp = rp.grp""",
+    "seq post mpred",
+)
+def q9_labels(spark, sf):
+    t = _targets(spark, sf).withColumn("grp", F.col("subject") * 100 + F.col("year")).withColumn("base", P.argmax("probs", 9))
+    rows = ordered_scan(t.select("grp", "sample_id", "t0", "year", "base"), ["grp"], ["t0", "sample_id"], "year", row="pos")
+    out = S.apply_gate(rows, S.gate_proposals(_proposals(spark, sf), 0.3, 0.1), "grp", "pos", "base")
+    return out.select("sample_id", "from_template", F.col("pred").cast("int").alias("pred"))
+
+
 YEAR = 365 * 86400
 _CLUST = """rc as (select subject % 50 as owner, subject * 100 + year as grp, count(*) as n, min(t0) as s, max(t0) as e, count(*) > count(distinct t0) as amb, bool_and(sample_id % 29 <> 3) as complete from seq group by subject, year),
   pv as (select *, lag(grp) over w as pg, lag(n) over w as pn, lag(e) over w as pe, lag(amb) over w as pamb, lag(complete) over w as pc from rc window w as (partition by owner order by s, grp)),

@@ -22,16 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer splits than cores (one small file) over the cores before
-    heavy per-row work; a scan with enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
-
-
 def micros(ts):
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone is."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
@@ -40,7 +30,7 @@ def micros(ts):
 def seq(spark, sf, wide: bool = False) -> DataFrame:
     """Ordered labelled clips: subject = customer, label = order priority (5 classes)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    return (spread(o) if wide else o).select(
+    return o.select(
         F.col("o_orderkey").alias("sample_id"),
         F.col("o_custkey").alias("subject"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"),
