@@ -10,27 +10,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: date and time as file names carry them.
+NAME_TIME = r"(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2}\.\d+)"
+
+
 def timestamp_from_name(name) -> Column:
     """`..2024-01-31_12-05-09.25..` inside a file name, NULL where there is none."""
-    day = F.regexp_extract(_col(name), r"(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2}\.\d+)", 1)
-    time = F.regexp_extract(_col(name), r"(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2}\.\d+)", 2)
+    day, time = (F.regexp_extract(_col(name), NAME_TIME, k) for k in (1, 2))
     text = F.concat_ws(" ", day, F.translate(time, "-", ":"))
     return F.when(day != "", F.try_to_timestamp(text))
 
 
 def parse_timestamp(text) -> Column:
-    """`Y-M-D h:m:s[.f]`, also with one-digit month or day; NULL where it does not parse."""
+    """`Y-M-D h:m:s[.f]`, also with one-digit parts; NULL where it does not parse."""
     s = F.trim(_col(text))
-    shape = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)$"
-    part = lambda i: F.regexp_extract(s, shape, i)
-    clock = F.split(part(4), ":")
-    padded = F.concat_ws(
-        " ",
-        F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")),
-        F.concat_ws(":", F.lpad(clock[0], 2, "0"), F.lpad(clock[1], 2, "0"),
-                    F.when(F.length(F.split(clock[2], r"\.")[0]) == 1, F.concat(F.lit("0"), clock[2])).otherwise(clock[2])),
-    )
-    return F.when(F.regexp_like(s, F.lit(shape)), F.try_to_timestamp(padded))
+    shape = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$"
+    return F.when(F.regexp_like(s, F.lit(shape)), F.try_to_timestamp(s, F.lit("yyyy-M-d H:m:s[.SSSSSS]")))
 
 
 def last_component(path) -> Column:

@@ -241,14 +241,14 @@ def e13(spark, sf):
 
 @query(
     "e14_day_cohorts",
-    """with recursive u as (select subject % 97 as g, day // 400 as d, count(*) as c from seq where label = 0 group by 1, 2), t as (select g, sum(c) as t from u group by 1),
+    """with recursive u as (select subject as g, day // 100 as d, count(*) as c from seq group by 1, 2), t as (select g, sum(c) as t from u group by 1),
             s as (select g, d from u join t using (g) where c >= 0.34 * t), e as (select distinct a.g as x, b.g as y from s a join s b using (d)),
             cc(x, y) as (select x, y from e union select cc.x, e.y from cc join e on cc.y = e.x)
        select x as node, min(y) as component from cc group by 1""",
     "seq",
 )
 def e14(spark, sf):
-    rows = v.seq(spark, sf).filter("label = 0").select((F.col("subject") % 97).alias("g"), F.floor(F.col("day") / 400).alias("d"))
+    rows = v.seq(spark, sf).select(F.col("subject").alias("g"), F.floor(F.col("day") / 100).alias("d"))
     return E.connected_components(E.cohort_edges(rows, "g", "d", 0.34), "a", "b")
 
 

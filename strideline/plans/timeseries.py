@@ -346,10 +346,10 @@ def w22(spark, sf):
 
 @query(
     "w23_seen_day_share",
-    """with tr as (select distinct day from clips where "user" % 3 <> 0 and sample_id % 40 = 1), te as (select day, count(*) as n from clips where "user" % 3 = 0 group by 1)
+    """with tr as (select distinct day from clips where "user" % 3 <> 0), te as (select day, count(*) as n from clips where "user" % 3 = 0 group by 1)
        select day in (select day from tr) as seen, count(*) as n_days, sum(n)::bigint as n, round(sum(n) / (select sum(n) from te)::double, 6) as share from te group by 1""",
     "clips",
 )
 def w23(spark, sf):
     c = v.clips(spark, sf).select("user", "sample_id", "day")
-    return rounded(ST.seen_day_share(c.filter("user % 3 <> 0 and sample_id % 40 = 1"), c.filter("user % 3 = 0"), "day"))
+    return rounded(ST.seen_day_share(c.filter("user % 3 <> 0"), c.filter("user % 3 = 0"), "day"))
