@@ -224,13 +224,31 @@ def f12(spark, sf):
     return g.select(*[R6(c).alias(c) for c in ("temp", "conf", "acc", "gap")])
 
 
-@query("f12_expected_accuracy_by_day", "select 'seen' as days, true as calibrated union all select 'new', true")
+_ROUNDS = ", ".join(
+    f"""g{r} as (select lo, ratio, lo * pow(ratio, i) as temp from (select *, pow(hi / lo, 1 / 32e0) as ratio from b{r - 1}), (select unnest(range(0, 33)) as i)),
+        c{r} as (select temp, lo, ratio, avg(conf) as conf from (select temp, lo, ratio, sample_id, 1 / sum(exp((l - mx) / temp)) as conf from base, g{r} where sample_id % 4 <> 0 group by 1, 2, 3, 4) group by 1, 2, 3),
+        k{r} as (select arg_min(temp, (abs(conf - acc), temp)) as best, min(temp) as t0, max(temp) as t1, any_value(ratio) as ratio from c{r}, a),
+        b{r} as (select greatest(t0, best / ratio) as lo, least(t1, best * ratio) as hi, best from k{r})"""
+    for r in (1, 2, 3)
+)
+
+
+@query(
+    "f12_expected_accuracy_by_day",
+    f"""with base as (select sample_id, ln(greatest(p, 1e-12)) as l, max(ln(greatest(p, 1e-12))) over (partition by sample_id) as mx from post where member = 0),
+        h as (select m.sample_id, (m.pred = m.label)::int as hit, s.day from mpred m join seq s using (sample_id) where member = 0), a as (select avg(hit) as acc from h where sample_id % 4 <> 0),
+        b0 as (select 0.05::double as lo, 25::double as hi), {_ROUNDS},
+        t as (select sample_id, 1 / sum(exp((l - mx) / best)) as conf from base, b3 where sample_id % 4 = 0 group by 1)
+        select case when day in (select day from h where sample_id % 4 <> 0) then 'seen' else 'new' end as days, count(*) as n, round(avg(conf), 6) as expected, round(avg(hit), 6) as accuracy from t join h using (sample_id) group by 1""",
+    "post mpred seq",
+)
 def f12b(spark, sf):
     d = v.posteriors_wide(spark, sf).select("sample_id", "label", "day", F.col("p0").alias("probs"))
     train, test = d.filter("sample_id % 4 <> 0"), d.filter("sample_id % 4 = 0")
     t = FU.calibration_temperature(train, "label", C)
     seen = train.select("day").distinct().withColumn("_seen", F.lit(True))
-    return FU.expected_accuracy(train, test, "label", t, seen, C)
+    e = FU.expected_accuracy(train, test, "label", t, seen, C)
+    return e.select("days", "n", R6("expected").alias("expected"), R6("accuracy").alias("accuracy"))
 
 
 @query(
