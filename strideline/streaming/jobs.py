@@ -72,13 +72,15 @@ def clip_metadata(events: DataFrame, clip: str, event_id: str, ts: str, kind: st
     return partial.groupBy(clip).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in kinds])
 
 
-def decode_closed_recordings(clips: DataFrame, group: str, ts: str, close_ms: str, sample: str, probs: str, start: np.ndarray, trans: np.ndarray, weight: float, late: str) -> DataFrame:
-    """Best label paths of recordings, emitted when the watermark passes a recording's closing time.
+def decode_closed_recordings(clips: DataFrame, group: str, ts: str, close_ms: str, sample: str, probs: str, start: np.ndarray, trans: np.ndarray, weight: float, late: str,
+                             start_weight: float = 0.0) -> DataFrame:
+    """Best label paths of recordings, emitted when the watermark passes a recording's closing time, or with the next
+    step of the watermark where it already has. Start scores weigh in by `start_weight`, as in `viterbi_decode`.
 
     State is one recording's clips so far; it is dropped with the emission.
     """
     c = trans.shape[0]
-    moves = weight * trans
+    moves, entry = weight * trans, (start_weight * start)[None]
     gtype = dict(clips.dtypes)[group]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,7 +89,7 @@ def decode_closed_recordings(clips: DataFrame, group: str, ts: str, close_ms: st
         if state.hasTimedOut:
             order = sorted(range(len(ids)), key=lambda i: (times[i], ids[i]))
             p = np.asarray(flat).reshape(-1, c)[order]
-            path = _viterbi_batch(np.log(np.clip(p, 1e-12, 1.0))[None], np.array([len(order)]), moves, np.zeros((1, c)))[0]
+            path = _viterbi_batch(np.log(np.clip(p, 1e-12, 1.0))[None], np.array([len(order)]), moves, entry)[0]
             state.remove()
             yield pd.DataFrame({group: [key[0]] * len(order), "pos": range(1, len(order) + 1), sample: [ids[i] for i in order], "decoded": [int(x) for x in path]})
             return
@@ -96,10 +98,9 @@ def decode_closed_recordings(clips: DataFrame, group: str, ts: str, close_ms: st
             ids += [int(x) for x in pdf[sample]]
             times += [int(x) for x in pdf["_us"]]
             flat += [float(x) for row in pdf[probs] for x in row]
-            closes = int(pdf[close_ms].max())
+            closes = max(closes, int(pdf[close_ms].max()))
         state.update((ids, times, flat))
-        if closes > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(closes)
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
 
     d = clips.withWatermark(ts, late).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     return d.groupBy(group).applyInPandasWithState(
