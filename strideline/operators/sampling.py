@@ -69,7 +69,7 @@ def weighted_replicates(weighted: DataFrame, key: str, draws: int | None, seed:
     Copies depend on the row's seeded hash only, so a lost task repeats the same sample.
     """
     total = weighted.agg(F.count("*").alias("n")).scalar() if draws is None else F.lit(draws)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) / float(1 << 52)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     d = weighted.withColumn("_m", F.col("weight") * total).withColumn("_u", u)
     # inverse of the Poisson distribution function, walked upwards until it passes u
     span = (F.ceil(F.col("_m") + 12 * F.sqrt(F.col("_m"))) + 20).cast("int")

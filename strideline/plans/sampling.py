@@ -59,7 +59,14 @@ def t4(spark, sf):
     return w.groupBy("label").agg(F.count("*").alias("n_rows"), R6(F.sum("weight")).alias("class_share"), F.round(F.first("weight") * 1e6, 4).alias("weight_ppm"))
 
 
-@query("t4_weighted_replicates")
+@query(
+    "t4_weighted_replicates",
+    """with w as (select label, count(*) as n from seq group by 1), m as (select label, 1.0::double / (n * (select count(*) from w)) * (select sum(n) from w) as m from w),
+            c as (select label, sum(exp(-m + i * ln(m) - lgamma(i + 1))) over (partition by label order by i) as c from m, (select unnest(range(0, 80)) as i)),
+            u as (select sample_id, label, ('0x' || substr(md5('3:' || sample_id), 1, 13))::bigint / 4503599627370496.0::double as u from seq)
+       select u.label, count(distinct sample_id) as n_rows, count(c.c) as n_copies from u left join c on c.label = u.label and c.c < u.u group by 1""",
+    "seq",
+)
 def t4b(spark, sf):
     w = T.weighted_replicates(T.inverse_frequency_weights(v.seq(spark, sf), "label"), "sample_id", None, 3)
     return w.groupBy("label").agg(F.count("*").alias("n_rows"), F.sum("copies").alias("n_copies"))
@@ -74,16 +81,15 @@ def t5(spark, sf):
     return T.cap_per_class(v.seq(spark, sf).select("sample_id", "label"), "label", "sample_id", 60, 11)
 
 
-@query(
-    "t6_balanced_batches",
-    """with r as (select sample_id, label, subject, row_number() over (partition by label, subject order by sha256('5:' || sample_id), sample_id) as rnd from seq where label in (select label from seq group by 1 having count(distinct subject) >= 2)),
+_BATCHES = """with r as (select sample_id, label, subject, row_number() over (partition by label, subject order by sha256('5:' || sample_id), sample_id) as rnd from seq where label in (select label from seq group by 1 having count(distinct subject) >= 2)),
             p as (select *, (row_number() over (partition by label order by rnd, sha256('5:' || subject), subject, sample_id) - 1) // 4 as unit from r),
             u as (select label, unit, row_number() over (partition by label order by unit) as turn from p group by 1, 2 having count(*) = 4 and count(distinct subject) >= 2),
             b as (select label, unit, (row_number() over (order by turn, sha256('5:' || turn || ':' || label), label) - 1) // 3 as batch from u),
             f as (select batch from b group by 1 having count(distinct label) = 3)
-       select sample_id, label, subject, batch::bigint as batch from p join b using (label, unit) where batch in (select batch from f)""",
-    "seq",
-)
+       select sample_id, label, subject, batch::bigint as batch from p join b using (label, unit) where batch in (select batch from f)"""
+
+
+@query("t6_balanced_batches", _BATCHES, "seq")
 def t6(spark, sf):
     return T.balanced_batches(v.seq(spark, sf), "label", "subject", "sample_id", 3, 4, 5)
 
@@ -114,7 +120,11 @@ def t7(spark, sf):
     return T.cross_subject_pair_counts(v.seq(spark, sf), "label", "subject")
 
 
-@query("t7_batch_positive_pairs")
+@query(
+    "t7_batch_positive_pairs",
+    f"""with bb as ({_BATCHES}) select a.label, count(*) as n_pairs from bb a join bb b on a.batch = b.batch and a.label = b.label and a.sample_id < b.sample_id and a.subject <> b.subject group by 1""",
+    "seq",
+)
 def t7b(spark, sf):
     b = T.balanced_batches(v.seq(spark, sf), "label", "subject", "sample_id", 3, 4, 5)
     return T.batch_positive_pairs(b, "sample_id", "label", "subject").groupBy("label").agg(F.count("*").alias("n_pairs"))

@@ -258,7 +258,19 @@ def w17(spark, sf):
     return d.select("clip", "frame", F.round("vel", 4).alias("vel"))
 
 
-@query("w17_acceleration")
+def _gradient_sql(source: str, y: str, out: str) -> str:
+    return f"""{out}_a as (select clip, frame, t, {y} as y, lag(t) over w as t0, lag({y}) over w as y0, lead(t) over w as t2, lead({y}) over w as y2, lead(t, 2) over w as t3, lead({y}, 2) over w as y3, lag(t, 2) over w as tm, lag({y}, 2) over w as ym
+         from {source} window w as (partition by clip order by t)),
+       {out}_t as (select clip, frame, t, case when t0 is not null and t2 is not null then (pow(t - t0, 2) * y2 + (pow(t2 - t, 2) - pow(t - t0, 2)) * y - pow(t2 - t, 2) * y0) / ((t - t0) * (t2 - t) * (t2 - t0))
+             when t0 is null then -(2 * (t2 - t) + (t3 - t2)) / ((t2 - t) * (t3 - t)) * y + (t3 - t) / ((t2 - t) * (t3 - t2)) * y2 - (t2 - t) / ((t3 - t2) * (t3 - t)) * y3
+             else (t - t0) / ((t0 - tm) * (t - tm)) * ym - (t - tm) / ((t0 - tm) * (t - t0)) * y0 + (2 * (t - t0) + (t0 - tm)) / ((t - t0) * (t - tm)) * y end as {out} from {out}_a)"""
+
+
+@query(
+    "w17_acceleration",
+    f"with f as (select clip, frame, t, vec[1] as y from frames), {_gradient_sql('f', 'y', 'vel')}, {_gradient_sql('vel_t', 'vel', 'acc')} select clip, frame, round(greatest(least(acc, 60), -60), 4) as acc from acc_t",
+    "frames",
+)
 def w17b(spark, sf):
     f = v.frames(spark, sf).select("clip", "frame", "t", F.col("pose")[0][0].alias("y"))
     d = K.second_order_gradient(f, ["clip"], "t", "y", "vel", None)
