@@ -12,9 +12,10 @@ every set to leave out up to `slack` of its smallest subsets, which would match
 of its size and in the higher bands that a similar set can lie in.
 
 Sets that agree are *candidates*; every link is verified by the exact intersection. Equal sets are one node, so that
-copies never meet. Within an agreeing group nodes are first verified against one hub, and only pairs of nodes that
-verified links have not yet connected are verified among themselves: all links between different components are
-looked at, none is assumed. A group that is hot inside one input batch enters the shuffle through one node.
+copies never meet. Within an agreeing group nodes are first verified against one hub, then against another where they
+are not connected yet, and at last every pair that is still apart and can be similar is verified: no link between
+different components is assumed or lost, and no group is written out as all its pairs (see `remaining_pairs`).
+A group that is hot inside one input batch enters the shuffle through one node.
 """
 
 from __future__ import annotations
@@ -23,20 +24,23 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.llm.common import grams, split_words, stored, text_of
+from strideline.llm.common import stored
 from strideline.llm.components import label_components
-from strideline.llm.substring import mix64
+from strideline.llm.substring import BASES, WordRuns, mix64
 from strideline.llm.tokens import batches_of
 
 FALSE_COST = 50.0
 GROWTH = 1.25
 KEYS = pa.schema([("group", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
 U = np.uint64
+BATCH = 512
+FEW = 16
 
 
 class Band:
@@ -106,10 +110,22 @@ def segment_keys(tokens: np.ndarray, owner: np.ndarray, n: int, band: Band) -> t
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column("set")
-    at = lists.offsets.to_numpy()
-    return lists.values.to_numpy(zero_copy_only=False)[int(at[0]) : int(at[-1])].view(U), at - int(at[0])
+def gram_sets(texts: Sequence[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the word runs of `size` words of each text, in lower case (A-Z only), all in a row, and
+    where each text's begin. A shorter sequence of words is one run; NULL and empty texts have none."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    counts = np.array([len(x) for x in split], np.int64)
+    words = np.array([w for x in split for w in x], object)
+    hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, U)
+    runs = WordRuns(hashes, BASES[0])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    parts = []
+    for k, n in enumerate(counts.tolist()):
+        lo = int(first[k])
+        start = np.arange(lo, lo + max(n - size, 0) + 1) if n else np.zeros(0, np.int64)
+        parts.append(np.unique(runs.of(start, min(size, n)) ^ U(min(size, n))))
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, U)), at
 
 
 def _set_digest(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -119,30 +135,17 @@ def _set_digest(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(sizes == 0, U(0), mix64((sums[at[1:]] - sums[at[:-1]]) ^ mix64(sizes))).view(np.int64)
 
 
-def gram_sets(docs: DataFrame, size: int, keep: Sequence[str] = ()) -> DataFrame:
-    """`doc_id` and the sorted distinct hashes of the word runs of `size` words, in lower case (A-Z only)."""
-
-    def lower(batches):
-        for b in batches:
-            k = b.schema.get_field_index("text")
-            yield b.set_column(k, b.schema.field(k), pc.ascii_lower(b.column(k)))
-
-    d = docs.select("doc_id", *keep, text_of().alias("text"))
-    d = d.mapInArrow(lower, d.schema).withColumn("words", split_words(F.col("text")))
-    return d.select("doc_id", *keep, F.sort_array(F.array_distinct(grams(F.col("words"), size))).alias("set"))
-
-
 def doc_nodes(docs: DataFrame, size: int) -> DataFrame:
     """`doc_id, node, n`: the node that stands for the document's set, and the set's size."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def name(batches):
-        for b in batches:
-            tokens, at = _sets(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_set_digest(tokens, at)), pa.array(np.diff(at).astype(np.int64))], schema=schema)
+        for big in batches:
+            for b in batches_of(big, BATCH):
+                tokens, at = gram_sets(b.column("text").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_set_digest(tokens, at)), pa.array(np.diff(at))], schema=schema)
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return gram_sets(d, size).mapInArrow(name, "doc_id long, node long, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(name, "doc_id long, node long, n long")
 
 
 def index_keys(docs: DataFrame, size: int, percent: int, bands: Sequence[Band]) -> DataFrame:
@@ -151,8 +154,8 @@ def index_keys(docs: DataFrame, size: int, percent: int, bands: Sequence[Band])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in batches_of(big, 512):
-                tokens, at = _sets(b)
+            for b in batches_of(big, BATCH):
+                tokens, at = gram_sets(b.column("text").to_pylist(), size)
                 node, sizes = _set_digest(tokens, at), np.diff(at)
                 _, first = np.unique(node, return_index=True)
                 live = np.zeros(len(node), bool)
@@ -191,7 +194,7 @@ def index_keys(docs: DataFrame, size: int, percent: int, bands: Sequence[Band])
                 member = np.concatenate([who[head], who[rest], who[shared]])
                 yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(true), pa.array(member)], schema=KEYS)
 
-    return gram_sets(docs.select("doc_id", "text"), size).mapInArrow(entries, "group long, key long, node long")
+    return docs.select("text").mapInArrow(entries, "group long, key long, node long")
 
 
 def agreeing(entries: DataFrame) -> DataFrame:
@@ -234,15 +237,15 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("want", pa.int64()), ("n", pa.int32()), ("set", pa.binary())])
 
     def pack(batches):
-        for b in batches:
-            tokens, at = _sets(b)
-            raw = tokens.view("<i8")  # in the signed order they were sorted in
-            body = [raw[at[k] : at[k + 1]].tobytes() for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(_set_digest(tokens, at)), b.column("want"), pa.array(np.diff(at).astype(np.int32)), pa.array(body, pa.binary())], schema=schema)
+        for big in batches:
+            for b in batches_of(big, BATCH):
+                tokens, at = gram_sets(b.column("text").to_pylist(), size)
+                body = [tokens[at[k] : at[k + 1]].astype("<u8").tobytes() for k in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(_set_digest(tokens, at)), b.column("want"), pa.array(np.diff(at).astype(np.int32)), pa.array(body, pa.binary())], schema=schema)
 
     w = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("want"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(w, F.col("doc_id").eqNullSafe(F.col("_rep")))
-    sets = gram_sets(d, size, keep=["want"]).mapInArrow(pack, "node long, want long, n int, set binary")
+    sets = d.select("text", "want").mapInArrow(pack, "node long, want long, n int, set binary")
     return sets.filter("node = want").drop("want").dropDuplicates(["node"])
 
 
@@ -254,7 +257,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column("x"), b.column("y")):
-                u, v = np.frombuffer(x.as_buffer(), "<i8"), np.frombuffer(y.as_buffer(), "<i8")
+                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 at = np.searchsorted(v, u)
                 common = int((v[np.minimum(at, len(v) - 1)] == u).sum())
                 ok.append(100 * common >= percent * (len(u) + len(v) - common))
@@ -267,18 +270,76 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return d.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def unconnected_pairs(members: DataFrame, labels: DataFrame, hub: Column | None) -> DataFrame:
-    """Pairs of nodes that share a key but no component: against one hub per key, or all of them where `hub` is None."""
-    m = members.select("key", "node").distinct().join(labels, "node")
-    mixed = m.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min_by(F.struct("node", "label"), hub if hub is not None else F.col("node")).alias("_hub"))
-    mixed = mixed.filter("_lo < _hi")
-    if hub is None:
-        left = m.join(mixed.select("key"), "key")
-        right = left.select("key", F.col("node").alias("other"), F.col("label").alias("_l"))
-        d = left.join(right, "key").filter("label < _l")
-    else:
-        d = m.join(mixed.select("key", F.col("_hub.node").alias("other"), F.col("_hub.label").alias("_l")), "key").filter("label <> _l")
-    return d.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def mixed_members(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`key, node, label, n_nodes, pivot` of the keys whose nodes are in different components. The pivot is a key's node
+    with the most verified links so far, a centre of its copies where they have one; the least node on ties."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    m = members.select("key", "node").distinct().join(labels, "node").join(ends, "node", "left")
+    best = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), -F.col("node"))).alias("pivot")
+    mixed = m.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), best, F.count("*").alias("n_nodes"))
+    return m.drop("degree").join(mixed.filter("_lo < _hi").select("key", "pivot", "n_nodes"), "key")
+
+
+def _ordered(d: DataFrame, one: str, other: str) -> DataFrame:
+    return d.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+
+
+def hub_pairs(mixed: DataFrame, seed: int) -> DataFrame:
+    """Every node of a mixed key with one of its nodes, drawn by a hash, where their components differ."""
+    draw = F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(seed), F.col("node"))).alias("_h")
+    d = mixed.join(mixed.groupBy("key").agg(draw), "key").filter(F.col("label") != F.col("_h.label")).withColumn("_o", F.col("_h.node"))
+    return _ordered(d, "node", "_o").distinct()
+
+
+def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a mixed key that can be similar and are in different components.
+
+    A key of up to `FEW` nodes gives its pairs as they are, at most FEW / 2 per node. In a larger key every node is
+    seen as its *difference* from the key's pivot: two sets differ by what their differences differ by, so similar
+    sets have differences that overlap in a known number of grams. Nodes similar to the pivot need no pairs among
+    themselves. For every other pair the smaller difference's rarest grams, as many as must hold one of the overlap,
+    are looked up among the larger differences (prefix filter). Copies with edits of their own share next to none.
+    """
+    few = mixed.filter(F.col("n_nodes") <= FEW)
+    right = few.select("key", F.col("node").alias("_o"), F.col("label").alias("_ol"))
+    plain = _ordered(few.join(right, "key").filter("label < _ol"), "node", "_o")
+
+    many = mixed.filter(F.col("n_nodes") > FEW).select("pivot", "node", "label").distinct()
+    star = _ordered(many.filter("node <> pivot"), "node", "pivot")
+    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("nd", pa.int64()), ("near", pa.bool_()), ("grams", pa.list_(pa.int64()))])
+
+    def differ(batches):
+        for b in batches:
+            out = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                d = np.setxor1d(u, v, assume_unique=True)
+                common = (len(u) + len(v) - len(d)) // 2
+                out.append((len(u), len(d), 100 * common >= percent * (len(u) + len(v) - common), d.view(np.int64)))
+            cols = [b.column("pivot"), b.column("node"), b.column("label"), *[pa.array([o[k] for o in out], schema.field(3 + k).type) for k in range(4)]]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    x = sets.select("node", F.col("set").alias("x"))
+    y = sets.select(F.col("node").alias("pivot"), F.col("set").alias("y"))
+    d = many.join(x, "node").join(y, "pivot").select("pivot", "node", "label", "x", "y")
+    d = stored(d.mapInArrow(differ, "pivot long, node long, label long, n long, nd long, near boolean, grams array<long>"), "differences")
+    per = d.groupBy("pivot").agg(F.min(F.when(~F.col("near"), F.col("nd"))).alias("_far"), F.max("n").alias("_widest"))
+    d = d.join(per.filter("_far is not null"), "pivot")
+    most = F.floor((F.col("n") + F.least(F.floor(F.col("n") * 100 / percent), F.col("_widest"))) * (100 - percent) / (100 + percent))
+    needed = F.ceil((F.col("nd") + F.when(F.col("near"), F.col("_far")).otherwise(F.col("nd")) - most) / 2)
+    d = d.withColumn("_needed", needed).select("pivot", "node", "label", "nd", "near", "grams", "_needed")
+
+    far = d.filter(~F.col("near"))
+    other = far.select("pivot", F.col("node").alias("_o"), F.col("label").alias("_ol"), F.col("nd").alias("_ond"))
+    fits = (F.col("label") != F.col("_ol")) & (F.col("near") | (F.col("_ond") >= F.col("nd")))
+    free = _ordered(d.filter("_needed <= 0").join(other, "pivot").filter(fits), "node", "_o")
+    each = d.filter("_needed > 0 and _needed <= nd").select("pivot", "node", "label", "nd", "near", "_needed", F.explode("grams").alias("gram"))
+    held = far.select("pivot", F.col("node").alias("_o"), F.col("label").alias("_ol"), F.col("nd").alias("_ond"), F.explode("grams").alias("gram"))
+    counts = held.groupBy("pivot", "gram").agg(F.count("*").alias("_times"))
+    rare = W.partitionBy("pivot", "node").orderBy(F.coalesce("_times", F.lit(0)), "gram")
+    prefix = each.join(counts, ["pivot", "gram"], "left").withColumn("_rank", F.row_number().over(rare)).filter((F.col("_rank") <= F.col("nd") - F.col("_needed") + 1) & F.col("_times").isNotNull())
+    met = _ordered(prefix.join(held, ["pivot", "gram"]).filter(fits & (F.col("node") != F.col("_o"))), "node", "_o")
+    return plain.unionByName(star).unionByName(free).unionByName(met).distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs: int = 3) -> DataFrame:
@@ -299,9 +360,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs:
     links = stored(verified(star, sets, percent), "links")
     every = sets.select("node")
     labels = stored(label_components(every, links), "labels")
-    rounds = [F.xxhash64(F.lit(k), F.col("node")) for k in range(1, hubs)] + [None]
-    for hub in rounds:
-        pairs = unconnected_pairs(members, labels, hub)
+    for turn in range(1, hubs + 1):
+        mixed = stored(mixed_members(members, labels, links), "mixed")
+        if mixed.isEmpty():
+            break
+        pairs = hub_pairs(mixed, turn) if turn < hubs else remaining_pairs(mixed, sets, percent)
         more = stored(verified(pairs, sets, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -320,7 +383,7 @@ def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     words stay; of rows with a NULL doc_id those stay that no known id links to."""
     named = jaccard_components(docs, size, percent)
     first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
 
 
 SQL = r"""

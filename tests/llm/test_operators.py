@@ -328,8 +328,9 @@ def brute_components(rows, size, percent):
     return {d: (len(sets[d]), root(d)) for d in docs}
 
 
-@pytest.mark.parametrize(("size", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (2, 60, 3), (1, 50, 4)])
-def test_jaccard_join_matches_brute_force(documents, size, percent, seed):
+@pytest.mark.parametrize(("size", "percent", "seed", "few"), [(3, 90, 1, 16), (5, 80, 2, 1), (2, 60, 3, 2), (1, 50, 4, 1), (1, 70, 5, 1)])
+def test_jaccard_join_matches_brute_force(documents, monkeypatch, size, percent, seed, few):
+    monkeypatch.setattr(setjoin, "FEW", few)
     rng = random.Random(seed)
     rows = []
     for g in range(14):
