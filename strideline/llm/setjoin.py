@@ -135,17 +135,18 @@ def _set_digest(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(sizes == 0, U(0), mix64((sums[at[1:]] - sums[at[:-1]]) ^ mix64(sizes))).view(np.int64)
 
 
-def doc_nodes(docs: DataFrame, size: int) -> DataFrame:
-    """`doc_id, node, n`: the node that stands for the document's set, and the set's size."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+def doc_nodes(docs: DataFrame, size: int, marks: Sequence[str] = ()) -> DataFrame:
+    """`doc_id, node, n`: the node that stands for the document's set, and the set's size; then the text columns `marks` of `docs`."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(c, pa.string()) for c in marks]])
 
     def name(batches):
         for big in batches:
             for b in batches_of(big, BATCH):
                 tokens, at = gram_sets(b.column("text").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_set_digest(tokens, at)), pa.array(np.diff(at))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_set_digest(tokens, at)), pa.array(np.diff(at)), *[b.column(c) for c in marks]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(name, "doc_id long, node long, n long")
+    kinds = ", ".join(["doc_id long, node long, n long", *[f"{c} string" for c in marks]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *marks).mapInArrow(name, kinds)
 
 
 def index_keys(docs: DataFrame, size: int, percent: int, bands: Sequence[Band]) -> DataFrame:
@@ -342,14 +343,9 @@ def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return plain.unionByName(star).unionByName(free).unionByName(met).distinct()
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs: int = 3) -> DataFrame:
-    """`doc_id, n_shingles, component_id` of every row of `docs` (doc_id, text; other columns are ignored).
-
-    A document with fewer words than `size` has its whole sequence as its one gram; a NULL or empty text has none and
-    links with nothing. component_id is the smallest doc_id reachable by links, itself included; NULL ids are passed
-    over and take the component's smallest known id. Repeated rows are equal sets, so one component.
-    """
-    nodes = stored(doc_nodes(docs, size), "nodes")
+def _components(docs: DataFrame, size: int, percent: int, hubs: int, marks: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The stored nodes of all rows, and `node, rep, label` of every node with grams: its least doc_id and its component."""
+    nodes = stored(doc_nodes(docs, size, marks), "nodes")
     largest = nodes.agg(F.max("n")).first()[0] or 1
     reps = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     members = stored(agreeing(index_keys(docs, size, percent, bands_upto(largest * 100 // percent + 1, percent))), "agreeing")
@@ -370,7 +366,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs:
             links = links.unionByName(more)
             labels = stored(label_components(every, links), "labels")
 
-    joined = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return nodes, reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs: int = 3) -> DataFrame:
+    """`doc_id, n_shingles, component_id` of every row of `docs` (doc_id, text; other columns are ignored).
+
+    A document with fewer words than `size` has its whole sequence as its one gram; a NULL or empty text has none and
+    links with nothing. component_id is the smallest doc_id reachable by links, itself included; NULL ids are passed
+    over and take the component's smallest known id. Repeated rows are equal sets, so one component.
+    """
+    nodes, joined = _components(docs, size, percent, hubs)
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "label").select("node", "component_id")
     out = nodes.join(named, "node", "left")
@@ -379,11 +385,30 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs:
 
 
 def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its component. Documents without
-    words stay; of rows with a NULL doc_id those stay that no known id links to."""
-    named = jaccard_components(docs, size, percent)
-    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    """The rows of `docs`, with all their columns: one of each component, and all documents without words.
+
+    The row of the least doc_id stays; a row with a NULL id only where no row of the component has one, and then that
+    of the least text hash. Of rows with the same doc_id and text one stays.
+    """
+    # a NULL id is stood for by the text's hash, so that rows without an id never meet on one key
+    no_id, own, md5 = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.md5(F.coalesce("text", F.lit(""))))
+    row = docs.select(own.alias("doc_id"), "text", F.concat(F.when(no_id, F.lit("1")).otherwise(F.lit("0")), md5).alias("mark"))
+    nodes, joined = _components(row, size, percent, 3, ["mark"])
+    same = nodes.filter("n > 0").join(joined.select("node", "label"), "node").groupBy("label", "doc_id", "mark").agg(F.count("*").alias("times"))
+    best = same.groupBy("label").agg(F.min(F.struct(F.substring("mark", 1, 1).alias("no_id"), "doc_id", "mark", "times")).alias("r")).select("r.doc_id", "r.mark", "r.times")
+    empty = nodes.filter("n = 0").select("doc_id", "mark", F.lit(1).cast("long").alias("times")).distinct()
+    first = stored(best.unionByName(empty).toDF("_id", "_mark", "_times"), "first")
+
+    # names of `docs` may clash with any of ours, so the join is by its own columns
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), F.concat(F.when(docs["doc_id"].isNull(), F.lit("1")).otherwise(F.lit("0")), F.md5(F.coalesce(docs["text"], F.lit(""))))]
+    picked = lambda f: docs.join(f, (key[0] == f["_id"]) & (key[1] == f["_mark"]), "left_semi")
+    repeated = first.filter("_times > 1")
+    if repeated.isEmpty():
+        return picked(first)
+    # repeats differ in other columns at most: one of them, map-side
+    tie = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    one = picked(repeated).groupBy(*key).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), tie).alias("_row")).select("_row.*")
+    return picked(first.filter("_times = 1")).union(one)
 
 
 SQL = r"""

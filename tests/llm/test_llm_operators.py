@@ -375,6 +375,23 @@ def test_jaccard_awkward_rows(documents, awkward):
     assert setjoin.jaccard_components(documents([]), 3, 90).count() == 0
 
 
+def test_one_row_per_component_without_telling_ids(documents):
+    def near(name, edit):
+        return " ".join([f"{name}{k}" for k in range(60)] + [edit])
+
+    rows = [
+        (1, near("a", "x")), (1, near("a", "x")), (None, near("a", "y")), (2, near("a", "z")),  # repeated row, copies with and without an id
+        (None, near("b", "x")), (None, near("b", "y")), (None, near("b", "y")),  # no id at all
+        (None, near("c", "x")), (3, near("c", "y")),  # a known id that comes later
+        (4, near("d", "x")), (4, near("e", "x")),  # one id, two texts
+        (None, near("f", "x")), (None, near("f", "x")),  # repeats without an id
+        (None, None), (None, ""), (None, ""), (5, None),  # no words
+    ]
+    kept = [(r.doc_id, (r.text or "").split(" ")[0]) for r in setjoin.one_per_component(documents(rows, extra=True), 5, 80).collect()]
+    want = [(1, "a0"), (None, "b0"), (3, "c0"), (4, "d0"), (4, "e0"), (None, "f0"), (None, ""), (None, ""), (None, ""), (5, "")]
+    assert Counter(kept) == Counter(want)
+
+
 def test_components_of_a_long_path(spark):
     nodes = spark.range(60).toDF("node")
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 49)], "a long, b long")
