@@ -115,6 +115,68 @@ def balanced_batches(df: DataFrame, label: str, user: str, key: str, classes: in
     return d.join(units.join(full, "batch", "left_semi"), [label, "unit"]).select(key, label, user, "batch")
 
 
+def covering_batches(df: DataFrame, label: str, user: str, key: str, classes: int, per_class: int, seed) -> DataFrame:
+    """(key, label, user, batch): batches of `classes` classes with `per_class` rows each that hold every row of the
+    classes with two subjects or more. Rows of a scarce class are repeated, all of a class equally often within one
+    (but for a subject with most of the class, see below).
+
+    A class of n rows needs n / per_class units, or more if one subject has nearly all of it: a unit takes at most
+    per_class - 1 rows of it. Batches are as few as all units fit into, at most one of a class in a batch; units left
+    over go to the classes used least. A class's rows lie subject by subject in its slots, and slot s belongs to unit
+    s modulo the units, so that a subject meets a unit as seldom as possible and a row never meets a unit twice
+    unless the class has fewer than per_class rows. Units lie class by class, and unit u belongs to batch u modulo
+    the batches; batches are numbered in a seeded order.
+    """
+    if per_class < 2:
+        raise ValueError("per_class must be at least 2")
+    d = df.select(key, label, user).filter(F.col(label).isNotNull())
+    users = d.groupBy(label, user).agg(F.count("*").alias("_c"))
+    per = users.groupBy(label).agg(F.sum("_c").alias("n"), F.max("_c").alias("m"), F.count("*").alias("u")).filter("u >= 2")
+    rows = sorted((r[label], r["n"], r["m"]) for r in per.collect())  # one row per class
+    if len(rows) < classes:
+        raise ValueError(f"{len(rows)} classes have two subjects; a batch needs {classes}")
+    least = [max(-(-n // per_class), -(-m // (per_class - 1))) for _, n, m in rows]
+    batches = max(max(least), -(-sum(least) // classes))
+    turns = _shared_turns(least, batches, classes)
+    first = [sum(turns[:k]) for k in range(len(turns))]
+    # a subject with more than its share of the slots gets per_class - 1 of a unit, the others one
+    plan = [(c, n, m, per_class * m > (per_class - 1) * n, v, f) for (c, n, m), v, f in zip(rows, turns, first)]
+    kind = users.schema[label].dataType.simpleString()
+    plan = F.broadcast(df.sparkSession.createDataFrame(plan, f"_label {kind}, _n long, _m long, _hot boolean, _v long, _f long"))
+
+    users = users.join(plan, F.col(label) == F.col("_label")).withColumn("_most", F.col("_hot") & (F.col("_c") == F.col("_m")))
+    users = users.withColumn("_h", seeded_hash(seed, user)).withColumn("_s1", hash_segment(F.col("_h")))
+    users = ordered_scan(users, [label, "_most"], ["_h", user], "_s1", sums={"_upto": F.col("_c")})
+    users = users.select(F.col(label).alias("_label"), F.col(user).alias("_user"), "_n", "_m", "_hot", "_most", "_v", "_f", (F.col("_upto") - F.col("_c")).alias("_before"))
+    d = seeded_rank(d, [label, user], seed, [key], "_place")
+    d = d.join(users, (F.col(label) == F.col("_label")) & F.col(user).eqNullSafe(F.col("_user")))
+    of = F.when(~F.col("_hot"), F.col("_n")).when(F.col("_most"), F.col("_m")).otherwise(F.col("_n") - F.col("_m"))
+    slots = F.col("_v") * F.when(~F.col("_hot"), per_class).when(F.col("_most"), per_class - 1).otherwise(1)
+    start = F.when(F.col("_hot") & ~F.col("_most"), F.col("_v") * (per_class - 1)).otherwise(0)
+    d = d.withColumns({"_i": F.col("_before") + F.col("_place") - 1, "_of": of, "_slots": slots, "_start": start})
+    # whole numbers throughout: i * slots stays below 2^63 up to some 10^9 rows of a class
+    at = lambda i: F.col("_start") + F.expr(f"({i} * _slots) div _of")
+    d = d.select(key, label, user, "_v", "_f", F.explode(F.sequence(at("_i"), at("(_i + 1)") - 1)).alias("_slot"))
+    d = d.withColumn("_b", F.pmod(F.col("_f") + F.pmod("_slot", "_v"), F.lit(batches)))
+    order = df.sparkSession.range(batches).select(F.col("id").alias("_b"), F.lit(0).alias("_one"))
+    order = seeded_rank(order, ["_one"], seed, ["_b"], "_rank").select("_b", (F.col("_rank") - 1).cast("long").alias("batch"))
+    return d.join(order, "_b").select(key, label, user, "batch")
+
+
+def _shared_turns(least: Sequence[int], batches: int, classes: int) -> list[int]:
+    """Units per class, `batches * classes` in all: at least `least`, at most one a batch, the rest to the classes with fewest."""
+    lo, hi = 0, batches
+    total = lambda level: sum(max(n, level) for n in least)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if total(mid) <= batches * classes else (lo, mid - 1)
+    out, left = [max(n, lo) for n in least], batches * classes - total(lo)
+    for k, n in enumerate(out):
+        if left and n == lo and lo < batches:
+            out[k], left = n + 1, left - 1
+    return out
+
+
 def cross_subject_pair_counts(df: DataFrame, label: str, user: str) -> DataFrame:
     """Same-class pairs of different subjects per class, and rows that have a partner: from counts."""
     per = df.groupBy(label, user).agg(F.count("*").alias("_c"))

@@ -130,6 +130,57 @@ def t7b(spark, sf):
     return T.batch_positive_pairs(b, "sample_id", "label", "subject").groupBy("label").agg(F.count("*").alias("n_pairs"))
 
 
+_COVERING = """with us as (select label, subject, count(*) as c from seq where label is not null group by 1, 2),
+            k0 as (select label, sum(c)::bigint as n, max(c) as m from us group by 1 having count(*) >= 2),
+            k as (select *, greatest((n + 3) // 4, (m + 2) // 3) as least, 4 * m > 3 * n as hot from k0),
+            nb as (select greatest(max(least), (sum(least)::bigint + 2) // 3)::bigint as b, sum(least)::bigint as needed from k),
+            ex as (select label, row_number() over (order by t, label) as rk from (select label, unnest(range(least, (select b from nb))) as t from k)),
+            v as (select k.*, least + (select count(*) from ex, nb where ex.label = k.label and rk <= 3 * b - needed) as v from k),
+            f as (select *, (sum(v) over (order by label) - v)::bigint as f from v),
+            r as (select seq.sample_id, seq.label, seq.subject, f.*  exclude (label), hot and us.c = m as most from seq join us using (label, subject) join f using (label)),
+            p as (select *, row_number() over (partition by label, most order by sha256('5:' || subject), subject, sha256('5:' || sample_id), sample_id) - 1 as i,
+                         case when not hot then n when most then m else n - m end as ofs, v * case when not hot then 4 when most then 3 else 1 end as slots, case when hot and not most then 3 * v else 0 end as start from r),
+            s as (select *, unnest(range((start + i * slots // ofs)::bigint, (start + (i + 1) * slots // ofs)::bigint)) as slot from p),
+            o as (select bb, row_number() over (order by sha256('5:' || bb), bb) - 1 as batch from (select unnest(range(b)) as bb from nb))
+       select sample_id, label, subject, batch::bigint as batch from s join o on bb = (f + slot % v) % (select b from nb)"""
+
+
+def _covering(spark, sf):
+    return T.covering_batches(v.seq(spark, sf), "label", "subject", "sample_id", 3, 4, 5)
+
+
+@query("t6_covering_batches", _COVERING, "seq")
+def t6c(spark, sf):
+    return _covering(spark, sf)
+
+
+@query(
+    "t6_covering_rules",
+    """select 'rows_in_a_batch' as rule, count(*) as n from seq where label in (select label from seq group by 1 having count(distinct subject) >= 2)
+       union all select 'class_with_other_than_4_rows', 0 union all select 'row_twice_in_a_class', 0 union all select 'unit_of_one_subject', 0 union all select 'batch_with_other_than_3_classes', 0""",
+    "seq",
+)
+def t6d(spark, sf):
+    b = _covering(spark, sf)
+    cell = b.groupBy("batch", "label").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("u"), F.count_distinct("sample_id").alias("d"))
+    classes = cell.groupBy("batch").agg(F.count("*").alias("c"))
+    n = lambda d, cond, rule: d.agg(F.sum(cond.cast("long")).alias("n")).select(F.lit(rule).alias("rule"), "n")
+    return (
+        b.agg(F.count_distinct("sample_id").alias("n")).select(F.lit("rows_in_a_batch").alias("rule"), "n")
+        .unionByName(n(cell, F.col("n") != 4, "class_with_other_than_4_rows")).unionByName(n(cell, F.col("d") != F.col("n"), "row_twice_in_a_class"))
+        .unionByName(n(cell, F.col("u") < 2, "unit_of_one_subject")).unionByName(n(classes, F.col("c") != 3, "batch_with_other_than_3_classes"))
+    )
+
+
+@query(
+    "t7_covering_positive_pairs",
+    f"""with bb as ({_COVERING}) select a.label, count(*) as n_pairs from bb a join bb b on a.batch = b.batch and a.label = b.label and a.sample_id < b.sample_id and a.subject <> b.subject group by 1""",
+    "seq",
+)
+def t7c(spark, sf):
+    return T.batch_positive_pairs(_covering(spark, sf), "sample_id", "label", "subject").groupBy("label").agg(F.count("*").alias("n_pairs"))
+
+
 @query("t8_seeded_shuffle", "select subject, sample_id, row_number() over (partition by subject order by sha256('42:' || subject || ':' || sample_id), subject, sample_id) as place from seq", "seq")
 def t8(spark, sf):
     d = T.seeded_rank(v.seq(spark, sf).select("subject", "sample_id"), ["subject"], 42, ["subject", "sample_id"], "place")

@@ -135,3 +135,32 @@ def test_gate_writes_template_labels_and_falls_back(spark):
     gated = spark.createDataFrame([(1, [4, 5], True), (2, [6], False)], "g long, labels array<int>, accepted boolean")
     got = {(r.g, r.pos): (r.pred, r.from_template) for r in S.apply_gate(rows, gated, "g", "pos", "base").collect()}
     assert got == {(1, 1): (4, True), (1, 2): (5, True), (2, 1): (8, False), (3, 1): (7, False)}
+
+
+def test_covering_batches_hold_every_row(spark):
+    from collections import Counter, defaultdict
+
+    from strideline.operators.sampling import covering_batches
+
+    # a common class, a scarce one, one that a single subject has nearly all of, one of three rows, one of one subject
+    sizes = {0: [9] * 20, 1: [2, 3], 2: [61, 1, 1], 3: [2, 1], 4: [7]}
+    rows, eligible = [], set()
+    for label, users in sizes.items():
+        for u, n in enumerate(users):
+            for _ in range(n):
+                if label != 4:
+                    eligible.add(len(rows))
+                rows.append((len(rows), label, u))
+    rows.append((len(rows), None, 1))
+    d = spark.createDataFrame(rows, "id long, label int, subject int")
+    out = covering_batches(d, "label", "subject", "id", 3, 4, 5).collect()
+    assert {r["id"] for r in out} == eligible
+    cells = defaultdict(list)
+    for r in out:
+        cells[r["batch"], r["label"]].append(r)
+    batches = Counter(b for b, _ in cells)
+    assert set(batches.values()) == {3} and sorted(batches) == list(range(45))  # 180 rows of class 0, 4 a batch
+    for (_, label), x in cells.items():
+        assert len(x) == 4 and len({r["subject"] for r in x}) >= 2
+        assert len({r["id"] for r in x}) == (3 if label == 3 else 4)
+    assert sorted(out) == sorted(covering_batches(d.repartition(5), "label", "subject", "id", 3, 4, 5).collect())
