@@ -429,6 +429,23 @@ def test_outliers_are_rejected_and_clean_documents_stay(documents):
     assert all(r.kept == (r.doc_id < 1000) for r in out)
 
 
+def test_duplicate_lines_or_repeats_alone_are_rejected(documents):
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.choice('bcdfgh')}{rng.randrange(10**5):05d}" for _ in range(n)]
+    rows = [(k, "\n".join(" ".join(fresh(8)) for _ in range(20))) for k in range(200)]
+    phrase = " ".join(fresh(7))
+    both = "\n".join([" ".join(fresh(8))] * 8 + [" ".join(fresh(8)) for _ in range(10)])
+    repeats = "\n".join(" ".join(fresh(8)) + " " + phrase for _ in range(10))
+    little = "\n".join([" ".join(fresh(8))] * 2 + [" ".join(fresh(8)) for _ in range(18)])
+    lone = "\n".join(f"{' '.join(fresh(4))}\nab\nab" for k in range(40))
+    odd = [(1000, lone), (1001, repeats), (1002, both), (1003, little)]
+    out = {r.doc_id: r for r in outliers.quality_verdicts(documents(rows + odd)).collect()}
+    # two of three lines, each a single word; 47 % repeated words; both at about 40 %; one line of 20
+    assert out[1000].n_repeat_words == 0
+    assert [(out[k].base_failed, out[k].kept) for k in (1000, 1001, 1002, 1003)] == [(False, False), (False, False), (False, False), (False, True)]
+    assert all(out[k].kept for k in range(200))
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------
 
 
