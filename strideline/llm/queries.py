@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import classifier, fingerprints, licenses, mixing, outliers, packing, setjoin, substring, token_file, warc
+from strideline.llm import classifier, decontaminate, fingerprints, licenses, mixing, outliers, packing, setjoin, substring, token_file, vafile, warc, whitening
 from strideline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,19 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan", licenses.SQL)
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_decontaminate", decontaminate.SQL)
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, shingle=5)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op12_cluster_vectors", vafile.SQL)
+def op12_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, clusters=16, rounds=3)
+
+
+@query("op13_whiten")
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), wanted=32)
