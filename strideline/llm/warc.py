@@ -1,7 +1,7 @@
 """WARC archives with revisit resolution.
 
 Only headers (payload digest, id) are shuffled by digest, pre-aggregated map-side, to find the original of each
-group of equal payloads. Later captures become `revisit` records that name the original and carry no payload.
+group of equal payloads; they are digested once and stored. Later captures become `revisit` records that name the original and carry no payload.
 Payloads move once, by page id, to meet that decision. Archives are written by Spark's own writer (its commit
 protocol survives lost executors): a WARC record ends in CRLF CRLF, which is given as the line separator.
 """
@@ -9,7 +9,6 @@ protocol survives lost executors): a WARC record ends in CRLF CRLF, which is giv
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -17,31 +16,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm.common import BASE32, shared_path
+from strideline.llm.common import BASE32, let, shared_path, stored
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CUT = b"\r\n\r\n"
 READ_SCHEMA = "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a text in UTF-8: 5 hexadecimal digits give 4 characters."""
-    hexed = F.sha1(payload)
-    out = []
-    for k in range(8):
-        n = F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            at = F.shiftright(n, shift).bitwiseAND(F.lit(31)) + 1
-            out.append(F.substring(F.lit(BASE32), at, F.lit(1)))
-    return F.concat(*out)
+    """Upper-case base32 of the SHA-1 of a text in UTF-8: 10 hexadecimal digits are 8 digits to the base 32."""
+    digits = lambda h: F.concat(*[F.lpad(F.conv(F.substring(h, a, 10), 16, 32), 8, "0") for a in (1, 11, 21, 31)])
+    return F.translate(let(F.sha1(payload), digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def revisit_plan(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Of headers (page_id, payload_digest, payload_bytes): the records that revisit an earlier one, as
-    `page_id, payload_digest, refers_to`. The smallest page_id of a digest stays; equal rows are taken once."""
+    `page_id, payload_digest, refers_to`. The smallest page_id of a digest stays; equal rows are taken once.
+
+    The originals, one row per repeated digest, are written before they meet their revisits, so that both sides of the
+    join are shuffles of their own and Spark can split a digest that most pages share."""
     large = headers.filter(F.col("payload_bytes") >= min_bytes)
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = large.select("page_id", "payload_digest").join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    later = large.select("page_id", "payload_digest").join(stored(first, "originals"), "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return later.select("page_id", "payload_digest", "refers_to").distinct()
 
 
@@ -56,11 +53,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
     NULL html is the empty payload, a NULL url becomes `urn:page:<id>`, control characters of a url are dropped.
     Repeated rows give repeated records; a row without page_id never is an original unless no equal row has an id.
-    An archive holds `records_per_file` records at most, which bounds what a reader has to hold.
+    An archive holds `records_per_file` records at most; readers take it as a stream, so its bytes need no bound.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", payload.alias("_body")).withColumns({"payload_digest": base32_sha1(F.col("_body")), "payload_bytes": F.octet_length("_body").cast("long")})
-    plan = revisit_plan(p.select("page_id", "payload_digest", "payload_bytes"), min_bytes)
+    plan = revisit_plan(stored(p.select("page_id", "payload_digest", "payload_bytes"), "headers"), min_bytes)
     plan = plan.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to")
     d = p.join(plan, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     again = F.col("_id").isNotNull() | (F.col("_digest").isNotNull())
@@ -85,47 +82,73 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     d.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple]:
-    """Records of one unpacked archive as rows of READ_SCHEMA; a payload that misses its digest raises."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-        body = None
+class RecordStream:
+    """Rows of READ_SCHEMA from an archive that comes in pieces; a payload that misses its digest raises."""
+
+    def __init__(self, name: str | None):
+        self.name, self.buffer, self.need = name, bytearray(), 0
+
+    def feed(self, piece) -> Iterator[tuple]:
+        self.buffer += piece
+        while len(self.buffer) >= self.need and (end := self.buffer.find(CUT)) >= 0:
+            head = dict(x.split(": ", 1) for x in self.buffer[:end].decode("utf-8").split("\r\n")[1:])
+            if "Content-Length" not in head:
+                return
+            size = int(head["Content-Length"])
+            self.need = end + 8 + size
+            if len(self.buffer) < self.need:
+                return
+            yield self._row(head, bytes(self.buffer[end + 4 : end + 4 + size]))
+            del self.buffer[: self.need]
+            self.need = 0
+
+    def _row(self, head: dict[str, str], block: bytes) -> tuple:
+        digest, kind, body = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], None
         if kind == "response":
-            body = block[block.index(b"\r\n\r\n") + 4 :]
+            body = block[block.index(CUT) + 4 :]
             if base64.b32encode(hashlib.sha1(body).digest()).decode() != digest or len(body) != int(head["X-Payload-Length"]):
                 raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
         number = lambda k: int(head[k]) if k in head else None
-        yield number("X-Page"), head["WARC-Target-URI"], kind, number("X-Refers-To-Page"), digest, int(head["X-Payload-Length"]), body
-        at = end + 4 + size + 4
+        return number("X-Page"), head["WARC-Target-URI"], kind, number("X-Refers-To-Page"), digest, int(head["X-Payload-Length"]), body
+
+    def close(self) -> None:
+        if self.buffer.strip(b"\r\n"):
+            raise ValueError(f"{self.name} ends inside a record")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records of the archives below `path`; every payload is checked against its digest."""
+    """All records of the archives below `path`; every payload is checked against its digest.
+
+    An archive is unpacked as a stream of the stretches between blank lines, put together record by record: a task
+    holds one record and one batch of stretches, however large the archive."""
     cols = READ_SCHEMA if payloads else READ_SCHEMA.rpartition(",")[0]
     names = [c.split()[0] for c in cols.split(", ")]
     types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
     schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
 
     def rows(batches):
+        stream, found, held = RecordStream(None), [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+
         for b in batches:
-            for blob in b.column(0):
-                found: list[tuple] = []
-                for r in parse_archive(gzip.decompress(blob.as_buffer())):
+            for piece, name in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
+                if name != stream.name:
+                    stream.close()
+                    stream = RecordStream(name)
+                for r in stream.feed(piece.as_py() + CUT):
                     found.append(r[: len(names)])
-                    if len(found) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
-                        found = []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(rows, cols)
+                    held += len(r[6] or b"") if payloads else 0
+                if len(found) >= 2000 or held > 1 << 26:
+                    yield batch()
+                    found, held = [], 0
+        stream.close()
+        if found:
+            yield batch()
+
+    stretches = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.gz").text(path)
+    return stretches.select("value", "_metadata.file_name").mapInArrow(rows, cols)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
