@@ -1,4 +1,4 @@
-"""Assigning classes under constraints: distinct inside a recording, or under class capacities."""
+"""Assigning distinct classes inside a recording."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
-from strideline.session import cut_lineage
 
 
 def _min_cost_rows(cost: np.ndarray) -> np.ndarray:
@@ -85,73 +84,3 @@ def group_distinct_assignment(df: DataFrame, group: str, sample: str, probs: str
     solved = solved.select(group, F.explode(F.arrays_zip("ids", "picks")).alias("_z")).select(group, F.col("_z.ids").alias(sample), F.col("_z.picks").alias("_pick")).filter("_pick >= 0")
     d = df.select(group, sample, probs).join(solved, [group, sample], "left")
     return d.select(group, sample, probs, F.coalesce("_pick", P.argmax(probs, digits)).alias("assigned"), F.col("_pick").isNotNull().alias("solved"))
-
-
-def capacity_assignment(df: DataFrame, sample: str, probs: str, targets: DataFrame, n_classes: int, tolerance: float = 1e-3, max_rounds: int = 400) -> DataFrame:
-    """Classes under exact capacities: prices per class move until demand meets capacity.
-
-    Each round is one aggregate of C counts over the rows (demand at the current prices); only C
-    numbers reach the driver. A price that balances demand is the optimal dual of the transport
-    problem. Rows nearly indifferent between classes are then moved, cheapest first, from classes
-    over capacity to classes under it, so that capacities hold exactly.
-    """
-    from strideline.operators.scan import ranked
-
-    caps = {r["cls"]: int(r["n_target"]) for r in targets.collect()}  # one row per class
-    want = np.array([caps.get(c, 0) for c in range(n_classes)], dtype=float)
-    base = cut_lineage(df.select(sample, probs, P.safe_log(probs).alias("_l")))
-    price, step = np.zeros(n_classes), 1.0
-    value = lambda pr: F.zip_with("_l", F.array(*[F.lit(float(x)) for x in pr]), lambda a, b: a - b)
-
-    def demand(pr):
-        row = base.select(P.argmax(value(pr)).alias("c")).agg(*[F.sum((F.col("c") == c).cast("long")) for c in range(n_classes)]).first()
-        return np.array([x or 0 for x in row], dtype=float)
-
-    got = demand(price)
-    best, best_gap, last = price.copy(), np.abs(got - want).sum(), None
-    for _ in range(max_rounds):
-        if best_gap <= 0.01 * want.sum() or step < tolerance:
-            break
-        over = (got - want) / max(want.sum(), 1.0)
-        trial = price + step * over * n_classes
-        got_trial = demand(trial)
-        gap = np.abs(got_trial - want).sum()
-        if gap < best_gap:
-            price, got, best, best_gap, step = trial, got_trial, trial.copy(), gap, step * 1.2
-        else:
-            step *= 0.5
-    return _settle(base, sample, probs, best, want.astype(int), n_classes, value(best), ranked)
-
-
-def _settle(base, sample, probs, price, want, n_classes, net, ranked) -> DataFrame:
-    """Move the least attached rows until every class holds its capacity: at most C*C rounds."""
-    d = base.withColumns({"_v": net}).withColumn("assigned", P.argmax("_v")).select(sample, probs, "_v", "assigned")
-    for _ in range(n_classes * n_classes):
-        got = {r["assigned"]: r["count"] for r in d.groupBy("assigned").count().collect()}  # one row per class
-        spare = [c for c in range(n_classes) if got.get(c, 0) < want[c]]
-        full = [c for c in range(n_classes) if got.get(c, 0) > want[c]]
-        if not full:
-            break
-        a, b = full[0], spare[0]
-        quota = min(got[a] - want[a], want[b] - got.get(b, 0))
-        loss = F.col("_v")[a] - F.col("_v")[b]
-        movers = ranked(d.filter(F.col("assigned") == a).select(sample, loss.alias("_loss"), F.lit(0).alias("_one")), ["_one"], "_loss", [sample], "_rk")
-        moved = movers.filter(F.col("_rk") <= int(quota)).select(sample, F.lit(b).alias("_to"))
-        d = d.join(moved, sample, "left").withColumn("assigned", F.coalesce("_to", "assigned")).drop("_to")
-        d = cut_lineage(d)
-    return d.select(sample, probs, "assigned")
-
-
-def capacity_violations(assigned: DataFrame, sample: str, probs: str, targets: DataFrame, n_classes: int) -> DataFrame:
-    """(rule, n): rows left out, classes off their capacity, and pairs of classes that could still
-    exchange a row each at a profit larger than the slack of the assignment."""
-    slack = 0.25
-    none = assigned.agg(F.sum(F.col("assigned").isNull().cast("long")).alias("n")).select(F.lit("clips_unassigned").alias("rule"), "n")
-    got = assigned.groupBy(F.col("assigned").alias("cls")).agg(F.count("*").alias("got"))
-    off = targets.join(got, "cls", "left").na.fill(0, ["got"]).agg(F.sum((F.col("got") != F.col("n_target")).cast("long")).alias("n")).select(F.lit("classes_over_or_under_capacity").alias("rule"), "n")
-    # best gain of moving any row from class a to class b, per (a, b): C*C numbers
-    gain = assigned.withColumn("_l", P.safe_log(probs)).select("assigned", F.posexplode("_l").alias("to", "l_to"), F.col("_l")[F.col("assigned")].alias("l_own"))
-    g = gain.filter("to <> assigned").groupBy("assigned", "to").agg(F.max(F.col("l_to") - F.col("l_own")).alias("gain"))
-    back = g.select(F.col("assigned").alias("to"), F.col("to").alias("assigned"), F.col("gain").alias("back"))
-    swaps = g.join(back, ["assigned", "to"]).agg(F.sum((F.col("gain") + F.col("back") > slack).cast("long")).alias("n")).select(F.lit("slack_violations").alias("rule"), "n")
-    return none.unionByName(off).unionByName(swaps)

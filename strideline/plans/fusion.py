@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strideline.functions import posterior as P
 from strideline.operators import assignment as AS
 from strideline.operators import fusion as FU
+from strideline.operators import transport as T
 from strideline.plans import views as v
 from strideline.plans.registry import query
 
@@ -154,17 +155,57 @@ def f8(spark, sf):
     return FU.largest_remainder(shares, 405).select("cls", "n_target")
 
 
+_TARGETS = """t as (select cls, q * (select count(*) from seq) as raw from prior),
+    u as (select cls, floor(raw)::bigint as low, row_number() over (order by round(raw - floor(raw), 9) desc, cls) as o from t),
+    caps as (select cls, low + (o <= (select count(*) from seq) - (select sum(low) from u))::int as n_target from u)"""
+
+
+def _targets(spark, sf, n):
+    shares = FU.class_prior(v.seq(spark, sf), "label", C).select(F.posexplode("prior").alias("cls", "q"))
+    return FU.largest_remainder(shares, n).select("cls", "n_target")
+
+
 @query(
     "f9_capacity_assignment",
-    """select 'clips_unassigned' as rule, 0::bigint as n union all select 'classes_over_or_under_capacity', 0 union all select 'slack_violations', 0""",
+    f"""with {_TARGETS}
+    select cls, n_target as n_assigned, n_target from caps""",
+    "prior seq",
 )
 def f9(spark, sf):
     d = v.posteriors_wide(spark, sf).select("sample_id", F.col("p0").alias("probs"))
-    n = d.count()
-    shares = FU.class_prior(v.seq(spark, sf), "label", C).select(F.posexplode("prior").alias("cls", "q"))
-    targets = FU.largest_remainder(shares, n).select("cls", "n_target")
-    got = AS.capacity_assignment(d, "sample_id", "probs", targets, C)
-    return AS.capacity_violations(got, "sample_id", "probs", targets, C)
+    targets = _targets(spark, sf, d.count())
+    got = T.capacity_assignment(d, "sample_id", "probs", targets, C).groupBy(F.col("assigned").alias("cls")).agg(F.count("*").alias("n_assigned"))
+    return targets.join(got, "cls", "left").select("cls", F.coalesce("n_assigned", F.lit(0)).cast("long").alias("n_assigned"), F.col("n_target").cast("long").alias("n_target"))
+
+
+@query("f9_transport_certificate", "select 'rows' as measure, count(*) as n from seq union all select unnest(['off_capacity', 'negative_cycles', 'cost_over_bound']), 0", "seq")
+def f9_certificate(spark, sf):
+    d = v.posteriors_wide(spark, sf).select("sample_id", F.col("p0").alias("probs"))
+    targets = _targets(spark, sf, d.count())
+    return T.transport_certificate(T.capacity_assignment(d, "sample_id", "probs", targets, C), targets, C)
+
+
+# three classes: the best bound over all corners of the dual, at which two of the three price differences are differences of costs
+@query(
+    "f9_transport_cost",
+    f"""with {_TARGETS},
+    cap as (select case when cls = 0 then 0 when cls <= 2 then 1 else 2 end as k, sum(n_target) as n from caps group by 1),
+    x as (select sample_id, sum(case when cls = 0 then p end) as a, sum(case when cls in (1, 2) then p end) as b, sum(case when cls > 2 then p end) as c from post where member = 0 group by sample_id),
+    y as (select round(-ln(greatest(a, 1e-12)) * 1e9)::bigint as a, round(-ln(greatest(b, 1e-12)) * 1e9)::bigint as b, round(-ln(greatest(c, 1e-12)) * 1e9)::bigint as c from x),
+    z as (select a, b, c, count(*) as w from y group by a, b, c),
+    ab as (select distinct a - b as d from z), ac as (select distinct a - c as d from z), bc as (select distinct b - c as d from z),
+    corners as (select ab.d as p, ac.d as q from ab, ac union select ab.d, ab.d + bc.d from ab, bc union select ac.d - bc.d, ac.d from ac, bc),
+    g as (select p, q, sum(w * least(a, b + p, c + q)) - p * (select n from cap where k = 1) - q * (select n from cap where k = 2) as v from corners, z group by p, q)
+    select (select count(*) from seq) as n_clips, round(max(v) / 1e9, 4) as total_cost from g""",
+    "post prior seq",
+)
+def f9_cost(spark, sf):
+    p = F.col("p0")
+    d = v.posteriors_wide(spark, sf).select("sample_id", F.array(p[0], p[1] + p[2], p[3] + p[4]).alias("probs"))
+    merged = F.when(F.col("cls") == 0, 0).when(F.col("cls") <= 2, 1).otherwise(2)
+    targets = _targets(spark, sf, d.count()).groupBy(merged.alias("cls")).agg(F.sum("n_target").alias("n_target"))
+    got = T.capacity_assignment(d, "sample_id", "probs", targets, 3)
+    return got.agg(F.count("*").alias("n_clips"), F.round(F.sum(F.col("_cost")[F.col("assigned")]) / 1e9, 4).alias("total_cost"))
 
 
 def _rec(spark, sf):
