@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
 from strideline.functions import vectors as V
+from strideline.operators import nested as N
 from strideline.operators import sequence as S
 from strideline.operators import structure as ST
 from strideline.operators.scan import ordered_scan
@@ -98,6 +99,53 @@ def q3c(spark, sf):
     return counts(spark, sf).filter("kind = 'edge'").select(place[F.col("prev")].alias("prev"), place[F.col("next")].alias("next"), "n")
 
 
+_CONTROLS = ["none", "uniform", "reverse-source", "shuffle-source", "label-permute", "reverse-target", "shuffle-target"]
+
+
+@query(
+    "q3_control_accuracy",
+    f"""with recursive {_SRC}, so as (select 'none' as ctl union all select unnest(['reverse-source', 'shuffle-source'])),
+      sr as (select ctl, subject, label, case ctl when 'none' then row_number() over (partition by ctl, subject order by t0, sample_id) when 'reverse-source' then row_number() over (partition by ctl, subject order by t0 desc, sample_id desc)
+         else row_number() over (partition by ctl, subject order by sha256('7:' || sample_id), sample_id) end as ord from src cross join so),
+      e as (select ctl, label, lead(label) over (partition by ctl, subject order by ord) as nx from sr),
+      cl as (select unnest([0, 1, 2, 3, 4]) as c), un as (select c, (select count(*) from src where label = c) as u from cl), pr as (select c, (u + 1) / (sum(u) over () + 5)::double as q from un),
+      tc as (select ctl, label as prev, nx as next, count(*) as n from e where nx is not null group by all),
+      ts as (select so.ctl, a.c as prev, b.c as next, ln((coalesce(n, 0) + 5 * q) / (sum(coalesce(n, 0)) over (partition by so.ctl, a.c) + 5)) as s from so cross join cl a cross join cl b join pr on pr.c = b.c left join tc on tc.ctl = so.ctl and tc.prev = a.c and tc.next = b.c),
+      pm as (select c, row_number() over (order by sha256('7:' || c)) - 1 as i from cl),
+      tr as (select * from ts union all select 'uniform', prev, next, 0 from ts where ctl = 'none' union all select 'label-permute', a.i, b.i, s from ts join pm a on a.c = prev join pm b on b.c = next where ctl = 'none'
+             union all select unnest(['reverse-target', 'shuffle-target']), prev, next, s from ts where ctl = 'none'),
+      ct as (select distinct ctl from tr),
+      ro as (select ctl, sample_id, subject, label, count(*) over (partition by ctl, subject) as n, case ctl when 'reverse-target' then row_number() over (partition by ctl, subject order by t0 desc, sample_id desc)
+         when 'shuffle-target' then row_number() over (partition by ctl, subject order by sha256('7:' || sample_id), sample_id) else row_number() over (partition by ctl, subject order by t0, sample_id) end as pos from seq cross join ct),
+      em as (select ro.*, cls, ln(greatest(p, 1e-12)) as e from ro join post using (sample_id) where member = 0),
+      vt(ctl, subject, pos, n, cls, score, path) as (
+        select ctl, em.subject, pos, n, cls, e, [cls] from em where pos = 1
+        union all
+        select em.ctl, em.subject, em.pos, em.n, em.cls, max_by(vt.score + 0.5 * tr.s, (round(vt.score + 0.5 * tr.s, 9), -tr.prev)) + any_value(e), list_append(max_by(vt.path, (round(vt.score + 0.5 * tr.s, 9), -tr.prev)), em.cls)
+        from vt join em on em.ctl = vt.ctl and em.subject = vt.subject and em.pos = vt.pos + 1 join tr on tr.ctl = em.ctl and tr.prev = vt.cls and tr.next = em.cls group by em.ctl, em.subject, em.pos, em.n, em.cls),
+      fin as (select ctl, subject, max_by(path, (round(score, 9), -cls)) as path from vt where pos = n group by 1, 2)
+      select ctl as control, count(*) filter (where path[pos] = label) as hits, count(*) as n from ro join fin using (ctl, subject) group by 1""",
+    "seq post",
+)
+def q3_accuracy(spark, sf):
+    """Right labels under every negative control: of the model, of its source order, or of the decoded order."""
+    rows = source(spark, sf)
+
+    def model(control):
+        d, order, seg = S.controlled_order(rows, control, "t0", "sample_id", "year", 7)
+        return S.model_arrays(S.transition_scores(S.transition_counts(d, "subject", order, "label", seg), C, backoff="unigram"), C)
+
+    start, trans = model("none")
+    perm = S.permuted_labels(C, 7)
+    models = [(start, trans), (start * 0, trans * 0), model("reverse"), model("shuffle"), (start[perm], trans[perm][:, perm])]
+    targets, found = _targets(spark, sf), []
+    for order_of, names, some in (("none", _CONTROLS[:5], models), ("reverse", _CONTROLS[5:6], models[:1]), ("shuffle", _CONTROLS[6:], models[:1])):
+        d, order, seg = S.controlled_order(targets, order_of, "t0", "sample_id", "year", 7)
+        hits = N.decode_hits(d, "subject", order, "sample_id", "probs", "label", seg, [N.Setting(None, *m, 0.5) for m in some])
+        found.append(hits.select(F.array(*map(F.lit, names))[F.col("setting")].alias("control"), "hits", "n"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _targets(spark, sf):
     w = v.posteriors_wide(spark, sf).select("subject", "sample_id", "label", "t0", "year", F.col("p0").alias("probs"))
     return w
@@ -313,6 +361,73 @@ def q9_labels(spark, sf):
     return out.select("sample_id", "from_template", F.col("pred").cast("int").alias("pred"))
 
 
+_MARKOV = f"""{_PROPOSE}, {_SRC}, e as (select *, lead(label) over w as nx from src window w as (partition by subject order by t0, sample_id)), hf as (select unnest([0, 1, 2, 3]) as held), cl as (select unnest([0, 1, 2, 3, 4]) as c),
+  tc as (select held, label as prev, nx as next, count(*) as n from e join hf on subject % 4 <> held where nx is not null group by all),
+  tr as (select hf.held, a.c as prev, b.c as next, ln((coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) over (partition by hf.held, a.c) + 5)::double) as s from hf cross join cl a cross join cl b left join tc on tc.held = hf.held and tc.prev = a.c and tc.next = b.c),
+  tie as (select subject * 100 + year as grp from seq group by subject, year having count(*) > count(distinct t0)),
+  em as (select rp.*, cls, ln(greatest(p, 1e-12)) as e from rp join post using (sample_id) where member = 0 and rp.grp not in (select grp from tie)),
+  vt(held, grp, pos, n, cls, score, path) as (
+    select held, em.grp, pos, n, cls, e, [cls] from em where pos = 1
+    union all
+    select em.held, em.grp, em.pos, em.n, em.cls, max_by(vt.score + 0.5 * tr.s, (round(vt.score + 0.5 * tr.s, 9), -tr.prev)) + any_value(e), list_append(max_by(vt.path, (round(vt.score + 0.5 * tr.s, 9), -tr.prev)), em.cls)
+    from vt join em on em.grp = vt.grp and em.pos = vt.pos + 1 join tr on tr.held = em.held and tr.prev = vt.cls and tr.next = em.cls group by em.held, em.grp, em.pos, em.n, em.cls),
+  fin as (select grp, max_by(path, (round(score, 9), -cls)) as path from vt where pos = n group by 1)"""
+
+
+@query(
+    "q9_markov_fallback",
+    f"""with recursive {_MARKOV}, ac as (select grp, string_split(labels, ',') as ls from pp where round(loss, 9) <= 0.3 and round(margin, 9) >= 0.1)
+        select rp.sample_id, ac.grp is not null as from_template, fin.grp is not null as decoded, coalesce(ac.ls[rp.pos]::int, fin.path[rp.pos]::int, m.pred::int) as pred
+        from rp join mpred m on m.sample_id = rp.sample_id and m.member = 0 left join ac on ac.grp = rp.grp left join fin on fin.grp = rp.grp""",
+    "seq post mpred",
+)
+def q9_markov(spark, sf):
+    """Rows of recordings whose template was turned down take the best path under the other folds' transitions; recordings
+    without a known order keep their arg-max."""
+    per = S.transition_counts(source(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int")), "subject", ["t0", "sample_id"], "label", "year", ["fold"])
+    models = N.paired_models(per, "fold", 4, C)
+    t = _targets(spark, sf).withColumn("grp", F.col("subject") * 100 + F.col("year"))
+    known, decoded = S.ordered_rows(t, "grp", "t0", "sample_id", "year"), None
+    for k in range(4):
+        part = S.viterbi_decode(_packed(known.filter(F.col("subject") % 4 == k), group="grp"), "grp", "sample_id", *models[k, k], 0.5)
+        decoded = part if decoded is None else decoded.unionByName(part)
+    rows = ordered_scan(t.select("grp", "sample_id", "t0", "year", "probs"), ["grp"], ["t0", "sample_id"], "year", row="pos")
+    rows = S.decode_with_fallback(rows, decoded, "grp", "sample_id", "probs").withColumnRenamed("pred", "fallback")
+    out = S.apply_gate(rows, S.gate_proposals(_proposals(spark, sf), 0.3, 0.1), "grp", "pos", "fallback")
+    return out.select("sample_id", "from_template", (~F.col("skipped")).alias("decoded"), F.col("pred").cast("int").alias("pred"))
+
+
+_GRID = (0.25, 0.5, 1.0)
+
+
+@query(
+    "e9_nested_decoder",
+    f"""with recursive {_SRC}, fo as (select unnest([0, 1, 2, 3]) as f), pa as (select a.f, b.f as g from fo a, fo b), e as (select *, lead(label) over w as nx from src window w as (partition by subject order by t0, sample_id)),
+      un as (select f, g, c, (select count(*) from src where label = c and subject % 4 <> f and subject % 4 <> g) as u from pa, (select unnest([0, 1, 2, 3, 4]) as c)),
+      pr as (select f, g, c, (u + 1) / (sum(u) over (partition by f, g) + 5)::double as q from un),
+      tc as (select f, g, label as prev, nx as next, count(*) as n from e join pa on subject % 4 <> f and subject % 4 <> g where nx is not null group by all),
+      tr as (select b.f, b.g, a.c as prev, b.c as next, ln((coalesce(n, 0) + 5 * q) / (sum(coalesce(n, 0)) over (partition by b.f, b.g, a.c) + 5)) as s from pr b cross join (select unnest([0, 1, 2, 3, 4]) as c) a left join tc on tc.f = b.f and tc.g = b.g and tc.prev = a.c and tc.next = b.c),
+      st as (select f, g, w from pa, (select unnest([0.25e0, 0.5e0, 1e0]) as w)),
+      ro as (select sample_id, subject, label, subject % 4 as g, row_number() over (partition by subject order by t0, sample_id) as pos, count(*) over (partition by subject) as n from seq),
+      em as (select ro.*, cls, ln(greatest(p, 1e-12)) as e from ro join post using (sample_id) where member = 0),
+      vt(f, g, w, subject, pos, n, cls, score, path) as (
+        select st.f, st.g, st.w, em.subject, pos, n, cls, e, [cls] from em join st on st.g = em.g where pos = 1
+        union all
+        select vt.f, vt.g, vt.w, em.subject, em.pos, em.n, em.cls, max_by(vt.score + vt.w * tr.s, (round(vt.score + vt.w * tr.s, 9), -tr.prev)) + any_value(e), list_append(max_by(vt.path, (round(vt.score + vt.w * tr.s, 9), -tr.prev)), em.cls)
+        from vt join em on em.subject = vt.subject and em.pos = vt.pos + 1 join tr on tr.f = vt.f and tr.g = vt.g and tr.prev = vt.cls and tr.next = em.cls group by vt.f, vt.g, vt.w, em.subject, em.pos, em.n, em.cls),
+      fin as (select f, g, w, subject, max_by(path, (round(score, 9), -cls)) as path from vt where pos = n group by 1, 2, 3, 4),
+      hi as (select f, fin.g, w, count(*) filter (where path[pos] = label) as hits, count(*) as n from fin join ro using (subject) group by 1, 2, 3),
+      ag as (select f, w, sum(case when f <> g then hits else 0 end) as sel, sum(case when f = g then hits else 0 end) as hits, sum(case when f = g then n else 0 end) as n from hi group by 1, 2)
+      select f as outer, w as weight, sel::bigint as selection_hits, hits::bigint as hits, n::bigint as n from ag qualify row_number() over (partition by f order by sel desc, w) = 1""".replace("f as outer", 'f as "outer"'),
+    "seq post",
+)
+def e9_nested_decoder(spark, sf):
+    per = S.transition_counts(source(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int")), "subject", ["t0", "sample_id"], "label", "year", ["fold"])
+    models = N.paired_models(per, "fold", 4, C, backoff="unigram")
+    rows = _targets(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int"))
+    return N.nested_decoder(rows, models, "subject", ["t0", "sample_id"], "sample_id", "probs", "label", "year", "fold", 4, _GRID)
+
+
 YEAR = 365 * 86400
 _CLUST = """rc as (select subject % 50 as owner, subject * 100 + year as grp, count(*) as n, min(t0) as s, max(t0) as e, count(*) > count(distinct t0) as amb, bool_and(sample_id % 29 <> 3) as complete from seq group by subject, year),
   pv as (select *, lag(grp) over w as pg, lag(n) over w as pn, lag(e) over w as pe, lag(amb) over w as pamb, lag(complete) over w as pc from rc window w as (partition by owner order by s, grp)),
