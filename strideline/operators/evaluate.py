@@ -34,29 +34,25 @@ def per_key_accuracy(scored: DataFrame, keys: Sequence[str], pred="pred", label=
 
 def subject_spread(per_subject: DataFrame, subject: str, worst: int = 3) -> DataFrame:
     """One row over subject accuracies: macro, sd, worst, mean of the worst k, p10, worst quarter, macro - sd."""
-    one = per_subject.withColumn("_one", F.lit(0))
-    r = ranked(one, ["_one"], "acc", [subject], "_rk")
-    n = one.groupBy("_one").agg(F.count("*").alias("_n"))
+    r = ranked(per_subject, [], "acc", [subject], "_rk").withColumn("_n", per_subject.agg(F.count("*")).scalar())
     quarter = F.greatest(F.lit(1), F.floor(F.col("_n") / 4))
-    stats = r.join(n, "_one").groupBy("_one").agg(
+    stats = r.agg(
         F.count("*").alias("n_subjects"), F.avg("acc").alias("macro"), F.stddev_pop("acc").alias("sd"), F.min("acc").alias("worst"),
         F.avg(F.when(F.col("_rk") <= worst, F.col("acc"))).alias("worst_k"), F.avg(F.when(F.col("_rk") <= quarter, F.col("acc"))).alias("cvar25"),
     )
-    q = quantiles(one, ["_one"], "acc", {"p10": 0.1})
-    return stats.join(q, "_one").withColumn("macro_minus_sd", F.col("macro") - F.col("sd")).drop("_one")
+    p10 = quantiles(per_subject, [], "acc", {"p10": 0.1}).scalar()
+    return stats.withColumn("p10", p10).withColumn("macro_minus_sd", F.col("macro") - F.col("sd"))
 
 
 def loso_summary(per_subject: DataFrame, subject: str, draw: int = 8) -> DataFrame:
     """Leave-one-subject-out table's foot: mean, sd (n-1), SE of a draw, lower and upper quartile means."""
-    one = per_subject.withColumn("_one", F.lit(0))
-    n = one.groupBy("_one").agg(F.count("*").alias("_n"))
-    r = ranked(one, ["_one"], "acc", [subject], "_rk").join(n, "_one")
+    r = ranked(per_subject, [], "acc", [subject], "_rk").withColumn("_n", per_subject.agg(F.count("*")).scalar())
     q = F.ceil(F.col("_n") / 4)
-    return r.groupBy("_one").agg(
+    return r.agg(
         F.avg("acc").alias("mean"), F.stddev_samp("acc").alias("sd"), (F.stddev_samp("acc") / F.sqrt(F.lit(float(draw)))).alias("se_draw"),
         F.avg(F.when(F.col("_rk") <= q, F.col("acc"))).alias("lower_quartile"),
         F.avg(F.when(F.col("_rk") > F.col("_n") - q, F.col("acc"))).alias("upper_quartile"), (F.max("acc") - F.min("acc")).alias("spread"),
-    ).drop("_one")
+    )
 
 
 def paired_comparison(scored: DataFrame, base: str, cand: str, label="label", keys: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +98,7 @@ def error_cells(scored: DataFrame, subject="subject", pred="pred", label="label"
     total = cells.agg(
         F.count("*").alias("cells"), F.sum(big.cast("long")).alias("repeated"), F.sum(F.when(big, F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("errors")
     )
-    return total.withColumn("_one", F.lit(0)).join(one_way.withColumn("_one", F.lit(0)), "_one").drop("_one")
+    return total.crossJoin(one_way)  # one row each
 
 
 def reference_available(scored: DataFrame, subject="subject", label="label", first="top1", second="top2", sample="sample_id") -> DataFrame:
@@ -208,8 +204,8 @@ def rank_auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column) -
     from strideline.operators.scan import ordered_scan, value_segments
 
     keys = list(keys)
-    cells = df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("_n"), F.sum(positive.cast("long")).alias("_p"))
-    run = ordered_scan(value_segments(cells, keys, "_s", "_seg"), keys, ["_s"], "_seg", sums={"_cum": F.col("_n")})
+    cells = df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("_n"), F.sum(positive.cast("long")).alias("_p"))
+    run = ordered_scan(value_segments(cells, keys, "_score", "_seg"), keys, ["_score"], "_seg", sums={"_cum": F.col("_n")})
     mean_rank = F.col("_cum") - (F.col("_n") - 1) / 2.0
     g = run.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum(F.col("_n") - F.col("_p")).alias("n_neg"), F.sum(F.col("_p") * mean_rank).alias("_r"))
     auc = (F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * F.col("n_neg"))
@@ -218,10 +214,10 @@ def rank_auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column) -
 
 def correlation_report(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Pearson, Spearman (average ranks) and mean absolute error of an estimate against an outcome."""
-    one = df.withColumn("_one", F.lit(0))
+    both = df
     for c in (x, y):
-        one = average_rank(one, ["_one"], c, f"_r_{c}")
-    return one.agg(F.corr(x, y).alias("pearson"), F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae"))
+        both = average_rank(both, [], c, f"_r_{c}")
+    return both.agg(F.corr(x, y).alias("pearson"), F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae"))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

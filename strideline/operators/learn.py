@@ -170,14 +170,14 @@ def grouped_auc(texts: DataFrame, n_folds: int = 4) -> DataFrame:
     # the permutation control gives each row the label of its successor in a seeded hash order
     order = F.sha2(F.concat(F.lit("0:"), F.col("doc_id")), 256)
     slot = F.conv(F.substring(order, 1, 2), 16, 10).cast("int")
-    shuffled = ordered_scan(d.withColumns({"_one": F.lit(0), "_o": order, "_seg": slot}), ["_one"], ["_o", "doc_id"], "_seg", next=["quality"])
-    d = shuffled.withColumn("permuted", F.coalesce("next_quality", F.lit(0))).drop("_one", "_o", "_seg", "next_quality")
+    shuffled = ordered_scan(d.withColumns({"_o": order, "_seg": slot}), [], ["_o", "doc_id"], "_seg", next=["quality"])
+    d = shuffled.withColumn("permuted", F.coalesce("next_quality", F.lit(0))).drop("_o", "_seg", "next_quality")
     index = StringIndexer(inputCol="lang", outputCol="_i", stringOrderType="alphabetAsc").fit(d)
     hot = OneHotEncoder(inputCol="_i", outputCol="_h", dropLast=False).fit(index.transform(d))
     d = hot.transform(index.transform(d)).withColumn("confound", vector_to_array("_h")).drop("_i", "_h")
     out = None
     for name, feats, label in (("signal", "signal", "quality"), ("permuted", "signal", "permuted"), ("confound", "confound", "quality")):
         s = logistic_oof(d, feats, label, "fold", n_folds, standardise=False)
-        a = rank_auc(s.withColumn("_one", F.lit(0)), ["_one"], "score", F.col(label) == 1).select(F.lit(name).alias("model"), "n_pos", "n_neg", "auc")
+        a = rank_auc(s, [], "score", F.col(label) == 1).select(F.lit(name).alias("model"), "n_pos", "n_neg", "auc")
         out = a if out is None else out.unionByName(a)
     return out

@@ -43,9 +43,8 @@ def top_k_accuracy(post: DataFrame, key: str, label: str, ks: Sequence[int]) ->
 def top_fraction(post: DataFrame, key: str, probs: str, fraction: float, excluded: DataFrame, labelled: DataFrame) -> DataFrame:
     """The most confident share of the rows that are neither evaluation rows nor labelled already."""
     pool = post.join(excluded.select(key), key, "left_anti").join(labelled.select(key), key, "left_anti")
-    pool = pool.select(key, F.round(P.confidence(probs), DIGITS).alias("conf"), P.argmax(probs, DIGITS).alias("pseudo_label"), F.lit(0).alias("_one"))
-    n = pool.groupBy("_one").agg(F.count("*").alias("_n"))
-    r = ranked(pool, ["_one"], "conf", [key], "_rk", descending=True).join(n, "_one")
+    pool = pool.select(key, F.round(P.confidence(probs), DIGITS).alias("conf"), P.argmax(probs, DIGITS).alias("pseudo_label"))
+    r = ranked(pool, [], "conf", [key], "_rk", descending=True).withColumn("_n", pool.agg(F.count("*")).scalar())
     return r.filter(F.col("_rk") <= F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.col("_n")))).select(key, "conf", "pseudo_label")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strideline.session import cut_lineage
+
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -38,9 +40,14 @@ def null_free(df: DataFrame, keys: Sequence[str], seg: str | None = None) -> tup
     """Columns that stand for the keys and the segment but are never NULL, so that rows can be windowed by them and
     joined back on them with plain equality: NULL keys form a key of their own, a NULL segment comes first.
 
-    Returns the rows with the columns, their names without the segment, and with it.
+    Returns the rows with the columns, their names without the segment, and with it. A column of that name would be
+    lost, so it raises.
     """
+    if clash := [c for c in df.columns if c in ("_s", "_nul") or c in [f"_k{j}" for j in range(len(keys))]]:
+        raise ValueError(f"columns {clash} stand for keys and segments here")
     kinds, out, mask = dict(df.dtypes), {}, F.lit(0)
+    if not keys:  # one key without a column: rows go by their segment alone
+        return (df, [], []) if seg is None else (df.withColumn("_s", F.coalesce(F.col(seg).cast("long"), F.lit(NO_SEGMENT))), [], ["_s"])
     for j, c in enumerate(keys):
         empty = "" if kinds[c] == "string" else "1970-01-01" if kinds[c].startswith(("date", "timestamp")) else 0
         out[f"_k{j}"] = F.coalesce(F.col(c), F.lit(empty).cast(kinds[c]))
@@ -111,22 +118,51 @@ def ordered_scan(
     return joined.withColumns(out).drop(*drop)
 
 
-def value_segments(df: DataFrame, keys: Sequence[str], value: str, out: str, parts: int = 1024) -> DataFrame:
-    """Number equal-width slices of a value's range per key: a segment column for ranking by value."""
+def _place(splitters: Column, v: Column) -> Column:
+    """2 * (splitters below v), and one more where v is a splitter: equal values of weight get a segment of their own."""
+    return 2 * F.size(F.filter(splitters, lambda x: x < v)) + F.array_contains(splitters, v).cast("int")
+
+
+def _as_number(c: str, kind: str) -> Column:
+    """A number that never decreases along the order of a tie column: its value, or a text's first bytes."""
+    head = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double") if kind == "string" else F.col(c).cast("double")
+
+
+def value_segments(df: DataFrame, keys: Sequence[str], value: str, out: str, tie: str | None = None, parts: int = 128) -> DataFrame:
+    """Number slices of nearly equal row counts along a value, per key: a segment column for ranking by value.
+
+    Splitters are quantile sketches (combined map-side), so that an outlier shifts none of them. A value that is a
+    splitter itself has a slice of its own, cut again by sketched splitters of the `tie` column. Splitters are fixed
+    before they are used: without keys they are at most `parts` numbers on the driver, with keys a written table of one
+    row per key. NULL values have no segment.
+    """
+    kinds = dict(df.dtypes)
+    parts = parts if not keys else 32
+    probs = lambda n: F.array(*[F.lit(k / n) for k in range(1, n)])
     df, whole, _ = null_free(df, keys)
-    span = df.groupBy(*whole).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     v = F.col(value).cast("double")
-    slot = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)
-    return df.join(span, whole).withColumn(out, F.when(F.col("_hi") > F.col("_lo"), slot).otherwise(F.lit(0))).drop("_lo", "_hi", *whole)
+    if not keys:
+        found = df.agg(F.percentile_approx(v, probs(parts), 100 * parts).alias("b")).first()["b"]
+        df = df.withColumn(out, _place(F.array(*[F.lit(float(x)) for x in sorted(set(found or []))]).cast("array<double>"), v))
+    else:
+        bounds = cut_lineage(df.groupBy(*whole).agg(F.array_distinct(F.percentile_approx(v, probs(parts), 100 * parts)).alias("_b")))
+        df = df.join(bounds, whole).withColumn(out, _place(F.col("_b"), v)).drop("_b")
+    if tie is None:
+        return df.drop(*whole)
+    t = _as_number(tie, kinds[tie])
+    heavy = df.filter(F.col(out) % 2 == 1).groupBy(*whole, out).agg(F.array_distinct(F.percentile_approx(t, probs(parts), 100 * parts)).alias("_t"))
+    heavy = cut_lineage(heavy)
+    inner = F.coalesce(_place(F.col("_t"), t), F.lit(0))
+    # at most `parts` slices per key have a row here
+    df = df.join(F.broadcast(heavy) if not keys else heavy, [*whole, out], "left")
+    return df.withColumn(out, F.col(out).cast("long") * (2 * parts) + inner).drop("_t", *whole)
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], out: str, descending: bool = False) -> DataFrame:
-    """1-based rank by a numeric value and tie columns, ascending unless told otherwise.
-
-    Works for a global ranking too (pass a constant key): value slices are the segments.
-    """
+    """1-based rank by a numeric value and tie columns, ascending unless told otherwise; over all rows where `keys` is empty."""
     signed = F.col(value).cast("double") * (-1 if descending else 1)
-    sliced = value_segments(df.withColumn("_v", signed), keys, "_v", "_seg")
+    sliced = value_segments(df.withColumn("_v", signed), keys, "_v", "_seg", ties[0] if ties else None)
     return ordered_scan(sliced, keys, ["_v", *ties], "_seg", row=out).drop("_v", "_seg")
 
 
@@ -139,10 +175,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q")).agg(F.count("*").alias("_n"))
     counts, whole, _ = null_free(counts, keys)
+    if not keys:
+        cut = value_segments(counts.withColumn("_size", F.lit(counts.agg(F.sum("_n")).first()[0])), [], "_q", "_seg")
+        placed = ordered_scan(cut, [], ["_q"], "_seg", sums={"_cum": F.col("_n")})
+        return placed.agg(*_quantile_columns(probs))
     span = counts.groupBy(*whole).agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"), F.sum("_n").alias("_size"))
     slot = F.floor((F.col("_q") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)
     sliced = counts.join(span, whole).drop(*whole).withColumn("_seg", F.when(F.col("_hi") > F.col("_lo"), slot).otherwise(F.lit(0)))
     placed = ordered_scan(sliced, keys, ["_q"], "_seg", sums={"_cum": F.col("_n")})
+    return placed.groupBy(*keys).agg(*_quantile_columns(probs))
+
+
+def _quantile_columns(probs: Mapping[str, float]) -> list[Column]:
     aggs = []
     for name, p in probs.items():
         at = (F.col("_size") - 1) * F.lit(float(p))
@@ -150,7 +194,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
         high = F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_q")))
         frac = F.max(at - F.floor(at))
         aggs.append((low + (high - low) * frac).alias(name))
-    return placed.groupBy(*keys).agg(*aggs)
+    return aggs
 
 
 def neighbours(

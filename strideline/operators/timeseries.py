@@ -145,15 +145,12 @@ def centre_crop(df: DataFrame, keys, order, seg, length: int) -> DataFrame:
 
 def quantile_matched_length(lengths: DataFrame, target: DataFrame, key: str, length: str) -> DataFrame:
     """Trim each clip to the target length at the same rank of the length distribution."""
-    one = lambda d: d.withColumn("_one", F.lit(0))
-    ours = ranked(one(lengths), ["_one"], length, [key], "_rank")
-    n = one(lengths).groupBy("_one").agg(F.count("*").alias("_n"))
-    m = one(target).groupBy("_one").agg(F.count("*").alias("_m"))
-    theirs = ranked(one(target), ["_one"], length, [key], "_t").select((F.col("_t") - 1).alias("_slot"), F.col(length).alias("_target"))
+    count = lambda d: d.agg(F.count("*")).scalar()
+    theirs = ranked(target, [], length, [key], "_t").select((F.col("_t") - 1).alias("_slot"), F.col(length).alias("_target"))
+    ours = ranked(lengths, [], length, [key], "_rank").withColumns({"_n": count(lengths), "_m": count(target)})
     share = (F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
-    slot = F.least(F.floor(share * (F.col("_m") - 1)), F.col("_m") - 1)
-    placed = ours.join(F.broadcast(n), "_one").join(F.broadcast(m), "_one").withColumn("_slot", slot)  # one row each
-    return placed.join(theirs, "_slot").withColumn("trim_to", F.least(F.col(length), F.col("_target"))).drop("_one", "_rank", "_n", "_m", "_slot", "_target")
+    placed = ours.withColumn("_slot", F.least(F.floor(share * (F.col("_m") - 1)), F.col("_m") - 1))
+    return placed.join(theirs, "_slot").withColumn("trim_to", F.least(F.col(length), F.col("_target"))).drop("_rank", "_n", "_m", "_slot", "_target")
 
 
 def channel_statistics(df: DataFrame, keys: Sequence[str], t: str, tie: str, value: str, seg: str | None) -> DataFrame:
@@ -232,7 +229,7 @@ def series_summary(df: DataFrame, keys, order, seg, value: str, ticks: int = 1_0
     """Mean, spread, signed rank pooling, mean rise and mean fall of a series, each within [0, 1].
 
     Rank pooling sums integers (values in steps of 1/ticks, doubled ranks) and divides once, so that it does not
-    depend on the order of rows.
+    depend on the order of rows; its sums come along as `pool_top` and `pool_base`.
     """
     keys = list(keys)
     size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -241,9 +238,10 @@ def series_summary(df: DataFrame, keys, order, seg, value: str, ticks: int = 1_0
     x, d = F.col(value), F.col(value) - F.col(f"prev_{value}")
     unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    pooled = F.when(F.sum(F.abs(weight)) > 0, F.sum(weight * F.round(x * ticks).cast("long")) / (F.sum(F.abs(weight)) * float(ticks))).otherwise(F.lit(0.0))
+    top, base = F.sum(weight * F.round(x * ticks).cast("long")), F.sum(F.abs(weight)) * ticks
+    pooled = F.when(base > 0, top / base.cast("double")).otherwise(F.lit(0.0))
     return rows.groupBy(*keys).agg(
-        F.avg(x).alias("mean"), unit(F.stddev_pop(x) * 4).alias("spread"), unit(0.5 + 0.5 * pooled).alias("rank_pool"),
+        F.avg(x).alias("mean"), unit(F.stddev_pop(x) * 4).alias("spread"), unit(0.5 + 0.5 * pooled).alias("rank_pool"), top.alias("pool_top"), base.alias("pool_base"),
         unit(zero(F.avg(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))))) * 4).alias("rise"), unit(zero(F.avg(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))) * 4).alias("fall"),
     )
 

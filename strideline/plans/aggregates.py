@@ -10,7 +10,7 @@ from strideline.operators import kinematics as K
 from strideline.operators import learn as L
 from strideline.operators import timeseries as ts
 from strideline.plans import views as v
-from strideline.plans.evaluate import rounded
+from strideline.plans.evaluate import rounded, whole_ratio
 from strideline.plans.fusion import scored
 from strideline.plans.registry import query
 
@@ -194,13 +194,18 @@ def a13(spark, sf):
     "a14_series_summary",
     """with o as (select clip, device, x / 50 as v, row_number() over w - 1 as i, lag(x / 50) over w as pv, count(*) over (partition by clip, device) as n from sensor window w as (partition by clip, device order by t, sample_id))
        select clip, device, round(avg(v), 6) as mean, round(least(greatest(stddev_pop(v) * 4, 0), 1), 6) as spread,
-         round(least(greatest(0.5 + 0.5 * case when sum(abs(2 * i - (n - 1))) > 0 then sum((2 * i - (n - 1)) * round(v * 5000)::bigint)::double / (sum(abs(2 * i - (n - 1)))::double * 5000e0) else 0 end, 0), 1), 6) as rank_pool,
+         case when sum(abs(2 * i - (n - 1))) > 0 then (2000000::hugeint * least(greatest(sum(abs(2 * i - (n - 1))) * 5000 + sum((2 * i - (n - 1)) * round(v * 5000)::bigint), 0), 2 * 5000 * sum(abs(2 * i - (n - 1)))) + 2 * 5000 * sum(abs(2 * i - (n - 1))))
+           // (4 * 5000 * sum(abs(2 * i - (n - 1)))) else 500000 end::bigint as rank_pool_millionths,
          round(least(coalesce(avg(case when pv is not null then greatest(v - pv, 0) end), 0) * 4, 1), 6) as rise, round(least(coalesce(avg(case when pv is not null then greatest(pv - v, 0) end), 0) * 4, 1), 6) as fall from o group by 1, 2""",
     "sensor",
 )
 def a14(spark, sf):
     s = v.sensor(spark, sf).withColumns({"v": F.col("x") / 50, "seg": F.floor(F.col("t") / v.DAY)})
-    return rounded(ts.series_summary(s, ["clip", "device"], ["t", "sample_id"], "seg", "v", ticks=5000))
+    d = ts.series_summary(s, ["clip", "device"], ["t", "sample_id"], "seg", "v", ticks=5000)
+    # whole numbers decide the last digit: a quotient on the half is no matter of its binary form
+    top = F.least(F.greatest(F.col("pool_base") + F.col("pool_top"), F.lit(0)), 2 * F.col("pool_base"))
+    share = F.when(F.col("pool_base") > 0, whole_ratio(top, 2 * F.col("pool_base"))).otherwise(F.lit(500000))
+    return rounded(d.withColumn("rank_pool_millionths", share.cast("long")).drop("pool_top", "pool_base", "rank_pool"))
 
 
 @query(

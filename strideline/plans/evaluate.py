@@ -25,6 +25,12 @@ def rounded(df, *keep):
     return df.select(*[R6(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
+def whole_ratio(top, base):
+    """Millionths of a ratio of whole numbers, rounded half up by whole-number division."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    return F.call_function("div", wide(2000000 * wide(top)) + wide(base), wide(2 * wide(base)))
+
+
 @query(
     "e1_accuracy",
     """with k as (select label, count(*) as n, sum((pred = label)::int) as h from fpred group by 1)
