@@ -109,26 +109,43 @@ def partition_violations(folds: DataFrame, sample: str, subject: str, fold: str,
     return multi(sample, "sample_in_several_folds").unionByName(multi(subject, "subject_in_several_folds")).unionByName(uncovered)
 
 
+def ranked_subsets(spark, n: int, size: int, parts: int | None = None) -> DataFrame:
+    """`subset, members`: all subsets of `size` of the numbers 0 to n - 1, by their number in the combinatorial number system.
+
+    A task turns its own range of numbers into subsets, so that nothing but the range is handed out: member j (from the
+    largest) is the greatest c with C(c, j) not above what is left of the number.
+    """
+    from math import comb
+
+    total = comb(n, size)
+    if total >= 1 << 62:
+        raise ValueError(f"{total} subsets cannot be numbered by a long")
+    table = F.array(*[F.array(*[F.lit(comb(c, j)).cast("long") for c in range(n + 1)]) for j in range(size + 1)])
+    d = spark.range(0, total, 1, parts or max(1, min(spark.sparkContext.defaultParallelism * 4, total // 1000 + 1))).withColumnRenamed("id", "subset")
+    begin = F.struct(F.col("subset").alias("left"), F.array().cast("array<int>").alias("members"))
+
+    def member(a, j):
+        row = F.get(table, j)
+        c = F.size(F.filter(row, lambda x: x <= a["left"])) - 1  # binomials rise with c, from 0 below j
+        return F.struct((a["left"] - F.get(row, c)).alias("left"), F.concat(a["members"], F.array(c)).alias("members"))
+
+    return d.withColumn("members", F.aggregate(F.array(*[F.lit(j) for j in range(size, 0, -1)]), begin, member)["members"])
+
+
 def subset_quantiles(hits: DataFrame, subject: str, hit: str, n: str, size: int, probs: dict[str, float], groups: Column | None = None,
                      per_group: dict | None = None) -> DataFrame:
     """Pooled accuracy over all subsets of `size` subjects, from per-subject (hits, n) totals.
 
-    Subsets grow one subject at a time over an index of subjects kept as one array, so the
-    enumeration is a chain of explodes that Spark spreads over tasks. It is meant for tens of
-    subjects: the number of subsets itself is what the report asks for.
+    Subjects are numbered in their order; subsets are unranked by tasks (see `ranked_subsets`) and meet the subjects'
+    totals in a join on the number. The number of subsets itself is what the report asks for.
     """
-    from strideline.operators.scan import quantiles
-
-    item = F.struct(F.col(subject).alias("s"), F.col(hit).alias("h"), F.col(n).alias("n"), (groups if groups is not None else F.lit(0)).alias("g"))
-    base = hits.agg(F.sort_array(F.collect_list(item)).alias("a"))
-    d = base.select("a", F.lit(-1).alias("last"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("in_g"))
-    for depth in range(size):
-        d = d.withColumn("i", F.explode(F.expr(f"sequence(last + 1, size(a) - {size - depth})")))
-        pick = F.col("a")[F.col("i")]
-        d = d.select("a", F.col("i").alias("last"), (F.col("h") + pick["h"]).alias("h"), (F.col("n") + pick["n"]).alias("n"), (F.col("in_g") + pick["g"]).alias("in_g"))
-        if depth == 0:
-            d = d.repartition(F.col("last"))
-    acc = d.select((F.col("h") / F.col("n")).alias("acc"), "in_g")
+    from strideline.operators.scan import quantiles, ranked
+
+    item = hits.select(F.col(subject).alias("_sub"), F.col(hit).alias("_h"), F.col(n).alias("_n"), (groups if groups is not None else F.lit(0)).alias("_g"))
+    numbered = ranked(item, [], "_sub", ["_sub"], "_i").select((F.col("_i") - 1).cast("int").alias("_i"), "_h", "_n", "_g")
+    each = ranked_subsets(hits.sparkSession, hits.count(), size).select("subset", F.explode("members").alias("_i"))
+    sums = each.join(numbered, "_i").groupBy("subset").agg(F.sum("_h").alias("h"), F.sum("_n").alias("n"), F.sum("_g").alias("in_g"))
+    acc = sums.select((F.col("h") / F.col("n")).alias("acc"), "in_g")
     kinds = [F.lit("all")]
     if per_group:
         kinds += [F.when(F.col("in_g") == want, F.lit(name)) for name, want in per_group.items()]

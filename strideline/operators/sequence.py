@@ -16,6 +16,7 @@ from strideline.operators.scan import bounded_broadcast, count_breaks, ordered_s
 from strideline.operators.structure import ambiguous_groups
 
 CHUNK = 4096
+MASK = 62  # labels per word of a beam's mask
 TIE_DIGITS = 9
 
 
@@ -273,6 +274,13 @@ def beam_decode(packed: DataFrame, group: str, sample: str, start: np.ndarray, t
     c = trans.shape[0]
     k = topk or c
     moves, entry = weight * trans, start_weight * start
+    words = -(-c // MASK)
+
+    def marked(used, label):
+        """Masks with each row's label; a label is one bit in one of the row's words."""
+        out = used.copy()
+        out[np.arange(len(label)), label // MASK] |= np.int64(1) << (label % MASK)
+        return out
 
     def extend(state, flat):
         """state = (scores, used masks, last labels, path ranks) or None; returns it after the part,
@@ -284,17 +292,17 @@ def beam_decode(packed: DataFrame, group: str, sample: str, start: np.ndarray, t
             cand = picks[t].astype(np.int64)
             if state is None:
                 score, parent, label = row[cand] + entry[cand], np.zeros(len(cand), dtype=np.int64), cand
-                used, lex = np.int64(1) << cand, cand
+                used, lex = marked(np.zeros((len(cand), words), dtype=np.int64), cand), cand
             else:
                 s, u, last, rank = state
-                repeat = (u[:, None] >> cand[None]) & 1 == 1
+                repeat = (u[:, cand // MASK] >> (cand % MASK)[None]) & 1 == 1
                 grid = s[:, None] + row[cand][None] + moves[last][:, cand]
                 if distinctness == "penalty":
                     grid = grid - penalty * repeat
                 elif distinctness == "hard":
                     grid = np.where(repeat, -np.inf, grid)
                 score, parent, label = grid.ravel(), np.repeat(np.arange(len(s)), len(cand)), np.tile(cand, len(s))
-                used, lex = u[parent] | (np.int64(1) << label), rank[parent] * c + label
+                used, lex = marked(u[parent], label), rank[parent] * c + label
                 if not np.isfinite(score).any():
                     raise RuntimeError("no distinct path is left: widen the candidates or allow repeats")
             keep = np.lexsort((lex, -np.round(score, TIE_DIGITS)))[:beam]
@@ -337,15 +345,15 @@ def beam_decode(packed: DataFrame, group: str, sample: str, start: np.ndarray, t
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                prior = None if r.score is None else (np.asarray(r.score), np.asarray(r.used), np.asarray(r.label), np.asarray(r.rank))
-                rows.append([getattr(r, group), *[np.asarray(x).tolist() for x in extend(prior, r.flat)[0]]])
+                prior = None if r.score is None else (np.asarray(r.score), np.asarray(r.used).reshape(-1, words), np.asarray(r.label), np.asarray(r.rank))
+                rows.append([getattr(r, group), *[np.asarray(x).ravel().tolist() for x in extend(prior, r.flat)[0]]])
             yield pd.DataFrame(rows, columns=[group, "score", "used", "label", "rank"])
 
     def backward(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                prior = None if r.score is None else (np.asarray(r.score), np.asarray(r.used), np.asarray(r.label), np.asarray(r.rank))
+                prior = None if r.score is None else (np.asarray(r.score), np.asarray(r.used).reshape(-1, words), np.asarray(r.label), np.asarray(r.rank))
                 _, parents, labels = extend(prior, r.flat)
                 path, at = read_back(parents, labels, int(r.at))
                 rows.append((getattr(r, group), r.ids, path, at))

@@ -56,6 +56,16 @@ def blocks_of_three(runs: DataFrame, key: str, session_gap, per_segment: int = R
     return rows.select(key, "run", (F.col("run") - rep).alias("block"), rep.alias("rep"), ((F.col("before") > 0) | F.col("ok")).alias("triple"))
 
 
+def recording_blocks(rows: DataFrame, key: str, run: str, start: str, end: str, tie: str, session_gap) -> DataFrame:
+    """`key, run, block, rep, triple` of all runs of `rows`: triples and single runs of the timed rows, and every row without
+    a start as a single run of its own (its run number is its alone)."""
+    timed, untimed = rows.filter(F.col(start).isNotNull()), rows.filter(F.col(start).isNull())
+    blocks = blocks_of_three(run_table(timed, key, run, start, end, tie), key, session_gap)
+    kinds = dict(blocks.dtypes)
+    alone = untimed.select(key, *[F.col(run).cast(kinds[c]).alias(c) for c in ("run", "block")], F.lit(0).cast(kinds["rep"]).alias("rep"), F.lit(False).alias("triple"))
+    return blocks.unionByName(alone)
+
+
 def positional_alignment(rows: DataFrame, blocks: DataFrame, key: str, run: str, start: str, tie: str, seg: str | None = None) -> DataFrame:
     """Rows of clean triples with their position inside the run: equal (key, block, pos) rows match."""
     placed = ordered_scan(rows, [key, run], [start, tie], seg, row="pos")

@@ -9,6 +9,7 @@ from strideline.operators.scan import ordered_scan
 from strideline.plans import views as v
 from strideline.plans.evaluate import rounded
 from strideline.plans.registry import query
+from strideline.session import shared_folder
 from strideline.sources import ingest as I
 from strideline.sources import sheets as SH
 
@@ -92,6 +93,73 @@ def i4(spark, sf):
     return out.select("user_id", "device", v.micros(F.col("t").cast("timestamp_ntz")).alias("us"), R6("acc").alias("acc"), "gyr")
 
 
+CHANNELS = list(I.HEADER_ALIASES)
+
+
+def _write_sensor_files(spark, sf) -> str:
+    """A folder with a file per user: a header in either language whose cells have commas in quotes, then lines of 16
+    channels behind a spare cell. Files of some users lack a channel; some lines are short, strange or broken."""
+    e = v.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    k, u = F.col("event_id"), F.col("user_id")
+    time = F.when(k % 19 == 4, F.lit("12:00")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    dev = F.element_at(F.array(*[F.lit(d) for d in I.DEVICE_PREFIXES]), (k % 5 + 1).cast("int"))
+    dev = F.when(k % 13 == 6, F.lit("XYZ")).otherwise(F.concat(F.lit('"'), dev, F.lit('(AA,""0'), k % 9, F.lit('"")"')))
+    cells = [F.when(k % 17 == 2, F.lit("abc")).otherwise(F.col("value").cast("string"))] + [(k * (j + 2) % 101).cast("string") for j in range(1, 15)] + [F.when(k % 11 != 5, (k * 17 % 101).cast("string"))]
+    body = e.select(u.alias("clip"), k.alias("place"), F.concat_ws(",", time, dev, F.lit("-"), *cells).alias("value"))
+    name = lambda i: F.array(*[F.lit(f'"{a[i]}(u,raw)"') for a in I.HEADER_ALIASES.values()])
+    names = F.when(u % 2 == 0, name(1)).otherwise(name(0))
+    names = F.when(u % 7 == 3, F.slice(names, 1, 15)).otherwise(names)
+    head = e.select("user_id").distinct().select(u.alias("clip"), F.lit(None).cast("long").alias("place"), F.concat_ws(",", F.lit("time,device,spare"), F.array_join(names, ",")).alias("value"))
+    path = shared_folder(spark, "sensors")
+    d = head.unionByName(body.select("clip", F.col("place").cast("long"), "value")).repartition("clip").sortWithinPartitions("clip", F.col("place").asc_nulls_first())
+    d.select("clip", "value").write.partitionBy("clip").text(path)
+    return path
+
+
+@query(
+    "i4_sensor_files",
+    """select user_id, case event_id % 5 when 0 then 'WTLA' when 1 then 'WTRA' when 2 then 'WTLL' when 3 then 'WTRL' else 'WTC' end as device, epoch_us(ts) as us, round(value, 6) as acc_x,
+         (event_id * 5 % 101)::double as gyr_x, (event_id * 17 % 101)::double as q3 from events where event_id % 19 <> 4 and event_id % 13 <> 6 and event_id % 17 <> 2 and event_id % 11 <> 5 and user_id % 7 <> 3""",
+)
+def i4_files(spark, sf):
+    """Sensor files written and read back, all 16 channels."""
+    d = I.read_sensor_csv(spark, _write_sensor_files(spark, sf), pattern="*.txt")
+    user = F.regexp_extract("path", r"clip=(\d+)", 1).cast("long")
+    return d.select(user.alias("user_id"), "device", v.micros(F.col("t").cast("timestamp_ntz")).alias("us"), R6("acc_x").alias("acc_x"), "gyr_x", "q3")
+
+
+@query(
+    "i9_incremental_build",
+    """with c as (select c_custkey, c_custkey % 3 = 0 as late from customer) select 'first' as run, count(*) filter (where not late) as added from c union all select 'second', count(*) filter (where late) from c union all select 'third', 0 union all select 'rows', count(*) from c""",
+)
+def i9_build(spark, sf):
+    """A table built in three runs: what is there is left alone, and a run without anything new adds nothing."""
+    index = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("segment"))
+    path = shared_folder(spark, "built")
+    runs = [("first", index.filter("subject % 3 <> 0")), ("second", index), ("third", index)]
+    added = [(name, I.append_new(rows, path, "subject", lambda d: d.withColumn("n", F.length("segment")))) for name, rows in runs]
+    out = spark.createDataFrame(added, "run string, added long")
+    return out.unionByName(spark.read.parquet(path).agg(F.lit("rows").alias("run"), F.count("*").alias("added")))
+
+
+@query(
+    "i13_written_sheet",
+    "select row_number() over (order by md5(sample_id::varchar)) as row, 'clips/' || sample_id || '/' as path, pred::bigint as prediction from mpred where member = 0",
+    "mpred",
+)
+def i13_written(spark, sf):
+    """A sheet written in its order and read back: rows stand in order across the files."""
+    from strideline.plans.fusion import scored
+
+    d = scored(spark, sf).select(F.col("sample_id").cast("string").alias("sid"), F.col("pred0").alias("prediction"))
+    sheet = SH.read_sheet(v.table(spark, sf, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("pos"), F.concat(F.lit("clips/"), "o_orderkey", F.lit("/")).alias("path")), "path", "pos")
+    path = shared_folder(spark, "sheet")
+    SH.write_sheet(SH.fill_sheet(sheet, d, "sid", "prediction"), "prediction", path, 8)
+    back = spark.read.option("header", "true").schema("path string, prediction long").csv(path)
+    back = back.select("path", "prediction", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("part"), F.monotonically_increasing_id().alias("at"))
+    return ordered_scan(back, [], ["part", "at"], "part", row="row").select(F.col("row").cast("long").alias("row"), "path", "prediction")
+
+
 def _headers(spark, sf):
     """Header rows in both languages, shifted by leading columns; every fifth lacks the last channel."""
     p = v.table(spark, sf, "part").select("p_partkey")
@@ -215,8 +283,8 @@ def i13(spark, sf):
 
     pred = scored(spark, sf).select(F.col("sample_id").cast("string").alias("sid"), F.col("pred0").alias("prediction"))
     d = SH.fill_sheet(_sheet(spark, sf), pred, "sid", "prediction")
-    d = d.withColumns({"_one": F.lit(0), "_seg": F.conv(F.substring("pos", 1, 3), 16, 10).cast("int")})
-    return ordered_scan(d, ["_one"], ["pos"], "_seg", row="row").select(F.col("row").cast("long").alias("row"), "path", "prediction")
+    d = d.withColumn("_seg", F.conv(F.substring("pos", 1, 3), 16, 10).cast("int"))
+    return ordered_scan(d, [], ["pos"], "_seg", row="row").select(F.col("row").cast("long").alias("row"), "path", "prediction")
 
 
 @query(

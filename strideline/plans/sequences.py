@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
 from strideline.functions import vectors as V
+from strideline.functions.tables import register
 from strideline.operators import nested as N
 from strideline.operators import sequence as S
 from strideline.operators import structure as ST
 from strideline.operators.scan import ordered_scan
 from strideline.plans import views as v
 from strideline.plans.evaluate import rounded
-from strideline.plans.registry import query
+from strideline.plans.registry import REGISTRY, query
 from strideline.plans.timeseries import recordings
 
 C = v.N_CLASSES
@@ -187,6 +188,16 @@ def q4(spark, sf):
     return S.viterbi_decode(_packed(_targets(spark, sf)), "subject", "sample_id", start, trans, 1.0).select("sample_id", "decoded")
 
 
+@query("x5_viterbi_udtf", REGISTRY["q4_viterbi"].sql)
+def x5(spark, sf):
+    """The same decode by SQL: a table function over a partitioned, ordered table."""
+    register(spark)
+    _, trans = _model(spark, sf, backoff="unigram")
+    targets = _targets(spark, sf).select("subject", "t0", "sample_id", "probs")
+    text = "select * from viterbi_decode(table(select * from {targets}) partition by subject order by (t0, sample_id), 'sample_id', 'probs', array(" + ", ".join(f"{x!r}D" for x in trans.ravel().tolist()) + "), 1.0D)"
+    return spark.sql(text, targets=targets)
+
+
 @query("q4_viterbi_invariants", "select 'zero_weight_is_argmax' as rule, 0::bigint as n union all select 'uniform_is_argmax', 0 union all select 'split_equals_whole', 0")
 def q4b(spark, sf):
     start, trans = _model(spark, sf, backoff="unigram")

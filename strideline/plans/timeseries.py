@@ -65,10 +65,15 @@ _TRIPLES = f"""{_RUNS}, wk(label, i) as (select label, 1::bigint from fl where i
   br as (select fl.label, fl.run, bl.run as block, fl.i - bl.i as rep, bl.ok as triple, fl.n from fl join bl on fl.label = bl.label and (fl.i = bl.i or (bl.ok and fl.i between bl.i and bl.i + 2)))"""
 
 
-@query("w3_blocks_of_three", f"with recursive {_TRIPLES} select label, run, block, rep::int as rep, triple from br", "clips")
+@query(
+    "w3_blocks_of_three",
+    f"""with recursive {_TRIPLES}, un as (select label, -row_number() over (partition by label order by sample_id) as run from tc where st is null)
+        select label, run, block, rep::int as rep, triple from br union all select label, run, run, 0, false from un""",
+    "clips",
+)
 def w3(spark, sf):
-    _, r = runs(spark, sf)
-    return ST.blocks_of_three(r, "label", 3600 * SEC).select("label", F.col("run").cast("long").alias("run"), F.col("block").cast("long").alias("block"), F.col("rep").cast("int").alias("rep"), "triple")
+    d = ts.gap_sessions(timed_clips(spark, sf), ["label"], "start", "end", "sample_id", GAP, "run", "day")
+    return ST.recording_blocks(d, "label", "run", "start", "end", "sample_id", 3600 * SEC).select("label", F.col("run").cast("long").alias("run"), F.col("block").cast("long").alias("block"), F.col("rep").cast("int").alias("rep"), "triple")
 
 
 @query(

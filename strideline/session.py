@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage and go on from there (used between rounds of a loop)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the checkpoint folder, which the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -88,15 +88,25 @@ def sensor_rows(lines: DataFrame, key: str, cells: str, columns: str, channels:
     return d.filter(good).select(key, "device", "t", *channels)
 
 
-def read_sensor_csv(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]] = HEADER_ALIASES) -> DataFrame:
-    """Sensor files as (path, device, t, 16 channels). Files are split by line; each file's header is its
-    first line, found by the header test rather than by position, so files may be split."""
-    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.csv").select(F.input_file_name().alias("path"), F.split("value", ",").alias("cells"))
-    any_alias = [a for alts in aliases.values() for a in alts]
-    is_header = F.exists("cells", lambda h: F.exists(F.array(*[F.lit(a) for a in any_alias]), lambda a: F.contains(h, a)))
-    heads = lines.filter(is_header).groupBy("path").agg(F.first("cells").alias("names"))
-    cols = resolve_headers(heads, "path", "names", aliases)
-    return sensor_rows(lines.filter(~is_header).join(cols, "path"), "path", "cells", "columns", list(aliases))
+def split_cells(line: Column) -> Column:
+    """Cells of a CSV line: commas inside double quotes part nothing, outer quotes go, and doubled ones are single."""
+    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(cells, lambda c: F.when(c.rlike(r'^\s*".*"\s*$'), F.regexp_replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), '""', '"')).otherwise(c))
+
+
+def read_sensor_csv(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]] = HEADER_ALIASES, pattern: str = "*.csv") -> DataFrame:
+    """Sensor files as (path, device, t, one column per channel of `aliases`).
+
+    Files are split by line. A file's header is its first line: the one of the block at offset 0 that comes first in it.
+    A file whose header misses a channel is dropped, and so is a file without a header.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.monotonically_increasing_id().alias("_at"), "value")
+    heads = lines.filter("_head").groupBy("path").agg(F.min(F.struct("_at", "value")).alias("_h"))
+    heads = heads.select("path", F.col("_h._at").alias("_first"), split_cells(F.col("_h.value")).alias("names"))
+    cols = resolve_headers(heads, "path", "names", aliases, len(aliases)).join(heads.select("path", "_first"), "path")
+    body = lines.join(cols, "path").filter(F.col("_at") != F.col("_first")).withColumn("cells", split_cells(F.col("value")))
+    return sensor_rows(body, "path", "cells", "columns", list(aliases))
 
 
 PERSONS_SCHEMA = "array<struct<keypoints:array<array<double>>>>"
@@ -148,7 +158,7 @@ def append_new(index: DataFrame, path: str, key: str, build) -> int:
     spark = index.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    exists = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
     before = spark.read.parquet(path) if exists else None
     n0 = before.count() if exists else 0
     todo = pending(index, before, key) if exists else index
