@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.session import cut_lineage
+from strideline.llm.common import dropped, stored
 
 
 def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """`node, label` for every row of `nodes` (node): the least node reachable over `links` (a, b).
+    """Stored `node, label` for every row of `nodes` (node): the least node reachable over `links` (a, b).
 
     Each round every node hooks on to the least label in its neighbourhood and labels are then followed twice, so a
-    path of n nodes takes about log n rounds. Rounds end when no label moves; each is cut by a checkpoint. Hot nodes
-    are pre-aggregated map-side.
+    path of n nodes takes about log n rounds. Rounds end when no label moves; each is cut by a stored table, and the
+    one before is dropped. Hot nodes are pre-aggregated map-side.
     """
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct())
-    linked = cut_lineage(both.select("node").distinct().withColumn("label", F.col("node")))
+    both = stored(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "both")
+    moved = stored(both.select("node").distinct().select("node", F.col("node").alias("label"), F.col("node").alias("_new")), "labels")
     while True:
+        linked = moved.select("node", F.col("_new").alias("label"))
         seen = both.join(linked.select(F.col("node").alias("other"), F.col("label").alias("_l")), "other")
         least = seen.groupBy("node").agg(F.min("_l").alias("_m"))
         hooked = linked.join(least, "node").select("node", "label", F.least("label", "_m").alias("_n"))
@@ -25,9 +26,11 @@ def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         roots = hooked.groupBy("label").agg(F.min("_n").alias("_root")).withColumnRenamed("label", "_at")
         up = hooked.join(roots, F.col("label") == F.col("_at")).select("node", "label", F.least("_n", "_root").alias("_n"))
         jump = up.select(F.col("node").alias("_n"), F.col("_n").alias("_far"))
-        moved = cut_lineage(up.join(jump, "_n").select("node", "label", F.least("_n", "_far").alias("_new")))
-        changed = moved.filter("label <> _new").limit(1).count()
-        linked = moved.select("node", F.col("_new").alias("label"))
-        if not changed:
+        before, moved = moved, stored(up.join(jump, "_n").select("node", "label", F.least("_n", "_far").alias("_new")), "labels")
+        dropped(before)
+        if moved.filter("label <> _new").isEmpty():
             break
-    return nodes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    linked = moved.select("node", F.col("_new").alias("label"))
+    out = stored(nodes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    dropped(both, moved)
+    return out

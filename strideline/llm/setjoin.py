@@ -12,25 +12,27 @@ every set to leave out up to `slack` of its smallest subsets, which would match
 of its size and in the higher bands that a similar set can lie in.
 
 Sets that agree are *candidates*; every link is verified by the exact intersection. Equal sets are one node, so that
-copies never meet. Within an agreeing group nodes are first verified against one hub, then against another where they
-are not connected yet, and at last every pair that is still apart and can be similar is verified: no link between
-different components is assumed or lost, and no group is written out as all its pairs (see `remaining_pairs`).
-A group that is hot inside one input batch enters the shuffle through one node.
+copies never meet. Within an agreeing group nodes are first verified against one hub; then every pair that is still
+apart and can be similar is verified: no link between
+different components is assumed or lost, and no group is written out as all its pairs (see `met_pairs`).
+A group that is hot inside one input batch enters the shuffle through one node. Before whole sets move for a
+verification, a pair has to pass a bound on parities of one or two bits per gram.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.llm.common import stored
+from strideline.llm.common import dropped, stored
 from strideline.llm.components import label_components
 from strideline.llm.substring import BASES, WordRuns, mix64
 from strideline.llm.tokens import batches_of
@@ -41,6 +43,7 @@ KEYS = pa.schema([("group", pa.int64()), ("key", pa.int64()), ("node", pa.int64(
 U = np.uint64
 BATCH = 512
 FEW = 16
+MANY = 64
 
 
 class Band:
@@ -233,25 +236,67 @@ def agreeing(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stars, "key long, node long, hub long")
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Parity of the set's hashes in at least one bit per gram (a power of two, 64 or more).
+
+    Two sets that differ in d grams have parities that differ in at most d bits: a bound that never rejects a similar pair."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    at = (mix64(tokens) & U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A parity of fewer bits, by exclusive or of its halves. Bits are counted from the front, so halves are the two ends."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """`node, n, set` (sorted 64-bit gram hashes as bytes) of the wanted nodes; `wanted` has `rep` (a doc_id) and `node`."""
-    schema = pa.schema([("node", pa.int64()), ("want", pa.int64()), ("n", pa.int32()), ("set", pa.binary())])
+    """`node, n, parity, set` (sorted 64-bit gram hashes as bytes) of the wanted nodes; `wanted` has `rep` (a doc_id) and `node`."""
+    schema = pa.schema([("node", pa.int64()), ("want", pa.int64()), ("n", pa.int32()), ("parity", pa.binary()), ("set", pa.binary())])
 
     def pack(batches):
         for big in batches:
             for b in batches_of(big, BATCH):
                 tokens, at = gram_sets(b.column("text").to_pylist(), size)
-                body = [tokens[at[k] : at[k + 1]].astype("<u8").tobytes() for k in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(_set_digest(tokens, at)), b.column("want"), pa.array(np.diff(at).astype(np.int32)), pa.array(body, pa.binary())], schema=schema)
+                own = [tokens[at[k] : at[k + 1]] for k in range(b.num_rows)]
+                cols = [pa.array(_set_digest(tokens, at)), b.column("want"), pa.array(np.diff(at).astype(np.int32)), pa.array([parity(x) if len(x) else b"" for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], schema=schema)
 
     w = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("want"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(w, F.col("doc_id").eqNullSafe(F.col("_rep")))
-    sets = d.select("text", "want").mapInArrow(pack, "node long, want long, n int, set binary")
+    sets = d.select("text", "want").mapInArrow(pack, "node long, want long, n int, parity binary, set binary")
     return sets.filter("node = want").drop("want").dropDuplicates(["node"])
 
 
+def furthest(total: Column, percent: int) -> Column:
+    """The most grams that two similar sets of `total` grams together can differ in."""
+    return F.floor(total * (100 - percent) / (100 + percent) + F.lit(1e-9)).cast("long")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose sizes and parities allow a similarity; none that is similar is lost."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def test(batches):
+        for b in batches:
+            ok = []
+            for x, y, most in zip(b.column("x"), b.column("y"), b.column("most").to_pylist()):
+                u, v = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(u), len(v))
+                ok.append(int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum()) <= most)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=schema)
+
+    x = sets.select(F.col("node").alias("a"), F.col("n").cast("long").alias("_p"), F.col("parity").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").cast("long").alias("_q"), F.col("parity").alias("y"))
+    d = pairs.join(x, "a").join(y, "b").filter(f"least(_p, _q) * 100L >= {percent} * greatest(_p, _q)")
+    return d.select("a", "b", "x", "y", furthest(F.col("_p") + F.col("_q"), percent).alias("most")).mapInArrow(test, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union."""
+    """Of pairs (a, b) those with 100 * intersection >= percent * union. Whole sets move for plausible pairs only."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches):
@@ -265,9 +310,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=schema)
 
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("_p"), F.col("set").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("_q"), F.col("set").alias("y"))
-    d = pairs.join(x, "a").join(y, "b").filter(f"least(_p, _q) * 100L >= {percent} * greatest(_p, _q)")
+    x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    d = plausible(pairs, sets, percent).join(y, "b").join(x, "a")
     return d.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
@@ -285,98 +330,178 @@ def _ordered(d: DataFrame, one: str, other: str) -> DataFrame:
     return d.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
 
 
-def hub_pairs(mixed: DataFrame, seed: int) -> DataFrame:
-    """Every node of a mixed key with one of its nodes, drawn by a hash, where their components differ."""
-    draw = F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(seed), F.col("node"))).alias("_h")
-    d = mixed.join(mixed.groupBy("key").agg(draw), "key").filter(F.col("label") != F.col("_h.label")).withColumn("_o", F.col("_h.node"))
-    return _ordered(d, "node", "_o").distinct()
-
-
-def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a mixed key that can be similar and are in different components.
-
-    A key of up to `FEW` nodes gives its pairs as they are, at most FEW / 2 per node. In a larger key every node is
-    seen as its *difference* from the key's pivot: two sets differ by what their differences differ by, so similar
-    sets have differences that overlap in a known number of grams. Nodes similar to the pivot need no pairs among
-    themselves. For every other pair the smaller difference's rarest grams, as many as must hold one of the overlap,
-    are looked up among the larger differences (prefix filter). Copies with edits of their own share next to none.
-    """
-    few = mixed.filter(F.col("n_nodes") <= FEW)
-    right = few.select("key", F.col("node").alias("_o"), F.col("label").alias("_ol"))
-    plain = _ordered(few.join(right, "key").filter("label < _ol"), "node", "_o")
-
-    many = mixed.filter(F.col("n_nodes") > FEW).select("pivot", "node", "label").distinct()
-    star = _ordered(many.filter("node <> pivot"), "node", "pivot")
-    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("nd", pa.int64()), ("near", pa.bool_()), ("grams", pa.list_(pa.int64()))])
+def differences(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """`group, node, n, lost, added` of `many` (pivot, node): what each node lacks of its pivot's grams and has besides them."""
+    schema = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("lost", pa.list_(pa.int64())), ("added", pa.list_(pa.int64()))])
 
     def differ(batches):
         for b in batches:
-            out = []
+            n, lost, added = [], [], []
             for x, y in zip(b.column("x"), b.column("y")):
-                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                d = np.setxor1d(u, v, assume_unique=True)
-                common = (len(u) + len(v) - len(d)) // 2
-                out.append((len(u), len(d), 100 * common >= percent * (len(u) + len(v) - common), d.view(np.int64)))
-            cols = [b.column("pivot"), b.column("node"), b.column("label"), *[pa.array([o[k] for o in out], schema.field(3 + k).type) for k in range(4)]]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                u, v = np.frombuffer(x.as_buffer(), "<i8"), np.frombuffer(y.as_buffer(), "<i8")
+                n.append(len(u))
+                lost.append(np.setdiff1d(v, u, assume_unique=True))
+                added.append(np.setdiff1d(u, v, assume_unique=True))
+            cols = [pa.array(x, f.type) for x, f in zip((n, lost, added), list(schema)[2:])]
+            yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), *cols], schema=schema)
 
     x = sets.select("node", F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("pivot"), F.col("set").alias("y"))
-    d = many.join(x, "node").join(y, "pivot").select("pivot", "node", "label", "x", "y")
-    d = stored(d.mapInArrow(differ, "pivot long, node long, label long, n long, nd long, near boolean, grams array<long>"), "differences")
-    per = d.groupBy("pivot").agg(F.min(F.when(~F.col("near"), F.col("nd"))).alias("_far"), F.max("n").alias("_widest"))
-    d = d.join(per.filter("_far is not null"), "pivot")
-    most = F.floor((F.col("n") + F.least(F.floor(F.col("n") * 100 / percent), F.col("_widest"))) * (100 - percent) / (100 + percent))
-    needed = F.ceil((F.col("nd") + F.when(F.col("near"), F.col("_far")).otherwise(F.col("nd")) - most) / 2)
-    d = d.withColumn("_needed", needed).select("pivot", "node", "label", "nd", "near", "grams", "_needed")
-
-    far = d.filter(~F.col("near"))
-    other = far.select("pivot", F.col("node").alias("_o"), F.col("label").alias("_ol"), F.col("nd").alias("_ond"))
-    fits = (F.col("label") != F.col("_ol")) & (F.col("near") | (F.col("_ond") >= F.col("nd")))
-    free = _ordered(d.filter("_needed <= 0").join(other, "pivot").filter(fits), "node", "_o")
-    each = d.filter("_needed > 0 and _needed <= nd").select("pivot", "node", "label", "nd", "near", "_needed", F.explode("grams").alias("gram"))
-    held = far.select("pivot", F.col("node").alias("_o"), F.col("label").alias("_ol"), F.col("nd").alias("_ond"), F.explode("grams").alias("gram"))
-    counts = held.groupBy("pivot", "gram").agg(F.count("*").alias("_times"))
-    rare = W.partitionBy("pivot", "node").orderBy(F.coalesce("_times", F.lit(0)), "gram")
-    prefix = each.join(counts, ["pivot", "gram"], "left").withColumn("_rank", F.row_number().over(rare)).filter((F.col("_rank") <= F.col("nd") - F.col("_needed") + 1) & F.col("_times").isNotNull())
-    met = _ordered(prefix.join(held, ["pivot", "gram"]).filter(fits & (F.col("node") != F.col("_o"))), "node", "_o")
-    return plain.unionByName(star).unionByName(free).unionByName(met).distinct()
-
-
-def _components(docs: DataFrame, size: int, percent: int, hubs: int, marks: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The stored nodes of all rows, and `node, rep, label` of every node with grams: its least doc_id and its component."""
+    d = many.join(x, "node").join(y, "pivot").select("pivot", "node", "x", "y")
+    return d.mapInArrow(differ, "group long, node long, n long, lost array<long>, added array<long>")
+
+
+def recentred(d: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Differences of groups with several components, from their group's centre: the grams that most of its nodes have.
+
+    Adds `label`, the numbers `n_lost` and `n_added`, `slack` (two sets of one group whose slacks sum to 0 or more are
+    similar for certain, as their differences together are no more than similar sets may differ in), `most`, what a set
+    can differ in from a similar one of its group, and `_width`, more than any of its group can."""
+    d = d.join(labels, "node")
+    per = d.groupBy("group").agg(F.count("*").alias("_nodes"), F.max("n").alias("_widest"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi")
+    d = d.join(per.drop("_lo", "_hi"), "group")
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("grams")) for c in ("lost", "added")])
+    each = d.select("group", "_nodes", F.explode(sides).alias("s")).select("group", "_nodes", "s.side", F.explode("s.grams").alias("gram"))
+    most = each.groupBy("group", "gram", "side", "_nodes").agg(F.count("*").alias("_c")).filter("2 * _c > _nodes")
+    common = most.groupBy("group").agg(*[F.collect_list(F.when(F.col("side") == c, F.col("gram"))).alias(f"_{c}") for c in ("lost", "added")])
+    none = F.array().cast("array<bigint>")
+    d = d.join(common, "group", "left")
+    more, less = F.coalesce("_added", none), F.coalesce("_lost", none)
+    added = F.concat(F.array_except("added", more), F.array_except(less, F.col("lost")))
+    lost = F.concat(F.array_except("lost", less), F.array_except(more, F.col("added")))
+    d = d.select("group", "node", "label", "n", "_widest", lost.alias("lost"), added.alias("added"))
+    d = d.withColumns({"n_lost": F.size("lost").cast("long"), "n_added": F.size("added").cast("long")})
+    slack = F.col("n") * (100 - percent) - (F.col("n_lost") + F.col("n_added")) * (100 + percent)
+    most = furthest(F.col("n") + F.least(F.floor(F.col("n") * 100 / percent), F.col("_widest")), percent)
+    width = furthest(F.col("_widest") * 2, percent) + 1
+    return d.withColumns({"slack": slack, "most": most, "_width": width}).drop("_widest")
+
+
+FACTS = ["node", "label", "n", "n_lost", "n_added", "slack"]
+
+
+def _rarest(d: DataFrame, held: DataFrame, grams: str, size: Column) -> DataFrame:
+    """The `size` rarest `grams` of every row of `d` among the grams of `held`, one a row, where another row has them, too."""
+    counts = held.groupBy("group", "gram").agg(F.count("*").alias("_times"))
+    each = d.withColumn("_size", size).filter("_size > 0").select("group", *FACTS, *[c for c in ("_thin", "_width") if c in d.columns], "_size", F.explode(grams).alias("gram"))
+    order = W.partitionBy("group", "node").orderBy(F.coalesce("_times", F.lit(0)), "gram")
+    ranked = each.join(counts, ["group", "gram"], "left").withColumn("_rank", F.row_number().over(order))
+    return ranked.filter("_rank <= _size and _times > 1").drop("_times", "_rank", "_size")
+
+
+def met_pairs(d: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (group, node, _o) of recentred differences that can be similar, and groups (group, child, node) yet to be divided.
+
+    Similar sets differ by what their differences from the centre differ by. Pairs whose slacks sum to 0 are linked
+    already; any other similar pair has a gram in common in its differences:
+    - either an added one. Then one of the `most / 2 + 1` rarest added grams of the side with fewer of them stands among
+      the added grams of the other. Edits of one's own give grams that few or none share.
+    - or only lost ones. Then both sides together have at most `most` added grams, so one of them (a *thin* one) at most
+      half of that, and the rarest lost grams of the side with fewer of them are looked up among sides whose number of
+      lost grams is near (metric bound).
+    A gram that up to `MANY` nodes hold gives pairs. The holders of a more frequent one are a group of their own: it has
+    a nearer centre, of which that gram is a part.
+    """
+    bound = lambda: furthest(F.col("n") + F.col("_on"), percent)
+    gap = F.abs(F.col("n_lost") - F.col("_olost")) + F.abs(F.col("n_added") - F.col("_oadded"))
+    apart = (F.col("label") != F.col("_ol")) & (F.col("slack") + F.col("_oslack") < 0) & (gap <= bound())
+    other = dict(zip(FACTS, ["_o", "_ol", "_on", "_olost", "_oadded", "_oslack"]))
+    pairs, children = [], []
+
+    def meet(prefix: DataFrame, held: DataFrame, key: list[str], fits: Column) -> None:
+        right = held.select(*key, *[F.col(c).alias(x) for c, x in other.items()], F.count("*").over(W.partitionBy(*key)).alias("_times"), *[F.col("_thin").alias("_othin")] * ("_thin" in held.columns))
+        pairs.append(prefix.join(right.filter(F.col("_times") <= MANY), key).filter(apart & fits).select("group", "node", "_o"))
+        wide = right.filter(F.col("_times") > MANY)
+        asked = prefix.join(wide.select(*key).distinct(), key).select(*key, "node")
+        whole = asked.unionByName(wide.join(asked.select(*key).distinct(), key).select(*key, F.col("_o").alias("node")))
+        children.append(whole.select("group", F.xxhash64(F.lit(len(key)), *key).alias("child"), "node").distinct())
+
+    held = d.select("group", *FACTS, F.explode("added").alias("gram"))
+    meet(_rarest(d, held, "added", F.least(F.col("n_added"), F.floor(F.col("most") / 2) + 1)), held, ["group", "gram"], F.col("_oadded") >= F.col("n_added"))
+
+    rest = d.filter(F.col("n_added") <= F.col("most")).withColumn("_thin", F.col("n_added") * 2 <= F.col("most"))
+    band = F.floor(F.col("n_lost") / F.col("_width"))
+    held = rest.select("group", *FACTS, "_thin", band.alias("band"), F.explode("lost").alias("gram"))
+    need = F.greatest(F.ceil((2 * F.col("n_lost") + F.col("n_added") - F.col("most")) / 2), F.lit(1))
+    prefix = _rarest(rest, held, "lost", F.col("n_lost") - need + 1).withColumn("band", F.explode(F.array(band, band + 1)))
+    few = (F.col("n_added") + F.col("_oadded") <= bound()) & (F.col("_olost") >= F.col("n_lost")) & (F.col("_thin") | F.col("_othin"))
+    meet(prefix, held, ["group", "gram", "band"], few)
+    found = reduce(DataFrame.unionByName, pairs).filter("node <> _o").select("group", F.least("node", "_o").alias("node"), F.greatest("node", "_o").alias("_o")).distinct()
+    return found, reduce(DataFrame.unionByName, children)
+
+
+def settled(d: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored links (a, b) of groups of differences, and the stored differences of groups that are yet to be divided."""
+    d = stored(recentred(d, labels, percent), "centred")
+    best = d.groupBy("group").agg(F.max_by(F.struct("node", "slack"), F.struct("slack", -F.col("node"))).alias("_b"))
+    star = d.join(best, "group").filter("slack + _b.slack >= 0 and node <> _b.node").withColumn("_o", F.col("_b.node"))
+    found, children = met_pairs(d, percent)
+    found = stored(found, "pairs")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def test(batches):
+        for b in batches:
+            ok = [len(np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) <= most for x, y, most in zip(b.column("x"), b.column("y"), b.column("most").to_pylist())]
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=schema)
+
+    side = lambda node, n, grams: d.select("group", F.col("node").alias(node), F.col("n").alias(n), F.concat("lost", "added").alias(grams))
+    met = found.withColumnRenamed("node", "a").withColumnRenamed("_o", "b").join(side("a", "_p", "x"), ["group", "a"]).join(side("b", "_q", "y"), ["group", "b"])
+    met = met.select("a", "b", "x", "y", furthest(F.col("_p") + F.col("_q"), percent).alias("most")).mapInArrow(test, "a long, b long")
+    links = stored(_ordered(star, "node", "_o").unionByName(met).distinct(), "links")
+    rest = stored(children.join(d.select("group", "node", "n", "lost", "added"), ["group", "node"]).select(F.col("child").alias("group"), "node", "n", "lost", "added"), "differences")
+    dropped(d, found)
+    return links, rest
+
+
+def _components(docs: DataFrame, size: int, percent: int, marks: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The stored nodes of all rows, and `node, rep, label` of every node with grams: its least doc_id and its component.
+
+    After every node has met its keys' hubs, every pair that a key still holds apart is settled: keys of up to `FEW` nodes
+    as pairs, at most FEW / 2 per node, larger ones by their differences (see `met_pairs`), in groups that grow smaller.
+    Tables that only this work reads are dropped on the way."""
     nodes = stored(doc_nodes(docs, size, marks), "nodes")
     largest = nodes.agg(F.max("n")).first()[0] or 1
     reps = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     members = stored(agreeing(index_keys(docs, size, percent, bands_upto(largest * 100 // percent + 1, percent))), "agreeing")
-    wanted = members.select("node").distinct().join(reps, "node")
-    sets = stored(node_sets(docs, wanted, size), "sets")
-
-    star = members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = stored(verified(star, sets, percent), "links")
+    sets = stored(node_sets(docs, members.select("node").distinct().join(reps, "node"), size), "sets")
     every = sets.select("node")
-    labels = stored(label_components(every, links), "labels")
-    for turn in range(1, hubs + 1):
-        mixed = stored(mixed_members(members, labels, links), "mixed")
-        if mixed.isEmpty():
-            break
-        pairs = hub_pairs(mixed, turn) if turn < hubs else remaining_pairs(mixed, sets, percent)
-        more = stored(verified(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = stored(label_components(every, links), "labels")
 
-    return nodes, reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    star = members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = [stored(verified(star, sets, percent), "links")]
+    labels = label_components(every, links[0])
 
+    def join(more: DataFrame) -> None:
+        nonlocal labels
+        links.append(more)
+        if not more.isEmpty():
+            dropped(labels)
+            labels = label_components(every, reduce(DataFrame.unionByName, links))
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, hubs: int = 3) -> DataFrame:
+    mixed = stored(mixed_members(members, labels, links[0]), "mixed")
+    few = mixed.filter(F.col("n_nodes") <= FEW)
+    right = few.select("key", F.col("node").alias("_o"), F.col("label").alias("_ol"))
+    plain = _ordered(few.join(right, "key").filter("label < _ol"), "node", "_o").distinct()
+    rest = stored(differences(mixed.filter(F.col("n_nodes") > FEW).select("pivot", "node").distinct(), sets), "differences")
+    join(stored(verified(plain, sets, percent), "links"))
+    while not rest.isEmpty():
+        more, smaller = settled(rest, labels, percent)
+        join(more)
+        dropped(rest)
+        rest = smaller
+    out = stored(reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "components")
+    dropped(rest, mixed, members, sets, labels, *links)
+    return nodes, out
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row of `docs` (doc_id, text; other columns are ignored).
 
     A document with fewer words than `size` has its whole sequence as its one gram; a NULL or empty text has none and
     links with nothing. component_id is the smallest doc_id reachable by links, itself included; NULL ids are passed
     over and take the component's smallest known id. Repeated rows are equal sets, so one component.
     """
-    nodes, joined = _components(docs, size, percent, hubs)
+    nodes, joined = _components(docs, size, percent)
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "label").select("node", "component_id")
     out = nodes.join(named, "node", "left")
@@ -393,11 +518,12 @@ def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     # a NULL id is stood for by the text's hash, so that rows without an id never meet on one key
     no_id, own, md5 = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.md5(F.coalesce("text", F.lit(""))))
     row = docs.select(own.alias("doc_id"), "text", F.concat(F.when(no_id, F.lit("1")).otherwise(F.lit("0")), md5).alias("mark"))
-    nodes, joined = _components(row, size, percent, 3, ["mark"])
+    nodes, joined = _components(row, size, percent, ["mark"])
     same = nodes.filter("n > 0").join(joined.select("node", "label"), "node").groupBy("label", "doc_id", "mark").agg(F.count("*").alias("times"))
     best = same.groupBy("label").agg(F.min(F.struct(F.substring("mark", 1, 1).alias("no_id"), "doc_id", "mark", "times")).alias("r")).select("r.doc_id", "r.mark", "r.times")
     empty = nodes.filter("n = 0").select("doc_id", "mark", F.lit(1).cast("long").alias("times")).distinct()
     first = stored(best.unionByName(empty).toDF("_id", "_mark", "_times"), "first")
+    dropped(nodes, joined)
 
     # names of `docs` may clash with any of ours, so the join is by its own columns
     key = [F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), F.concat(F.when(docs["doc_id"].isNull(), F.lit("1")).otherwise(F.lit("0")), F.md5(F.coalesce(docs["text"], F.lit(""))))]
