@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,7 +162,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = e.select("u").union(e.select("v")).distinct()
     cur = cut_lineage(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
         # large star: every larger neighbour of u points at the least of u's neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -169,11 +170,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # small star: every smaller neighbour of u, and u, point at the least of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        cur = cut_lineage(small)
-        state = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before:
+        before, cur = cur, cut_lineage(small)
+        # edges are distinct, so the same number and none that is new is the same graph
+        if before.count() == cur.count() and cur.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        before = state
     return nodes.join(cur.select(F.col("u"), F.col("v").alias("component")), "u", "left").select(
         F.col("u").alias("node"), F.coalesce("component", "u").alias("component")
     )
@@ -290,19 +290,27 @@ def lineage_gate(base: DataFrame, cand: DataFrame, key: str, min_coverage: float
 
 
 def weight_sweep(wide: DataFrame, logits: Sequence[str], grid: Sequence[Sequence[float]], label: str, n_classes: int, fold: str | None = None) -> DataFrame:
-    """Hits of every weight vector of a grid, in one pass: the members sit side by side in a row, the
-    grid is literal, and only (setting[, fold]) counts are shuffled."""
-    def hits(w):
-        z = [" + ".join(f"{float(x)!r}D * {c}[{i}]" for c, x in zip(logits, w)) for i in range(n_classes)]
-        r = ", ".join(f"rint(({x}) * 1e9D)" for x in z)
-        return F.expr(f"count_if(array_position(array({r}), greatest({r})) - 1 = {label})")
-
-    # one sum per setting over rows read once: nothing is multiplied out; slices keep generated code small
-    keys, out = ([fold] if fold else []), None
-    for at in range(0, len(grid), 16):
-        part = grid[at: at + 16]
-        g = wide.groupBy(*keys).agg(F.count("*").alias("n"), *[hits(w).alias(f"h{i}") for i, w in enumerate(part)])
-        rows = F.array(*[F.struct(F.lit(at + i).alias("setting"), F.col(f"h{i}").alias("hits")) for i in range(len(part))])
-        got = g.select(*keys, "n", F.explode(rows).alias("x")).select(*keys, "x.setting", "x.hits", "n")
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Hits of every weight vector of a grid (setting, hits, n[, fold]), from one scan whatever the grid: the members sit
+    side by side in a row, a task scores its batches under all settings, and only counts leave it."""
+    weights = np.array([[float(x) for x in w] for w in grid])
+
+    def count(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            members = [b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_classes) for k in range(len(logits))]
+            truth, keys = b.column(len(logits)).to_numpy(zero_copy_only=False), b.column(len(logits) + 1).to_numpy(zero_copy_only=False)
+            folds, at = np.unique(keys, return_inverse=True)
+            sizes, out = np.bincount(at, minlength=len(folds)), []
+            for k, w in enumerate(weights):
+                z = w[0] * members[0]
+                for x, m in zip(w[1:], members[1:]):
+                    z = z + x * m
+                hit = np.rint(z * 1e9).argmax(axis=1) == truth
+                out += [(int(f), k, int(h), int(n)) for f, h, n in zip(folds, np.bincount(at[hit], minlength=len(folds)), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["_f", "setting", "hits", "n"])
+
+    d = wide.select(*logits, F.col(label).cast("long").alias("_y"), (F.col(fold).cast("long") if fold else F.lit(0).cast("long")).alias("_f"))
+    seen = d.mapInArrow(count, "_f long, setting long, hits long, n long").groupBy("_f", "setting").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    keys = [F.col("_f").cast(dict(wide.dtypes)[fold]).alias(fold)] if fold else []
+    return seen.select(*keys, F.col("setting").cast("int").alias("setting"), "hits", "n")

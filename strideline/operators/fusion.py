@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,29 +199,33 @@ def substitute_member(post: DataFrame, absent, n_classes: int) -> DataFrame:
 def recipe_search(wide: DataFrame, base: str, members: Sequence[str], target: str, weights: Sequence[float], n_classes: int, max_members: int = 3) -> DataFrame:
     """Largest |difference| to a target table for base^(1-w) * (geometric mean of k members)^w.
 
-    The grid of member subsets and weights is literal, and every recipe is one maximum.
+    One scan whatever the grid: a task tries all member subsets and weights on its batches, and one number per recipe leaves it.
     """
     from itertools import combinations
 
     combos = [c for k in range(1, max_members + 1) for c in combinations(range(len(members)), k)]
     grid = [(c, float(w)) for c in combos for w in weights]
-    logs = wide.select(F.col(target).alias("_t"), P.safe_log(base, n=n_classes).alias("_b"), *[P.safe_log(m, n=n_classes).alias(f"_m{i}") for i, m in enumerate(members)])
 
-    def delta(combo, w):
-        z = [f"({1.0 - w!r}D * _b[{i}] + {w / len(combo)!r}D * ({' + '.join(f'_m{j}[{i}]' for j in combo)}))" for i in range(n_classes)]
-        e = [f"exp({x} - greatest({', '.join(z)}))" for x in z]
-        total = " + ".join(e)
-        return F.expr(f"greatest({', '.join(f'abs({x} / ({total}) - _t[{i}])' for i, x in enumerate(e))})")
-
-    # one maximum per recipe: rows are read once, in slices of the grid that keep generated code small
-    out = None
-    for at in range(0, len(grid), 16):
-        part = grid[at: at + 16]
-        best = logs.agg(*[F.max(delta(c, w)).alias(f"g{i}") for i, (c, w) in enumerate(part)])
-        rows = F.array(*[F.struct(F.lit("+".join(members[j] for j in c)).alias("combo"), F.lit(w).alias("w"), F.col(f"g{i}").alias("max_delta")) for i, (c, w) in enumerate(part)])
-        got = best.select(F.explode(rows).alias("x")).select("x.*")
-        out = got if out is None else out.unionByName(got)
-    return out
+    def compare(batches):
+        """Largest difference of every recipe over a batch: rows are read and their logarithms taken once."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            target, own, *logs = (b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_classes) for k in range(2 + len(members)))
+            worst = []
+            for combo, w in grid:
+                mixed = logs[combo[0]]
+                for j in combo[1:]:
+                    mixed = mixed + logs[j]
+                z = (1.0 - w) * own + w / len(combo) * mixed
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                worst.append(float(np.abs(e / e.sum(axis=1, keepdims=True) - target).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(worst)], names=["_g", "d"])
+
+    logs = wide.select(F.col(target).alias("_t"), P.safe_log(base, n=n_classes).alias("_b"), *[P.safe_log(m, n=n_classes).alias(f"_m{i}") for i, m in enumerate(members)])
+    best = logs.mapInArrow(compare, "_g int, d double").groupBy("_g").agg(F.max("d").alias("max_delta"))
+    names, shares = F.array(*[F.lit("+".join(members[j] for j in c)) for c, _ in grid]), F.array(*[F.lit(w) for _, w in grid])
+    return best.select(names[F.col("_g")].alias("combo"), shares[F.col("_g")].alias("w"), "max_delta")
 
 
 def centre_groups(vectors: DataFrame, group: str, vec: str, dim: int, train_mean: DataFrame, min_size: int = 5) -> DataFrame:

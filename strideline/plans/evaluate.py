@@ -11,6 +11,7 @@ from strideline.functions import vectors as V
 from strideline.operators import evaluate as E
 from strideline.operators import fusion as FU
 from strideline.operators import learn as L
+from strideline.operators import ward as WD
 from strideline.operators.scan import settings
 from strideline.plans import views as v
 from strideline.plans.fusion import WEIGHTS, fused, fused_wide, prior, scored
@@ -299,6 +300,24 @@ def e17(spark, sf):
     return rounded(E.group_purity(c.join(v.vectors(spark, sf).select("grp", "subject"), "grp"), ["cluster"], "subject"))
 
 
+_WARD = """c as (select subject as k, d, avg(v) as m from vecdim group by 1, 2), p as (select a.k as a, b.k as b, sum(pow(a.m - b.m, 2)) as d from c a join c b on a.d = b.d and a.k <> b.k group by 1, 2),
+  nn as (select a, arg_min(b, (d, b)) as b, min(d) as d from p group by 1)"""
+
+
+@query("e17_ward_first_merges", f"with {_WARD} select x.a, x.b, round(x.d, 6) as height from nn x join nn y on x.b = y.a and y.b = x.a where x.a < x.b", "vecdim")
+def e17_first(spark, sf):
+    """Merges of single subjects: the reciprocal nearest neighbours of Ward's first round."""
+    means = L.centroids(v.vectors(spark, sf), "subject", "vec", v.EMB_DIM)
+    return rounded(WD.ward_merges(means, "subject", "centroid").filter("round = 1").select("a", "b", "height"))
+
+
+@query("e17_ward_purity")
+def e17_ward(spark, sf):
+    """Purity of Ward's clusters of recordings by subject (no SQL: the tree is held against a brute-force version in tests)."""
+    c = WD.ward_group_clusters(v.vectors(spark, sf), "subject", "vec", v.EMB_DIM, 6)
+    return rounded(E.group_purity(c.join(v.vectors(spark, sf).select("subject", "label"), "subject"), ["cluster"], "label"))
+
+
 @query(
     "e18_rank_auc",
     """with r as (select lang, quality, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as rk from stexts)

@@ -8,6 +8,7 @@ from strideline.functions import posterior as P
 from strideline.functions import vectors as V
 from strideline.operators import folds as FO
 from strideline.operators import learn as L
+from strideline.operators import trees as TR
 from strideline.operators import timeseries as ts
 from strideline.plans import views as v
 from strideline.plans.evaluate import rounded
@@ -49,6 +50,20 @@ def m2b(spark, sf):
     return FO.leave_one_out_folds(v.seq(spark, sf), "subject", F.floor(F.col("subject") / 1024)).select("subject", F.col("fold").cast("long").alias("fold"))
 
 
+@query(
+    "m3_extra_trees",
+    "select subject % 4 as fold, count(*) as n, count(*) as summing_to_one, count(distinct label) as n_labels, true as above_chance from vectors group by 1",
+    "vectors",
+)
+def m3_trees(spark, sf):
+    """Extremely randomised trees per fold, each row scored once by trees that never saw its subject."""
+    d = v.vectors(spark, sf).select("sample_id", "vec", "label", (F.col("subject") % 4).cast("long").alias("fold"))
+    forest = TR.grow_forest(d, "vec", "label", "fold", 4, v.EMB_CLASSES, v.EMB_DIM, trees=10, depth=5)
+    out = TR.forest_posteriors(d, "sample_id", "vec", "fold", forest, v.EMB_CLASSES, v.EMB_DIM).join(d.select("sample_id", "label"), "sample_id")
+    hit, whole = (P.argmax("probs", 9) == F.col("label")).cast("double"), F.round(P.total("probs"), 9) == 1
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.sum(whole.cast("long")).alias("summing_to_one"), F.count_distinct("label").alias("n_labels"), (F.avg(hit) > 1.0 / v.EMB_CLASSES).alias("above_chance"))
+
+
 @query("m3_forest_posteriors")
 def m3(spark, sf):
     d = v.vectors(spark, sf).select("sample_id", "vec", "label", (F.col("subject") % 4).cast("int").alias("fold"))
