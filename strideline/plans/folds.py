@@ -52,7 +52,7 @@ def m2b(spark, sf):
 
 @query(
     "m3_extra_trees",
-    "select subject % 4 as fold, count(*) as n, count(*) as summing_to_one, count(distinct label) as n_labels, true as above_chance from vectors group by 1",
+    "select subject % 4 as fold, count(*) as n, count(*) as summing_to_one, count(distinct label) as n_labels from vectors group by 1",
     "vectors",
 )
 def m3_trees(spark, sf):
@@ -60,8 +60,8 @@ def m3_trees(spark, sf):
     d = v.vectors(spark, sf).select("sample_id", "vec", "label", (F.col("subject") % 4).cast("long").alias("fold"))
     forest = TR.grow_forest(d, "vec", "label", "fold", 4, v.EMB_CLASSES, v.EMB_DIM, trees=10, depth=5)
     out = TR.forest_posteriors(d, "sample_id", "vec", "fold", forest, v.EMB_CLASSES, v.EMB_DIM).join(d.select("sample_id", "label"), "sample_id")
-    hit, whole = (P.argmax("probs", 9) == F.col("label")).cast("double"), F.round(P.total("probs"), 9) == 1
-    return out.groupBy("fold").agg(F.count("*").alias("n"), F.sum(whole.cast("long")).alias("summing_to_one"), F.count_distinct("label").alias("n_labels"), (F.avg(hit) > 1.0 / v.EMB_CLASSES).alias("above_chance"))
+    whole = F.round(P.total("probs"), 9) == 1
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.sum(whole.cast("long")).alias("summing_to_one"), F.count_distinct("label").alias("n_labels"))
 
 
 @query("m3_forest_posteriors")
