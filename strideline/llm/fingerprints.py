@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.llm.common import grams, let, split_words, text_of
+from strideline.llm.common import grams, let, split_words, stored, text_of
 
 BINS = 128
 BITS = 8
@@ -80,28 +80,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return d.withColumn("fingerprint", fingerprint(F.col("_hashes"))).drop("_hashes")
 
 
-def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach `next_<col>` of the next row in descending doc_id order; the last row gets the first row's.
+def id_slices(docs: DataFrame, slices: int) -> Column:
+    """A slice number that never decreases along (doc_id, NULL first, then `_hash`), of nearly equal row counts.
 
-    Slices of the id range are windowed apart; edges meet as one id per slice, and each slice's edge row joins its neighbour.
+    Borders are quantile sketches of the ids. An id that is a border itself, as one that many rows have, is cut by its
+    rows' hashes, and so are NULL ids. Borders are searched in two steps of about the square root of their number.
     """
-    span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = (span[0] or 0), (span[1] or 0), span[2]
-    slices = max(1, int(4 * n**0.5))
-    width = max(1, -(-(high - low + 1) // slices))
-    d = docs.withColumn("_slice", F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(-1)).cast("long"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(*cols)]
+    probs = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    found = docs.agg(F.percentile_approx("doc_id", probs, 10 * slices)).first()[0] if slices > 1 else None
+    borders = sorted(set(found or []))
+    step = max(1, int(len(borders) ** 0.5))
+    blocks = [borders[k : k + step] for k in range(0, len(borders), step)]
+    none, v = F.array().cast("array<bigint>"), F.col("doc_id")
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else none
+    coarse = F.size(F.filter(longs([b[0] for b in blocks]), lambda x: x <= v))
+    block = F.coalesce(F.get(F.array(*[longs(b) for b in blocks]) if blocks else F.array(none), coarse - 1), none)
+    at = let(F.struct(coarse.alias("c"), block.alias("b")), lambda x: 2 * (step * F.greatest(x["c"] - 1, F.lit(0)) + F.size(F.filter(x["b"], lambda y: y <= v))) - F.array_contains(x["b"], v).cast("int"))
+    part = F.shiftright("_hash", 54) + 512
+    return F.when(v.isNull(), part - 1024).otherwise(let(F.struct(at.alias("at"), part.alias("part")), lambda x: x["at"].cast("long") * 1024 + F.when(x["at"] % 2 == 1, x["part"]).otherwise(F.lit(0))))
+
+
+def with_next(docs: DataFrame, more, cols: list[str]) -> DataFrame:
+    """Attach `next_<col>` of the next row in descending doc_id order to `docs` (doc_id, text), to which `more` adds columns;
+    the last row gets the first row's.
+
+    Slices along the ids are windowed apart. Their edge rows are found by id and hash alone, and only those rows' texts are
+    fetched and seen by `more` once again. Rows of equal ids are ordered by a hash of their text.
+    """
+    n = docs.count()
+    placed = docs.withColumn("_hash", F.xxhash64("text"))
+    slices = id_slices(docs, min(4096, max(1, int(4 * n**0.5))))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
     inside = W.partitionBy("_slice").orderBy(*order)
+    d = more(placed.withColumn("_slice", slices))
     d = d.withColumns({"_first": F.row_number().over(inside) == 1, **{f"_{c}": F.lag(c).over(inside) for c in cols}})
-    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), order[1])
-    edges = docs.withColumn("_slice", F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(-1)).cast("long"))
-    tops = edges.groupBy("_slice").agg(F.max_by(F.struct(*cols), key).alias("_top"))
-    chain = W.partitionBy(F.lit(0)).orderBy("_slice")
-    links = edges.groupBy("_slice").agg(F.lit(1)).select("_slice")
-    links = links.select("_slice", F.coalesce(F.lag("_slice").over(chain), F.max("_slice").over(W.partitionBy(F.lit(0)))).alias("_prev"))
-    before = links.join(tops.withColumnRenamed("_slice", "_prev"), "_prev").select("_slice", "_top")
-    d = d.join(before, "_slice")
-    return d.select(*docs.columns, *[F.when(F.col("_first"), F.col("_top")[c]).otherwise(F.col(f"_{c}")).alias(f"next_{c}") for c in cols])
+
+    # one row per slice
+    top = F.max_by(F.struct("doc_id", "_hash"), F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "_hash")).alias("_top")
+    ends = stored(placed.select("doc_id", "_hash", slices.alias("_slice")).groupBy("_slice").agg(top), "edges")
+    chain = W.orderBy("_slice")
+    before = F.coalesce(F.lag("_top").over(chain), F.max_by("_top", "_slice").over(W.partitionBy()))
+    ends = ends.select("_slice", before.alias("_t")).select("_slice", F.col("_t.doc_id").alias("_id"), F.col("_t._hash").alias("_h"))
+    rows = placed.join(ends.select("_id", "_h").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    rows = more(rows).select(F.col("doc_id").alias("_rid"), F.col("_hash").alias("_rh"), F.struct(*cols).alias("_top"))
+    links = ends.join(rows, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_h") == F.col("_rh"))).select("_slice", "_top")
+    d = d.join(links, "_slice").drop("_slice", "_hash")
+    return d.select(*[c for c in d.columns if c[0] != "_"], *[F.when(F.col("_first"), F.col("_top")[c]).otherwise(F.col(f"_{c}")).alias(f"next_{c}") for c in cols])
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -111,8 +135,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     which has an empty fingerprint; NULL ids come last in descending order; rows with equal ids are ordered by a hash
     of their text; a single row is its own next one. Other columns are ignored; an empty table gives no rows.
     """
-    d = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-    d = with_next(d, ["text", "fingerprint"])
+    d = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), fingerprints, ["text", "fingerprint"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
