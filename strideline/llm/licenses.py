@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.llm.common import grams, text_of
+from strideline.llm.common import content_words, grams, text_of
 
-NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATE_WORDS = 20_000
 MARKER = -1
 
@@ -48,12 +47,6 @@ NOTICES = (
 )
 
 
-def license_words(text: Column) -> Column:
-    """Lower-case words of digits, a-z and characters beyond ASCII. `lower` also folds letters beyond ASCII, which moves
-    no word boundary and turns none of them into a letter of the base phrases."""
-    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
-
-
 def template_grams(spark: SparkSession, templates: Sequence[Template], k: int) -> DataFrame:
     """`h, template, k, t, gram, size` of all templates, and the marker's row."""
     split = [t.words.split() for t in templates]
@@ -72,7 +65,7 @@ def template_grams(spark: SparkSession, templates: Sequence[Template], k: int) -
 def gram_matches(docs: DataFrame, templates: Sequence[Template], k: int = 3) -> DataFrame:
     """Verified gram matches and one marker per document: `doc_id, text_hash, n_words, template, k, t, s, size`."""
     sizes = sorted({min(k, len(t.words.split())) for t in templates})
-    d = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), license_words(text_of()).alias("words"))
+    d = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), content_words(text_of()).alias("words"))
     d = d.withColumn("grams", F.concat(*[grams(F.col("words"), m, short=False) for m in sizes], F.array(F.lit(MARKER).cast("long"))))
     d = d.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("pos", "h"))
     n = F.size("words")
