@@ -1,7 +1,7 @@
 """Centroid clustering of integer vectors over a vector-approximation file.
 
 Every vector is written once with its *cells*: per dimension the number of the interval it lies in, `bits` bits each,
-packed. Interval borders come from quantile sketches and exact extremes of the dimension. For given centroids, tables
+packed. Interval borders come from quantile sketches and exact extremes of the dimension (see `cell_starts`). For given centroids, tables
 of (dimension, cell, centroid) hold the least and largest squared difference; summed over the dimensions they enclose
 every distance. A vector whose interval for one centroid ends before all others begin is assigned by its cells alone.
 
@@ -28,7 +28,7 @@ from strideline.llm.common import stored
 from strideline.llm.intvectors import SCALE, floors, is_finite, vector_of
 from strideline.llm.tokens import batches_of
 
-BITS = 5
+BITS = 6
 BATCH = 2048
 # distances of vectors up to this many units per entry fit a long in up to 512 dimensions
 LARGEST = float(1 << 26)
@@ -78,13 +78,35 @@ class Borders:
         return least * least, most * most
 
 
+def cell_starts(low: int, marks: list[int], high: int) -> list[int]:
+    """Where the cells of one dimension begin, of `len(marks) + 1` cells from low to high; `marks` are its quantiles.
+
+    Of cells of equal width, the same between the outer quantiles with a cell beyond each, and cells of equal counts, those
+    that are narrowest on average over the quantiles: an outlier or a heavy tail takes the width from no other number.
+    """
+    n = len(marks) + 1
+    even = lambda lo, hi, k: sorted({min(lo + -(-(hi - lo + 1) * i // k), hi) for i in range(k)})
+    choices = [even(low, high, n), [low, *marks]]
+    if n > 2 and low < marks[0] < marks[-1] < high:
+        choices.append([low, *even(marks[0], marks[-1], n - 2), marks[-1] + 1])
+
+    def width(starts: list[int]) -> float:
+        starts = np.unique(starts)
+        ends = np.append(starts[1:], high + 1)
+        at = np.searchsorted(starts, marks, "right") - 1
+        return float(((ends - starts)[at] - 1).mean())
+
+    return min(choices, key=width)
+
+
 def cell_borders(vectors: DataFrame, dims: int, bits: int) -> Borders:
-    """Borders of vectors (e) from quantile sketches of every dimension, combined map-side; a dimension gives one row of 2**bits numbers."""
+    """Borders of vectors (e) from extremes and quantile sketches of every dimension, combined map-side; a dimension gives
+    one row of 2**bits numbers."""
     cells = 1 << bits
     each = vectors.select(F.posexplode("e").alias("d", "x")).withColumn("x", F.floor(F.col("x") * SCALE))
     probs = F.array(*[F.lit(k / cells) for k in range(1, cells)])
     rows = each.groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", probs, 10_000).alias("q")).collect()
-    return Borders({r.d: [r.lo, *r.q, r.hi] for r in rows}, dims, cells)
+    return Borders({r.d: [*cell_starts(r.lo, list(r.q), r.hi), r.hi] for r in rows}, dims, cells)
 
 
 def approximated(embeddings: DataFrame, name: str, dims: int, bits: int) -> tuple[DataFrame, Borders]:

@@ -121,6 +121,15 @@ def test_clusters_of_few_equal_and_no_vectors(spark):
         vafile.cluster_vectors(spark.createDataFrame([(1, [1e30, 0.0], 0)], VECTORS), 2, 4, 3).count()
 
 
+def test_cells_are_narrow_where_the_numbers_are():
+    flat = [round(k * 70 / 64) - 35 for k in range(1, 64)]
+    starts = vafile.cell_starts(-35, flat, 35)
+    assert len(starts) <= 64 and max(b - a for a, b in zip(starts, starts[1:])) <= 2
+    tailed = vafile.cell_starts(-(10**9), flat, 10**12)
+    assert len(tailed) <= 64 and sum(b - a <= 3 for a, b in zip(tailed, tailed[1:])) > 50
+    assert vafile.cell_starts(5, [5, 5, 5], 5) == [5] and vafile.cell_starts(0, [1], 3)[0] == 0
+
+
 def test_intervals_decide_without_vectors():
     """Cells alone settle well separated vectors: an interval that is never wide enough to overlap."""
     x = np.array([[0, 0], [1, 1], [100, 100], [101, 99]])

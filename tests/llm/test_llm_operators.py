@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from strideline.llm import classifier, fingerprints, licenses, mixing, outliers, packing, setjoin, substring, token_file, warc
 from strideline.llm.components import label_components
 from strideline.llm.tokens import WordEncoder
+from test_llm_robust_twin import twin_scores
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -94,11 +96,29 @@ def test_fingerprints_of_awkward_rows(documents, awkward):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_of_far_apart_and_repeated_ids(documents):
+    low, high = -(1 << 63), (1 << 63) - 1
+    texts = [f"u{k} {t}" for k, t in enumerate(random_texts(90, 6, longest=60))]
+    rows = [(low, texts[0]), (high, texts[1]), (-(1 << 62), texts[2])] + [(7, t) for t in texts[3:40]] + [(k, t) for k, t in enumerate(texts[40:80], 100)] + [(None, t) for t in texts[80:]]
+    out = fingerprints.edited_fingerprints(documents(rows)).collect()
+    assert len(out) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    known = {k: t for k, t in rows if k is not None and k != 7}
+    got = {r.doc_id: r for r in out if r.doc_id in known}
+    for k, (doc, text) in enumerate(order):
+        before = order[k - 1]
+        if doc in known and before[0] in known:
+            half = len(text) // 2
+            assert got[doc].edited_sha256 == hashlib.sha256((text[: len(text) - half] + before[1][:half]).encode()).hexdigest()
+    # the order is a cycle: every row is the next one of exactly one row
+    assert len({r.edited_sha256 for r in out}) == len(rows)
+
+
 # --- licenses ---------------------------------------------------------------------------------------------------
 
 
 def test_licenses_find_base_phrases_everywhere(documents, awkward):
-    rows = awkward + [(20, "CC BY cc-by, x CC\nBY. GENERAL public LICENSE all rights  reserved"), (21, "released under mit license"), (22, "licensed under the apache very license version 2.0")]
+    rows = awkward + [(20, "CC BY cc-by, x CC\nBY. GENERAL public LICENSE all rights  reserved"), (21, "released under mit license"), (22, "licensed under the apache very license version 2.0"), (23, "this wor\u212a is licensed under \u0130 cc by")]
     got = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(documents(rows, extra=True)).collect()}
     assert licenses.scan_licenses(documents(rows)).count() == len(rows)
     for doc, text, *_ in rows:
@@ -298,6 +318,10 @@ def test_warc_round_trip(spark, tmp_path):
     assert (by[10].record_type, by[10].refers_to, by[10].payload_bytes) == ("revisit", 9, 0)
     assert by[9].uri == "urn:page:9" and (by[None].record_type, by[None].refers_to) == ("revisit", 11)
     assert by[11].payload_bytes == 5
+    odd = [(k, "u", t) for k, t in enumerate(["\r\n", "a\r\n", "a\r", "\r\n\r\n", "a\r\n\r\n", "\r\r\n\r\n\n", "x" * 300_000 + "\r\n\r\n" * 50, "\n", "ß" * 70_000, "a\r\n\r"])]
+    kept = tmp_path / "odd"
+    warc.write_archives(spark.createDataFrame(odd, "page_id long, url string, html string").repartition(3), str(kept), records_per_file=3)
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, str(kept)).collect()} == {k: t for k, _, t in odd}
     large = warc.archive_round_trip(pages, min_bytes=10).collect()
     assert {r.record_type for r in large if r.page_id == 10} == {"response"}
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
@@ -331,6 +355,7 @@ def brute_components(rows, size, percent):
 @pytest.mark.parametrize(("size", "percent", "seed", "few"), [(3, 90, 1, 16), (5, 80, 2, 1), (2, 60, 3, 2), (1, 50, 4, 1), (1, 70, 5, 1)])
 def test_jaccard_join_matches_brute_force(documents, monkeypatch, size, percent, seed, few):
     monkeypatch.setattr(setjoin, "FEW", few)
+    monkeypatch.setattr(setjoin, "MANY", few)
     rng = random.Random(seed)
     rows = []
     for g in range(14):
@@ -365,6 +390,59 @@ def test_every_similar_pair_shares_a_key():
             assert keys[0] & keys[1]
 
 
+def test_jaccard_join_of_a_large_group_of_near_copies(documents, monkeypatch):
+    """2,000 copies of one short text with one to three edits each, truncated ones among them: few pairs, no link lost."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for k in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(40)] = f"e{rng.randrange(300)}"
+        rows.append((k, " ".join(w[: 40 - rng.randrange(8)] if k % 5 == 0 else w)))
+    made = []
+    met = setjoin.met_pairs
+
+    def counted(d, percent):
+        out = met(d, percent)
+        made.append((out[0].count(), out[1].count()))
+        return out
+
+    monkeypatch.setattr(setjoin, "met_pairs", counted)
+    got = {r.doc_id: r.component_id for r in setjoin.jaccard_components(documents(rows), 3, 80).collect()}
+    sets, held = {}, {}
+    for doc, text in rows:
+        w = text.split()
+        sets[doc] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        for g in sets[doc]:
+            held.setdefault(g, []).append(doc)
+    up = list(range(2000))
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in range(2000):
+        common = Counter(b for g in sets[a] for b in held[g] if b > a)
+        for b, c in common.items():
+            if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    assert got == {d: root(d) for d in range(2000)}
+    assert sum(a + b for a, b in made) < 150 * 2000
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64)]))
+        u, v = (np.frombuffer(setjoin.parity(x), np.uint8) for x in (a, b))
+        size = min(len(u), len(v))
+        assert np.bitwise_count(setjoin.folded(u, size) ^ setjoin.folded(v, size)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_awkward_rows(documents, awkward):
     d = documents(awkward, extra=True)
     out = setjoin.jaccard_components(d, 3, 90).collect()
@@ -511,6 +589,8 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
             left = {r.doc_id for r in docs.collect()}
             assert np.mean([d in left for d, q in labels.items() if q == 1]) > 0.95
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            assert left == {d for (d, _), score in twin_scores(rows, list(labels.items())).items() if score >= 0.7}
         if name == "near_duplicates":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             assert {r.doc_id for r in docs.collect()} == {c for _, c in brute_components(rows, 5, 80).values()}
@@ -518,15 +598,19 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             rows = [(r.doc_id, r.text) for r in before.collect()]
             want = brute_substring(rows, 50)
             for r in docs.collect():
-                text = r.text if not want[r.doc_id][1] else r.text
-                assert hashlib.sha256(" ".join(words_of(text)).encode()).hexdigest() == want[r.doc_id][2] and r.n_chars == len(r.text)
+                assert hashlib.sha256(" ".join(words_of(r.text)).encode()).hexdigest() == want[r.doc_id][2] and r.n_chars == len(r.text)
         if name == "mix":
             counts = Counter(r.doc_id for r in docs.collect())
             assert max(counts.values()) <= 3 and set(counts) <= {r.doc_id for r in before.collect()}
+            con = duckdb.connect()
+            con.execute(f"create view documents as select * from read_parquet('{tmp_path}/repeated_passages/*.parquet')")
+            taken = con.sql(f"select doc_id, size, taken from ({mixing.SQL})").fetchall()
+            assert {d: n // size for d, size, n in taken if size and n} == {d: n for d, n in counts.items() if d in {x[0] for x in taken if x[1]}}
         if name == "windows":
             copies = Counter(r.doc_id for r in before.collect())
-            tokens = {}
+            tokens, whole = {}, {}
             for r in docs.collect():
                 tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
-                assert tokens[r.doc_id] <= r.doc_tokens * copies[r.doc_id]
-            assert set(tokens) == set(copies)
+                whole[r.doc_id] = r.doc_tokens
+            # every id of every copy lies in one piece
+            assert tokens == {d: n * whole[d] for d, n in copies.items()}
