@@ -82,7 +82,9 @@ def balanced_folds(rows: DataFrame, subject: str, label: str, n_classes: int, n_
     def best(b, other):
         ids = blocks[b]
         vectors = [[*stats[s][1], stats[s][0]] for s in ids]
-        cell = lambda f, c: sum_((F.when(F.col("a")[i] == f, F.lit(vectors[i][c])).otherwise(0) for i in range(len(ids))), other[f][c])
+        # products of two counts pass 32 bits
+        long = lambda x: F.lit(x).cast("long")
+        cell = lambda f, c: sum_((F.when(F.col("a")[i] == f, long(vectors[i][c])).otherwise(long(0)) for i in range(len(ids))), long(other[f][c]))
         d = tables[b]
         fold = lambda f: F.array(*[cell(f, c) for c in range(n_classes + 1)])
         d = d.withColumn("t", F.array(*[fold(f) for f in range(n_folds)]))
@@ -107,7 +109,7 @@ def balanced_folds(rows: DataFrame, subject: str, label: str, n_classes: int, n_
 
 
 def sum_(items, start):
-    out = F.lit(start)
+    out = start if isinstance(start, Column) else F.lit(start)
     for x in items:
         out = out + x
     return out
