@@ -69,13 +69,14 @@ def ordered_scan(
     next: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     row: str | None = None,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Attach `prev_<c>`, `next_<c>`, running sums and a 1-based row number along a total order.
+    """Attach `prev_<c>`, `next_<c>`, running sums, a 1-based row number along a total order and sums over the whole key.
 
     `order` must be a total order within a key. With `seg` the scan is cut into segments;
     without it the caller asserts that a key is small (a clip, a recording).
     """
-    keys, order, sums = list(keys), list(order), dict(sums or {})
+    keys, order, sums, totals = list(keys), list(order), dict(sums or {}), dict(totals or {})
     if row:
         sums[row] = F.lit(1)
     if seg is None:
@@ -84,6 +85,7 @@ def ordered_scan(
         out = {f"prev_{c}": F.lag(c).over(local) for c in prev}
         out |= {f"next_{c}": F.lead(c).over(local) for c in next}
         out |= {k: F.sum(c).over(upto) for k, c in sums.items()}
+        out |= {k: F.sum(c).over(W.partitionBy(*keys)) for k, c in totals.items()}
         return df.withColumns(out)
 
     df, whole, part = null_free(df, keys, seg)
@@ -95,6 +97,7 @@ def ordered_scan(
     if next:
         edges.append(F.min(F.struct(*order, *[F.col(c).alias(f"v_{c}") for c in next])).alias("_head"))
     edges += [F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()]
+    edges += [F.sum(c).alias(f"_all_{k}") for k, c in totals.items()]
     chain = W.partitionBy(*whole).orderBy("_s")
     before = chain.rowsBetween(W.unboundedPreceding, -1)
     carry = []
@@ -103,8 +106,10 @@ def ordered_scan(
     if next:
         carry.append(F.lead("_head").over(chain).alias("_after"))
     carry += [F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums]
+    carry += [F.sum(f"_all_{k}").over(W.partitionBy(*whole)).alias(k) for k in totals]
     summary = df.groupBy(*part).agg(*edges).select(*part, *carry)
-    joined = df.join(summary, part)
+    # one row per segment, which may be as many as the rows; the windows below want the rows dealt by `part` anyway
+    joined = df.join(summary.hint("merge"), part)
     out = {}
     for c in prev:
         first = F.row_number().over(local) == 1
@@ -197,6 +202,13 @@ def _quantile_columns(probs: Mapping[str, float]) -> list[Column]:
     return aggs
 
 
+def array_quantile(ordered: str, p: float) -> Column:
+    """The linear-interpolation quantile of an ascending array of numbers, as `quantiles` gives it for a column."""
+    at = (F.size(ordered) - 1) * F.lit(float(p))
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def neighbours(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], seg: str, marked: str, cols: Sequence[str], back: str = "before", ahead: str = "after"
 ) -> DataFrame:

@@ -37,6 +37,11 @@ def _direct(series: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_share_and_peak(np.asarray(s, dtype=np.float64)) for s in series], columns=["low_share", "peak_bin"])
 
 
+def array_features(series):
+    """(low_share, peak_bin) of a series that is one array column."""
+    return _direct(series)
+
+
 def spectrum_features(df: DataFrame, keys: list[str], order: list[str], value: str, seg: str | None = None,
                       direct: int = DIRECT_LENGTH) -> DataFrame:
     """Low-quarter share of the amplitude spectrum and its peak bin (the mean removed)."""

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.operators.scan import count_breaks, neighbours, ordered_scan, quantiles, ranked
-from strideline.operators.spectrum import spectrum_features
+from strideline.operators.scan import array_quantile, count_breaks, neighbours, ordered_scan, quantiles, ranked
+from strideline.operators.spectrum import DIRECT_LENGTH, array_features, spectrum_features
 
 
 def clean_rows(df: DataFrame, keys: Sequence[str], t: str, tie: str, values: Sequence[str]) -> DataFrame:
@@ -153,24 +153,34 @@ def quantile_matched_length(lengths: DataFrame, target: DataFrame, key: str, len
     return placed.join(theirs, "_slot").withColumn("trim_to", F.least(F.col(length), F.col("_target"))).drop("_rank", "_n", "_m", "_slot", "_target")
 
 
-def channel_statistics(df: DataFrame, keys: Sequence[str], t: str, tie: str, value: str, seg: str | None) -> DataFrame:
+def channel_statistics(df: DataFrame, keys: Sequence[str], t: str, tie: str, value: str, seg: str | None, direct: int = DIRECT_LENGTH) -> DataFrame:
     """Thirteen descriptors of each ordered series plus its sample count."""
     keys = list(keys)
-    linked = ordered_scan(df, keys, [t, tie], seg, prev=[value])
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("_mu"))
-    d = F.col(value) - F.col(f"prev_{value}")
-    crossed = F.signum(F.col(value) - F.col("_mu")) != F.signum(F.col(f"prev_{value}") - F.col("_mu"))
     x = F.col(value)
-    stats = linked.join(mean, keys).groupBy(*keys).agg(
+    totals = {"_rows": F.lit(1), "_some": F.when(x.isNotNull(), 1), "_sum": x}
+    linked = ordered_scan(df, keys, [t, tie], seg, prev=[value], totals=totals).withColumn("_mu", F.col("_sum") / F.col("_some"))
+    d = x - F.col(f"prev_{value}")
+    crossed = F.signum(x - F.col("_mu")) != F.signum(F.col(f"prev_{value}") - F.col("_mu"))
+    edge = F.struct(t, tie, x.alias("v"))
+    plain = [
         F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
-        (F.max(F.struct(t, tie, x.alias("v")))["v"] - F.min(F.struct(t, tie, x.alias("v")))["v"]).alias("last_first"),
+        (F.max(edge)["v"] - F.min(edge)["v"]).alias("last_first"),
         F.coalesce(F.avg(F.abs(d)), F.lit(0.0)).alias("mean_abs_step"), F.coalesce(F.stddev_pop(d), F.lit(0.0)).alias("sd_step"),
         F.coalesce(F.max(F.abs(d)), F.lit(0.0)).alias("max_abs_step"),
         F.when(F.count("*") > 2, F.avg(crossed.cast("double"))).otherwise(F.lit(0.0)).alias("zero_cross"),
-    )
-    q = quantiles(df, keys, value, {"p25": 0.25, "p75": 0.75})
-    s = spectrum_features(df, keys, [t, tie], value, seg).drop("n_samples")
-    return stats.join(q, keys).join(s, keys)
+    ]
+    names = [*keys, "n", *STATISTICS]
+    # a series short enough for one array has its quantiles and its spectrum from the array, without a join
+    short = linked.filter(F.col("_rows") <= direct).groupBy(*keys).agg(*plain, F.sort_array(F.collect_list(F.struct(t, tie, x.alias("_x")))).alias("_s"))
+    short = short.withColumn("_s", F.transform("_s", lambda s: s["_x"].cast("double")))
+    short = short.withColumns({"_f": array_features("_s"), "_q": F.sort_array(F.array_compact("_s"))})
+    out = short.select("*", array_quantile("_q", 0.25).alias("p25"), array_quantile("_q", 0.75).alias("p75"), "_f.*").select(*names)
+    if (df.groupBy(*keys).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0) <= direct:
+        return out
+    long = linked.filter(F.col("_rows") > direct)
+    rows = long.select(*df.columns)
+    long_out = long.groupBy(*keys).agg(*plain).join(quantiles(rows, keys, value, {"p25": 0.25, "p75": 0.75}), keys)
+    return out.unionByName(long_out.join(spectrum_features(rows, keys, [t, tie], value, seg, direct).drop("n_samples"), keys).select(*names))
 
 
 STATISTICS = ["mean", "sd", "min", "max", "p25", "p75", "last_first", "mean_abs_step", "sd_step", "max_abs_step", "zero_cross", "low_share", "peak_bin"]
@@ -179,14 +189,16 @@ STATISTICS = ["mean", "sd", "min", "max", "p25", "p75", "last_first", "mean_abs_
 def index_grid(df: DataFrame, keys, order, seg, value: str, steps: int) -> DataFrame:
     """Each ordered series interpolated at `steps` evenly spaced positions; zeros below two samples."""
     keys = list(keys)
-    size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    grid = size.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    at = F.col("step") * (F.col("_n") - 1) / F.lit(float(steps - 1))
+    rows = ordered_scan(df, keys, order, seg, row="_row", totals={"_n": F.lit(1)}).select(*keys, (F.col("_row") - 1).alias("i"), "_n", value)
+    # every row knows the steps it is next to, so no table of positions is joined (or broadcast)
+    last, i, gaps = F.lit(steps - 1), F.col("i"), F.col("_n") - 1
+    first_step = F.when(gaps > 0, F.greatest(F.floor((i - 1) * last / gaps), F.lit(0))).otherwise(F.lit(0))
+    last_step = F.when(gaps > 0, F.least(F.ceil((i + 1) * last / gaps), last)).otherwise(last)
+    taps = rows.withColumn("step", F.explode(F.sequence(first_step.cast("int"), last_step.cast("int"))))
+    at = F.col("step") * gaps / F.lit(float(steps - 1))
     lo = F.floor(at)
-    near = F.array(F.struct(lo.alias("i"), (1.0 - (at - lo)).alias("w")), F.struct((lo + 1).alias("i"), (at - lo).alias("w")))
-    taps = grid.withColumn("_tap", F.explode(near)).select(*keys, "_n", "step", F.col("_tap.i").alias("i"), F.col("_tap.w").alias("w"))
-    rows = ordered_scan(df, keys, order, seg, row="_row").select(*keys, (F.col("_row") - 1).alias("i"), value)
-    hit = taps.join(rows, [*keys, "i"]).groupBy(*keys, "step").agg(F.sum(F.col("w") * F.col(value)).alias("_v"), F.max("_n").alias("_n"))
+    taps = taps.filter((lo == i) | (lo + 1 == i)).withColumn("_w", F.when(lo == i, 1.0 - (at - lo)).otherwise(at - lo))
+    hit = taps.groupBy(*keys, "step").agg(F.sum(F.col("_w") * F.col(value)).alias("_v"), F.max("_n").alias("_n"))
     return hit.select(*keys, "step", F.when(F.col("_n") > 1, F.col("_v")).otherwise(F.lit(0.0)).alias(value))
 
 
@@ -216,13 +228,13 @@ def clip_feature_vector(df: DataFrame, clip, device, t, tie, channels: dict[str,
     long = base.select(clip, device, t, tie, *([seg] if seg else []), F.explode(pairs).alias("_c")).select("*", "_c.channel", "_c.v").drop("_c")
     stats = channel_statistics(long, [clip, device, "channel"], t, tie, "v", seg)
     slots = [f"{d}_{n}" for d in devices for n in names]
-    picked = F.struct(*[F.col(s).cast("double").alias(s) for s in STATISTICS])
+    picked = F.struct(*[F.col(s).cast("double").alias(s) for s in ["n", *STATISTICS]])
     wide = stats.withColumn("_slot", F.concat_ws("_", device, "channel")).groupBy(clip).pivot("_slot", slots).agg(F.first(picked))
-    counts = base.groupBy(clip).pivot(device, list(devices)).agg(F.count(F.lit(1)))
     coupling = device_coupling(index_grid(base, [clip, device], [t, tie], seg, coupling_on, steps), clip, device, coupling_on, devices, steps)
     flat = [F.coalesce(F.col(f"{d}_{n}")[s], F.lit(0.0)).alias(f"{d}_{n}_{s}") for d in devices for n in names for s in STATISTICS]
-    n_cols = [F.coalesce(F.col(d), F.lit(0)).cast("double").alias(f"{d}_count") for d in devices]
-    return wide.select(clip, *flat).join(counts.select(clip, *n_cols), clip).join(coupling, clip)
+    n_cols = [F.coalesce(F.col(f"{d}_{names[0]}")["n"], F.lit(0.0)).alias(f"{d}_count") for d in devices]
+    # a row per clip on both sides
+    return wide.select(clip, *flat, *n_cols).join(coupling.hint("merge"), clip)
 
 
 def series_summary(df: DataFrame, keys, order, seg, value: str, ticks: int = 1_000_000) -> DataFrame:
