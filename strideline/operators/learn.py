@@ -15,6 +15,7 @@ from strideline.functions import posterior as P
 from strideline.functions import vectors as V
 from strideline.operators.evaluate import rank_auc
 from strideline.operators.scan import bounded_broadcast, ordered_scan
+from strideline.session import cut_lineage
 
 
 def centroids(df: DataFrame, key: str, vec: str, dim: int, extra=None) -> DataFrame:
@@ -64,25 +65,35 @@ def forest_oof(df: DataFrame, features: str, label: str, fold: str, n_folds: int
     return out
 
 
-def pair_features(post: DataFrame, ids: Sequence[str], members: Sequence, n_classes: int, keep: Sequence[str] = ()) -> DataFrame:
+def pair_features(post: DataFrame, ids: Sequence[str], members: Sequence, n_classes: int, keep: Sequence[str] = (), written: bool = False) -> DataFrame:
     """One row per (sample, class): per member p, log p, rank, margin, entropy, top-1; means and votes.
 
-    Member posteriors meet in one row per sample by a pivot; everything else is array arithmetic.
+    Member posteriors meet in one row per sample of plain numbers, and whatever does not depend on the class is computed
+    there. With `written` these rows are stored, for a reader that passes over the features many times.
     """
-    wide = post.groupBy(*ids, *keep).pivot("member", list(members)).agg(F.first("probs"))
-    cols = [F.col(str(m)) for m in members]
-    rank = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: (F.array_position(P.ranked_classes(F.transform(p, lambda x: F.round(x, 9))), c.cast("int")) - 1).cast("int"))
-    d = wide.withColumns({f"_r{m}": rank(c) for m, c in zip(members, cols)})
+    classes = range(n_classes)
+    cell = lambda m, c: f"_p{m}_{c}"
+    wide = post.groupBy(*ids, *keep).agg(*[F.first(F.when(F.col("member") == m, F.col("probs")[c]), ignorenulls=True).alias(cell(m, c)) for m in members for c in classes])
+    if written:
+        wide = cut_lineage(wide)
+    # rounded and negated, so that a smaller number ranks first
+    d = wide.withColumns({f"_n{m}_{c}": -F.round(cell(m, c), 9) for m in members for c in classes})
+    parts = {}
+    for m in members:
+        p, neg = [F.col(cell(m, c)) for c in classes], [F.col(f"_n{m}_{c}") for c in classes]
+        rank = [P.sum_columns([((neg[o] <= neg[c]) if o < c else (neg[o] < neg[c])).cast("int") for o in classes if o != c] or [F.lit(0)]) for c in classes]
+        parts |= {f"_p{m}": F.array(*p), f"_l{m}": F.array(*[F.log(x + F.lit(1e-12)) for x in p]), f"_r{m}": F.array(*rank)}
+        parts |= {f"_t{m}": F.array_max(F.array(*p)), f"_e{m}": -P.sum_columns([x * F.log(F.greatest(x, F.lit(P.LOG_FLOOR))) for x in p])}
+    d = d.select(*ids, *keep, *[c.alias(n) for n, c in parts.items()])
     d = d.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
-    at = lambda c: c[F.col("cls")]
+    at = lambda n: F.col(n)[F.col("cls")]
     out, logs, ps, votes = {}, [], [], []
-    for m, c in zip(members, cols):
-        p, top = at(c), F.array_max(c)
-        lg = F.log(p + F.lit(1e-12))
-        out |= {f"p_{m}": p, f"log_{m}": lg, f"rank_{m}": at(F.col(f"_r{m}")), f"margin_{m}": p - top, f"entropy_{m}": P.entropy(c), f"top_{m}": top}
+    for m in members:
+        p, lg, rank, top = at(f"_p{m}"), at(f"_l{m}"), at(f"_r{m}"), F.col(f"_t{m}")
+        out |= {f"p_{m}": p, f"log_{m}": lg, f"rank_{m}": rank, f"margin_{m}": p - top, f"entropy_{m}": F.col(f"_e{m}"), f"top_{m}": top}
         logs.append(lg)
         ps.append(p)
-        votes.append(F.when(at(F.col(f"_r{m}")) == 0, 1).otherwise(0))
+        votes.append(F.when(rank == 0, 1).otherwise(0))
     out |= {"geo": P.sum_columns(logs) / len(logs), "arith": P.sum_columns(ps) / len(ps), "votes": P.sum_columns(votes)}
     return d.select(*ids, *keep, "cls", *[c.alias(n) for n, c in out.items()])
 
