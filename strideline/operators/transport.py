@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
+from strideline.operators.scan import bounded_broadcast, ranked
 from strideline.session import cut_lineage
 
 UNIT = 10**9
@@ -27,8 +28,9 @@ def _cheapest(cost: str, price: np.ndarray) -> Column:
     return (F.array_position(with_price, F.array_min(with_price)) - 1).cast("int")
 
 
-def _demand(base: DataFrame, cls: Column, n_classes: int) -> np.ndarray:
-    row = base.select(cls.alias("c")).agg(*[F.sum((F.col("c") == c).cast("long")) for c in range(n_classes)]).first()
+def _demand(groups: DataFrame, cls: Column, n_classes: int) -> np.ndarray:
+    """Rows per class, of groups of `_n` rows each."""
+    row = groups.select(cls.alias("c"), "_n").agg(*[F.sum(F.when(F.col("c") == c, F.col("_n"))) for c in range(n_classes)]).first()
     return np.array([x or 0 for x in row], dtype=np.int64)
 
 
@@ -52,27 +54,28 @@ def balancing_prices(base: DataFrame, want: np.ndarray, enough: int, tolerance:
 
 
 class _Moves:
-    """Cheapest moves between classes, exact as far as the listed rows reach."""
+    """Cheapest moves between classes of rows in groups of equal costs, exact as far as the listed groups reach."""
 
     def __init__(self, n: int, depth: int, listed: list[tuple]):
-        """`listed`: (from, to, change of cost, id, row, costs), the `depth` cheapest of every (from, to)."""
+        """`listed`: (from, to, change of cost, id, group, rows per class, costs), the `depth` cheapest of every (from, to)."""
         self.n = n
-        self.at: dict[int, int] = {}
+        self.at: dict[int, list[int]] = {}
         self.costs: dict[int, tuple] = {}
         self.heaps: dict[tuple[int, int], list] = {(a, b): [] for a in range(n) for b in range(n) if a != b}
-        for a, b, d, key, row, cost in listed:
-            self.at[row], self.costs[row] = a, (key, cost)
-            self.heaps[a, b].append((d, key, row))
-        # beyond the last of a full list there may be unlisted rows
+        for a, b, d, key, group, rows, cost in listed:
+            self.at[group], self.costs[group] = list(rows), (key, cost)
+            self.heaps[a, b].append((d, key, group))
+        # beyond the last of a full list there may be unlisted groups
         self.reach = {e: max(h)[:2] if len(h) == depth else None for e, h in self.heaps.items()}
+        self.queued = {(a, b, g) for (a, b), h in self.heaps.items() for _, _, g in h}
         for h in self.heaps.values():
             heapq.heapify(h)
 
     def best(self, a: int, b: int) -> tuple | None:
-        """The cheapest move from a to b; raises LookupError where an unlisted row may be cheaper."""
+        """The cheapest move from a to b; raises LookupError where an unlisted group may be cheaper."""
         heap = self.heaps[a, b]
-        while heap and self.at[heap[0][2]] != a:
-            heapq.heappop(heap)
+        while heap and not self.at[heap[0][2]][a]:
+            self.queued.discard((a, b, heapq.heappop(heap)[2]))
         limit = self.reach[a, b]
         if limit is not None and (not heap or heap[0][:2] > limit):
             raise LookupError
@@ -85,14 +88,21 @@ class _Moves:
                 out[a, b] = m[0]
         return out
 
-    def move(self, a: int, b: int) -> int:
-        row = self.best(a, b)[2]
-        key, cost = self.costs[row]
-        self.at[row] = b
-        for c in range(self.n):
-            if c != b:
-                heapq.heappush(self.heaps[b, c], (cost[c] - cost[b], key, row))
-        return row
+    def along(self, path: list[int], most: int) -> tuple[int, set[int]]:
+        """Move as many rows as there are along a path, `most` at most: the path stays a shortest one until one of its
+        groups has no row left. Returns their number and the groups."""
+        steps = [(a, b, self.best(a, b)[2]) for a, b in zip(path, path[1:])]
+        rows = min(most, *[self.at[g][a] for a, _, g in steps])
+        for a, b, g in steps:
+            self.at[g][a] -= rows
+            self.at[g][b] += rows
+        for _, b, g in steps:
+            key, cost = self.costs[g]
+            for c in range(self.n):
+                if c != b and (b, c, g) not in self.queued:
+                    self.queued.add((b, c, g))
+                    heapq.heappush(self.heaps[b, c], (cost[c] - cost[b], key, g))
+        return rows, {g for _, _, g in steps}
 
 
 def shortest_path(weights: np.ndarray, sources: np.ndarray, sinks: np.ndarray) -> list[int] | None:
@@ -121,44 +131,68 @@ def shortest_path(weights: np.ndarray, sources: np.ndarray, sinks: np.ndarray) -
 def capacity_assignment(df: DataFrame, sample: str, probs: str, targets: DataFrame, n_classes: int) -> DataFrame:
     """`sample, probs, _cost, assigned`: the classes of least total -log p under the capacities `targets` (cls, n_target).
 
-    Rows first take the class of least cost at prices that nearly balance demand; that is optimal for the class sizes it
-    gives. Excess rows then move along shortest paths in the graph of classes, whose edge is the cheapest move of one row:
-    each move keeps the assignment optimal for its sizes, so it is the optimum once sizes are the capacities. A pass lists
-    the cheapest rows of every pair of classes (at most `LISTED` in all, whatever the number of rows, kept per task before
+    Rows of equal costs are one group, and all that follows goes by groups and their numbers of rows. Rows first take the
+    class of least cost at prices that nearly balance demand; that is optimal for the class sizes it gives. Excess rows
+    then move along shortest paths in the graph of classes, whose edge is the cheapest move of a group's rows: each move
+    keeps the assignment optimal for its sizes, so it is the optimum once sizes are the capacities. A pass lists the
+    cheapest groups of every pair of classes (at most `LISTED` in all, whatever the number of rows, kept per task before
     they are shuffled), and all moves that the list decides are made before the next pass. There is no cap on passes.
 
-    Capacities must sum to the number of rows; a class without a row in `targets` has none. Equal costs go by `sample`.
+    Capacities must sum to the number of rows; a class without a row in `targets` has none. Groups of equal change go by
+    their least `sample`; a group that is divided gives its classes, in order, its rows by `sample`.
     """
     want = np.zeros(n_classes, np.int64)
     for r in targets.collect():  # one row per class
         want[r["cls"]] = r["n_target"]
-    base = cut_lineage(df.select(sample, probs, transport_costs(probs).alias("_cost")).withColumn("_row", F.monotonically_increasing_id()))
-    if (n := base.count()) != want.sum():
+    base = cut_lineage(df.select(sample, probs, transport_costs(probs).alias("_cost")))
+    groups = base.groupBy("_cost").agg(F.count("*").alias("_n"), F.min(sample).alias("_id"))
+    groups = cut_lineage(groups.withColumn("_group", F.monotonically_increasing_id()))
+    count, n = groups.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if n != want.sum():
         raise ValueError(f"capacities sum to {want.sum()}, but there are {n} rows")
     depth = max(16, LISTED // max(n_classes * n_classes, 1))
-    price = balancing_prices(base, want, depth)
-    d = cut_lineage(base.withColumn("assigned", _cheapest("_cost", price)))
+    price = balancing_prices(groups, want, depth)
+    start = _cheapest("_cost", price)
+    d = cut_lineage(groups.withColumn("_first", start).withColumn("_at", F.array(*[F.when(F.col("_first") == c, F.col("_n")).otherwise(0) for c in range(n_classes)])).drop("_first"))
     while True:
-        got = _demand(d, F.col("assigned"), n_classes)
+        got = np.array([x or 0 for x in d.agg(*[F.sum(F.col("_at")[c]) for c in range(n_classes)]).first()], dtype=np.int64)
         if (got == want).all():
-            return d.drop("_row")
-        each = d.select("assigned", F.col(sample).alias("_id"), "_row", "_cost", F.posexplode("_cost").alias("_to", "_c")).filter("_to <> assigned")
-        each = each.withColumn("_change", F.col("_c") - F.col("_cost")[F.col("assigned")])
-        near = W.partitionBy("assigned", "_to").orderBy("_change", "_id", "_row")
+            break
+        each = d.select("_group", "_id", "_cost", "_at", F.posexplode("_at").alias("_from", "_rows")).filter("_rows > 0")
+        each = each.select("*", F.posexplode("_cost").alias("_to", "_c")).filter("_to <> _from").withColumn("_change", F.col("_c") - F.col("_cost")[F.col("_from")])
+        near = W.partitionBy("_from", "_to").orderBy("_change", "_id", "_group")
         listed = each.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= depth)
-        moves = _Moves(n_classes, depth, [(r["assigned"], r["_to"], r["_change"], r["_id"], r["_row"], tuple(r["_cost"])) for r in listed.collect()])
-        moved: dict[int, int] = {}
+        moves = _Moves(n_classes, depth, [(r["_from"], r["_to"], r["_change"], _null_first(r["_id"]), r["_group"], r["_at"], tuple(r["_cost"])) for r in listed.collect()])
+        moved: set[int] = set()
         try:
             while (got != want).any():
                 path = shortest_path(moves.weights(), got > want, got < want)
-                for a, b in reversed(list(zip(path, path[1:]))):
-                    moved[moves.move(a, b)] = b
-                got[path[0]] -= 1
-                got[path[-1]] += 1
+                rows, touched = moves.along(path, int(min(got[path[0]] - want[path[0]], want[path[-1]] - got[path[-1]])))
+                moved |= touched
+                got[path[0]] -= rows
+                got[path[-1]] += rows
         except LookupError:
-            pass  # an unlisted row may be next: list again
-        new = d.sparkSession.createDataFrame([(r, c) for r, c in moved.items()], "_row long, _new int")
-        d = cut_lineage(d.join(F.broadcast(new), "_row", "left").withColumn("assigned", F.coalesce("_new", "assigned")).drop("_new"))
+            pass  # an unlisted group may be next: list again
+        new = d.sparkSession.createDataFrame([(g, moves.at[g]) for g in moved], "_group long, _new array<long>")
+        d = cut_lineage(d.join(F.broadcast(new), "_group", "left").withColumn("_at", F.coalesce("_new", "_at")).drop("_new"))
+    return _dealt(base, d, count, sample, n_classes)
+
+
+def _null_first(x) -> tuple:
+    return (x is not None, x)
+
+
+def _dealt(base: DataFrame, groups: DataFrame, count: int, sample: str, n_classes: int) -> DataFrame:
+    """Every row with the class that its group has for it."""
+    side = bounded_broadcast(groups.select("_cost", "_group", "_at"), count, 64 + 32 * n_classes)
+    rows = base.join(side, "_cost").withColumn("_parts", F.size(F.filter("_at", lambda x: x > 0)))
+    names = [*base.columns, "assigned"]
+    one = rows.filter("_parts = 1").withColumn("assigned", F.array_position(F.transform("_at", lambda x: x > 0), True).cast("int") - 1).select(*names)
+    if groups.filter(F.size(F.filter("_at", lambda x: x > 0)) > 1).isEmpty():
+        return one
+    many = ranked(rows.filter("_parts > 1").withColumn("_zero", F.lit(0)), ["_group"], "_zero", [sample], "_rank")
+    upto = [P.sum_columns([F.col("_at")[k] for k in range(c + 1)]) for c in range(n_classes)]
+    return one.unionByName(many.withColumn("assigned", P.sum_columns([(F.col("_rank") > u).cast("int") for u in upto])).select(*names))
 
 
 def transport_certificate(assigned: DataFrame, targets: DataFrame, n_classes: int) -> DataFrame:

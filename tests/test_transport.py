@@ -46,3 +46,16 @@ def test_missing_and_no_rows(spark):
     got = {r.sample_id: r.assigned for r in transport.capacity_assignment(d, "sample_id", "probs", targets, 2).collect()}
     assert got == {1: 1, 2: 0, None: 1}
     assert transport.capacity_assignment(d.limit(0), "sample_id", "probs", targets.limit(0), 2).count() == 0
+
+
+def test_equal_costs_move_together(spark, monkeypatch):
+    passes = []
+    cut = transport.cut_lineage
+    monkeypatch.setattr(transport, "LISTED", 1)
+    monkeypatch.setattr(transport, "cut_lineage", lambda d: passes.append(1) or cut(d))
+    kinds = [[0.7, 0.2, 0.1], [0.5, 0.3, 0.2], [0.1, 0.1, 0.8]]
+    d = spark.createDataFrame([(k, kinds[k % 3]) for k in range(600)], "sample_id long, probs array<double>")
+    targets = spark.createDataFrame([(0, 150), (1, 160), (2, 290)], "cls int, n_target long")
+    out = transport.capacity_assignment(d, "sample_id", "probs", targets, 3)
+    found = {r.measure: r.n for r in transport.transport_certificate(out, targets, 3).collect()}
+    assert found == {"rows": 600, "off_capacity": 0, "negative_cycles": 0, "cost_over_bound": 0} and len(passes) <= 6
