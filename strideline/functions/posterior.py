@@ -186,6 +186,19 @@ def restrict(p, classes: list[int]) -> Column:
     return F.transform(kept, lambda x: x / s)
 
 
+def by_class(p, n: int) -> Column:
+    """posexplode of a posterior, entry by entry. Given a mere column, Spark adds a filter on its size and pushes it below
+    the projections, where the whole expression is spelled out and evaluated once more for every use."""
+    return F.posexplode(F.array(*items(p, n)))
+
+
+def place_of(xs: list[Column], own: Column, label) -> Column:
+    """1-based place of a class by probability descending, class id ascending, among the entries `xs`; `own` is the
+    class's own entry, and NULL where there is no such class."""
+    ahead = [F.when((x > own) | ((x == own) & (F.lit(i) < _col(label))), 1).otherwise(0) for i, x in enumerate(xs)]
+    return F.when(own.isNotNull(), sum_columns(ahead) + 1)
+
+
 def sum_columns(cols) -> Column:
     return reduce(lambda a, b: a + b, cols)
 

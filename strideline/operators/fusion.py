@@ -244,11 +244,11 @@ def class_residual(vectors: DataFrame, label: str, vec: str, dim: int, n_classes
     ).drop("_mu")
 
 
-def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[int], inside: float, outside: float) -> DataFrame:
-    """Linear blend whose weight depends on whether either arg-max lies in a class set."""
-    cond = P.argmax(base, 9).isin(list(classes)) | P.argmax(other, 9).isin(list(classes))
-    d = df.withColumns({"in_set": cond, "_w": F.when(cond, float(inside)).otherwise(float(outside))})
-    return d.withColumn("blended", P.linear_blend(base, other, F.col("_w"))).drop("_w")
+def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[int], inside: float, outside: float, n: int | None = None) -> DataFrame:
+    """Linear blend whose weight depends on whether either arg-max lies in a class set; spelled out for `n` classes."""
+    cond = P.argmax(base, 9, n).isin(list(classes)) | P.argmax(other, 9, n).isin(list(classes))
+    d = df.withColumn("in_set", cond).withColumn("_w", F.when(F.col("in_set"), float(inside)).otherwise(float(outside)))
+    return d.withColumn("blended", P.linear_blend(base, other, F.col("_w"), n)).drop("_w")
 
 
 def masked_pool(df: DataFrame, keys, present: Column, value: str, tie: Sequence[str], k: int) -> DataFrame:

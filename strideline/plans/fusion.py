@@ -55,7 +55,7 @@ def a1(spark, sf):
 
 @query("f1_log_linear_fusion", "select sample_id, cls, round(p, 6) as p from fused", "fused")
 def f1(spark, sf):
-    return fused(spark, sf).select("sample_id", F.posexplode("probs").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return fused(spark, sf).select("sample_id", P.by_class("probs", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 @query(
@@ -94,7 +94,7 @@ def f3(spark, sf):
 )
 def f4(spark, sf):
     d = FU.nested_blend(v.posteriors(spark, sf), ["sample_id"], {0: "a", 1: "a", 2: "b", 3: "b"}, {"a": 0.7, "b": 0.3}, C)
-    return d.select("sample_id", F.posexplode("probs").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return d.select("sample_id", P.by_class("probs", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 @query(
@@ -105,7 +105,7 @@ def f4(spark, sf):
 )
 def f5(spark, sf):
     d = FU.bag(v.posteriors(spark, sf), ["sample_id"], C)
-    return d.select("sample_id", F.posexplode("probs").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return d.select("sample_id", P.by_class("probs", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 @query(
@@ -141,7 +141,7 @@ def f7(spark, sf):
     d = v.posteriors_wide(spark, sf).select("sample_id", F.col("p0").alias("probs"))
     target = d.agg(F.array(*[F.count("*") / F.lit(float(C))] * C).alias("t"))
     out = FU.sinkhorn(d, "sample_id", target, C, iters=4)
-    return out.select("sample_id", F.posexplode("probs").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return out.select("sample_id", P.by_class("probs", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 @query(
@@ -303,7 +303,7 @@ def f12b(spark, sf):
 )
 def f13(spark, sf):
     d = FU.distillation_target(v.posteriors(spark, sf), ["sample_id"], "label", WEIGHTS, C, prior(spark, sf), PRIOR_WEIGHT, 2.0, [3])
-    return d.select("sample_id", "any_right", F.posexplode("target").alias("cls", "target")).withColumn("target", R6("target"))
+    return d.select("sample_id", "any_right", P.by_class("target", C).alias("cls", "target")).withColumn("target", R6("target"))
 
 
 @query(
@@ -368,8 +368,8 @@ def f16(spark, sf):
     "post mpred",
 )
 def f17(spark, sf):
-    d = FU.conditioned_blend(v.posteriors_wide(spark, sf), "p0", "p1", [0, 1, 4], 0.6, 0.2)
-    return d.select("sample_id", "in_set", F.posexplode("blended").alias("cls", "p")).select("sample_id", "in_set", "cls", R6("p").alias("p"))
+    d = FU.conditioned_blend(v.posteriors_wide(spark, sf), "p0", "p1", [0, 1, 4], 0.6, 0.2, C)
+    return d.select("sample_id", "in_set", P.by_class("blended", C).alias("cls", "p")).select("sample_id", "in_set", "cls", R6("p").alias("p"))
 
 
 @query(

@@ -478,7 +478,7 @@ def q11(spark, sf):
     rows, c = _clusters(spark, sf)
     d = rows.join(c.select("grp", "owner", "cluster"), "grp")
     b = S.position_blend(d, ["owner", "cluster", "pos"], "probs", C, 0.6)
-    return b.select("sample_id", F.posexplode("blended").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return b.select("sample_id", P.by_class("blended", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 _POS3 = """r as (select sample_id, subject % 200 as blk, year % 3 as rep, row_number() over (partition by subject % 200, year % 3 order by t0, sample_id) as pos from seq)"""
@@ -497,7 +497,7 @@ def _triples(spark, sf):
 )
 def q12(spark, sf):
     b = S.position_blend(_triples(spark, sf), ["blk", "pos"], "probs", C, 1.0, log_space=True, total=True)
-    return b.select("sample_id", F.posexplode("blended").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return b.select("sample_id", P.by_class("blended", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 @query(
@@ -508,7 +508,7 @@ def q12(spark, sf):
 )
 def q13(spark, sf):
     b = S.position_blend(_triples(spark, sf), ["blk", "pos"], "probs", C, 0.7, log_space=True)
-    return b.select("sample_id", F.posexplode("blended").alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
+    return b.select("sample_id", P.by_class("blended", C).alias("cls", "p")).select("sample_id", "cls", R6("p").alias("p"))
 
 
 @query(
