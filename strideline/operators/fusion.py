@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
-from strideline.operators.scan import bounded_broadcast, ranked
+from strideline.operators.scan import bounded_broadcast
 from strideline.session import cut_lineage
 
 
@@ -254,16 +254,16 @@ def conditioned_blend(df: DataFrame, base: str, other: str, classes: Sequence[in
 def masked_pool(df: DataFrame, keys, present: Column, value: str, tie: Sequence[str], k: int) -> DataFrame:
     """Mean, max and top-k mean over the present steps of each clip; 0 where none is present."""
     keys = list(keys)
-    # the k largest per key are kept by a rank that is cut into value slices, not by one sort per key
-    on = ranked(df.filter(present), keys, value, tie, "_rk", descending=True)
-    pooled = on.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.max(value).alias("max"), F.avg(F.when(F.col("_rk") <= k, F.col(value))).alias("top_k_mean"),
-        F.sum(F.exp(value)).alias("_z"), F.sum(F.exp(value) * F.col(value)).alias("_zv"),
-    )
-    all_keys = df.select(*keys).distinct()
+    # a rank that is only compared with k is cut off before the shuffle, so a long key sends k rows from every task
+    first = W.partitionBy(*keys).orderBy((-F.col(value).cast("double")).asc_nulls_last(), *tie)
+    top = df.filter(present).withColumn("_rk", F.row_number().over(first)).filter(F.col("_rk") <= k)
+    none = F.lit(None).cast("double")
+    here = df.select(*keys, F.when(present, F.col(value).cast("double")).alias("_x"), none.alias("_top"))
+    both = here.unionByName(top.select(*keys, none.alias("_x"), F.col(value).cast("double").alias("_top")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return all_keys.join(pooled, keys, "left").select(
-        *keys, *[zero(F.col(c)).alias(c) for c in ("mean", "max", "top_k_mean")], zero(F.col("_zv") / F.col("_z")).alias("softmax_mean")
+    return both.groupBy(*keys).agg(
+        zero(F.avg("_x")).alias("mean"), zero(F.max("_x")).alias("max"), zero(F.avg("_top")).alias("top_k_mean"),
+        zero(F.sum(F.exp("_x") * F.col("_x")) / F.sum(F.exp("_x"))).alias("softmax_mean"),
     )
 
 

@@ -15,3 +15,12 @@ def test_exploding_a_posterior_adds_no_filter(spark):
     b = fusion.conditioned_blend(d.withColumn("q", F.col("p")), "p", "q", [1], 0.5, 0.25, 3).select("id", P.by_class("blended", 3))
     assert "Filter" not in plan(b)
     assert b.count() == 12
+
+
+def test_masked_pool_ranks_only_what_it_keeps(spark):
+    rows = [("a", i, float(i * 7 % 11)) for i in range(11)] + [("b", 0, 3.0), ("c", 1, -1.0), (None, 2, 5.0)]
+    d = spark.createDataFrame(rows, "k string, id long, x double")
+    out = fusion.masked_pool(d, ["k"], F.col("x") >= 0, "x", ["id"], 2)
+    assert "WindowGroupLimit" in plan(out) and "percentile_approx" not in plan(out)
+    got = {r.k: (r["max"], r.top_k_mean) for r in out.collect()}
+    assert got == {"a": (10.0, 9.5), "b": (3.0, 3.0), "c": (0.0, 0.0), None: (5.0, 5.0)}
