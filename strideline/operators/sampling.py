@@ -29,11 +29,13 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], seed, by: Sequence[str], out
     return ordered_scan(d, keys, ["_h", *by], "_seg", row=out).drop("_h", "_seg")
 
 
-def top_k_accuracy(post: DataFrame, key: str, label: str, ks: Sequence[int]) -> DataFrame:
+def top_k_accuracy(post: DataFrame, key: str, label: str, ks: Sequence[int], n_classes: int) -> DataFrame:
     """(k, member accuracy..., any member): one pass; only counts are shuffled."""
-    rounded = F.transform("probs", lambda x: F.round(x, DIGITS))
-    place = F.array_position(P.ranked_classes(rounded), F.col(label).cast("int"))
-    per = post.select(key, "member", place.alias("place"))
+    d = post.select(key, "member", F.col(label).cast("int").alias("_l"), *[F.rint(x * 10.0**DIGITS).alias(f"_p{i}") for i, x in enumerate(P.items("probs", n_classes))])
+    xs, own = [F.col(f"_p{i}") for i in range(n_classes)], F.lit(None).cast("double")
+    for i, x in enumerate(xs):
+        own = F.when(F.col("_l") == i, x).otherwise(own)
+    per = d.withColumn("_own", own).select(key, "member", P.place_of(xs, F.col("_own"), "_l").alias("place"))
     one = per.groupBy("member").agg(*[F.avg((F.col("place") <= k).cast("double")).alias(f"top_{k}") for k in ks]).withColumn("member", F.col("member").cast("string"))
     best = per.groupBy(key).agg(F.min("place").alias("place"))
     both = best.agg(*[F.avg((F.col("place") <= k).cast("double")).alias(f"top_{k}") for k in ks]).select(F.lit("any").alias("member"), *[f"top_{k}" for k in ks])

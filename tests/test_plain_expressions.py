@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
-from strideline.operators import fusion
+from strideline.operators import fusion, sampling
 
 
 def plan(d):
@@ -24,3 +24,11 @@ def test_masked_pool_ranks_only_what_it_keeps(spark):
     assert "WindowGroupLimit" in plan(out) and "percentile_approx" not in plan(out)
     got = {r.k: (r["max"], r.top_k_mean) for r in out.collect()}
     assert got == {"a": (10.0, 9.5), "b": (3.0, 3.0), "c": (0.0, 0.0), None: (5.0, 5.0)}
+
+
+def test_places_without_sorting(spark):
+    d = spark.createDataFrame([(1, 0, [0.2, 0.2, 0.6], 1), (1, 1, [0.5, 0.3, 0.2], 1), (2, 0, [0.1, 0.8, 0.1], 2), (2, 1, [1.0, 0.0, 0.0], 9)], "id long, member int, probs array<double>, label int")
+    out = sampling.top_k_accuracy(d, "id", "label", [1, 2, 3], 3)
+    assert "sort_array" not in plan(out)
+    got = {r.member: (r.top_1, r.top_2, r.top_3) for r in out.collect()}
+    assert got == {"0": (0.0, 0.0, 1.0), "1": (0.0, 1.0, 1.0), "any": (0.0, 0.5, 1.0)}
