@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
 from strideline.operators.scan import ordered_scan, ranked
+from strideline.session import cut_lineage
 
 DIGITS = 9
 
@@ -42,10 +43,11 @@ def top_k_accuracy(post: DataFrame, key: str, label: str, ks: Sequence[int], n_c
     return one.unionByName(both)
 
 
-def top_fraction(post: DataFrame, key: str, probs: str, fraction: float, excluded: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The most confident share of the rows that are neither evaluation rows nor labelled already."""
-    pool = post.join(excluded.select(key), key, "left_anti").join(labelled.select(key), key, "left_anti")
-    pool = pool.select(key, F.round(P.confidence(probs), DIGITS).alias("conf"), P.argmax(probs, DIGITS).alias("pseudo_label"))
+def top_fraction(post: DataFrame, key: str, probs: str, fraction: float, excluded: DataFrame, labelled: DataFrame, n: int | None = None) -> DataFrame:
+    """The most confident share of the rows that are neither evaluation rows nor labelled already. Ranking reads the pool
+    several times, so its confidences are worked out once and written."""
+    pool = post.select(key, F.round(P.confidence(probs, n), DIGITS).alias("conf"), P.argmax(probs, DIGITS, n).alias("pseudo_label"))
+    pool = cut_lineage(pool.join(excluded.select(key), key, "left_anti").join(labelled.select(key), key, "left_anti"))
     r = ranked(pool, [], "conf", [key], "_rk", descending=True).withColumn("_n", pool.agg(F.count("*")).scalar())
     return r.filter(F.col("_rk") <= F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.col("_n")))).select(key, "conf", "pseudo_label")
 

@@ -124,8 +124,12 @@ def ordered_scan(
 
 
 def _place(splitters: Column, v: Column) -> Column:
-    """2 * (splitters below v), and one more where v is a splitter: equal values of weight get a segment of their own."""
-    return 2 * F.size(F.filter(splitters, lambda x: x < v)) + F.array_contains(splitters, v).cast("int")
+    """2 * (splitters below v), and one more where v is a splitter: equal values of weight get a segment of their own.
+
+    v is bound to a lambda's variable, or its expression would be evaluated again for every splitter.
+    """
+    at = lambda y: 2 * F.size(F.filter(splitters, lambda x: x < y)) + F.array_contains(splitters, y).cast("int")
+    return F.transform(F.array(v), at)[0]
 
 
 def _as_number(c: str, kind: str) -> Column:

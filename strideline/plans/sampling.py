@@ -34,7 +34,7 @@ def t1(spark, sf):
 )
 def t2(spark, sf):
     w = v.posteriors_wide(spark, sf).select("sample_id", "subject", F.col("p0").alias("probs"))
-    out = T.top_fraction(w, "sample_id", "probs", 0.3, w.filter("subject % 4 = 2"), w.filter("sample_id % 6 = 1"))
+    out = T.top_fraction(w, "sample_id", "probs", 0.3, w.filter("subject % 4 = 2"), w.filter("sample_id % 6 = 1"), v.N_CLASSES)
     return rounded(out)
 
 

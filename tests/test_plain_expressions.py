@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
-from strideline.operators import fusion, sampling
+from strideline.operators import fusion, sampling, scan
 
 
 def plan(d):
@@ -17,6 +17,13 @@ def test_exploding_a_posterior_adds_no_filter(spark):
     assert b.count() == 12
 
 
+def test_the_value_is_bound_before_the_splitters(spark):
+    d = spark.createDataFrame([(i, float(i % 50)) for i in range(400)], "id long, x double").withColumn("x", F.round(F.exp(F.col("x") / 9), 6))
+    cut = scan.value_segments(d, [], "x", "seg", parts=16)
+    assert plan(cut).lower().count("exp(") == 1
+    assert [r[0] for r in scan.ranked(d, [], "x", ["id"], "r").orderBy("x", "id").select("r").collect()] == list(range(1, 401))
+
+
 def test_masked_pool_ranks_only_what_it_keeps(spark):
     rows = [("a", i, float(i * 7 % 11)) for i in range(11)] + [("b", 0, 3.0), ("c", 1, -1.0), (None, 2, 5.0)]
     d = spark.createDataFrame(rows, "k string, id long, x double")
