@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.operators.scan import quantiles, ranked
+from strideline.session import cut_lineage
 
 hit = lambda pred="pred", label="label": (F.col(pred) == F.col(label)).cast("long")
 
@@ -36,6 +37,7 @@ def per_key_accuracy(scored: DataFrame, keys: Sequence[str], pred="pred", label=
 
 def subject_spread(per_subject: DataFrame, subject: str, worst: int = 3) -> DataFrame:
     """One row over subject accuracies: macro, sd, worst, mean of the worst k, p10, worst quarter, macro - sd."""
+    per_subject = cut_lineage(per_subject)  # read several times by the ranks
     r = ranked(per_subject, [], "acc", [subject], "_rk").withColumn("_n", per_subject.agg(F.count("*")).scalar())
     quarter = F.greatest(F.lit(1), F.floor(F.col("_n") / 4))
     stats = r.agg(
@@ -48,6 +50,7 @@ def subject_spread(per_subject: DataFrame, subject: str, worst: int = 3) -> Data
 
 def loso_summary(per_subject: DataFrame, subject: str, draw: int = 8) -> DataFrame:
     """Leave-one-subject-out table's foot: mean, sd (n-1), SE of a draw, lower and upper quartile means."""
+    per_subject = cut_lineage(per_subject)  # read several times by the ranks
     r = ranked(per_subject, [], "acc", [subject], "_rk").withColumn("_n", per_subject.agg(F.count("*")).scalar())
     q = F.ceil(F.col("_n") / 4)
     return r.agg(
@@ -157,8 +160,6 @@ def confusion_clusters(conf: DataFrame, min_pair: int, min_support: int, max_siz
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node id reachable. Stars shrink each round (large star, then
     small star), so rounds grow with the logarithm of the diameter; each round is cut by a checkpoint."""
-    from strideline.session import cut_lineage
-
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = e.select("u").union(e.select("v")).distinct()
     cur = cut_lineage(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
