@@ -13,9 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.operators import sequence as S
-from strideline.operators.scan import ordered_scan
-
-CELLS = 2_000_000
 
 
 class Setting(NamedTuple):
@@ -28,23 +25,6 @@ class Setting(NamedTuple):
     start_weight: float = 0.0
 
 
-def _best_paths(emissions: list[np.ndarray], moves: np.ndarray, entry: np.ndarray) -> list[np.ndarray]:
-    """Best path of every sequence, sequences of like length in one block."""
-    lens, c = np.array([len(e) for e in emissions]), moves.shape[0]
-    paths: list = [None] * len(emissions)
-    order, at = np.argsort(lens, kind="stable"), 0
-    while at < len(order):
-        longest = int(lens[order[at]])
-        take = [i for i in order[at : at + max(1, CELLS // (longest * 2 * c))] if lens[i] <= 2 * longest]
-        block = np.zeros((len(take), int(lens[take].max()), c))
-        for r, i in enumerate(take):
-            block[r, : lens[i]] = emissions[i]
-        for i, p in zip(take, S._viterbi_batch(block, lens[take], moves, entry[None])):
-            paths[i] = p[: lens[i]]
-        at += len(take)
-    return paths
-
-
 def decode_hits(rows: DataFrame, group: str, order: Sequence[str], sample: str, probs: str, label: str, seg: str, settings: Sequence[Setting], fold: str | None = None, chunk: int = S.CHUNK) -> DataFrame:
     """`setting, hits, n`: right labels of every setting's exact best paths over the recordings it decodes.
 
@@ -52,26 +32,32 @@ def decode_hits(rows: DataFrame, group: str, order: Sequence[str], sample: str,
     than `chunk` rows are decoded in parts, setting by setting. Without rows a setting has no row here.
     """
     d = rows.select(group, *order, sample, probs, F.col(label).cast("int").alias("_truth"), seg, (F.col(fold).cast("int") if fold else F.lit(None).cast("int")).alias("_fold"))
-    sized = d.join(d.groupBy(group).agg(F.count("*").alias("_size")), group)
     c = settings[0].trans.shape[0]
 
     def count(batches):
         for pdf in batches:
-            truths = [np.asarray(t) for t in pdf["truths"]]
-            emissions = [np.log(np.clip(np.asarray(f, dtype=np.float64).reshape(-1, c), 1e-12, 1.0)) for f in pdf["flat"]]
+            if not len(pdf):
+                continue
+            lens, truth = np.array([len(t) for t in pdf["truths"]]), np.concatenate(list(pdf["truths"]))
+            e = np.log(np.clip(np.concatenate(list(pdf["flat"])).astype(np.float64).reshape(-1, c), 1e-12, 1.0))
             folds, out = pdf["_fold"].to_numpy(), []
             for k, s in enumerate(settings):
-                mine = [i for i in range(len(truths)) if s.fold is None or folds[i] == s.fold]
-                paths = _best_paths([emissions[i] for i in mine], s.weight * s.trans, s.start_weight * s.start) if mine else []
-                out.append((k, sum(int((p == truths[i]).sum()) for p, i in zip(paths, mine)), sum(len(truths[i]) for i in mine)))
+                mine = np.full(len(lens), True) if s.fold is None else folds == s.fold
+                rows = np.repeat(mine, lens)
+                path = S.best_paths(e[rows], lens[mine], s.weight * s.trans, s.start_weight * s.start)
+                out.append((k, int((path == truth[rows]).sum()), int(rows.sum())))
             yield pd.DataFrame(out, columns=["setting", "hits", "n"])
 
-    short = ordered_scan(sized.filter(F.col("_size") <= chunk), [group], order, seg, row="_pos")
-    packed = short.groupBy(group, "_fold").agg(F.sort_array(F.collect_list(F.struct("_pos", probs, "_truth"))).alias("_a"))
-    packed = packed.select("_fold", F.flatten(F.transform("_a", lambda r: r[probs])).alias("flat"), F.transform("_a", lambda r: r["_truth"]).alias("truths"))
+    size = d.groupBy(group).agg(F.count("*").alias("_size"))
+    long = (size.agg(F.max("_size")).first()[0] or 0) > chunk
+    sized = d.join(size, group) if long else d.filter(F.col(group).isNotNull())
+    short = sized.filter(F.col("_size") <= chunk) if long else sized
+    item = F.struct(*[F.col(o).alias(f"o{j}") for j, o in enumerate(order)], F.col(sample).alias("s"), F.col(probs).alias("p"), F.col("_truth").alias("t"))
+    packed = short.groupBy(group, "_fold").agg(F.sort_array(F.collect_list(item)).alias("_a"))
+    packed = packed.select("_fold", F.flatten(F.transform("_a", lambda r: r["p"])).alias("flat"), F.transform("_a", lambda r: r["t"]).alias("truths"))
     found = [packed.mapInPandas(count, "setting int, hits long, n long")]
-    longer = sized.filter(F.col("_size") > chunk)
-    if not longer.isEmpty():
+    if long:
+        longer = sized.filter(F.col("_size") > chunk)
         for k, s in enumerate(settings):
             mine = longer if s.fold is None else longer.filter(F.col("_fold") == s.fold)
             decoded = S.viterbi_decode(S.pack_sequences(mine, group, order, sample, probs, seg, chunk), group, sample, s.start, s.trans, s.weight, s.start_weight, chunk=chunk)

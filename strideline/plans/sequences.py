@@ -16,6 +16,7 @@ from strideline.plans import views as v
 from strideline.plans.evaluate import rounded
 from strideline.plans.registry import REGISTRY, query
 from strideline.plans.timeseries import recordings
+from strideline.session import cut_lineage
 
 C = v.N_CLASSES
 R6 = lambda c: F.round(c, 6)
@@ -153,7 +154,8 @@ def _targets(spark, sf):
 
 
 def _packed(rows, chunk=S.CHUNK, order=("t0", "sample_id"), group="subject", seg="year"):
-    return S.pack_sequences(rows, group, list(order), "sample_id", "probs", seg, chunk)
+    """Packed recordings, written once: decoding reads them several times."""
+    return cut_lineage(S.pack_sequences(rows, group, list(order), "sample_id", "probs", seg, chunk))
 
 
 def _model(spark, sf, **kw):
@@ -337,7 +339,7 @@ _PROPOSE = f"""{_SEQS}, ct as (select held, n, labels, count(*) as freq from sq
 def _proposals(spark, sf):
     """Proposals for all recordings, each from the recordings of the subjects of other folds."""
     t = _targets(spark, sf).withColumn("grp", F.col("subject") * 100 + F.col("year"))
-    packed = S.pack_sequences(t, "grp", ["t0", "sample_id"], "sample_id", "probs", "year", chunk=1 << 40)
+    packed = _packed(t, 1 << 40, group="grp")
     logp = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: P.safe_log(F.slice("flat", i * C + 1, F.lit(C))))
     targets = packed.select("grp", (F.floor(F.col("grp") / 100) % 4).cast("int").alias("held"), "n", "ids", logp.alias("logp"))
     sequences = _sequences(spark, sf).withColumn("fold", F.col("fold").cast("int"))
