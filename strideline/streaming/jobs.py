@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strideline.operators.sequence import _viterbi_batch
+from strideline.operators.sequence import best_paths
 from strideline.session import ensure_checkpoint_dir
 
 
@@ -73,38 +73,38 @@ def clip_metadata(events: DataFrame, clip: str, event_id: str, ts: str, kind: st
 
 
 def decode_closed_recordings(clips: DataFrame, group: str, ts: str, close_ms: str, sample: str, probs: str, start: np.ndarray, trans: np.ndarray, weight: float, late: str,
-                             start_weight: float = 0.0) -> DataFrame:
-    """Best label paths of recordings, emitted when the watermark passes a recording's closing time, or with the next
-    step of the watermark where it already has. Start scores weigh in by `start_weight`, as in `viterbi_decode`.
+                             start_weight: float = 0.0, slots: int = 1024) -> DataFrame:
+    """Best label paths of recordings, emitted when the watermark passes a recording's closing time (the same in all its
+    rows), or with the next step of the watermark where it already has. Start scores weigh in by `start_weight`, as in
+    `viterbi_decode`.
 
-    State is one recording's clips so far; it is dropped with the emission.
+    Recordings are dealt over `slots` by a hash; state is a slot's clips of one closing time, which are decoded together
+    and dropped with the emission.
     """
     c = trans.shape[0]
-    moves, entry = weight * trans, (start_weight * start)[None]
+    moves, entry = weight * trans, start_weight * start
     gtype = dict(clips.dtypes)[group]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times, flat = state.get if state.exists else ([], [], [])
-        ids, times, flat = list(ids), list(times), list(flat)
+        groups, ids, times, flat = [list(x) for x in state.get] if state.exists else ([], [], [], [])
         if state.hasTimedOut:
-            order = sorted(range(len(ids)), key=lambda i: (times[i], ids[i]))
-            p = np.asarray(flat).reshape(-1, c)[order]
-            path = _viterbi_batch(np.log(np.clip(p, 1e-12, 1.0))[None], np.array([len(order)]), moves, entry)[0]
+            codes, _ = pd.factorize(pd.Series(groups, dtype=object), use_na_sentinel=False)
+            order = np.lexsort((np.asarray(ids), np.asarray(times), codes))
+            lens = np.bincount(codes)
+            path = best_paths(np.log(np.clip(np.asarray(flat).reshape(-1, c)[order], 1e-12, 1.0)), lens, moves, entry)
             state.remove()
-            yield pd.DataFrame({group: [key[0]] * len(order), "pos": range(1, len(order) + 1), sample: [ids[i] for i in order], "decoded": [int(x) for x in path]})
+            pos = np.arange(len(order)) - np.repeat(np.cumsum(lens) - lens, lens) + 1
+            yield pd.DataFrame({group: [groups[i] for i in order], "pos": pos, sample: [ids[i] for i in order], "decoded": path})
             return
-        closes = 0
         for pdf in batches:
-            ids += [int(x) for x in pdf[sample]]
-            times += [int(x) for x in pdf["_us"]]
-            flat += [float(x) for row in pdf[probs] for x in row]
-            closes = max(closes, int(pdf[close_ms].max()))
-        state.update((ids, times, flat))
-        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
-
-    d = clips.withWatermark(ts, late).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    return d.groupBy(group).applyInPandasWithState(
-        step, f"{group} {gtype}, pos int, {sample} bigint, decoded int", "ids array<bigint>, times array<bigint>, flat array<double>", "append", GroupStateTimeout.EventTimeTimeout
+            groups += pdf[group].tolist()
+            ids += pdf[sample].tolist()
+            times += pdf["_us"].tolist()
+            flat += np.concatenate(list(pdf[probs])).tolist()
+        state.update((groups, ids, times, flat))
+        state.setTimeoutTimestamp(max(int(key[1]), state.getCurrentWatermarkMs() + 1))
+
+    d = clips.withWatermark(ts, late).withColumns({"_us": F.unix_micros(F.col(ts).cast("timestamp")), "_slot": F.pmod(F.xxhash64(group), F.lit(slots)).cast("int")})
+    return d.groupBy("_slot", close_ms).applyInPandasWithState(
+        step, f"{group} {gtype}, pos int, {sample} bigint, decoded int", f"groups array<{gtype}>, ids array<bigint>, times array<bigint>, flat array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
-
-
