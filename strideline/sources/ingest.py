@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,20 +79,24 @@ def device_of(text, prefixes: Sequence[str] = DEVICE_PREFIXES) -> Column:
 def sensor_rows(lines: DataFrame, key: str, cells: str, columns: str, channels: Sequence[str], device: Column | None = None) -> DataFrame:
     """Split rows into (key, device, t, channels): short rows, unknown devices, bad times and cells that
     are not numbers are dropped. Cell 0 is the time, cell 1 the device."""
-    c, m = F.col(cells), F.col(columns)
+    # the cells and the values are each bound by exploding an array of one, below which no filter is pushed: cells are cut
+    # and cast once per line, not once more for every column and every condition
+    c, m = F.col("_c"), F.col(columns)
     longest = F.array_max(F.map_values(m))
-    d = lines.filter((F.size(c) > longest) & (F.size(c) > 1)).withColumns({"t": parse_timestamp(c[0]), "device": device if device is not None else device_of(c[1])})
-    d = d.withColumns({ch: F.trim(F.get(c, m[ch])).try_cast("double") for ch in channels})
-    good = F.col("t").isNotNull() & F.col("device").isNotNull()
-    for ch in channels:
-        good = good & F.col(ch).isNotNull()
-    return d.filter(good).select(key, "device", "t", *channels)
+    who = device if device is not None else device_of(c[1])
+    d = lines.withColumn("_c", F.explode(F.array(cells))).filter((F.size(c) > longest) & (F.size(c) > 1))
+    values = F.struct(who.alias("device"), parse_timestamp(c[0]).alias("t"), *[F.trim(F.get(c, m[ch])).try_cast("double").alias(ch) for ch in channels])
+    d = d.select(key, F.explode(F.array(values)).alias("_r")).select(key, "_r.*")
+    return d.filter(reduce(Column.__and__, [F.col(x).isNotNull() for x in ("t", "device", *channels)]))
 
 
 def split_cells(line: Column) -> Column:
     """Cells of a CSV line: commas inside double quotes part nothing, outer quotes go, and doubled ones are single."""
-    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(cells, lambda c: F.when(c.rlike(r'^\s*".*"\s*$'), F.regexp_replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), '""', '"')).otherwise(c))
+    # a comma parts cells where an even number of quotes comes after it; a line holds no line break, so that can mark the cuts
+    cut = lambda p: F.transform(p, lambda x, i: F.when((F.size(p) - i) % 2 == 1, F.translate(x, ",", "\n")).otherwise(x))
+    pieces = F.transform(F.array(F.split(line, '"')), cut)[0]
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), '""', '"')
+    return F.transform(F.split(F.array_join(pieces, '"'), "\n"), lambda c: F.when(F.contains(c, F.lit('"')) & c.rlike(r'^\s*".*"\s*$'), bare(c)).otherwise(c))
 
 
 def read_sensor_csv(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]] = HEADER_ALIASES, pattern: str = "*.csv") -> DataFrame:
@@ -103,8 +108,8 @@ def read_sensor_csv(spark: SparkSession, path: str, aliases: Mapping[str, Sequen
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.monotonically_increasing_id().alias("_at"), "value")
     heads = lines.filter("_head").groupBy("path").agg(F.min(F.struct("_at", "value")).alias("_h"))
-    heads = heads.select("path", F.col("_h._at").alias("_first"), split_cells(F.col("_h.value")).alias("names"))
-    cols = resolve_headers(heads, "path", "names", aliases, len(aliases)).join(heads.select("path", "_first"), "path")
+    heads = heads.select(F.struct("path", F.col("_h._at").alias("_first")).alias("_file"), split_cells(F.col("_h.value")).alias("names"))
+    cols = resolve_headers(heads, "_file", "names", aliases, len(aliases)).select("_file.*", "columns")
     body = lines.join(cols, "path").filter(F.col("_at") != F.col("_first")).withColumn("cells", split_cells(F.col("value")))
     return sensor_rows(body, "path", "cells", "columns", list(aliases))
 
