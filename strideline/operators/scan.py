@@ -60,6 +60,15 @@ def null_free(df: DataFrame, keys: Sequence[str], seg: str | None = None) -> tup
     return df.withColumns(out), names, [*names, "_s"]
 
 
+def segment_unless_small(df: DataFrame, keys: Sequence[str], seg: str, limit: int = 4096) -> str | None:
+    """The segment column, or None where every key has at most `limit` rows: such keys are scanned whole, in one shuffle.
+
+    Counted map-side; `df` should be cheap to read and the wider of the tables that the answer is used for.
+    """
+    most = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+    return seg if (most or 0) > limit else None
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],

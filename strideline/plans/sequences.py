@@ -11,7 +11,7 @@ from strideline.functions.tables import register
 from strideline.operators import nested as N
 from strideline.operators import sequence as S
 from strideline.operators import structure as ST
-from strideline.operators.scan import ordered_scan
+from strideline.operators.scan import ordered_scan, segment_unless_small
 from strideline.plans import views as v
 from strideline.plans.evaluate import rounded
 from strideline.plans.registry import REGISTRY, query
@@ -27,12 +27,20 @@ _EDGES = f"""{_SRC}, e as (select *, lead(label) over w as nx, row_number() over
          union all select 'start', label, null, count(*) from e where rn = 1 group by 2)"""
 
 
-def source(spark, sf):
-    return S.ordered_rows(v.seq(spark, sf), "subject", "t0", "sample_id", "year")
+def source(spark, sf, seg="year"):
+    return S.ordered_rows(v.seq(spark, sf), "subject", "t0", "sample_id", seg)
+
+
+def _segment(spark, sf):
+    return segment_unless_small(v.seq(spark, sf), ["subject"], "year")
 
 
 def counts(spark, sf, by=()):
-    return S.transition_counts(source(spark, sf), "subject", ["t0", "sample_id"], "label", "year", by)
+    seg = _segment(spark, sf)
+    rows = source(spark, sf, seg)
+    if "fold" in by:
+        rows = rows.withColumn("fold", (F.col("subject") % 4).cast("int"))
+    return S.transition_counts(rows, "subject", ["t0", "sample_id"], "label", seg, by)
 
 
 @query("q1_transition_counts", f"with {_EDGES} select * from tc", "seq")
@@ -131,10 +139,11 @@ _CONTROLS = ["none", "uniform", "reverse-source", "shuffle-source", "label-permu
 )
 def q3_accuracy(spark, sf):
     """Right labels under every negative control: of the model, of its source order, or of the decoded order."""
-    rows = source(spark, sf)
+    whole = _segment(spark, sf)
+    rows = source(spark, sf, whole)
 
     def model(control):
-        d, order, seg = S.controlled_order(rows, control, "t0", "sample_id", "year", 7)
+        d, order, seg = S.controlled_order(rows, control, "t0", "sample_id", whole, 7)
         return S.model_arrays(S.transition_scores(S.transition_counts(d, "subject", order, "label", seg), C, backoff="unigram"), C)
 
     start, trans = model("none")
@@ -290,8 +299,7 @@ _OOF_MODEL = f"""{_SRC}, hf as (select unnest([0, 1, 2, 3]) as held), e as (sele
 def _oof_decoded(spark, sf):
     """Every recording decoded with the transitions of the other folds' subjects: counted once per fold, the model of a
     fold is the total without it."""
-    rows = source(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int"))
-    per = S.transition_counts(rows, "subject", ["t0", "sample_id"], "label", "year", ["fold"])
+    per = counts(spark, sf, ["fold"])
     targets, decoded = _targets(spark, sf), None
     for k in range(4):
         rest = per.filter(F.col("fold") != k).groupBy("kind", "prev", "next").agg(F.sum("n").alias("n"))
@@ -397,7 +405,7 @@ _MARKOV = f"""{_PROPOSE}, {_SRC}, e as (select *, lead(label) over w as nx from
 def q9_markov(spark, sf):
     """Rows of recordings whose template was turned down take the best path under the other folds' transitions; recordings
     without a known order keep their arg-max."""
-    per = S.transition_counts(source(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int")), "subject", ["t0", "sample_id"], "label", "year", ["fold"])
+    per = counts(spark, sf, ["fold"])
     models = N.paired_models(per, "fold", 4, C)
     t = _targets(spark, sf).withColumn("grp", F.col("subject") * 100 + F.col("year"))
     known, decoded = S.ordered_rows(t, "grp", "t0", "sample_id", "year"), None
@@ -435,7 +443,7 @@ _GRID = (0.25, 0.5, 1.0)
     "seq post",
 )
 def e9_nested_decoder(spark, sf):
-    per = S.transition_counts(source(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int")), "subject", ["t0", "sample_id"], "label", "year", ["fold"])
+    per = counts(spark, sf, ["fold"])
     models = N.paired_models(per, "fold", 4, C, backoff="unigram")
     rows = _targets(spark, sf).withColumn("fold", (F.col("subject") % 4).cast("int"))
     return N.nested_decoder(rows, models, "subject", ["t0", "sample_id"], "sample_id", "probs", "label", "year", "fold", 4, _GRID)
