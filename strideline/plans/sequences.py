@@ -204,8 +204,11 @@ def x5(spark, sf):
     """The same decode by SQL: a table function over a partitioned, ordered table."""
     register(spark)
     _, trans = _model(spark, sf, backoff="unigram")
-    targets = _targets(spark, sf).select("subject", "t0", "sample_id", "probs")
-    text = "select * from viterbi_decode(table(select * from {targets}) partition by subject order by (t0, sample_id), 'sample_id', 'probs', array(" + ", ".join(f"{x!r}D" for x in trans.ravel().tolist()) + "), 1.0D)"
+    # many recordings share a partition and are decoded together
+    spread = F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    targets = _targets(spark, sf).select(F.pmod(F.xxhash64("subject"), spread).alias("bucket"), "subject", "t0", "sample_id", "probs")
+    scores = ", ".join(f"{x!r}D" for x in trans.ravel().tolist())
+    text = f"select * from viterbi_decode(table(select * from {{targets}}) partition by bucket order by (subject, t0, sample_id), 'sample_id', 'probs', array({scores}), 1.0D, 'subject')"
     return spark.sql(text, targets=targets)
 
 
