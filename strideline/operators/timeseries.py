@@ -158,7 +158,9 @@ def channel_statistics(df: DataFrame, keys: Sequence[str], t: str, tie: str, val
     keys = list(keys)
     x = F.col(value)
     totals = {"_rows": F.lit(1), "_some": F.when(x.isNotNull(), 1), "_sum": x}
-    linked = ordered_scan(df, keys, [t, tie], seg, prev=[value], totals=totals).withColumn("_mu", F.col("_sum") / F.col("_some"))
+    # series that each fit one array are scanned whole: they are shuffled once, by their keys, and their statistics stay there
+    fits = (df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= direct
+    linked = ordered_scan(df, keys, [t, tie], None if fits else seg, prev=[value], totals=totals).withColumn("_mu", F.col("_sum") / F.col("_some"))
     d = x - F.col(f"prev_{value}")
     crossed = F.signum(x - F.col("_mu")) != F.signum(F.col(f"prev_{value}") - F.col("_mu"))
     edge = F.struct(t, tie, x.alias("v"))
@@ -175,7 +177,7 @@ def channel_statistics(df: DataFrame, keys: Sequence[str], t: str, tie: str, val
     short = short.withColumn("_s", F.transform("_s", lambda s: s["_x"].cast("double")))
     short = short.withColumns({"_f": array_features("_s"), "_q": F.sort_array(F.array_compact("_s"))})
     out = short.select("*", array_quantile("_q", 0.25).alias("p25"), array_quantile("_q", 0.75).alias("p75"), "_f.*").select(*names)
-    if (df.groupBy(*keys).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0) <= direct:
+    if fits:
         return out
     long = linked.filter(F.col("_rows") > direct)
     rows = long.select(*df.columns)
