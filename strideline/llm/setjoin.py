@@ -14,7 +14,8 @@ of its size and in the higher bands that a similar set can lie in.
 Sets that agree are *candidates*; every link is verified by the exact intersection. Equal sets are one node, so that
 copies never meet. Within an agreeing group nodes are first verified against one hub; then every pair that is still
 apart and can be similar is verified: no link between
-different components is assumed or lost, and no group is written out as all its pairs (see `met_pairs`).
+different components is assumed or lost, and no group is written out as all its pairs. Groups of up to `FEW` nodes
+compare their nodes' parities in one task (see `near_pairs`), larger ones are divided (see `met_pairs`).
 A group that is hot inside one input batch enters the shuffle through one node. Before whole sets move for a
 verification, a pair has to pass a bound on parities of one or two bits per gram.
 """
@@ -42,7 +43,7 @@ GROWTH = 1.25
 KEYS = pa.schema([("group", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
 U = np.uint64
 BATCH = 512
-FEW = 16
+FEW = 4096
 MANY = 64
 
 
@@ -246,9 +247,10 @@ def parity(tokens: np.ndarray) -> bytes:
 
 
 def folded(x: np.ndarray, size: int) -> np.ndarray:
-    """A parity of fewer bits, by exclusive or of its halves. Bits are counted from the front, so halves are the two ends."""
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    """A parity (or rows of them) of fewer bits, by exclusive or of its halves. Bits are counted from the front, so halves are the two ends."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
     return x
 
 
@@ -296,7 +298,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union. Whole sets move for plausible pairs only."""
+    """Of plausible pairs (a, b) those with 100 * intersection >= percent * union. Whole sets move here."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches):
@@ -312,18 +314,89 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    d = plausible(pairs, sets, percent).join(y, "b").join(x, "a")
+    d = pairs.join(y, "b").join(x, "a")
     return d.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def mixed_members(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`key, node, label, n_nodes, pivot` of the keys whose nodes are in different components. The pivot is a key's node
-    with the most verified links so far, a centre of its copies where they have one; the least node on ties."""
+def mixed_groups(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`group, node, label` of the keys whose nodes are in different components, each row once. Keys with one pivot are one
+    group, named by it: a key's node with the most verified links so far, a centre of its copies where they have one; the
+    least node on ties."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     m = members.select("key", "node").distinct().join(labels, "node").join(ends, "node", "left")
-    best = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), -F.col("node"))).alias("pivot")
-    mixed = m.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), best, F.count("*").alias("n_nodes"))
-    return m.drop("degree").join(mixed.filter("_lo < _hi").select("key", "pivot", "n_nodes"), "key")
+    best = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), -F.col("node"))).alias("group")
+    mixed = m.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), best)
+    return m.join(mixed.filter("_lo < _hi").select("key", "group"), "key").select("group", "node", "label").distinct()
+
+
+def with_size(groups: DataFrame) -> DataFrame:
+    return groups.join(groups.groupBy("group").agg(F.count("*").alias("n_nodes")), "group")
+
+
+def _close(n: np.ndarray, label: np.ndarray, parities: Sequence[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of one group with different labels whose sizes and parities allow a similarity."""
+    wide = np.array([len(x) for x in parities])
+    kinds = [(w, np.flatnonzero(wide == w)) for w in np.unique(wide)]
+    for w, left in kinds:
+        x = np.frombuffer(b"".join([parities[k] for k in left]), np.uint64).reshape(len(left), -1)
+        for v, right in kinds:
+            right = right[n[right] * percent <= n[left].max() * 100]
+            if v < w or not len(right):
+                continue
+            y = folded(np.frombuffer(b"".join([parities[k] for k in right]), np.uint8).reshape(len(right), -1), w).copy().view(np.uint64)
+            step = max(1, (1 << 21) // y.size)
+            for lo in range(0, len(left), step):
+                own = left[lo : lo + step]
+                p, q = n[own][:, None], n[right][None]
+                apart = (label[own][:, None] != label[right][None]) & (np.minimum(p, q) * 100 >= percent * np.maximum(p, q))
+                if v == w:
+                    apart &= own[:, None] < right[None]
+                if not apart.any():
+                    continue
+                far = np.bitwise_count(x[lo : lo + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                i, j = np.nonzero(apart & (far <= (p + q) * (100 - percent) // (100 + percent)))
+                yield own[i], right[j]
+
+
+def near_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a, b), in one order, of nodes with different labels of `groups` (group, node, label) of up to `FEW` nodes.
+
+    A task reads its groups one after another and holds the parities of one; no pair is written that they rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows)
+        node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+        for i, j in _close(n, label, t.column("parity").to_pylist(), percent):
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+    def compare(batches):
+        open_rows, name, out, held = [], None, [], 0
+        for b in batches:
+            group = b.column("group").to_numpy()
+            if not len(group):
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if group[lo] != name and open_rows:
+                    for x in pairs(open_rows):
+                        out.append(x)
+                        held += len(x[0])
+                    open_rows = []
+                    if held > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+                        out, held = [], 0
+                name = group[lo]
+                open_rows.append(b.slice(lo, hi - lo))
+        if open_rows:
+            out += pairs(open_rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = groups.select("group", "node", "label").join(sets.select("node", F.col("n").cast("long").alias("n"), "parity"), "node").select("group", "node", "label", "n", "parity")
+    dealt = known.repartition(parts, "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _ordered(d: DataFrame, one: str, other: str) -> DataFrame:
@@ -457,9 +530,9 @@ def settled(d: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, D
 def _components(docs: DataFrame, size: int, percent: int, marks: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The stored nodes of all rows, and `node, rep, label` of every node with grams: its least doc_id and its component.
 
-    After every node has met its keys' hubs, every pair that a key still holds apart is settled: keys of up to `FEW` nodes
-    as pairs, at most FEW / 2 per node, larger ones by their differences (see `met_pairs`), in groups that grow smaller.
-    Tables that only this work reads are dropped on the way."""
+    After every node has met its keys' hubs, every pair that a key still holds apart is settled: groups of up to `FEW`
+    nodes by their parities (see `near_pairs`), larger ones by their differences (see `met_pairs`), in groups that grow
+    smaller. Tables that only this work reads are dropped on the way."""
     nodes = stored(doc_nodes(docs, size, marks), "nodes")
     largest = nodes.agg(F.max("n")).first()[0] or 1
     reps = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -468,8 +541,11 @@ def _components(docs: DataFrame, size: int, percent: int, marks: Sequence[str] =
     every = sets.select("node")
 
     star = members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = [stored(verified(star, sets, percent), "links")]
+    met = stored(plausible(star, sets, percent), "pairs")
+    links = [stored(verified(met, sets, percent), "links")]
     labels = label_components(every, links[0])
+    mixed = stored(mixed_groups(members, labels, links[0]), "mixed")
+    dropped(members, met)
 
     def join(more: DataFrame) -> None:
         nonlocal labels
@@ -478,19 +554,28 @@ def _components(docs: DataFrame, size: int, percent: int, marks: Sequence[str] =
             dropped(labels)
             labels = label_components(every, reduce(DataFrame.unionByName, links))
 
-    mixed = stored(mixed_members(members, labels, links[0]), "mixed")
-    few = mixed.filter(F.col("n_nodes") <= FEW)
-    right = few.select("key", F.col("node").alias("_o"), F.col("label").alias("_ol"))
-    plain = _ordered(few.join(right, "key").filter("label < _ol"), "node", "_o").distinct()
-    rest = stored(differences(mixed.filter(F.col("n_nodes") > FEW).select("pivot", "node").distinct(), sets), "differences")
-    join(stored(verified(plain, sets, percent), "links"))
-    while not rest.isEmpty():
+    def settle_local(groups: DataFrame) -> None:
+        near = stored(near_pairs(groups.filter(F.col("n_nodes") <= FEW), sets, percent), "pairs")
+        if not near.isEmpty():
+            join(stored(verified(near, sets, percent), "links"))
+        dropped(near)
+
+    sized = with_size(mixed)
+    settle_local(sized)
+    large = sized.filter(F.col("n_nodes") > FEW).select(F.col("group").alias("pivot"), "node")
+    rest = None if large.isEmpty() else stored(differences(large, sets), "differences")
+    dropped(mixed)
+    while rest is not None:
         more, smaller = settled(rest, labels, percent)
         join(more)
         dropped(rest)
-        rest = smaller
+        sized = with_size(smaller)
+        settle_local(sized.join(labels, "node"))
+        large = sized.filter(F.col("n_nodes") > FEW).drop("n_nodes")
+        rest = None if large.isEmpty() else stored(large, "differences")
+        dropped(smaller)
     out = stored(reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "components")
-    dropped(rest, mixed, members, sets, labels, *links)
+    dropped(sets, labels, *links)
     return nodes, out
 
 

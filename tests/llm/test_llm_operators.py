@@ -433,6 +433,45 @@ def test_jaccard_join_of_a_large_group_of_near_copies(documents, monkeypatch):
     assert sum(a + b for a, b in made) < 150 * 2000
 
 
+def test_groups_below_the_threshold_take_no_differences(documents, monkeypatch):
+    """300 texts that share two fifths of their words with each other: many common keys, hardly a similar pair. Such groups
+    are told apart by parities; before, each was written out as its differences from a centre."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        at = rng.randrange(24)
+        w[at : at + 36] = [f"x{k}_{j}" for j in range(36)]
+        rows.append((k, " ".join(w)))
+    rows += [(300 + k, text + " end") for k, text in rows[:40]]
+    made = []
+    monkeypatch.setattr(setjoin, "differences", lambda *a: made.append(a) or pytest.fail("differences of a small group"))
+    near = setjoin.near_pairs
+    monkeypatch.setattr(setjoin, "near_pairs", lambda *a: made.append(near(*a).count()) or near(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(documents(rows), 3, 80).collect()}
+    assert got == brute_components(rows, 3, 80)
+    assert sum(made) < 400
+
+
+def test_near_copies_of_several_lengths_are_not_divided(documents, monkeypatch):
+    """Near copies of one text cut at several lengths, so that parities of two widths meet in a group."""
+    rng = random.Random(22)
+    base = [f"b{k}" for k in range(140)]
+    rows = []
+    for k in range(400):
+        w = base[: rng.randrange(118, 141)]
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    exploded = []
+    rarest = setjoin._rarest
+    monkeypatch.setattr(setjoin, "_rarest", lambda *a: exploded.append(a) or rarest(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(documents(rows), 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90)
+    assert not exploded
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):
