@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.functions import posterior as P
 from strideline.functions import vectors as V
+from strideline.operators.boosting import boosted_oof
 from strideline.operators.evaluate import rank_auc
 from strideline.operators.scan import bounded_broadcast, ordered_scan
-from strideline.session import cut_lineage
 
 
 def centroids(df: DataFrame, key: str, vec: str, dim: int, extra=None) -> DataFrame:
@@ -65,17 +66,15 @@ def forest_oof(df: DataFrame, features: str, label: str, fold: str, n_folds: int
     return out
 
 
-def pair_features(post: DataFrame, ids: Sequence[str], members: Sequence, n_classes: int, keep: Sequence[str] = (), written: bool = False) -> DataFrame:
+def pair_features(post: DataFrame, ids: Sequence[str], members: Sequence, n_classes: int, keep: Sequence[str] = ()) -> DataFrame:
     """One row per (sample, class): per member p, log p, rank, margin, entropy, top-1; means and votes.
 
     Member posteriors meet in one row per sample of plain numbers, and whatever does not depend on the class is computed
-    there. With `written` these rows are stored, for a reader that passes over the features many times.
+    there.
     """
     classes = range(n_classes)
     cell = lambda m, c: f"_p{m}_{c}"
     wide = post.groupBy(*ids, *keep).agg(*[F.first(F.when(F.col("member") == m, F.col("probs")[c]), ignorenulls=True).alias(cell(m, c)) for m in members for c in classes])
-    if written:
-        wide = cut_lineage(wide)
     # rounded and negated, so that a smaller number ranks first
     d = wide.withColumns({f"_n{m}_{c}": -F.round(cell(m, c), 9) for m in members for c in classes})
     parts = {}
@@ -98,18 +97,30 @@ def pair_features(post: DataFrame, ids: Sequence[str], members: Sequence, n_clas
     return d.select(*ids, *keep, "cls", *[c.alias(n) for n, c in out.items()])
 
 
-def boosted_stacker(pairs: DataFrame, ids: Sequence[str], label: str, fold: str, n_folds: int, rounds: int = 10) -> DataFrame:
-    """Out-of-fold stacked prediction: boosted trees score every (sample, class) row, best class wins."""
-    skip = {*ids, label, fold, "cls", "subject"}
-    inputs = [c for c in pairs.columns if c not in skip]
-    d = VectorAssembler(inputCols=inputs, outputCol="_f").transform(pairs.withColumn("_y", (F.col("cls") == F.col(label)).cast("double")))
-    out = None
-    for f in range(n_folds):
-        model = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.2, seed=0, featuresCol="_f", labelCol="_y").fit(d.filter(F.col(fold) != f))
-        s = model.transform(d.filter(F.col(fold) == f)).select(*ids, label, fold, "cls", vector_to_array("probability")[1].alias("s"))
-        out = s if out is None else out.unionByName(s)
-    best = F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("cls")).alias("c")))["c"]
-    return out.groupBy(*ids).agg((-best).alias("pred"), F.first(label).alias(label), F.first(fold).alias(fold))
+def pair_arrays(members: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The columns of `pair_features`, in their order, for arrays (classes, samples) of member posteriors."""
+    out, logs, votes = [], [], 0
+    for p in members:
+        neg = -np.rint(p * 1e9)
+        rank = np.zeros(p.shape, np.int16)
+        for c in range(len(p)):
+            for o in range(c):
+                ahead = neg[o] <= neg[c]
+                rank[c] += ahead
+                rank[o] += ~ahead
+        log, top = np.log(p + 1e-12), p.max(axis=0)
+        out += [p, log, rank, p - top, -(p * np.log(np.maximum(p, P.LOG_FLOOR))).sum(axis=0), top]
+        logs.append(log)
+        votes = votes + (rank == 0)
+    return [*out, sum(logs) / len(logs), sum(members) / len(members), votes]
+
+
+def boosted_stacker(samples: DataFrame, ids: Sequence[str], label: str, fold: str, n_folds: int, members: Sequence[str], n_classes: int, rounds: int = 10) -> DataFrame:
+    """Out-of-fold stacked prediction: boosted trees score every (sample, class) row, best class wins.
+
+    `members` are the posteriors of one row per sample; the features are those of `pair_features`.
+    """
+    return boosted_oof(samples, ids, label, fold, n_folds, members, n_classes, pair_arrays, rounds)
 
 
 def logistic_oof(df: DataFrame, features: str, label: str, fold: str, n_folds: int, reg: float = 0.01, standardise: bool = True) -> DataFrame:

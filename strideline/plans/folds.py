@@ -86,9 +86,8 @@ def m4(spark, sf):
 
 @query("m5_boosted_stacker")
 def m5(spark, sf):
-    post = v.posteriors(spark, sf).withColumn("fold", (F.col("subject") % 2).cast("int"))
-    pairs = L.pair_features(post, ["sample_id"], list(range(v.MEMBERS)), C, ["label", "fold"], written=True)
-    out = L.boosted_stacker(pairs, ["sample_id"], "label", "fold", 2, rounds=5)
+    d = v.posteriors_wide(spark, sf).withColumn("fold", (F.col("subject") % 2).cast("int"))
+    out = L.boosted_stacker(d, ["sample_id"], "label", "fold", 2, [f"p{m}" for m in range(v.MEMBERS)], C, rounds=5)
     return out.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"))
 
 
